@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, ngram_join
+from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from tidemark.llm.common import table
 
 
@@ -21,10 +21,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.rates(docs, mixing.fit(docs, mixing.learn_domains(docs, "lang")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
