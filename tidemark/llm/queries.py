@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, maxscore, mixing, ngram_join, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import bpe, exact_dedup, gam, maxscore, mixing, ngram_join, toxicity
+from tidemark.llm.common import held_out, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(4, 2)
+    return gam.score(docs, gam.fit(docs, table(spark, sf_dir, "labels").where(~held)), held)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_maxscore": op2_maxscore,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality_gam": op4_quality_gam,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
