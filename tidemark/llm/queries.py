@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_join, toxicity
+from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_join, token_store, toxicity
 from tidemark.llm.common import held_out, table
 
 
@@ -36,6 +36,11 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs.where(~held)), held)
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.document_checksums(spark, place)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +58,7 @@ QUERIES = {
     "op4_quality_gam": op4_quality_gam,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_mixture": op7_language_mixture,
+    "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
