@@ -1,14 +1,16 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features are the distinct lower-cased words of a text, stripped of the punctuation around them. Over all
-labelled rows Spark counts how many toxic and other documents hold each word; the words that tell most
+Features are the distinct lower-cased words of a text, stripped of the punctuation around them, and the
+beginnings of its longer words: one for a beginning that is there, one for a beginning that several
+different words share (insults are built from few stems). Over the
+training sample Spark counts how many toxic and other documents hold each word; the words that tell most
 (by the log-likelihood ratio of their two-by-two table) become features. Grades are ordered: 0 for
 documents labelled clean, then 1, 2, ... by how many of the toxic words a toxic document holds. One weight
 per word is shared by all thresholds: P(grade >= j) = sigmoid(w x - t_j) with t_1 < t_2 < ...; the severity
 of a text is its expected grade, the sum of these probabilities.
 
-Only the fit is limited, to a sample of ``SAMPLE`` labelled rows with the smallest hash of doc_id; counts
-cover every labelled row, and every text is scored as a whole.
+The fit takes at most ``SAMPLE`` labelled documents, those with the smallest hash of doc_id; every text is
+scored as a whole.
 
 Defined results: a null or empty text has no features and gets the severity of the thresholds alone; rows
 of labels without a document, or with a null label, teach nothing; repeated rows are scored each. A table
@@ -17,13 +19,14 @@ without labels of both kinds scores every text 0.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, materialize
@@ -33,11 +36,21 @@ FEATURES = 4096
 GRADES = 4
 REJECT_AT = 0.5
 TELLING = 20.0  # the least log-likelihood ratio of a feature; by chance one word in 100,000 has it
+STEM = 5  # letters of a beginning
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def text_words(text: str | None) -> set[str]:
-    return set(TOKEN.findall(text.lower())) if text else set()
+def text_features(text: str | None) -> set[str]:
+    """The words of a text, ^beginning of its longer words, and ^^beginning where two words or more share it."""
+    if not text:
+        return set()
+    words = set(TOKEN.findall(text.lower()))
+    stems = [w[:STEM] for w in words if len(w) > STEM]
+    once = set(stems)
+    if len(stems) > len(once):
+        words.update("^^" + s for s, n in Counter(stems).items() if n > 1)
+    words.update(map("^".__add__, once))
+    return words
 
 
 @dataclass
@@ -46,12 +59,12 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ... of each text."""
         score = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            if own := [self.words[w] for w in TOKEN.findall(text.lower()) if w in self.words] if text else []:
-                score[i] = self.weights[list(set(own))].sum()
+            if own := [self.words[w] for w in text_features(text) if w in self.words]:
+                score[i] = self.weights[own].sum()
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -60, 60)))
 
 
@@ -87,39 +100,55 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, features: in
     return theta[:features], theta[features] + np.concatenate([[0], np.cumsum(gap)])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, words) of the labelled documents; a label table is small beside the texts."""
-    own = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(own, "doc_id")
+def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, toxic, words) of the training sample."""
+    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = F.broadcast(bounded_sample(own, sample))  # ``sample`` small rows at most
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [sorted(text_words(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [sorted(text_features(t)) for t in batch["text"]]})
 
-    return rows.mapInPandas(run, "doc_id long, toxic int, words array<string>")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, words array<string>")
+
+
+def _telling(rows: DataFrame, features: int, bad: int, total: int) -> DataFrame:
+    """(word, n, bad) of the words that tell most: in how many documents, and toxic ones, they are."""
+    held = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    share = bad / total
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    n, toxic = F.col("n").cast("double"), F.col("bad").cast("double")
+    ratio = 2 * (part(toxic, n * share) + part(n - toxic, n * (1 - share)))
+    return held.where("n >= 5").withColumn("telling", F.round(ratio, 6)).where(F.col("telling") >= TELLING).orderBy(F.desc("telling"), "word").limit(features)
+
+
+def _numbered(rows: DataFrame, words: dict[str, int]) -> DataFrame:
+    """(toxic, features): words as numbers."""
+    shipped = rows.sparkSession.sparkContext.broadcast(words)  # FEATURES words at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["doc_id", "toxic"]].assign(features=[sorted(shipped.value[w] for w in own if w in shipped.value) for own in batch["words"]])
+
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES) -> OrdinalModel | None:
     """The model learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1)."""
-    rows = materialize(_labelled(docs, labels), "toxicity-labelled")
+    rows = materialize(_labelled(docs, labels, sample), "toxicity-labelled")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     if not 0 < total["bad"] < total["n"]:
         return None
-    held = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-
-    n, bad, share = F.col("n").cast("double"), F.col("bad").cast("double"), total["bad"] / total["n"]
-    telling = 2 * (part(bad, n * share) + part(n - bad, n * (1 - share)))
-    chosen = held.where("n >= 5").withColumn("telling", F.round(telling, 6)).where(F.col("telling") >= TELLING).orderBy(F.desc("telling"), "word").limit(features).collect()
+    chosen = _telling(rows, features, total["bad"], total["n"]).collect()
     words = {r["word"]: i for i, r in enumerate(chosen)}
-    toxic_words = [r["word"] for r in chosen if r["bad"] / r["n"] > max(0.5, 2 * share)]
-    known = F.array_intersect("words", F.array(*map(F.lit, words))) if words else F.array().cast("array<string>")
-    learned = bounded_sample(rows.select("doc_id", "toxic", known.alias("words")), sample).collect()
-    severe = set(toxic_words)
-    grade = np.array([r["toxic"] and min(grades - 1, max(1, len(severe.intersection(r["words"])))) for r in learned], np.int64)
-    found = [np.array(sorted(words[w] for w in r["words"]), np.int64) for r in learned]
+    severe = {i for i, r in enumerate(chosen) if r["bad"] / r["n"] > max(0.5, 2 * total["bad"] / total["n"])}
+    learned = bounded_sample(_numbered(rows, words), sample).toPandas()
+    found = [np.asarray(x, np.int64) for x in learned["features"]]
+    grade = np.array([toxic and min(grades - 1, max(1, len(severe.intersection(own.tolist())))) for toxic, own in zip(learned["toxic"], found, strict=True)], np.int64)
     weights, thresholds = fit_cumulative_link(found, grade, len(words))
     return OrdinalModel(words, weights, thresholds)
 
