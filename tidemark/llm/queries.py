@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_join, token_store, toxicity
+from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_join, ngram_trie, token_store, toxicity
 from tidemark.llm.common import held_out, table
 
 
@@ -31,6 +31,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(10, 0)
+    return ngram_trie.score(docs, ngram_trie.learn(docs.where(~held)), held)
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out(3, 1)
     return langid.identify(docs, langid.learn(docs.where(~held)), held)
@@ -57,6 +62,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_gam": op4_quality_gam,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_trie": op6_ngram_trie,
     "op7_language_mixture": op7_language_mixture,
     "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
