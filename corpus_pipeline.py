@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    domains = mixing.learn_domains(docs, "lang")
-    return mixing.resample(docs, mixing.fit(docs, domains, power=MIX_POWER))
+    rows = mixing.measured(docs, "lang")
+    return mixing.resample(docs, mixing.fit(rows, mixing.learn_domains(rows), power=MIX_POWER))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Mixing by soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over letter frequencies, learnt from a labelled table, gives every document a
-posterior over domains; it is tempered to ``EVIDENCE`` letters, since letters of a text are not
-independent. Each document then gets a rate r >= 0 such that the expected tokens of every domain,
+A naive Bayes classifier over the counts of some short strings (``STRINGS``), learnt from a labelled table,
+gives every document a posterior over domains; it is tempered to ``EVIDENCE`` occurrences, since those of
+one text are not independent. Counts are taken once from every text and written as a table of numbers,
+from which all passes read. Each document then gets a rate r >= 0 such that the expected tokens of every domain,
 sum(tokens * posterior * rate), come near their targets. The rates start at 1 and follow the projected
 gradient of the squared error. Its steps are scaled by the inverse of the weighted Gram matrix of the
 posteriors of documents whose rate is above 0. A step is one vector with a number per domain, so a rate
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, whole_text
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôûùáíóúñ"
-EVIDENCE = 100.0
+#: What is counted to tell domains apart: strings that languages of Latin script hold in different measure.
+STRINGS = ("th", "w", "k", "ch", "qu", "ou", "ll", "ei", "wh", "ci", "é", "è", "ñ", "ó", "ä", "ß")
+EVIDENCE = 60.0
 STEPS = 25
 
 
-def letter_counts(text: Column) -> Column:
-    lower = F.lower(text)
-    return F.array(*(F.char_length(lower) - F.char_length(F.replace(lower, F.lit(c), F.lit(""))) for c in LETTERS))
+def string_counts(lower: Column, strings: tuple[str, ...] = STRINGS) -> Column:
+    """How often each string is in the lower-cased text."""
+    size = F.octet_length(lower)
+    return F.array(*(((size - F.octet_length(F.replace(lower, F.lit(x), F.lit("")))) / len(x.encode())).cast("int") for x in strings))
 
 
 def token_count(text: Column) -> Column:
@@ -41,31 +44,37 @@ def token_count(text: Column) -> Column:
 
 @dataclass
 class Domains:
-    """Names, prior logarithms and, by domain and letter, logarithms of letter shares."""
+    """Names, prior logarithms and, by domain and string, logarithms of the strings' shares."""
 
     names: list[str]
     prior: list[float]
-    letters: list[list[float]]
+    shares: list[list[float]]
 
     def posterior(self, counts: Column) -> Column:
-        """Array of the domains' posteriors, from letter counts."""
+        """Array of the domains' posteriors, from counts of strings."""
 
         def dot(weights: list[float]) -> Column:
             return F.aggregate(F.zip_with(counts, F.array(*map(F.lit, weights)), lambda c, w: c * w), F.lit(0.0), lambda a, b: a + b)
 
         total = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
         temper = F.when(total > EVIDENCE, EVIDENCE / total).otherwise(F.lit(1.0))
-        logs = F.array(*(F.lit(p) + temper * dot(w) for p, w in zip(self.prior, self.letters, strict=True)))
+        logs = F.array(*(F.lit(p) + temper * dot(w) for p, w in zip(self.prior, self.shares, strict=True)))
         shares = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
         return F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
 
 
-def learn_domains(labelled: DataFrame, domain: str, text: str = "text") -> Domains:
-    """Letter shares of each domain over all rows of the labelled table (columns ``text`` and ``domain``)."""
-    rows = labelled.where(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("domain"), letter_counts(whole_text(text)).alias("counts"))
-    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(LETTERS))]
-    found = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("domain").collect()
-    counts = np.array([[r[f"c{i}"] for i in range(len(LETTERS))] for r in found], float).reshape(len(found), -1) + 0.5
+def measured(docs: DataFrame, domain: str) -> DataFrame:
+    """doc_id, domain (as text), n_tokens and counts of every document, written as a table."""
+    text = whole_text()
+    rows = docs.select("doc_id", F.col(domain).cast("string").alias("domain"), token_count(text).alias("n_tokens"), F.lower(text).alias("lower"))
+    return materialize(rows.select("doc_id", "domain", "n_tokens", string_counts(F.col("lower")).alias("counts")), "mixing-counts")
+
+
+def learn_domains(labelled: DataFrame) -> Domains:
+    """Shares of the strings in each domain over all rows of the labelled table, as :func:`measured` gives it."""
+    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(STRINGS))]
+    found = labelled.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("domain").collect()
+    counts = np.array([[r[f"c{i}"] for i in range(len(STRINGS))] for r in found], float).reshape(len(found), -1) + 0.5
     n = np.array([r["n"] for r in found], float)
     return Domains([r["domain"] for r in found], np.log(n / n.sum()).tolist(), np.log(counts / counts.sum(axis=1, keepdims=True)).tolist())
 
@@ -113,7 +122,7 @@ def tempered_targets(totals: np.ndarray, power: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = None, power: float | None = None, max_steps: int = STEPS, tolerance: float = 1e-6) -> Mix:
-    """Rates that bring the domains' expected tokens to their targets.
+    """Rates that bring the expected tokens of the domains to their targets; ``docs`` as :func:`measured` gives it.
 
     ``weights``: share of each domain in today's total (equal ones if none are given). ``power``: instead,
     shares in proportion to today's expected tokens to this power, of a total that takes nothing away.
@@ -121,9 +130,7 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
     size = len(domains.names)
     if not size:
         return Mix(domains, [], [], [])
-    text = whole_text()
-    soft = docs.select(token_count(text).alias("tokens"), letter_counts(text).alias("counts"))
-    soft = materialize(soft.select("tokens", domains.posterior(F.col("counts")).alias("p")), "mixing-posteriors")
+    soft = materialize(docs.select(F.col("n_tokens").alias("tokens"), domains.posterior(F.col("counts")).alias("p")), "mixing-posteriors")
     steps: list[list[float]] = []
     totals, gram = _state(soft, steps, size)
     if power is not None:
@@ -147,9 +154,8 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
 
 
 def rates(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, n_tokens, domain (likeliest), posterior, rate of every document."""
-    text = whole_text()
-    rows = docs.select("doc_id", token_count(text).alias("n_tokens"), letter_counts(text).alias("counts"))
+    """doc_id, n_tokens, domain (likeliest), posterior, rate of every document that :func:`measured` gives."""
+    rows = docs.select("doc_id", "n_tokens", "counts")
     if not mix.domains.names:
         return rows.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
     rows = rows.select("doc_id", "n_tokens", mix.domains.posterior(F.col("counts")).alias("posterior"))
@@ -162,8 +168,9 @@ def resample(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more where a hash of doc_id is below the rest."""
     if not mix.domains.names:
         return docs
-    rate, copies, counts, posterior = (f"__{x}" for x in ("rate", "copies", "counts", "posterior"))
-    rows = docs.withColumn(counts, letter_counts(whole_text())).withColumn(posterior, mix.domains.posterior(F.col(counts)))
+    lower, rate, copies, counts, posterior = (f"__{x}" for x in ("lower", "rate", "copies", "counts", "posterior"))
+    rows = docs.withColumn(lower, F.lower(whole_text())).withColumn(counts, string_counts(F.col(lower)))
+    rows = rows.withColumn(posterior, mix.domains.posterior(F.col(counts)))
     rows = rows.withColumn(rate, F.round(mix.rate(F.col(posterior)), 9))  # a sum of doubles may end just below a whole number
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     often = (F.floor(rate) + F.when(chance < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")

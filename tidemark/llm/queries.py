@@ -52,8 +52,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.rates(docs, mixing.fit(docs, mixing.learn_domains(docs, "lang")))
+    rows = mixing.measured(table(spark, sf_dir, "documents"), "lang")
+    return mixing.rates(rows, mixing.fit(rows, mixing.learn_domains(rows)))
 
 
 QUERIES = {
