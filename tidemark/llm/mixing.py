@@ -74,7 +74,7 @@ def learn_domains(labelled: DataFrame) -> Domains:
     """Shares of the strings in each domain over all rows of the labelled table, as :func:`measured` gives it."""
     sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(STRINGS))]
     found = labelled.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("domain").collect()
-    counts = np.array([[r[f"c{i}"] for i in range(len(STRINGS))] for r in found], float).reshape(len(found), -1) + 0.5
+    counts = np.array([[r[f"c{i}"] for i in range(len(STRINGS))] for r in found], float).reshape(len(found), len(STRINGS)) + 0.5
     n = np.array([r["n"] for r in found], float)
     return Domains([r["domain"] for r in found], np.log(n / n.sum()).tolist(), np.log(counts / counts.sum(axis=1, keepdims=True)).tolist())
 
