@@ -119,6 +119,10 @@ ORACLE_SQL = {
     "candlestick_edge": f"""WITH {SIGNATURES}, nx AS (SELECT *, lead(c) OVER (PARTITION BY symbol ORDER BY bucket) AS next_c FROM signed),
         g AS (SELECT signature, count(*) AS n, count(*) FILTER (next_c > c) AS ups FROM nx WHERE next_c <> c GROUP BY signature)
         SELECT signature, n, ups, round({wilson("(CAST(ups AS DOUBLE) / n)", "n")[0]}, 9) AS low, round({wilson("(CAST(ups AS DOUBLE) / n)", "n")[1]}, 9) AS high FROM g""",
+    "research_fusion": f"""WITH {SIGNATURES}, nx AS (SELECT *, lead(c) OVER (PARTITION BY symbol ORDER BY bucket) AS next_c FROM signed),
+        g AS (SELECT signature, count(*) AS n, CAST(count(*) FILTER (next_c > c) AS DOUBLE) AS ups FROM nx WHERE next_c <> c GROUP BY signature),
+        f AS (SELECT signature, n, CASE WHEN n >= 5 THEN 0.45 * (ups / n) + 0.55 * ((ups + 4) / (n + 8)) ELSE ups / n END AS p FROM g)
+        SELECT signature, n, round(p, 9) AS p, CASE WHEN p >= 0.55 THEN 'UP' WHEN p <= 0.45 THEN 'DOWN' ELSE 'NO_SIGNAL' END AS direction FROM f""",
     "tick_normalize_filter": f"WITH {MESSAGES} SELECT symbol, price, tick_ms, received_ms, received_ms - tick_ms AS latency_ms FROM judged WHERE reason IS NULL",
     "reject_reasons": f"WITH {MESSAGES} SELECT coalesce(reason, 'good') AS reason, count(*) AS n FROM judged GROUP BY 1",
     "rounds_latest_upsert": """SELECT event_type, user_id, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY ALL""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SPARSE, micros
-from tidemark.functions.columns import ratio, wilson
+from tidemark.functions.columns import beta_shrunk, ratio, wilson
 from tidemark.operators import engines, interactions
 from tidemark.operators.asof import next_ticks, price_asof, range_join
 from tidemark.operators.baselines import baselines
@@ -14,6 +14,7 @@ from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.evaluate import accuracy_label, outcomes, prediction_status, predictions
 from tidemark.operators.memory import latest_rates, point_in_time
 from tidemark.operators.projectile import projectile
+from tidemark.operators.seeds import seed_votes
 from tidemark.operators.sessions import session_stats, with_sessions
 from tidemark.operators.upserts import add_counts, insert_if_absent, latest_wins
 from tidemark.operators.voting import combinations, engine_weights, pick_direction, rolling_accuracy, weighted_vote
@@ -333,6 +334,25 @@ def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crt.unionByName(lab)
 
 
+def seed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed rules' vote at every tick, over the engines that are columns and two numeric ones."""
+    t = ticks(spark, sf_dir)
+    keys = ["symbol", "us", "event_id"]
+    outputs = _outputs(spark, sf_dir)
+    others = {"entropy_regime": engines.entropy_regime(t, SPARSE), **{n: engines.numeric(t, SPARSE, n) for n in ("superformula", "trail_tracer")}}
+    for name, rows in others.items():
+        outputs = outputs.unionByName(rows.select(*keys, F.lit(name).alias("engine"), F.lit("NO_SIGNAL").alias("direction"), "signature"))
+    return seed_votes(outputs, keys)
+
+
+def research_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per candlestick signature: its rate of rises as the seed, the shrunk one as the adaptive probability, fused."""
+    g = candlestick_edge(spark, sf_dir)
+    seed, adaptive = ratio(F.col("ups"), F.col("n")), F.when(F.col("n") >= 5, beta_shrunk(F.col("ups"), F.col("n")))
+    p, direction = interactions.fused(F.when(seed >= 0.5, seed), F.when(seed < 0.5, 1 - seed), adaptive)
+    return g.select("signature", "n", F.round(p, 9).alias("p"), direction.alias("direction"))
+
+
 def atom_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = interactions.atoms(_outputs(spark, sf_dir), ["symbol", "us", "event_id"])
     return found.groupBy("kind", "engine", "feature", "atom").agg(F.count(F.lit(1)).alias("n"))
@@ -382,6 +402,6 @@ QUERIES = {
         candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
         return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
-        apriori_rules, interaction_sway, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
+        apriori_rules, interaction_sway, seed_vote, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
