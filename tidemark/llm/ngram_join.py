@@ -2,8 +2,10 @@
 
 A document's set holds its distinct five-word shingles. All shingles stand in one global order: those that
 many documents share come last, the others in the order of their hashes. Two sets that are similar enough
-share a shingle among the first few of both (their prefixes), which yields candidates. The global order is
-cut into fragments; for the candidates, the overlap is counted in each fragment separately and summed.
+share a shingle among the first few of both (their prefixes), which yields candidates. The order of hashes
+is cut into fragments; for the candidates, the overlap is counted in each fragment separately and summed.
+The first fragment goes first, with hashes cut to 32 bits: what it leaves possible is an upper bound, and
+only pairs that can still be near enough are counted in full.
 
 Documents with the same set are one node. Links are found in two rounds, so that a large group of near
 copies isn't compared pair by pair: first every node of a shingle is held against the shingle's first node,
@@ -20,6 +22,7 @@ doc_id takes part in its component, whose id is the smallest that isn't null.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,12 +31,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, fold_words, materialize, mix
+from tidemark.llm.common import materialize, mix
 from tidemark.llm.components import components
 
 WORDS = 5
-FREQUENT = 1_000_000
-FRAGMENTS = 8
+FREQUENT = 250_000
+FRAGMENTS = 6
 #: Rows of (doc_id) that may be broadcast, 16 MB; beyond it Spark joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Links need 5 * intersection >= 4 * union.
@@ -41,15 +44,64 @@ P, Q = 4, 5
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the distinct shingles of a text given by its words' hashes, in ascending order."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    n = min(WORDS, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        each = np.full(n, base, np.uint64)
+        each[0] = 1
+        out.append(np.cumprod(each))
+    return out[0], out[1]
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in bytes that end with a blank, and where each word begins.
+
+    A hash is the difference of two prefix sums of bytes times powers of a base, shifted back to the front.
+    """
+    edges = np.flatnonzero(np.diff(_BLANK[raw].view(np.int8), prepend=1))
+    first, last = edges[::2], edges[1::2]
+    powers, inverse = _powers(1 << max(22, len(raw).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * powers[: len(raw)])])
+    return mix((sums[last] - sums[first]) * inverse[first]), first
+
+
+def _windows(words: np.ndarray, n: int) -> np.ndarray:
     total = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
         total += words[i : len(words) - n + 1 + i] * _WEIGHTS[i]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def shingle_sets(texts: list[str | None], chars: int = 1_000_000) -> Iterator[np.ndarray]:
+    """For each whole text the hashes of its distinct shingles, in ascending order."""
+    at = 0
+    while at < len(texts):
+        part, held = [], 0
+        while at < len(texts) and held < chars:
+            part.append((texts[at] or "").encode("utf-8", "surrogatepass"))
+            held += len(part[-1])
+            at += 1
+        words, first = word_hashes(np.frombuffer(b"\n".join([*part, b""]).lower(), np.uint8))
+        stops = np.searchsorted(first, np.cumsum([len(x) + 1 for x in part])).tolist()
+        whole = _windows(words, WORDS) if len(words) >= WORDS else words[:0]
+        start = 0
+        for stop in stops:
+            n = stop - start
+            yield _distinct(whole[start : stop - WORDS + 1] if n >= WORDS else _windows(words[start:stop], n)) if n else np.empty(0, np.uint64)
+            start = stop
 
 
 def node_of(hashes: np.ndarray) -> tuple[int, int]:
@@ -58,57 +110,65 @@ def node_of(hashes: np.ndarray) -> tuple[int, int]:
     return int(digest[0]), int(digest[1])
 
 
-def _sets(batch: pd.DataFrame, hashes: WordHashes) -> Iterator[np.ndarray]:
-    for text in batch["text"]:
-        yield shingles(hashes.of(fold_words(text)))
+def cut_at(hashes: np.ndarray) -> np.ndarray:
+    """Where a set in ascending order is cut into fragments."""
+    return np.searchsorted(hashes, (np.arange(1, FRAGMENTS) * ((1 << 64) // FRAGMENTS)).astype(np.uint64))
 
 
-def survey(docs: DataFrame, seen: int = 4, portion: int = 2_000_000) -> DataFrame:
-    """A row (doc_id, n, node, more) per document and rows (shingle, count) of shingles met often in a task."""
+def survey(docs: DataFrame, seen: int = 2, portion: int = 2_000_000) -> DataFrame:
+    """A row (doc_id, n, node, more, head) per document, head being its first fragment at 32 bits, and rows
+    (shingle, count) of shingles met ``seen`` times or more among a portion of a task's texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def often() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            values, counts = values[counts >= seen].view(np.int64), counts[counts >= seen]
-            return pd.DataFrame({"doc_id": None, "n": None, "node": None, "more": None, "shingle": values, "count": counts})
+            values = np.concatenate(held)
+            values.sort()
+            at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            counts = np.diff(np.concatenate([at, [len(values)]]))
+            values, counts = values[at[counts >= seen]].view(np.int64), counts[counts >= seen]
+            return pd.DataFrame({"doc_id": None, "n": None, "node": None, "more": None, "head": None, "shingle": values, "count": counts})
 
         for batch in batches:
             rows = []
-            for own in _sets(batch, hashes):
-                rows.append((len(own), *(node_of(own) if len(own) else (None, None))))
+            for own in shingle_sets(batch["text"].tolist()):
+                head = np.unique(own[: cut_at(own)[0]].astype(np.uint32)).view(np.int32)
+                rows.append((len(own), *(node_of(own) if len(own) else (None, None)), head))
                 held.append(own)
                 size += len(own)
                 if size > portion:
                     yield often()
                     held, size = [], 0
-            out = pd.DataFrame(rows, columns=["n", "node", "more"], dtype="object")
+            out = pd.DataFrame(rows, columns=["n", "node", "more", "head"], dtype="object")
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out.assign(shingle=None, count=None)
         if held:
             yield often()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, node long, more long, shingle long, count long")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, node long, more long, head array<int>, shingle long, count long")
 
 
 class Order:
     """The global order: rank 0 for most shingles, a frequent one's count for it; then the hash."""
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        by_hash = sorted(frequent)
-        self.known = np.array([h for h, _ in by_hash], np.int64)
-        self.count = np.array([c for _, c in by_hash], np.int64)
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        by_hash = np.argsort(shingles)
+        self.known, self.count = shingles[by_hash], counts[by_hash]
 
-    def sort(self, hashes: np.ndarray) -> np.ndarray:
+    def first(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """The first n of an ascending set."""
         own = hashes.view(np.int64)
-        rank = np.zeros(len(own), np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-            hit = self.known[at] == own
-            rank[hit] = self.count[at[hit]]
-        return own[np.lexsort((own, rank))]
+        if not len(self.known):
+            return own[:n]
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        hit = self.known[at] == own
+        rare = own[~hit][:n]
+        if len(rare) == n:
+            return rare
+        often, count = own[hit], self.count[at[hit]]
+        return np.concatenate([rare, often[np.argsort(count, kind="stable")][: n - len(rare)]])
 
 
 def prefix_length(n: int) -> int:
@@ -120,14 +180,14 @@ def postings(docs: DataFrame, order, collided: list[int]) -> DataFrame:
     """(shingle, node, n, place) for the first shingles of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, twice = WordHashes(), set(collided)
+        twice = set(collided)
         for batch in batches:
             found: list[tuple[np.ndarray, int, int]] = []
             held = 0
-            for own in _sets(batch, hashes):
+            for own in shingle_sets(batch["text"].tolist()):
                 if len(own):
                     node, more = node_of(own)
-                    found.append((order.value.sort(own)[: prefix_length(len(own))], more if node in twice else node, len(own)))
+                    found.append((order.value.first(own, prefix_length(len(own))), more if node in twice else node, len(own)))
                     held += len(found[-1][0])
                 if held > 200_000:
                     yield frame(found)
@@ -153,12 +213,10 @@ def fragments(docs: DataFrame) -> DataFrame:
     """(node, fragment, part): each set cut where the order of hashes is cut; docs has doc_id, text and node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
-            for node, own in zip(batch["node"], _sets(batch, hashes), strict=True):
-                cuts = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61))
-                rows += [(node, i, part.view(np.int64)) for i, part in enumerate(np.split(own, cuts)) if len(part)]
+            for node, own in zip(batch["node"], shingle_sets(batch["text"].tolist()), strict=True):
+                rows += [(node, i, part.view(np.int64)) for i, part in enumerate(np.split(own, cut_at(own))) if len(part)]
             yield pd.DataFrame(rows, columns=["node", "fragment", "part"])
 
     return docs.select("node", "text").mapInPandas(run, "node long, fragment int, part array<long>")
@@ -175,8 +233,20 @@ def may_link(a: str, b: str) -> Column:
     return (F.least(n, m) * Q >= F.greatest(n, m) * P) & near_enough(left, n, m)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that can still be near enough after the first fragment; heads has node, n, head."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    known = heads.join(ends, "node", "left_semi").dropDuplicates(["node"])
+    left = known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("head").alias("head_a"))
+    right = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("head").alias("head_b"))
+    rest = F.least(F.col("n_a") - F.size("head_a"), F.col("n_b") - F.size("head_b"))
+    most = F.size(F.array_intersect("head_a", "head_b")) + rest
+    return pairs.join(left, "a").join(right, "b").where(near_enough(most, F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, heads: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that are near enough: overlaps by fragment, summed per pair."""
+    pairs = materialize(possible(pairs, heads), "ngram-possible")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"), "n"), "ngram-ends")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -201,8 +271,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     seen = materialize(survey(docs), "ngram-survey")
     often = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count"))
-    often = often.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
-    order = spark.sparkContext.broadcast(Order([(r["shingle"], r["count"]) for r in often]))
+    often = often.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()  # 16 bytes each
+    order = spark.sparkContext.broadcast(Order(often["shingle"].to_numpy(), often["count"].to_numpy()))
     rows = seen.where(F.col("shingle").isNull())
     sets = rows.where("n > 0").groupBy("node", "more", "n").agg(F.min("doc_id").alias("first_id"))
     # two sets with the same 64 bits: their nodes are named by the other 64 bits
@@ -210,7 +280,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     name = F.when(F.col("node").isin(collided), F.col("more")).otherwise(F.col("node")) if collided else F.col("node")
     nodes = materialize(sets.select(name.alias("node"), "n", "first_id"), "ngram-nodes")
 
-    all_postings = postings(docs, order, collided)
+    heads = rows.where("n > 0").select(name.alias("node"), "n", "head")
+    all_postings = materialize(postings(docs, order, collided), "ngram-postings-all")
     shared = all_postings.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     live = materialize(all_postings.join(shared.drop("last"), "shingle").dropDuplicates(["shingle", "node"]), "ngram-postings")
 
@@ -218,7 +289,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     leaders = live.where("node = leader").select("shingle", "n", "place").alias("x")
     first = live.where("node <> leader").alias("y").join(leaders, "shingle").where(may_link("x", "y"))
     first = materialize(first.select(F.col("leader").alias("a"), F.col("y.node").alias("b")).distinct(), "ngram-pairs")
-    links = materialize(linked(first, docs, nodes), "ngram-links")
+    links = materialize(linked(first, docs, nodes, heads), "ngram-links")
     roots = components(links)
 
     # second round: nodes of different components that share a shingle
@@ -233,12 +304,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     second = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
     if not second.isEmpty():
-        roots = components(links.unionByName(linked(second, docs, nodes)))
+        roots = components(links.unionByName(linked(second, docs, nodes, heads)))
 
     held = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = held.groupBy("root").agg(F.min("first_id").alias("component_id"))
     held = held.join(least, "root").select(F.col("node").alias("named"), "component_id")
-    named = rows.withColumn("named", name)
+    named = rows.select("doc_id", "n", name.alias("named"))
     found = named.join(held, "named", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
