@@ -145,16 +145,20 @@ def test_trie_scores_against_dictionaries(documents, monkeypatch, block, portion
     rows = documents.select("doc_id", "text", held.alias("held")).collect()
     words = lambda t: (t or "").encode().lower().split()
     n, want = plain_scores([words(r["text"]) for r in rows if not r["held"]], [words(r["text"]) for r in rows])
-    got = ngram_trie.score(documents, ngram_trie.learn(documents.where(~held)), held).collect()
+    got = ngram_trie.learn_and_score(documents, held).collect()
     assert {r["train_tokens"] for r in got} == {n}
     a = sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
     b = sorted((x[0], x[1], round(x[2], 6), round(x[3], 6)) for x in want)
     assert np.allclose(np.array(a), np.array(b), atol=2e-6)
+    apart = ngram_trie.score(documents, ngram_trie.learn(documents.where(~held))).collect()
+    assert np.allclose(np.array(sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in apart)), np.array(a))
 
 
 def test_trie_without_training_text(nothing, documents):
     got = ngram_trie.score(documents, ngram_trie.learn(nothing))
     assert got.agg(F.max(F.abs("score"))).first()[0] == 0 and got.count() == documents.count()
+    assert ngram_trie.learn_and_score(documents, F.lit(True)).agg(F.max(F.abs("score"))).first()[0] == 0
+    assert ngram_trie.learn_and_score(nothing, F.lit(True)).count() == 0
 
 
 def test_elias_fano_runs(tmp_path):

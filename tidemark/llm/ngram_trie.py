@@ -6,7 +6,8 @@ level is one ascending sequence of numbers (context * width + successor), cut in
 stored by Elias-Fano: low bits packed, high bits in unary, with a directory of every ``STEP``-th bucket. A
 context's own entry, successor 0, is the pointer to its successors, which follow it. A trigram's context is
 its bigram's place in the second level, and its last word is named by its place among the successors of the
-middle word, so numbers stay small. A search finds the run, then the bucket, then the successor in it.
+middle word, so numbers stay small. A search finds the run, then the bucket, then the successor in it; most
+numbers that aren't there are told by a sieve, a byte an entry, before that.
 
 Model. p(w|uv) = a(uvw) + b(uv) * p(w|v), p(w|v) = a(vw) + b(v) * p(w), p(w) = (c + 0.1) / (N + 0.1 (V + 1)),
 where a is the count less ``DISCOUNT`` over all occurrences of the context and b is what the kept
@@ -25,11 +26,11 @@ from __future__ import annotations
 import fcntl
 import functools
 import os
-import shutil
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fold_words, materialize
 
 RUN, STEP = 4096, 16
+SIEVE = 512  # 64-bit words of a run's sieve
 DISCOUNT = 0.75
 LEAST_COUNT = 2
 BLOCK = 2_000_000  # occurrences between two cuts of the number range, about
@@ -68,10 +70,15 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     return np.frombuffer(raw + b"\0" * (-len(raw) % 8 + 8), np.uint64)
 
 
+def _sieve_bit(x: np.ndarray) -> np.ndarray:
+    """The bit of a run's sieve for a number, counted from the run's first one."""
+    return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+
+
 def encode_runs(keys: np.ndarray) -> dict[str, np.ndarray]:
     """Arrays of the runs of ascending distinct ``keys``; the sizes of each run's parts tell where the next one begins."""
     out: dict[str, list] = {x: [] for x in ("first", "size", "low_bits", "high_words", "low_words", "steps")}
-    high, low, step = [], [], []
+    high, low, step, sieve = [], [], [], []
     for at in range(0, len(keys), RUN):
         own = keys[at : at + RUN]
         x = own - own[0]
@@ -84,15 +91,18 @@ def encode_runs(keys: np.ndarray) -> dict[str, np.ndarray]:
         low.append(_bits(x & ((1 << width) - 1), width))
         buckets = np.arange(0, int(top[-1]) + 2, STEP)
         step.append((np.searchsorted(top, buckets) + buckets).astype(np.uint32))
+        held = np.zeros(64 * SIEVE, np.uint8)
+        held[_sieve_bit(x)] = 1
+        sieve.append(np.packbits(held, bitorder="little").view(np.uint64))
         for name, value in zip(out, (own[0], len(x), width, len(high[-1]), len(low[-1]), len(step[-1])), strict=True):
             out[name].append(value)
     whole = {x: np.array(v, np.int64) for x, v in out.items()}
-    for name, parts, kind in (("high", high, np.uint64), ("low", low, np.uint64), ("step", step, np.uint32)):
+    for name, parts, kind in (("high", high, np.uint64), ("low", low, np.uint64), ("step", step, np.uint32), ("sieve", sieve, np.uint64)):
         whole[name] = np.concatenate(parts) if parts else np.empty(0, kind)
     return whole
 
 
-ARRAYS = {"first": np.int64, "size": np.int64, "low_bits": np.int64, "high_words": np.int64, "low_words": np.int64, "steps": np.int64, "high": np.uint64, "low": np.uint64, "step": np.uint32}
+ARRAYS = {"first": np.int64, "size": np.int64, "low_bits": np.int64, "high_words": np.int64, "low_words": np.int64, "steps": np.int64, "high": np.uint64, "low": np.uint64, "step": np.uint32, "sieve": np.uint64}
 
 
 class Level:
@@ -150,6 +160,9 @@ class Level:
         ask = np.flatnonzero(run >= 0)
         run = run[ask]
         x = keys[ask] - self.first[run]
+        bit = _sieve_bit(x)
+        maybe = np.flatnonzero((self.sieve[run * SIEVE + (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+        ask, run, x = ask[maybe], run[maybe], x[maybe]
         width = self.low_bits[run]
         h, target = x >> width, x & ((np.int64(1) << width) - 1)
         inside = h // STEP < self.steps[run]  # beyond the last bucket there is nothing
@@ -158,7 +171,13 @@ class Level:
         i = begin - h
         inside = i < self.size[run]
         ask, run, h, target, begin, i = ask[inside], run[inside], h[inside], target[inside], begin[inside], i[inside]
-        end = np.minimum(self._bucket(run, h + 1) - 1 - h, self.size[run])  # where the bucket's entries end
+        # the bucket's entries are the ones that follow; where they reach the end of the word, the next bucket tells
+        off = begin & 63
+        word = ~(self.high[self.high_at[run] + (begin >> 6)] >> off.astype(np.uint64))
+        ones = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        more = np.flatnonzero(off + ones >= 64)
+        ones[more] = self._bucket(run[more], h[more] + 1) - 1 - begin[more]
+        end = np.minimum(i + ones, self.size[run])
         lo, hi = i, end.copy()
         while True:  # the first entry that isn't below the target
             open_ = np.flatnonzero(lo < hi)
@@ -210,12 +229,12 @@ def _cut_places(weights: np.ndarray) -> list[tuple[int, float]]:
     return [(0, 0.0), *((int(a), float(p) if weights[a] >= BLOCK else 0.0) for a, p in zip(at, inside, strict=True))]
 
 
-@dataclass
+@dataclass(frozen=True)
 class Shipped:
-    """Names of a level's files on every machine, in the order of their blocks."""
+    """Names of a level's files on every machine."""
 
     name: str
-    files: list[str]
+    files: tuple[str, ...]
 
 
 def _ship(level: DataFrame, name: str) -> Shipped:
@@ -224,17 +243,17 @@ def _ship(level: DataFrame, name: str) -> Shipped:
     for path in level.inputFiles():
         level.sparkSession.sparkContext.addFile(path)
         files.append(os.path.basename(path))
-    return Shipped(f"{name}-{uuid.uuid4().hex}", files)
+    return Shipped(f"{name}-{uuid.uuid4().hex}", tuple(files))
 
 
 @functools.lru_cache(maxsize=8)
-def _open_level(name: str, files: tuple[str, ...]) -> Level:
+def open_level(shipped: Shipped) -> Level:
     """The level mapped into memory; the first worker of a machine lays its arrays out one after another."""
-    folder = os.path.join(SparkFiles.getRootDirectory(), name)
+    folder = os.path.join(SparkFiles.getRootDirectory(), shipped.name)
     with open(folder + ".lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(folder):
-            parts = [(pq.ParquetFile(SparkFiles.get(f)), SparkFiles.get(f)) for f in files]
+            parts = [(pq.ParquetFile(SparkFiles.get(f)), SparkFiles.get(f)) for f in shipped.files]
             rows = sorted((b, i, g) for i, (p, _) in enumerate(parts) for g in range(p.num_row_groups) for b in p.read_row_group(g, ["block"])["block"].to_pylist())
             draft, before = f"{folder}.draft-{os.getpid()}", 0
             os.mkdir(draft)
@@ -250,59 +269,97 @@ def _open_level(name: str, files: tuple[str, ...]) -> Level:
             for f in out.values():
                 f.close()
             os.rename(draft, folder)
-            shutil.rmtree(draft, ignore_errors=True)
+            for _, path in parts:  # laid out; the next worker finds the folder
+                os.remove(path)
     return Level(folder)
 
 
-def open_level(shipped: Shipped) -> Level:
-    return _open_level(shipped.name, tuple(shipped.files))
-
-
 # ---- words
 
 
 class Words(dict):
-    """word -> number of the first level (-1: unknown), kept for words seen before."""
+    """word -> row, in the order in which words are first met; ``number`` of each row in the first level, -1 where unknown."""
 
-    def __init__(self, level: Level, limit: int = 250_000):
+    def __init__(self, level: Level, limit: int = 300_000):
         super().__init__()
         self.level, self.limit = level, limit
+        self.fresh: list[bytes] = []
+        self.number = np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        row = self[word] = len(self)
+        return row
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Numbers of all words of all texts, each text closed by the end token."""
+        """Numbers of all tokens of all texts."""
         if len(self) > self.limit:
             self.clear()
-        if fresh := list({w for ws in texts for w in ws if w not in self} | ({END} - self.keys())):
-            hashes = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
+            self.number = np.empty(0, np.int64)
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if self.fresh:
+            hashes = np.fromiter(map(word_hash, self.fresh), np.int64, len(self.fresh))
             order = np.argsort(hashes)
-            found = np.empty(len(fresh), np.int64)
-            found[order] = self.level.find(hashes[order])
-            self.update(zip(fresh, found.tolist(), strict=True))
-        end = self[END]
-        return np.fromiter((x for ws in texts for x in (*map(self.__getitem__, ws), end)), np.int64, sum(map(len, texts)) + len(texts))
+            number = np.empty(len(order), np.int64)
+            number[order] = self.level.find(hashes[order])
+            self.number, self.fresh = np.concatenate([self.number, number]), []
+        return self.number[rows]
 
 
 def _portions(batches: Iterator[pd.DataFrame], tokens: int) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Rows with the words of their texts, about ``tokens`` at a time."""
+    """Rows with the tokens of their texts, each closed by the end token, about ``tokens`` at a time."""
     for batch in batches:
         at, held, words = 0, 0, []
         for i, text in enumerate(batch["text"]):
             words.append(fold_words(text))
-            held += len(words[-1]) + 1
+            words[-1].append(END)
+            held += len(words[-1])
             if held >= tokens or i + 1 == len(batch):
                 yield batch.iloc[at : i + 1], words
                 at, held, words = i + 1, 0, []
 
 
+@functools.lru_cache(maxsize=1)
+def _worker_words(first: Shipped) -> Words:
+    return Words(open_level(first))
+
+
+def _numbers(words: int) -> str:
+    return "array<int>" if words < 1 << 31 else "array<bigint>"
+
+
+def numbered(docs: DataFrame, first: Shipped, words: int) -> DataFrame:
+    """``docs`` with ``tokens``, the numbers of its tokens, instead of its text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _worker_words(first)
+        for rows, texts in _portions(batches, PORTION // 4):
+            flat = known.numbers(texts)
+            yield rows.drop(columns="text").assign(tokens=np.split(flat, np.cumsum(_lengths(texts))[:-1]))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return docs.mapInPandas(run, f"{schema}, tokens {_numbers(words)}" if schema else f"tokens {_numbers(words)}")
+
+
+def _runs(batches: Iterator[pd.DataFrame], tokens: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows with all their tokens and how many each has, about ``tokens`` at a time."""
+    for batch in batches:
+        lengths = np.fromiter(map(len, batch["tokens"]), np.int64, len(batch))
+        if not len(lengths):
+            continue
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // tokens, append=-1)) + 1
+        for start, stop in zip([0, *cuts[:-1]], cuts, strict=True):
+            part = batch.iloc[start:stop]
+            yield part, np.concatenate(part["tokens"].tolist()).astype(np.int64), lengths[start:stop]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(hash, n) of every word and of the end token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[bytes] = Counter()
-        for rows, words in _portions(batches, PORTION):
-            for own in words:
-                counts.update(own)
-            counts[END] += len(rows)
+        for _, words in _portions(batches, PORTION):
+            counts.update(chain.from_iterable(words))
             if len(counts) > 300_000:
                 yield frame(counts)
                 counts = Counter()
@@ -348,18 +405,18 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.concatenate([[first], gaps])), np.frombuffer(raw[middle:], np.uint8 if few else np.uint64).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, keys_of: Callable[[list[list[bytes]]], np.ndarray], cuts: np.ndarray) -> DataFrame:
-    """Sorted blocks (block, packed) of the keys of all texts, cut at ``cuts``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(cuts)  # a number for every BLOCK occurrences
+def count_grams(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], cuts: np.ndarray) -> DataFrame:
+    """Sorted blocks (block, packed) of the keys of all texts (tokens), cut at ``cuts``."""
+    shipped = texts.sparkSession.sparkContext.broadcast(cuts)  # a number for every BLOCK occurrences
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, words in _portions(batches, PORTION):
-            keys, counts = np.unique(keys_of(words), return_counts=True)
+        for _, tokens, lengths in _runs(batches, PORTION):
+            keys, counts = np.unique(keys_of(tokens, lengths), return_counts=True)
             at = np.searchsorted(keys, shipped.value)
             parts = [(i, k, c) for i, (k, c) in enumerate(zip(np.split(keys, at), np.split(counts, at), strict=True)) if len(k)]
             yield pd.DataFrame({"block": [p[0] for p in parts], "packed": [_packed(k, c) for _, k, c in parts]})
 
-    return docs.select("text").mapInPandas(run, "block long, packed binary")
+    return texts.select("tokens").mapInPandas(run, "block long, packed binary")
 
 
 def merge_grams(counted: DataFrame, width: int) -> DataFrame:
@@ -436,32 +493,28 @@ def _cuts(level: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
 @dataclass
 class TrieModel:
-    levels: list[Shipped]
+    levels: list[Shipped]  # none where nothing was learnt
     tokens: int
     words: int
     width: int = 1  # of the third level's numbers
 
 
-def _pair_keys(numbers: np.ndarray, before: np.ndarray, words: int) -> np.ndarray:
-    """Numbers of the bigrams (before, number) in the second level; -1 where a word is unknown."""
-    return np.where((numbers >= 0) & (before >= 0), before * (words + 2) + numbers + 1, -1)
-
-
-def _before(numbers: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-    """The token before each one; the end token stands before every text."""
-    out = np.concatenate([[end], numbers[:-1]])
-    out[np.cumsum(lengths) - lengths] = end
-    return out
-
-
 def _lengths(words: list[list[bytes]]) -> np.ndarray:
-    return np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return np.fromiter(map(len, words), np.int64, len(words))
 
 
 def _found(level: Level, keys: np.ndarray) -> np.ndarray:
     """Places of keys, which may repeat or be -1."""
-    own, back = np.unique(keys, return_inverse=True)
-    return level.find(own)[back]
+    out = np.full(len(keys), -1, np.int64)
+    asked = np.flatnonzero(keys >= 0)
+    own, back = np.unique(keys[asked], return_inverse=True)
+    out[asked] = level.find(own)[back]
+    return out
+
+
+def _pair_keys(numbers: np.ndarray, before: np.ndarray, words: int) -> np.ndarray:
+    """Numbers of the bigrams (before, number) in the second level; -1 where a word is unknown."""
+    return np.where((numbers >= 0) & (before >= 0), before * (words + 2) + numbers + 1, -1)
 
 
 def _triple_keys(pairs: np.ndarray, heads: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
@@ -474,83 +527,109 @@ def _triple_keys(pairs: np.ndarray, heads: np.ndarray, lengths: np.ndarray, widt
     return np.where(first >= 0, first * width + np.where(pairs >= 0, pairs - heads, width - 1), -1)
 
 
+def _before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The token before each one; the end token, each text's last one, stands before every text."""
+    out = np.concatenate([[0], tokens[:-1]])
+    ends = np.cumsum(lengths)
+    out[ends - lengths] = tokens[ends - 1]
+    return out
+
+
+def _pairs(second: Level, tokens: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: the place of its bigram (-1: not kept) and of its context's own entry; the distinct tokens, and which one each is."""
+    own, which = np.unique(tokens, return_inverse=True)
+    entry = np.full(len(own), -1, np.int64)
+    known = np.flatnonzero(own >= 0)
+    entry[known] = second.find(own[known] * (words + 2))
+    heads = _before(entry[which], lengths)
+    return _found(second, np.where(heads >= 0, _pair_keys(tokens, _before(tokens, lengths), words), -1)), heads, own, which
+
+
 def learn(docs: DataFrame) -> TrieModel:
     """The model of all texts of ``docs``."""
-    docs = docs.select("text")
-    counted = materialize(count_words(docs), "trie-words")
+    return _learn(docs, F.lit(False))[0]
+
+
+def _learn(docs: DataFrame, held_out: Column) -> tuple[TrieModel, DataFrame]:
+    """The model of the texts that aren't held out, and all documents (doc_id, held_out, tokens) by the model's numbers."""
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    counted = materialize(count_words(rows.where("NOT held_out")), "trie-words")
     total = counted.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     words, tokens = total["v"], total["n"]
-    if not words:
-        return TrieModel([], 0, 0)
     first = materialize(word_level(counted, words), "trie-level-1")
     one = _ship(first, "level-1")
-    width = words + 2
-
-    def pairs_of(texts: list[list[bytes]]) -> np.ndarray:
-        known = _worker_words(one.name, tuple(one.files))
-        numbers = known.numbers(texts)
-        return _pair_keys(numbers, _before(numbers, _lengths(texts), known[END]), words)
-
-    cuts, _ = _cuts(first, width)
-    merged = materialize(merge_grams(count_grams(docs, pairs_of, cuts), width), "trie-bigrams")
+    table = materialize(numbered(rows, one, words), "trie-tokens", "zstd")
+    if not words:
+        return TrieModel([], 0, 0), table
+    texts, width = table.where("NOT held_out"), words + 2
+    merged = materialize(merge_grams(count_grams(texts, lambda t, n: _pair_keys(t, _before(t, n), words), _cuts(first, width)[0]), width), "trie-bigrams")
     second, widest = gram_level(merged, width)
     second = materialize(second, "trie-level-2")
-    two = _ship(second, "level-2")
-    wide = widest + 2
-
-    def triples_of(texts: list[list[bytes]]) -> np.ndarray:
-        known, level = _worker_words(one.name, tuple(one.files)), open_level(two)
-        numbers, lengths = known.numbers(texts), _lengths(texts)
-        before = _before(numbers, lengths, known[END])
-        pairs = _found(level, _pair_keys(numbers, before, words))
-        keys = _triple_keys(pairs, _found(level, before * width), lengths, wide)
+    two, wide = _ship(second, "level-2"), widest + 2
+
+    def triples(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        keys = _triple_keys(*_pairs(open_level(two), t, n, words)[:2], n, wide)
         return keys[keys >= 0]
 
-    cuts, _ = _cuts(second, wide)
-    merged = materialize(merge_grams(count_grams(docs, triples_of, cuts), wide), "trie-trigrams")
+    merged = materialize(merge_grams(count_grams(texts, triples, _cuts(second, wide)[0]), wide), "trie-trigrams")
     third = materialize(gram_level(merged, wide)[0], "trie-level-3")
-    return TrieModel([one, two, _ship(third, "level-3")], tokens, words, wide)
-
-
-@functools.lru_cache(maxsize=1)
-def _worker_words(name: str, files: tuple[str, ...]) -> Words:
-    return Words(_open_level(name, files))
+    return TrieModel([one, two, _ship(third, "level-3")], tokens, words, wide), table
 
 
-def score_words(model: TrieModel, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_tokens(model: TrieModel, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: known tokens, base score and score."""
-    lengths = _lengths(texts)
-    starts = np.cumsum(lengths) - lengths
     if not model.levels:
-        return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+        return np.zeros(len(lengths), np.int64), np.zeros(len(lengths)), np.zeros(len(lengths))
     one, two, three = map(open_level, model.levels)
-    known = _worker_words(model.levels[0].name, tuple(model.levels[0].files))
-    numbers, width = known.numbers(texts), model.words + 2
-    count = np.where(numbers >= 0, one.counts(np.maximum(numbers, 0)), 0)
+    pairs, heads, own, which = _pairs(two, tokens, lengths, model.words)
+    known = np.flatnonzero(own >= 0)
+    count = np.zeros(len(own), np.int64)
+    count[known] = one.counts(own[known])
+    count = count[which]
     base = (count + 0.1) / (model.tokens + 0.1 * (model.words + 1))
-    before = _before(numbers, lengths, known[END])
-    pairs = _found(two, _pair_keys(numbers, before, model.words))
-    heads = _found(two, np.where(before >= 0, before * width, -1))
 
     def over(level: Level, at: np.ndarray, missing: float) -> np.ndarray:
-        return np.where(at >= 0, level.shares(np.maximum(at, 0)), missing) if level.count else np.full(len(at), missing)
+        out = np.full(len(at), missing)
+        held = np.flatnonzero(at >= 0)
+        out[held] = level.shares(at[held])
+        return out
 
     p = over(two, pairs, 0.0) + over(two, heads, 1.0) * base
     keys = _triple_keys(pairs, heads, lengths, model.width)
-    context = np.where(keys >= 0, keys // model.width * model.width, -1)
-    p = over(three, _found(three, keys), 0.0) + over(three, _found(three, context), 1.0) * p
+    asked = np.flatnonzero(keys >= 0)
+    own, which = np.unique(keys[asked], return_inverse=True)
+    context, of = np.unique(own // model.width, return_inverse=True)
+    context = three.find(context * model.width)[of]
+    triples = np.full(len(own), -1, np.int64)
+    held = np.flatnonzero((context >= 0) & (own % model.width != model.width - 1))
+    triples[held] = three.find(own[held])
+    p[asked] = over(three, triples, 0.0)[which] + over(three, context, 1.0)[which] * p[asked]
+    starts = np.cumsum(lengths) - lengths
     add = lambda x: np.add.reduceat(x, starts)
     return add((count > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(np.minimum(p, 1.0)))
 
 
-def score(docs: DataFrame, model: TrieModel, held_out: Column | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-
+def _scores(table: DataFrame, model: TrieModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, words in _portions(batches, PORTION // 4):
-            known, base, full = score_words(model, words)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": _lengths(words), "n_known": known, "train_tokens": model.tokens, "base_score": base, "score": full})
+        for rows, tokens, lengths in _runs(batches, PORTION // 2):
+            known, base, full = score_tokens(model, tokens, lengths)
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": lengths, "n_known": known, "train_tokens": model.tokens, "base_score": base, "score": full})
+
+    kind = table.schema["doc_id"].dataType.simpleString()
+    return table.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, model: TrieModel) -> DataFrame:
+    """doc_id, held_out (false), n_tokens, n_known, train_tokens, base_score, score of every document."""
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    if not model.levels:
+        lengths = rows.select("doc_id", "held_out", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("n_tokens"))
+        zero = F.lit(0.0)
+        return lengths.select("*", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
+    return _scores(numbered(rows, model.levels[0], model.words), model)
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (held_out if held_out is not None else F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
+    """The scores of all documents by the model of those that aren't held out; words are looked up once for both."""
+    model, table = _learn(docs, held_out)
+    return _scores(table, model)

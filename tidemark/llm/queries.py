@@ -32,8 +32,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), held_out(10, 0)
-    return ngram_trie.score(docs, ngram_trie.learn(docs.where(~held)), held)
+    return ngram_trie.learn_and_score(table(spark, sf_dir, "documents"), held_out(10, 0))
 
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
