@@ -112,19 +112,28 @@ class Merges:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has."""
-        parts: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= WIDE]
-        short.sort(key=lambda i: len(words[i]))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero((size > 0) & (size <= WIDE))
+        short = short[np.argsort(size[short], kind="stable")]
+        order, parts, lengths = [], [], []
         for at in range(0, len(short), 8192):
             chosen = short[at : at + 8192]
-            for i, ids in zip(chosen, self._merge_together([words[i] for i in chosen]), strict=True):
-                parts[i] = ids
-        for i, w in enumerate(words):
-            if len(w) > WIDE:
-                parts[i] = self._merge_long(w)
-        return (np.concatenate(parts) if parts else np.empty(0, np.int32)), np.fromiter(map(len, parts), np.int64, len(parts))
-
-    def _merge_together(self, words: list[bytes]) -> list[np.ndarray]:
+            ids, length = self._merge_together([words[i] for i in chosen.tolist()])
+            order.append(chosen)
+            parts.append(ids)
+            lengths.append(length)
+        for i in np.flatnonzero(size > WIDE).tolist():
+            parts.append(self._merge_long(words[i]))
+            order.append([i])
+            lengths.append([len(parts[-1])])
+        if not parts:
+            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
+        done, own = np.concatenate(order), np.concatenate(lengths)
+        length, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        length[done], start[done] = own, np.cumsum(own) - own
+        return np.concatenate(parts)[gather(start, length)], length
+
+    def _merge_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         length = np.fromiter(map(len, words), np.int64, len(words))
         width = int(length.max())
         held = np.arange(width) < length[:, None]
@@ -155,7 +164,7 @@ class Merges:
             ranks[rows, at] = np.where(at + 1 < n, self.rank(ids[rows, at], ids[rows, np.minimum(at + 1, width - 1)]), NO_RANK)
             before = np.flatnonzero(at > 0)
             ranks[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], ids[before, at[before]])
-        return [row[:k] for row, k in zip(done, count.tolist(), strict=True)]
+        return done[columns < count[:, None]], count
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The same merges for one long word, by a queue of pairs in the order of rank and place."""

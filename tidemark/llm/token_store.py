@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ SEEN = 200_000  # digests that a task remembers so as not to pass on a chunk twi
 
 # Fixed value: the pattern that cuts a normalised text into words of the vocabulary.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+PIECE_OR_LINE = regex.compile(PIECE.pattern + r"|\n")
+ASCII_PIECE_OR_LINE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+|\n")
 WORD_END = "</w>"
 
 _ODD = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
@@ -54,54 +58,84 @@ def normalized(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+class Numbers(dict):
+    """word -> number, in the order in which words are first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 class WordEncoder:
-    """Encodes texts word by word; what stands between ASCII white space is looked up or merged once."""
+    """Encodes texts word by word; what stands between ASCII white space is looked up or merged once.
+
+    Fresh words are normalised and cut together, a line each; their pieces are merged together as well.
+    """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.merges, self.limit = Merges(path, WORD_END), limit
         self.specials = regex.compile("|".join(map(regex.escape, self.merges.special)))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.start, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-
-    def _pieces(self, word: bytes) -> list[str | int]:
-        """Vocabulary words (and ids of special tokens) of one word."""
-        text, out, at = word.decode("utf-8", "surrogatepass"), [], 0
-        for hit in self.specials.finditer(text) if b"<|" in word else ():
-            out += [*PIECE.findall(normalized(text[at : hit.start()])), self.merges.special[hit[0]]]
-            at = hit.end()
-        return out + PIECE.findall(normalized(text[at:]))
-
-    def learn(self, fresh: list[bytes]) -> None:
-        pieces = [self._pieces(w) for w in fresh]
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in pieces for p in ps if isinstance(p, str)))}
-        ids, length = self.merges.merge([p.encode("utf-8", "surrogatepass") for p in distinct])
+        # row 0 of the pieces is the line end, which has no ids; then the special tokens
         special = sorted(self.merges.special.values())
-        start = np.concatenate([np.cumsum(length) - length, len(ids) + np.arange(len(special))]).astype(np.int64)
-        length = np.concatenate([length, np.ones(len(special), np.int64)])
-        ids = np.concatenate([ids, np.array(special, np.int32)])
-        row = distinct | {i: len(distinct) + at for at, i in enumerate(special)}
-        flat = np.fromiter((row[p] for ps in pieces for p in ps), np.int64)
-        ends = np.concatenate([[0], np.cumsum(length[flat])])
-        sizes = np.cumsum([0, *map(len, pieces)])
-        own = np.diff(ends[sizes])
-        self.known.update(zip(fresh, range(len(self.start), len(self.start) + len(fresh)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(own) - own])
-        self.length = np.concatenate([self.length, own])
-        self.ids = np.concatenate([self.ids, ids[gather(start[flat], length[flat])]])
+        self.pieces: dict[str | int, int] = {"\n": 0} | {i: row + 1 for row, i in enumerate(special)}
+        self.piece_start = np.concatenate([[0], np.arange(len(special))])
+        self.piece_length = np.concatenate([[0], np.ones(len(special), np.int64)])
+        self.piece_ids = np.array(special, np.int32)
+
+    def _with_specials(self, word: str) -> list[str | int]:
+        """Pieces (and ids of special tokens) of a word that may hold special tokens."""
+        out: list[str | int] = []
+        at = 0
+        for hit in self.specials.finditer(word):
+            out += [*PIECE.findall(normalized(word[at : hit.start()])), self.merges.special[hit[0]]]
+            at = hit.end()
+        return out + PIECE.findall(normalized(word[at:]))
+
+    def _cut(self, words: list[bytes], pattern: re.Pattern | regex.Pattern) -> list[str | int]:
+        """Pieces of all words, each word closed by a line end."""
+        raw = b"\n".join([*words, b""]) if words else b""
+        text = raw.decode("utf-8", "surrogatepass")
+        if b"<|" in raw:
+            return [p for line in text.split("\n")[:-1] for p in (*self._with_specials(line), "\n")]
+        return pattern.findall(normalized(text))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        plain = [w.isascii() for w in fresh]
+        found = self._cut([w for w, p in zip(fresh, plain, strict=True) if p], ASCII_PIECE_OR_LINE)
+        found += self._cut([w for w, p in zip(fresh, plain, strict=True) if not p], PIECE_OR_LINE)
+        new = [p for p in dict.fromkeys(found) if p not in self.pieces]
+        ids, length = self.merges.merge([p.encode("utf-8", "surrogatepass") for p in new])
+        self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
+        self.piece_start = np.concatenate([self.piece_start, len(self.piece_ids) + np.cumsum(length) - length])
+        self.piece_length, self.piece_ids = np.concatenate([self.piece_length, length]), np.concatenate([self.piece_ids, ids])
+        rows = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        own = np.diff(np.concatenate([[0], np.cumsum(self.piece_length[rows])[rows == 0]]))
+        start = len(self.ids) + np.cumsum(own) - own
+        back = np.argsort(np.argsort(~np.array(plain), kind="stable"), kind="stable")  # the ASCII ones were cut first
+        self.start, self.length = np.concatenate([self.start, start[back]]), np.concatenate([self.length, own[back]])
+        self.ids = np.concatenate([self.ids, self.piece_ids[gather(self.piece_start[rows], self.piece_length[rows])]])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         if len(self.known) > self.limit:
             self.forget()
         words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        known = self.known
-        if fresh := list(dict.fromkeys(w for ws in words for w in ws if w not in known)):
-            self.learn(fresh)
-        rows = np.fromiter((known[w] for ws in words for w in ws), np.int64)
-        counts = np.concatenate([[0], np.cumsum(self.length[rows])])[np.cumsum([0, *map(len, words)])]
+        sizes = np.cumsum([0, *map(len, words)])
+        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes[-1]))
+        fresh, self.known.fresh = self.known.fresh, []
+        if fresh:
+            self._learn(fresh)
+        counts = np.concatenate([[0], np.cumsum(self.length[rows])])[sizes]
         return self.ids[gather(self.start[rows], self.length[rows])], np.diff(counts)
 
 
