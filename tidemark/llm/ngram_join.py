@@ -8,9 +8,9 @@ The first fragment goes first, with hashes cut to 32 bits: what it leaves possib
 only pairs that can still be near enough are counted in full.
 
 Documents with the same set are one node. Links are found in two rounds, so that a large group of near
-copies isn't compared pair by pair: first every node of a shingle is held against the shingle's first node,
-and what is linked so far forms components; then only nodes of different components that share a shingle
-are compared. A link inside a component can't change it, so none that matters is lost.
+copies isn't compared pair by pair: first every node is held against two others, of those that are the first
+node of a shingle it has: the one that is so most often and the least one; what is linked so far forms
+components; then only nodes of different components that share a shingle are compared. A link inside a component can't change it, so none that matters is lost.
 
 Which shingles are frequent is found by lossy counting and kept to ``FREQUENT`` of them; this order decides
 how many candidates there are, never which links are found.
@@ -35,7 +35,7 @@ from tidemark.llm.common import materialize, mix
 from tidemark.llm.components import components
 
 WORDS = 5
-FREQUENT = 250_000
+FREQUENT = 600_000
 FRAGMENTS = 6
 #: Rows of (doc_id) that may be broadcast, 16 MB; beyond it Spark joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -285,10 +285,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     shared = all_postings.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     live = materialize(all_postings.join(shared.drop("last"), "shingle").dropDuplicates(["shingle", "node"]), "ngram-postings")
 
-    # first round: each node against the first node of its shingles
+    # first round: each node against the first nodes of its shingles, two at most
     leaders = live.where("node = leader").select("shingle", "n", "place").alias("x")
-    first = live.where("node <> leader").alias("y").join(leaders, "shingle").where(may_link("x", "y"))
-    first = materialize(first.select(F.col("leader").alias("a"), F.col("y.node").alias("b")).distinct(), "ngram-pairs")
+    met = live.where("node <> leader").alias("y").join(leaders, "shingle").where(may_link("x", "y"))
+    met = met.groupBy(F.col("leader"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    chosen = met.groupBy("b").agg(F.max_by("leader", F.struct("times", "leader")).alias("usual"), F.min("leader").alias("least"))
+    first = chosen.select("b", F.explode(F.array_distinct(F.array("usual", "least"))).alias("a")).select("a", "b")
+    first = materialize(first, "ngram-pairs")
     links = materialize(linked(first, docs, nodes, heads), "ngram-links")
     roots = components(links)
 
