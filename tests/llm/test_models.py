@@ -192,3 +192,21 @@ def test_mixing_meets_targets(spark, documents, nothing):
     assert mixing.rates(odd, mix).count() == documents.count() and mixing.resample(documents, mix).columns == documents.columns
     empty = mixing.measured(nothing, "lang")
     assert mixing.rates(empty, mixing.fit(empty, mixing.learn_domains(empty))).count() == 0
+
+
+def test_mixing_by_power_takes_no_document_away(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, EN + DE if i % 3 else EN, 40), "mixed" if i % 3 else ("en" if i % 2 else "en2")) for i in range(400)]  # domains overlap
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = mixing.measured(docs, "lang")
+    mix = mixing.fit(measured, mixing.learn_domains(measured), power=0.3)
+    got = mixing.rates(measured, mix)
+    assert got.where("rate < 1").count() == 0 and got.where("rate > 1.01").count() > 0
+    assert {r["doc_id"] for r in mixing.resample(docs, mix).select("doc_id").collect()} == set(range(400))
+    # the totals that fit has counted are those of the rates
+    size = len(mix.targets)
+    sums = got.select(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[k]).alias(str(k)) for k in range(size))).first()
+    before = got.select(*(F.sum(F.col("n_tokens") * F.col("posterior")[k]).alias(str(k)) for k in range(size))).first()
+    assert np.allclose(list(sums), mix.totals, rtol=1e-6)
+    gap = lambda x: ((np.array(list(x)) - mix.targets) ** 2).sum()
+    assert gap(sums) < gap(before)

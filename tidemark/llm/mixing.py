@@ -3,10 +3,10 @@
 A naive Bayes classifier over the counts of some short strings (``STRINGS``), learnt from a labelled table,
 gives every document a posterior over domains; it is tempered to ``EVIDENCE`` occurrences, since those of
 one text are not independent. Counts are taken once from every text and written as a table of numbers,
-from which all passes read. Each document then gets a rate r >= 0 such that the expected tokens of every domain,
+from which all passes read. Each document then gets a rate r >= 0 (r >= 1 where no document may be lost) such that the expected tokens of every domain,
 sum(tokens * posterior * rate), come near their targets. The rates start at 1 and follow the projected
 gradient of the squared error. Its steps are scaled by the inverse of the weighted Gram matrix of the
-posteriors of documents whose rate is above 0. A step is one vector with a number per domain, so a rate
+posteriors of documents whose rate is above its bound; where such a step doesn't help, the plain gradient is taken. A step is one vector with a number per domain, so a rate
 is an expression of the document's own columns: every pass is one aggregation with one row per task, and
 no table of rates is joined.
 
@@ -85,25 +85,26 @@ class Mix:
     targets: list[float]
     steps: list[list[float]]
     totals: list[float]
+    least: float = 0.0
 
     def rate(self, posterior: Column) -> Column:
-        return rate_after(self.steps, posterior)
+        return rate_after(self.steps, posterior, self.least)
 
 
-def rate_after(steps: list[list[float]], posterior: Column) -> Column:
-    """The rate after some steps: each one takes posterior * step off, not below 0."""
+def rate_after(steps: list[list[float]], posterior: Column, least: float = 0.0) -> Column:
+    """The rate after some steps: each one takes posterior * step off, not below ``least``."""
     rate = F.lit(1.0)
     for step in steps:
         change = sum((posterior[k] * F.lit(g) for k, g in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - change)
+        rate = F.greatest(F.lit(least), rate - change)
     return rate
 
 
-def _state(soft: DataFrame, steps: list[list[float]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens by domain at the present rates, and the Gram matrix of documents with a rate above 0."""
+def _state(soft: DataFrame, steps: list[list[float]], size: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens by domain at the present rates, and the Gram matrix of documents with a rate above ``least`` (of all before the first step)."""
     p, t = F.col("p"), F.col("tokens").cast("double")
-    rated = soft.withColumn("rate", rate_after(steps, p))
-    on = F.when(F.col("rate") > 0, t).otherwise(0.0)
+    rated = soft.withColumn("rate", rate_after(steps, p, least))
+    on = F.when(F.col("rate") > least, t).otherwise(0.0) if steps else t
     totals = [F.sum(t * F.col("rate") * p[i]).alias(f"t{i}") for i in range(size)]
     gram = [F.sum(on * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)]
     row = rated.agg(*totals, *gram).first()
@@ -125,32 +126,38 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
     """Rates that bring the expected tokens of the domains to their targets; ``docs`` as :func:`measured` gives it.
 
     ``weights``: share of each domain in today's total (equal ones if none are given). ``power``: instead,
-    shares in proportion to today's expected tokens to this power, of a total that takes nothing away.
+    shares in proportion to today's expected tokens to this power, of a total that takes nothing away; no rate
+    is below 1 then, and a domain that overlaps with raised ones may end above its target.
     """
     size = len(domains.names)
     if not size:
         return Mix(domains, [], [], [])
     soft = materialize(docs.select(F.col("n_tokens").alias("tokens"), domains.posterior(F.col("counts")).alias("p")), "mixing-posteriors")
     steps: list[list[float]] = []
-    totals, gram = _state(soft, steps, size)
+    least = 0.0 if power is None else 1.0
+    totals, gram = _state(soft, steps, size, least)
+    bound = max(np.trace(gram), 1e-12)  # of the whole Gram matrix' eigenvalues
     if power is not None:
         targets = tempered_targets(totals, power)
     else:
         shares = np.array([(weights or {}).get(d, 0.0) if weights else 1.0 for d in domains.names])
         targets = totals.sum() * shares / max(shares.sum(), 1e-12)
     error = lambda x: float(((x - targets) ** 2).sum())
-    scale = 1.0
+    scale, plain = 1.0, False
     for _ in range(max_steps):
         if np.abs(totals - targets).max() <= tolerance * max(targets.max(), 1.0) or scale < 1e-3:
             break
         ridge = np.eye(size) * max(np.trace(gram), 1e-12) * 1e-9
-        step = (scale * np.linalg.solve(gram + ridge, totals - targets)).tolist()
-        after, gram_after = _state(soft, [*steps, step], size)
-        if error(after) < error(totals):
-            steps, totals, gram, scale = [*steps, step], after, gram_after, min(1.0, 2 * scale)
+        step = ((totals - targets) / bound if plain else scale * np.linalg.solve(gram + ridge, totals - targets)).tolist()
+        after, gram_after = _state(soft, [*steps, step], size, least)
+        if error(after) < error(totals) * (1 - tolerance if plain else 1):
+            steps, totals, gram, scale, plain = [*steps, step], after, gram_after, min(1.0, 2 * scale), False
+        elif plain:
+            break
         else:
             scale /= 2
-    return Mix(domains, targets.tolist(), steps, totals.tolist())
+            plain = scale < 0.2
+    return Mix(domains, targets.tolist(), steps, totals.tolist(), least)
 
 
 def rates(docs: DataFrame, mix: Mix) -> DataFrame:
