@@ -210,3 +210,19 @@ def test_mixing_by_power_takes_no_document_away(spark):
     assert np.allclose(list(sums), mix.totals, rtol=1e-6)
     gap = lambda x: ((np.array(list(x)) - mix.targets) ** 2).sum()
     assert gap(sums) < gap(before)
+
+
+RU = "и в не на что он как это по но они мы все она так его было только быть есть".split()
+UK = "і в не на що він як це по але вони ми всі вона так його було тільки бути є".split()
+
+
+@pytest.mark.parametrize("domains", [{"en": EN, "ru": RU, "uk": UK}, {"zh": list("的一是不了人我在有他这中大来上"), "ja": list("のにはをたがでてとしれさある日本"), "en": EN}, {"news": EN[:12] + ["minister", "election"], "code": EN[:12] + ["return", "import"]}])
+def test_mixing_tells_any_domains_apart(spark, domains):
+    """Other scripts, scripts without blanks, and domains of one language: what is learnt from some rows holds for others."""
+    rng = random.Random(3)
+    unspaced = ("zh", "ja")
+    rows = [(i, ("" if n in unspaced else " ").join(rng.choice(w) for _ in range(60)), n) for i in range(150) for n, w in [list(domains.items())[i % len(domains)]]]
+    docs = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
+    learnt = mixing.learn_domains(docs.where("doc_id % 4 < 2"))
+    got = mixing.rates(docs.where("doc_id % 4 >= 2"), mixing.fit(docs, learnt)).select("doc_id", "domain").collect()
+    assert got and all(r["domain"] == rows[r["doc_id"]][2] for r in got)

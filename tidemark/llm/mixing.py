@@ -1,9 +1,9 @@
 """Mixing by soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over the counts of some short strings (``STRINGS``), learnt from a labelled table,
-gives every document a posterior over domains; it is tempered to ``EVIDENCE`` occurrences, since those of
-one text are not independent. Counts are taken once from every text and written as a table of numbers,
-from which all passes read. Each document then gets a rate r >= 0 (r >= 1 where no document may be lost) such that the expected tokens of every domain,
+A naive Bayes classifier over words, learnt from all rows of a labelled table, gives every document a
+posterior over domains; it is tempered to ``EVIDENCE`` words, since those of one text are not independent.
+Words are known by a hash into ``BUCKETS`` numbers; in scripts written without blanks every character is a
+word. The numbers are taken once from every text and written as a table, from which all passes read. Each document then gets a rate r >= 0 (r >= 1 where no document may be lost) such that the expected tokens of every domain,
 sum(tokens * posterior * rate), come near their targets. The rates start at 1 and follow the projected
 gradient of the squared error. Its steps are scaled by the inverse of the weighted Gram matrix of the
 posteriors of documents whose rate is above its bound; where such a step doesn't help, the plain gradient is taken. A step is one vector with a number per domain, so a rate
@@ -26,16 +26,23 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, whole_text
 
-#: What is counted to tell domains apart: strings that languages of Latin script hold in different measure.
-STRINGS = ("th", "w", "k", "ch", "qu", "ou", "ll", "ei", "wh", "ci", "é", "è", "ñ", "ó", "ä", "ß")
+#: Words are hashed into so many numbers; by domain each has a weight.
+BUCKETS = 4096
+#: A character of a script written without blanks between words.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\x{20000}-\x{3FFFF}]"
 EVIDENCE = 60.0
 STEPS = 25
 
 
-def string_counts(lower: Column, strings: tuple[str, ...] = STRINGS) -> Column:
-    """How often each string is in the lower-cased text."""
-    size = F.octet_length(lower)
-    return F.array(*(((size - F.octet_length(F.replace(lower, F.lit(x), F.lit("")))) / len(x.encode())).cast("int") for x in strings))
+def split_words(lower: Column) -> Column:
+    """Words of the lower-cased text."""
+    spaced = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, UNSPACED, " $0 ")).otherwise(lower)
+    bare = F.btrim(spaced, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+
+
+def word_buckets(words: Column) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
 def token_count(text: Column) -> Column:
@@ -44,39 +51,49 @@ def token_count(text: Column) -> Column:
 
 @dataclass
 class Domains:
-    """Names, prior logarithms and, by domain and string, logarithms of the strings' shares."""
+    """Names, prior logarithms and, by domain and bucket, logarithms of the buckets' shares."""
 
     names: list[str]
     prior: list[float]
     shares: list[list[float]]
 
-    def posterior(self, counts: Column) -> Column:
-        """Array of the domains' posteriors, from counts of strings."""
-
-        def dot(weights: list[float]) -> Column:
-            return F.aggregate(F.zip_with(counts, F.array(*map(F.lit, weights)), lambda c, w: c * w), F.lit(0.0), lambda a, b: a + b)
-
-        total = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
-        temper = F.when(total > EVIDENCE, EVIDENCE / total).otherwise(F.lit(1.0))
-        logs = F.array(*(F.lit(p) + temper * dot(w) for p, w in zip(self.prior, self.shares, strict=True)))
-        shares = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-        return F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
+    def posteriors(self, rows: DataFrame, row: str, words: str) -> DataFrame:
+        """Columns of ``rows`` but for the buckets ``words``, and p, the domains' posteriors; ``row`` is another number in each row."""
+        others = [c for c in rows.columns if c != words]
+        assert row in others
+        each = rows.select(*others, F.explode_outer(words).alias("_w"))
+        dots = []
+        for k, weights in enumerate(self.shares):
+            known = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # becomes one literal
+            dots.append(F.coalesce(F.sum(F.get(known, F.col("_w"))), F.lit(0.0)).alias(f"_d{k}"))
+        g = each.groupBy(*others).agg(F.count("_w").alias("_n"), *dots)
+        temper = F.when(F.col("_n") > EVIDENCE, EVIDENCE / F.col("_n")).otherwise(F.lit(1.0))
+        g = g.withColumn("_l", F.array(*(F.lit(p) + temper * F.col(f"_d{k}") for k, p in enumerate(self.prior))))
+        g = g.withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
+        return g.select(*others, F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
 def measured(docs: DataFrame, domain: str) -> DataFrame:
-    """doc_id, domain (as text), n_tokens and counts of every document, written as a table."""
+    """row (a number), doc_id, domain (as text), n_tokens and words (their buckets) of every document, written as a table."""
     text = whole_text()
-    rows = docs.select("doc_id", F.col(domain).cast("string").alias("domain"), token_count(text).alias("n_tokens"), F.lower(text).alias("lower"))
-    return materialize(rows.select("doc_id", "domain", "n_tokens", string_counts(F.col("lower")).alias("counts")), "mixing-counts")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(domain).cast("string").alias("domain"), text.alias("text"), F.lower(text).alias("lower"))
+    rows = rows.withColumn("words", split_words(F.col("lower")))
+    # where no character is a word of its own, words are tokens
+    n = F.when(F.col("lower").rlike(UNSPACED), token_count(F.col("text"))).otherwise(F.size("words").cast("long"))
+    return materialize(rows.select("row", "doc_id", "domain", n.alias("n_tokens"), word_buckets(F.col("words")).alias("words")), "mixing-words")
 
 
 def learn_domains(labelled: DataFrame) -> Domains:
-    """Shares of the strings in each domain over all rows of the labelled table, as :func:`measured` gives it."""
-    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(STRINGS))]
-    found = labelled.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("domain").collect()
-    counts = np.array([[r[f"c{i}"] for i in range(len(STRINGS))] for r in found], float).reshape(len(found), len(STRINGS)) + 0.5
+    """Shares of the buckets in each domain over all rows of the labelled table, as :func:`measured` gives it."""
+    known = labelled.where(F.col("domain").isNotNull())
+    found = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()
+    place = {r["domain"]: i for i, r in enumerate(found)}
+    counts = np.full((len(found), BUCKETS), 0.5)
+    each = known.select("domain", F.explode("words").alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    for r in each.toLocalIterator():  # BUCKETS rows a domain at most
+        counts[place[r["domain"]], r["bucket"]] += r["n"]
     n = np.array([r["n"] for r in found], float)
-    return Domains([r["domain"] for r in found], np.log(n / n.sum()).tolist(), np.log(counts / counts.sum(axis=1, keepdims=True)).tolist())
+    return Domains([r["domain"] for r in found], np.log(n / n.sum()).tolist(), np.log(counts / counts.sum(axis=1, keepdims=True)).round(6).tolist())
 
 
 @dataclass
@@ -132,7 +149,7 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
     size = len(domains.names)
     if not size:
         return Mix(domains, [], [], [])
-    soft = materialize(docs.select(F.col("n_tokens").alias("tokens"), domains.posterior(F.col("counts")).alias("p")), "mixing-posteriors")
+    soft = materialize(domains.posteriors(docs.select("row", F.col("n_tokens").alias("tokens"), "words"), "row", "words").select("tokens", "p"), "mixing-posteriors")
     steps: list[list[float]] = []
     least = 0.0 if power is None else 1.0
     totals, gram = _state(soft, steps, size, least)
@@ -162,10 +179,10 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
 
 def rates(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, n_tokens, domain (likeliest), posterior, rate of every document that :func:`measured` gives."""
-    rows = docs.select("doc_id", "n_tokens", "counts")
+    rows = docs.select("row", "doc_id", "n_tokens", "words")
     if not mix.domains.names:
         return rows.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
-    rows = rows.select("doc_id", "n_tokens", mix.domains.posterior(F.col("counts")).alias("posterior"))
+    rows = mix.domains.posteriors(rows, "row", "words").select("doc_id", "n_tokens", F.col("p").alias("posterior"))
     names = F.array(*map(F.lit, mix.domains.names))
     likeliest = names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
     return rows.select("doc_id", "n_tokens", likeliest.alias("domain"), "posterior", mix.rate(F.col("posterior")).alias("rate"))
@@ -175,10 +192,12 @@ def resample(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more where a hash of doc_id is below the rest."""
     if not mix.domains.names:
         return docs
-    lower, rate, copies, counts, posterior = (f"__{x}" for x in ("lower", "rate", "copies", "counts", "posterior"))
-    rows = docs.withColumn(lower, F.lower(whole_text())).withColumn(counts, string_counts(F.col(lower)))
-    rows = rows.withColumn(posterior, mix.domains.posterior(F.col(counts)))
-    rows = rows.withColumn(rate, F.round(mix.rate(F.col(posterior)), 9))  # a sum of doubles may end just below a whole number
+    row, rate, copies, words = (f"__{x}" for x in ("row", "rate", "copies", "words"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
+    counted = rows.select(row, F.lower(whole_text()).alias(words)).withColumn(words, word_buckets(split_words(F.col(words))))
+    rated = mix.domains.posteriors(counted, row, words)
+    rated = rated.select(row, F.round(mix.rate(F.col("p")), 9).alias(rate))  # a sum of doubles may end just below a whole number
+    rows = rows.join(rated, row)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     often = (F.floor(rate) + F.when(chance < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
     rows = rows.select(*(f"`{c}`" for c in docs.columns), F.explode(F.array_repeat(F.lit(0), often)).alias(copies))
