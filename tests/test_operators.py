@@ -142,3 +142,12 @@ def test_feed_messages(spark):
     body = {"id": "7", "symbol": "BTC/USD", "roundStartTime": 1_700_000_000_000, "tradeCutoffTime": 1_700_000_015_000, "startPrice": "50", "endPrice": "50001", "winSide": 2, "previousRoundResult": list("abcdefgh")}
     r = normalize_rounds(spark.createDataFrame([(json.dumps({"cmd": "round", "resp": body}),)], "message string")).first()
     assert (r["raw_direction"], r["start_price"], r["end_price"], r["earlier"], r["reject_reason"]) == ("DOWN", None, 50001.0, list("abcdef"), None)
+
+
+def test_atom_select_leaves_no_feature_out(spark):
+    from tidemark.plans import queries
+
+    sf_dir, keys = "/root/testdata/sf0.001", ["symbol", "us", "event_id"]
+    found = interactions.atoms(queries._outputs(spark, sf_dir), keys).groupBy(*keys).agg(F.count_distinct("atom").alias("n"))
+    rows = queries.atom_select(spark, sf_dir).join(found, keys).select(F.size("atoms").alias("kept"), "n").collect()
+    assert rows and max(r["n"] for r in rows) > 8 and all(r["kept"] == min(r["n"], interactions.MOST_ATOMS) for r in rows)

@@ -360,7 +360,7 @@ def atom_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def atom_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["symbol", "us", "event_id"]
-    return interactions.selected_atoms(interactions.atoms(_outputs(spark, sf_dir), keys), keys, 8)
+    return interactions.selected_atoms(interactions.atoms(_outputs(spark, sf_dir), keys), keys)
 
 
 # ---- reports over the other tables
