@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that driver and executors share; a local one only in local mode, where the session may name none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^-,]*(,\d+)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or _own_folder()).rstrip("/")
 
 
 @functools.cache
@@ -33,6 +37,15 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_text(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
     mark = _mark(now)
     while mark[0]:
-        now = materialize(_small_star(_large_star(now)), "star")
+        before, now = now, materialize(_small_star(_large_star(now)), "star")
+        discard(before)
         if (after := _mark(now)) == mark:
             break
         mark = after

@@ -1,113 +1,64 @@
 """N-gram Jaccard join of whole texts by vertical partitioning.
 
-A document's set holds its distinct five-word shingles. All shingles stand in one global order: those that
-many documents share come last, the others in the order of their hashes. Two sets that are similar enough
-share a shingle among the first few of both (their prefixes), which yields candidates. The order of hashes
-is cut into fragments; for the candidates, the overlap is counted in each fragment separately and summed.
-The first fragment goes first, with hashes cut to 32 bits: what it leaves possible is an upper bound, and
-only pairs that can still be near enough are counted in full.
+A document's set holds its distinct five-word shingles; documents with the same set are one node, named by
+the set's digest. No join below is by doc_id, so rows without an id, or different texts with one id, are rows like any other.
 
-Documents with the same set are one node. Links are found in two rounds, so that a large group of near
-copies isn't compared pair by pair: first every node is held against two others, of those that are the first
-node of a shingle it has: the one that is so most often and the least one; what is linked so far forms
-components; then only nodes of different components that share a shingle are compared. A link inside a component can't change it, so none that matters is lost.
+All shingles stand in one global order, by the number of nodes that hold them. The numbers are counted over all texts:
+every task sends 32 bits of a shingle to the bucket that the other bits name, with its node; a bucket
+gives back the shingles that two nodes or more hold. Shingles so frequent that they would overfill a bucket are
+found first, by lossy counts within tasks, and stand last. A node of which fewer than four fifths
+of the shingles are shared with any other can't be linked and is done with. The others post their first
+shingles in the order (the prefix); linked sets share one of these, which yields candidates. Shingles that
+exactly the same nodes post are one posting list.
 
-Which shingles are frequent is found by lossy counting and kept to ``FREQUENT`` of them; this order decides
-how many candidates there are, never which links are found.
+For candidates the order of hashes is cut into fragments; the overlap is counted in each fragment separately
+and summed per pair.
+
+A large group of near copies isn't compared pair by pair. In a round, every posting list has two leaders, and each node
+is held against at most two of them that aren't yet in its component. Rounds go on while they find links
+and much is left. Then, list by list, all that isn't in the list's largest component is
+compared with everything of another component: a link inside a component can't change it, so none that matters is lost.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; fewer than five words
 form one shingle; repeated rows share their set; columns other than doc_id and text are ignored; a null
-doc_id takes part in its component, whose id is the smallest that isn't null.
+doc_id takes part in its component, whose id is the smallest that isn't null. Words are known by 64-bit
+hashes and sets by 128 bits of a digest; two that differ are taken for equal with that chance.
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, mix
+from tidemark.llm.common import discard, materialize, whole_text
 from tidemark.llm.components import components
+from tidemark.llm.shingles import set_digest, shingle_sets, text_bytes
 
-WORDS = 5
-FREQUENT = 600_000
 FRAGMENTS = 6
-#: Rows of (doc_id) that may be broadcast, 16 MB; beyond it Spark joins by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Links need 5 * intersection >= 4 * union.
 P, Q = 4, 5
-_WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        each = np.full(n, base, np.uint64)
-        each[0] = 1
-        out.append(np.cumprod(each))
-    return out[0], out[1]
-
+#: A task looks at so many shingles at a time; those that ``SEEN`` of its nodes hold are reported.
+PORTION, SEEN = 2_000_000, 4
+#: Shingles reported so often or more go last in the order without being counted, ``FREQUENT`` of them at most.
+OFTEN, FREQUENT = 1_000, 100_000
+#: Shingles in one bucket of the count, and the least number of buckets.
+BUCKET, BUCKETS = 4_000_000, 24
+#: Rows of two numbers that may be broadcast, 16 MB; beyond it Spark joins by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Bits of the filter that says which texts are read again; one that lets more through costs time only.
+FILTER_BITS = 1 << 26
+#: Rounds with leaders at most, and rows per posting that the last comparison may take before another round is made.
+ROUNDS, REST = 12, 4
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words in bytes that end with a blank, and where each word begins.
 
-    A hash is the difference of two prefix sums of bytes times powers of a base, shifted back to the front.
-    """
-    edges = np.flatnonzero(np.diff(_BLANK[raw].view(np.int8), prepend=1))
-    first, last = edges[::2], edges[1::2]
-    powers, inverse = _powers(1 << max(22, len(raw).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * powers[: len(raw)])])
-    return mix((sums[last] - sums[first]) * inverse[first]), first
-
-
-def _windows(words: np.ndarray, n: int) -> np.ndarray:
-    total = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        total += words[i : len(words) - n + 1 + i] * _WEIGHTS[i]
-    return mix(total)
-
-
-def _distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return values[np.concatenate([[True], values[1:] != values[:-1]])]
-
-
-def shingle_sets(texts: list[str | None], chars: int = 1_000_000) -> Iterator[np.ndarray]:
-    """For each whole text the hashes of its distinct shingles, in ascending order."""
-    at = 0
-    while at < len(texts):
-        part, held = [], 0
-        while at < len(texts) and held < chars:
-            part.append((texts[at] or "").encode("utf-8", "surrogatepass"))
-            held += len(part[-1])
-            at += 1
-        words, first = word_hashes(np.frombuffer(b"\n".join([*part, b""]).lower(), np.uint8))
-        stops = np.searchsorted(first, np.cumsum([len(x) + 1 for x in part])).tolist()
-        whole = _windows(words, WORDS) if len(words) >= WORDS else words[:0]
-        start = 0
-        for stop in stops:
-            n = stop - start
-            yield _distinct(whole[start : stop - WORDS + 1] if n >= WORDS else _windows(words[start:stop], n)) if n else np.empty(0, np.uint64)
-            start = stop
-
-
-def node_of(hashes: np.ndarray) -> tuple[int, int]:
-    """Two numbers that name a set: 128 bits of a digest."""
-    digest = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), np.int64)
-    return int(digest[0]), int(digest[1])
+def prefix_length(n: int) -> int:
+    """How many first shingles of a set of n must hold one of any set that is linked with it."""
+    return n - -(-P * n // Q) + 1
 
 
 def cut_at(hashes: np.ndarray) -> np.ndarray:
@@ -115,111 +66,196 @@ def cut_at(hashes: np.ndarray) -> np.ndarray:
     return np.searchsorted(hashes, (np.arange(1, FRAGMENTS) * ((1 << 64) // FRAGMENTS)).astype(np.uint64))
 
 
-def survey(docs: DataFrame, seen: int = 2, portion: int = 2_000_000) -> DataFrame:
-    """A row (doc_id, n, node, more, head) per document, head being its first fragment at 32 bits, and rows
-    (shingle, count) of shingles met ``seen`` times or more among a portion of a task's texts."""
+def survey(docs: DataFrame) -> DataFrame:
+    """A row (doc_id, text_hash, n, node, more) per document, and rows (shingle, count) of shingles met ``SEEN`` times or more."""
+    kind = docs.select("doc_id").schema
+    schema = f"doc_id {kind['doc_id'].dataType.simpleString()}, text_hash long, n int, node long, more long, shingle long, count long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size, met = 0, set()
 
-        def often() -> pd.DataFrame:
-            values = np.concatenate(held)
-            values.sort()
-            at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            counts = np.diff(np.concatenate([at, [len(values)]]))
-            values, counts = values[at[counts >= seen]].view(np.int64), counts[counts >= seen]
-            return pd.DataFrame({"doc_id": None, "n": None, "node": None, "more": None, "head": None, "shingle": values, "count": counts})
+        def often(id_type: pa.DataType) -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, counts = values[counts >= SEEN].view(np.int64), counts[counts >= SEEN]
+            none = [pa.nulls(len(values), t) for t in (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(values), pa.array(counts)], names)
 
+        names = ["doc_id", "text_hash", "n", "node", "more", "shingle", "count"]
+        id_type = pa.int64()
         for batch in batches:
-            rows = []
-            for own in shingle_sets(batch["text"].tolist()):
-                head = np.unique(own[: cut_at(own)[0]].astype(np.uint32)).view(np.int32)
-                rows.append((len(own), *(node_of(own) if len(own) else (None, None)), head))
-                held.append(own)
-                size += len(own)
-                if size > portion:
-                    yield often()
-                    held, size = [], 0
-            out = pd.DataFrame(rows, columns=["n", "node", "more", "head"], dtype="object")
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.assign(shingle=None, count=None)
+            ids, rows = batch.column("doc_id"), len(batch)
+            id_type = ids.type
+            n, node, more = [], [], []
+            for own in shingle_sets(*text_bytes(batch.column("text"))):
+                name = set_digest(own) if len(own) else (None, None)
+                n.append(len(own))
+                node.append(name[0])
+                more.append(name[1])
+                if len(own) and name not in met:
+                    met.add(name)
+                    held.append(own)
+                    size += len(own)
+                if size > PORTION:
+                    yield often(id_type)
+                    held, size, met = [], 0, set()
+            found = [pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(more, pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), *found, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
         if held:
-            yield often()
+            yield often(id_type)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, node long, more long, head array<int>, shingle long, count long")
+    return docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-class Order:
-    """The global order: rank 0 for most shingles, a frequent one's count for it; then the hash."""
+class Frequent:
+    """The shingles that stand last, by their counts."""
 
     def __init__(self, shingles: np.ndarray, counts: np.ndarray):
-        by_hash = np.argsort(shingles)
-        self.known, self.count = shingles[by_hash], counts[by_hash]
+        self.known = np.sort(shingles)
+        rank = np.empty(len(shingles), np.int64)
+        rank[np.lexsort((shingles, counts))] = np.arange(len(shingles))
+        self.rank = rank[np.argsort(shingles)]
 
-    def first(self, hashes: np.ndarray, n: int) -> np.ndarray:
-        """The first n of an ascending set."""
-        own = hashes.view(np.int64)
+    def split(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of a set that aren't frequent, and the ranks of the others in ascending order."""
         if not len(self.known):
-            return own[:n]
-        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-        hit = self.known[at] == own
-        rare = own[~hit][:n]
-        if len(rare) == n:
-            return rare
-        often, count = own[hit], self.count[at[hit]]
-        return np.concatenate([rare, often[np.argsort(count, kind="stable")][: n - len(rare)]])
+            return own, self.known
+        signed = own.view(np.int64)
+        at = np.minimum(np.searchsorted(self.known, signed), len(self.known) - 1)
+        hit = self.known[at] == signed
+        return own[~hit], np.sort(self.rank[at[hit]])
 
 
-def prefix_length(n: int) -> int:
-    """How many first shingles of a set of n must hold one of any set that is linked with it."""
-    return n - -(-P * n // Q) + 1
+def shared_shingles(docs: DataFrame, frequent, collided: frozenset, buckets: int) -> DataFrame:
+    """(node, class, holders, copies): what each node shares with others, class being 32 bits of a shingle and its bucket.
 
+    ``copies`` shingles of the node are in the class. Frequent shingles aren't told apart: class is null and copies is their number.
+    """
 
-def postings(docs: DataFrame, order, collided: list[int]) -> DataFrame:
-    """(shingle, node, n, place) for the first shingles of every document."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, sizes, nodes, often, size = [], [], {}, [], 0
+
+        def portion() -> pa.RecordBatch:
+            names = np.fromiter(nodes, np.int64, len(nodes))
+            whole = np.concatenate(values)
+            owner = np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
+            bucket = ((whole >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            low, owner = whole[order].astype(np.uint32), owner[order]
+            counts = np.bincount(bucket.astype(np.int64), minlength=buckets) if buckets < 1 << 20 else None
+            present = np.flatnonzero(counts) if counts is not None else np.unique(bucket).astype(np.int64)
+            stops = np.cumsum(counts[present]) if counts is not None else np.searchsorted(bucket[order], present.astype(np.uint64), "right")
+            out, start = [], 0
+            for b, stop in zip(present.tolist(), stops.tolist(), strict=True):
+                edges = np.flatnonzero(np.diff(owner[start:stop], prepend=np.uint32(0xFFFFFFFF)))
+                runs = np.diff(edges, append=stop - start).astype(np.uint32)
+                out.append((b, names[owner[start:stop][edges]].tobytes(), runs.tobytes(), low[start:stop].tobytes()))
+                start = stop
+            heavy = np.array(often, np.uint32)
+            place = names % buckets
+            for b in np.unique(place[heavy > 0]).tolist():
+                here = (place == b) & (heavy > 0)
+                out.append((b, names[here].tobytes(), heavy[here].tobytes(), None))
+            bucket_ids, name_bytes, run_bytes, low_bytes = zip(*out, strict=True)
+            columns = [pa.array(bucket_ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (name_bytes, run_bytes, low_bytes))]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "nodes", "runs", "low"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        twice = set(collided)
         for batch in batches:
-            found: list[tuple[np.ndarray, int, int]] = []
-            held = 0
-            for own in shingle_sets(batch["text"].tolist()):
-                if len(own):
-                    node, more = node_of(own)
-                    found.append((order.value.first(own, prefix_length(len(own))), more if node in twice else node, len(own)))
-                    held += len(found[-1][0])
-                if held > 200_000:
-                    yield frame(found)
-                    found, held = [], 0
-            if found:
-                yield frame(found)
-
-    def frame(found: list[tuple[np.ndarray, int, int]]) -> pd.DataFrame:
-        sizes = [len(x[0]) for x in found]
-        return pd.DataFrame(
+            for own in shingle_sets(*text_bytes(batch.column("text"))):
+                if not len(own):
+                    continue
+                node, more = set_digest(own)
+                if (name := more if node in collided else node) in nodes:
+                    continue
+                nodes[name] = None
+                rare, last = frequent.value.split(own)
+                values.append(rare)
+                sizes.append(len(rare))
+                often.append(len(last))
+                size += len(own)
+                if size > PORTION:
+                    yield portion()
+                    values, sizes, nodes, often, size = [], [], {}, [], 0
+        if nodes:
+            yield portion()
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        def whole(column: str, kind: str, rows: pa.Table) -> np.ndarray:
+            return np.frombuffer(b"".join(rows[column].to_pylist()), kind)
+
+        plain = table.filter(pc.is_valid(table["low"]))
+        nodes, runs, low = whole("nodes", "<i8", plain), whole("runs", "<u4", plain), whole("low", "<u4", plain)
+        fresh = np.zeros(len(nodes), bool)
+        fresh[np.unique(nodes, return_index=True)[1]] = True  # a set met in several tasks counts once
+        low, owner = low[np.repeat(fresh, runs)], np.repeat(np.arange(fresh.sum(), dtype=np.int64), runs[fresh])
+        nodes = nodes[fresh]
+        order = np.argsort(low, kind="stable")
+        low, owner = low[order], owner[order]
+        new_class = np.diff(low.astype(np.int64), prepend=-1) != 0
+        new_node = new_class | (np.diff(owner, prepend=-1) != 0)
+        first = np.flatnonzero(new_node)
+        copies = np.diff(first, append=len(low))
+        which = np.cumsum(new_class)[first] - 1
+        holders = np.bincount(which, minlength=1)[which] if len(which) else which
+        kept = holders > 1
+        first, copies, holders = first[kept], copies[kept], holders[kept]
+        heavy = table.filter(pc.is_null(table["low"]))
+        names, at = np.unique(whole("nodes", "<i8", heavy), return_index=True)
+        number = whole("runs", "<u4", heavy)[at].astype(np.int32)
+        bucket = key[0].as_py()
+        return pa.table(
             {
-                "shingle": np.concatenate([x[0] for x in found]),
-                "node": np.repeat(np.array([x[1] for x in found], np.int64), sizes),
-                "n": np.repeat(np.array([x[2] for x in found], np.int32), sizes),
-                "place": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
+                "node": np.concatenate([nodes[owner[first]], names]),
+                "class": pa.chunked_array([pa.array(low[first].astype(np.int64) + (bucket << 32)), pa.nulls(len(names), pa.int64())]),
+                "holders": np.concatenate([holders, np.zeros(len(names), np.int64)]).astype(np.int32),
+                "copies": np.concatenate([copies.astype(np.int32), number]),
             }
         )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "shingle long, node long, n int, place int")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, nodes binary, runs binary, low binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "node long, class long, holders int, copies int")
 
 
-def fragments(docs: DataFrame) -> DataFrame:
-    """(node, fragment, part): each set cut where the order of hashes is cut; docs has doc_id, text and node."""
+def whole_sets(docs: DataFrame, frequent, collided: frozenset, wanted: np.ndarray) -> DataFrame:
+    """(node, n, last, parts) of the texts that the filter lets through: ranks of frequent shingles in the prefix, and the set in fragments."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            rows = []
-            for node, own in zip(batch["node"], shingle_sets(batch["text"].tolist()), strict=True):
-                rows += [(node, i, part.view(np.int64)) for i, part in enumerate(np.split(own, cut_at(own))) if len(part)]
-            yield pd.DataFrame(rows, columns=["node", "fragment", "part"])
+            place = batch.column("text_hash").to_numpy(zero_copy_only=False) % FILTER_BITS
+            chosen = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0))
+            rows: list[tuple] = []
+            size = 0
+            for own in shingle_sets(*text_bytes(chosen.column("text"))):
+                if not len(own):
+                    continue
+                node, more = set_digest(own)
+                rare, last = frequent.value.split(own)
+                last = last[: max(0, prefix_length(len(own)) - len(rare))]
+                rows.append((more if node in collided else node, len(own), last, [p.view(np.int64) for p in np.split(own, cut_at(own))]))
+                size += len(own)
+                if size > PORTION // 8:
+                    yield frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        node, n, last, parts = zip(*rows, strict=True)
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((node, n, last, parts), kinds, strict=True)], ["node", "n", "last", "parts"])
+
+    texts = docs.select(F.xxhash64(whole_text()).alias("text_hash"), "text")
+    return texts.mapInArrow(run, "node long, n int, last array<long>, parts array<array<long>>")
+
 
-    return docs.select("node", "text").mapInPandas(run, "node long, fragment int, part array<long>")
+def text_filter(df: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, those set that belong to a text_hash of ``df``; the driver gets at most one row for each 64."""
+    place = F.pmod(F.col("text_hash"), F.lit(FILTER_BITS))
+    words = df.groupBy((place / 64).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(text_hash, {FILTER_BITS}) % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def near_enough(overlap: Column, n: Column, m: Column) -> Column:
@@ -227,99 +263,173 @@ def near_enough(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def may_link(a: str, b: str) -> Column:
-    """Sizes fit, and at this shingle enough is left of both sets: true at the first one that a linked pair shares."""
+    """Sizes fit, and from this posting on enough is left of both sets: true at the first one that a linked pair shares."""
     n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     left = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
     return (F.least(n, m) * Q >= F.greatest(n, m) * P) & near_enough(left, n, m)
 
 
-def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that can still be near enough after the first fragment; heads has node, n, head."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    known = heads.join(ends, "node", "left_semi").dropDuplicates(["node"])
-    left = known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("head").alias("head_a"))
-    right = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("head").alias("head_b"))
-    rest = F.least(F.col("n_a") - F.size("head_a"), F.col("n_b") - F.size("head_b"))
-    most = F.size(F.array_intersect("head_a", "head_b")) + rest
-    return pairs.join(left, "a").join(right, "b").where(near_enough(most, F.col("n_a"), F.col("n_b"))).select("a", "b")
-
-
-def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, heads: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are near enough: overlaps by fragment, summed per pair."""
-    pairs = materialize(possible(pairs, heads), "ngram-possible")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"), "n"), "ngram-ends")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select("doc_id", "text").join(small.select("doc_id", "node"), "doc_id")
-    parts = materialize(fragments(texts).dropDuplicates(["node", "fragment"]), "ngram-fragments")
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
-    overlap = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    sizes = wanted.select("node", "n")
-    return (
-        overlap.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        .where(near_enough(F.col("shared"), F.col("n_a"), F.col("n_b")))
-        .select("a", "b")
-    )
+def fitting(rows: DataFrame, counted: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` joined with ``columns`` of ``counted`` by node; broadcast only below ``BROADCAST_ROWS``."""
+    small = counted.select("node", *columns)
+    return rows.join(F.broadcast(small) if counted.count() <= BROADCAST_ROWS else small, "node")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def posting_lists(shared: DataFrame, may: DataFrame, sets: DataFrame) -> DataFrame:
+    """(list, node, n, place): the first shingles of every node that may be linked; shingles with the same nodes are one list."""
+    own = fitting(shared.where(F.col("class").isNotNull()), may, ["n", "k", "h"])
+    before = F.coalesce(F.sum("copies").over(Window.partitionBy("node").orderBy("holders", "class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = own.withColumn("place", F.col("n") - F.col("h") - F.col("k") + before)
+    placed = placed.where(F.expr(f"place < n - ({P} * n + {Q - 1}) div {Q} + 1")).select(F.col("class").alias("key"), "node", "n", "place")
+    ranks = fitting(sets.select("node", F.posexplode("last").alias("at", "rank")), may, ["n", "h"])
+    frequent = ranks.select((-1 - F.col("rank")).alias("key"), "node", "n", (F.col("n") - F.col("h") + F.col("at")).alias("place"))
+    posted = materialize(placed.select("key", "node", "n", F.col("place").cast("int")).unionByName(frequent.select("key", "node", "n", F.col("place").cast("int"))), "ngram-posted")
+    names = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    lists = posted.join(names.where("m > 1").select("key", F.xxhash64("m", "x", "y").alias("list")), "key")
+    out = materialize(lists.groupBy("list", "node", "n").agg(F.min("place").alias("place")), "ngram-lists")
+    discard(posted)
+    return out
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, n_a, n_b) that are near enough: overlaps by fragment, summed per pair."""
+    parts = sets.select("node", F.posexplode("parts").alias("fragment", "part")).where(F.size("part") > 0)
+    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"))
+    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
+    overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    return overlap.where(near_enough(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Rows of x and y, joined, as distinct pairs (a, b, n_a, n_b) with a below b."""
+    x, y = (F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.n").alias("n")) for s in "xy")
+    ends = met.select(F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
+    return ends.select(F.col("low.node").alias("a"), F.col("high.node").alias("b"), F.col("low.n").alias("n_a"), F.col("high.n").alias("n_b")).distinct()
+
+
+def led_pairs(open_lists: DataFrame, turn: int) -> DataFrame:
+    """Each node with at most two of the leaders, of another component, that its lists have in this turn."""
+    whole = F.struct("node", "n", "place", "root")
+    leaders = open_lists.groupBy("list").agg(*(F.min_by(whole, F.xxhash64("node", F.lit(2 * turn + k))).alias(f"l{k}") for k in (0, 1)))
+    leaders = leaders.select("list", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("x")).select("list", "x.*").alias("x")
+    met = leaders.join(open_lists.alias("y"), "list").where((F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
+    leader = F.struct(F.col("x.node").alias("node"), F.col("x.n").alias("n"))
+    met = met.groupBy(leader.alias("x"), F.col("y.node").alias("node"), F.col("y.n").alias("n")).agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("node", "n").agg(F.max_by("x", F.struct("times", "x")).alias("usual"), F.min_by("x", F.xxhash64("x.node", F.lit(turn))).alias("other"))
+    return _pairs(best.select(F.struct("node", "n").alias("y"), F.explode(F.array_distinct(F.array("usual", "other"))).alias("x")))
+
+
+def other_pairs(open_lists: DataFrame, largest: DataFrame) -> DataFrame:
+    """All pairs of different components that share a list and may be linked; in each one node is outside the list's largest component."""
+    # the smaller set of a linked pair has eight ninths of itself left
+    small = F.expr(f"(n - place) * {P + Q} >= {2 * P} * n")
+    rows = open_lists.join(largest, "list").withColumn("outside", F.col("root") != F.col("largest")).drop("largest")
+    differ = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & may_link("x", "y")
+    one = rows.where(small & F.col("outside")).alias("x").join(rows.alias("y"), "list").where(differ)
+    two = rows.where(small & ~F.col("outside")).alias("x").join(rows.where("outside").alias("y"), "list").where(differ)
+    both = [d.select(F.struct("x.node", "x.n").alias("x"), F.struct("y.node", "y.n").alias("y")) for d in (one, two)]
+    return _pairs(both[0].unionByName(both[1]))
+
+
+def find_roots(lists: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, root) of every node that has a link, other than roots themselves; None without any link."""
+    small = F.expr(f"IF((n - place) * {P + Q} >= {2 * P} * n, 1, 0)")
+    postings = lists.count()
+    links, done, roots, quiet, spent = None, None, None, False, []
+    for turn in range(ROUNDS + 1):
+        placed = lists.join(roots, "node", "left") if roots is not None else lists.withColumn("root", F.lit(None).cast("long"))
+        placed = placed.withColumn("root", F.coalesce("root", "node"))
+        by_root = placed.groupBy("list", "root").agg(F.count(F.lit(1)).alias("m"), F.sum(small).alias("small"))
+        most = F.max_by("root", F.struct("m", "root")).alias("largest")
+        split = by_root.groupBy("list").agg(most, F.sum("m").alias("m"), F.sum("small").alias("small"), F.max("m").alias("most"), F.count(F.lit(1)).alias("roots"))
+        split = materialize(split.where("roots > 1 AND small > 0"), "ngram-split")
+        rest = split.agg(F.sum((F.col("m") - F.col("most")).cast("double") * F.col("small"))).first()[0] or 0.0
+        last = quiet or turn == ROUNDS or rest <= REST * postings
+        if rest:
+            open_lists = materialize(placed.join(split.select("list"), "list"), "ngram-open")
+            pairs = other_pairs(open_lists, split.select("list", "largest")) if last else led_pairs(open_lists, turn)
+            pairs = materialize(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "ngram-pairs")
+            fresh = materialize(linked(pairs, sets), "ngram-links")
+            quiet = fresh.isEmpty()
+            if not quiet:
+                links = fresh if links is None else links.unionByName(fresh)
+                roots = components(links)
+            done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+            discard(open_lists)
+            spent += [pairs, fresh]
+        discard(split)
+        if last:
+            break
+    discard(*spent)  # the roots are a table of their own
+    return roots
+
+
+def named_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text_hash, n, node) of every document, node being null for an empty set; and (node, root) of linked sets or None."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     seen = materialize(survey(docs), "ngram-survey")
-    often = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count"))
+    often = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= OFTEN)
     often = often.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()  # 16 bytes each
-    order = spark.sparkContext.broadcast(Order(often["shingle"].to_numpy(), often["count"].to_numpy()))
+    frequent = spark.sparkContext.broadcast(Frequent(often["shingle"].to_numpy(), often["count"].to_numpy()))
     rows = seen.where(F.col("shingle").isNull())
-    sets = rows.where("n > 0").groupBy("node", "more", "n").agg(F.min("doc_id").alias("first_id"))
+    named = rows.where("n > 0").groupBy("node", "more", "n").agg(F.min("text_hash").alias("text_hash"))
     # two sets with the same 64 bits: their nodes are named by the other 64 bits
-    collided = [r["node"] for r in sets.groupBy("node").count().where("count > 1").select("node").collect()]
-    name = F.when(F.col("node").isin(collided), F.col("more")).otherwise(F.col("node")) if collided else F.col("node")
-    nodes = materialize(sets.select(name.alias("node"), "n", "first_id"), "ngram-nodes")
-
-    heads = rows.where("n > 0").select(name.alias("node"), "n", "head")
-    all_postings = materialize(postings(docs, order, collided), "ngram-postings-all")
-    shared = all_postings.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    live = materialize(all_postings.join(shared.drop("last"), "shingle").dropDuplicates(["shingle", "node"]), "ngram-postings")
-
-    # first round: each node against the first nodes of its shingles, two at most
-    leaders = live.where("node = leader").select("shingle", "n", "place").alias("x")
-    met = live.where("node <> leader").alias("y").join(leaders, "shingle").where(may_link("x", "y"))
-    met = met.groupBy(F.col("leader"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    chosen = met.groupBy("b").agg(F.max_by("leader", F.struct("times", "leader")).alias("usual"), F.min("leader").alias("least"))
-    first = chosen.select("b", F.explode(F.array_distinct(F.array("usual", "least"))).alias("a")).select("a", "b")
-    first = materialize(first, "ngram-pairs")
-    links = materialize(linked(first, docs, nodes, heads), "ngram-links")
-    roots = components(links)
-
-    # second round: nodes of different components that share a shingle
-    placed = live.join(roots, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    placed = materialize(placed, "ngram-placed")
-    split = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    placed = placed.join(split.select("shingle"), "shingle")
-    groups = placed.select("shingle", "root").distinct()
-    across = groups.join(groups.withColumnRenamed("root", "other"), "shingle").where("root < other")
-    x = across.join(placed, ["shingle", "root"]).select("shingle", "other", "node", "n", "place").alias("x")
-    second = x.join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.other") == F.col("y.root")) & may_link("x", "y"))
-    second = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not second.isEmpty():
-        roots = components(links.unionByName(linked(second, docs, nodes, heads)))
-
-    held = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = held.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    held = held.join(least, "root").select(F.col("node").alias("named"), "component_id")
-    named = rows.select("doc_id", "n", name.alias("named"))
-    found = named.join(held, "named", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    collided = frozenset(r["node"] for r in named.groupBy("node").count().where("count > 1").select("node").collect())
+    name = F.when(F.col("node").isin(list(collided)), F.col("more")).otherwise(F.col("node")) if collided else F.col("node")
+    rows = rows.select("doc_id", "text_hash", "n", name.alias("node"))
+    nodes = materialize(named.select(name.alias("node"), "n", "text_hash"), "ngram-nodes")
+
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    shared = materialize(shared_shingles(docs, frequent, collided, max(BUCKETS, total // BUCKET)), "ngram-shared")
+    rare, last = (F.coalesce(F.sum(F.when(c, F.col("copies"))), F.lit(0)).cast("int") for c in (F.col("class").isNotNull(), F.col("class").isNull()))
+    sums = shared.groupBy("node").agg(rare.alias("k"), last.alias("h")).where("k + h > 0")
+    may = materialize(nodes.join(sums, "node").where(f"(k + h) * {Q} >= {P} * n"), "ngram-may")
+    wanted = spark.sparkContext.broadcast(text_filter(may))
+    sets = whole_sets(docs, frequent, collided, wanted).join(may.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(sets, "ngram-sets")
+    lists = posting_lists(shared, may, sets)
+    discard(shared, nodes)
+    roots = find_roots(lists, sets)
+    discard(lists, sets, may)
+    return rows, roots
+
+
+def in_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, node, root) of every document; root is null for an empty set."""
+    rows, roots = named_rows(docs)
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("root", "node").alias("root"))
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    placed = materialize(in_components(docs), "ngram-placed")
+    # only components of several rows differ from their own id
+    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    found = placed.join(least, "root", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's; rows repeated with one doc_id give one row."""
-    found = link_documents(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each component the row with the smallest doc_id stays, of rows with the same id the one with the smallest hash of
+    its text, one of rows that repeat it; without any id in the component, one row. Rows without words all stay."""
+    placed = materialize(in_components(docs).where("root IS NOT NULL").select("doc_id", "text_hash", "root"), "ngram-placed")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    groups = placed.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = placed.join(groups.select("root", "first"), "root")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = materialize(rows.groupBy("doc_id", "text_hash").agg(F.max(is_first).alias("stays"), F.count(F.lit(1)).alias("times")), "ngram-marked")
+    gone, again = marked.where("NOT stays"), marked.where("stays AND times > 1")
+
+    def matching(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return left.join(keys, left["doc_id"].eqNullSafe(keys["key_id"]) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == keys["key_hash"]), how)
+
+    kept = matching(docs, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = matching(kept, again, "left_semi")
+    return matching(kept, again, "left_anti").unionByName(once.dropDuplicates(["doc_id", "text"]))
