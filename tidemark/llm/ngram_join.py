@@ -14,9 +14,9 @@ exactly the same nodes post are one posting list.
 For candidates the order of hashes is cut into fragments; the overlap is counted in each fragment separately
 and summed per pair.
 
-A large group of near copies isn't compared pair by pair. In a round, every posting list has two leaders, and each node
-is held against at most two of them that aren't yet in its component. Rounds go on while they find links
-and much is left. Then, list by list, all that isn't in the list's largest component is
+A large group of near copies isn't compared pair by pair. First every posting list has two leaders, and each node
+is held against at most two of those of its lists. Then, in rounds, what is outside the largest component of a list is held
+against some leaders inside it, as long as that finds links and much is left. Last, list by list, all that isn't in the list's largest component is
 compared with everything of another component: a link inside a component can't change it, so none that matters is lost.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; fewer than five words
@@ -53,7 +53,9 @@ BROADCAST_ROWS = 1_000_000
 #: Bits of the filter that says which texts are read again; one that lets more through costs time only.
 FILTER_BITS = 1 << 26
 #: Rounds with leaders at most, and rows per posting that the last comparison may take before another round is made.
-ROUNDS, REST = 12, 4
+ROUNDS, REST = 5, 2
+#: Leaders of a posting list in the second round; four, nine and sixteen times as many in the following ones.
+LEADERS = 4
 
 
 def prefix_length(n: int) -> int:
@@ -308,18 +310,26 @@ def _pairs(met: DataFrame) -> DataFrame:
     return ends.select(F.col("low.node").alias("a"), F.col("high.node").alias("b"), F.col("low.n").alias("n_a"), F.col("high.n").alias("n_b")).distinct()
 
 
-def led_pairs(open_lists: DataFrame, turn: int) -> DataFrame:
-    """Each node with at most two of the leaders, of another component, that its lists have in this turn."""
-    whole = F.struct("node", "n", "place", "root")
-    leaders = open_lists.groupBy("list").agg(*(F.min_by(whole, F.xxhash64("node", F.lit(2 * turn + k))).alias(f"l{k}") for k in (0, 1)))
+def first_pairs(lists: DataFrame) -> DataFrame:
+    """Each node with at most two of the two leaders that each of its lists has."""
+    whole = F.struct("node", "n", "place")
+    leaders = lists.groupBy("list").agg(*(F.min_by(whole, F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in (0, 1)))
     leaders = leaders.select("list", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("x")).select("list", "x.*").alias("x")
-    met = leaders.join(open_lists.alias("y"), "list").where((F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
+    met = leaders.join(lists.alias("y"), "list").where((F.col("x.node") != F.col("y.node")) & may_link("x", "y"))
     leader = F.struct(F.col("x.node").alias("node"), F.col("x.n").alias("n"))
     met = met.groupBy(leader.alias("x"), F.col("y.node").alias("node"), F.col("y.n").alias("n")).agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("node", "n").agg(F.max_by("x", F.struct("times", "x")).alias("usual"), F.min_by("x", F.xxhash64("x.node", F.lit(turn))).alias("other"))
+    best = met.groupBy("node", "n").agg(F.max_by("x", F.struct("times", "x")).alias("usual"), F.min_by("x", F.xxhash64("x.node", F.lit(0))).alias("other"))
     return _pairs(best.select(F.struct("node", "n").alias("y"), F.explode(F.array_distinct(F.array("usual", "other"))).alias("x")))
 
 
+def led_pairs(lists: DataFrame, largest: DataFrame, turn: int) -> DataFrame:
+    """What is outside a list's largest component with this turn's leaders from inside."""
+    rows = lists.join(largest, "list")
+    by_hash = Window.partitionBy("list").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    leaders = rows.where("root = largest").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= LEADERS * min(turn, 4) ** 2)
+    return _pairs(leaders.alias("x").join(rows.where("root <> largest").alias("y"), "list").where(may_link("x", "y")))
+
+
 def other_pairs(open_lists: DataFrame, largest: DataFrame) -> DataFrame:
     """All pairs of different components that share a list and may be linked; in each one node is outside the list's largest component."""
     # the smaller set of a linked pair has eight ninths of itself left
@@ -348,7 +358,8 @@ def find_roots(lists: DataFrame, sets: DataFrame) -> DataFrame | None:
         last = quiet or turn == ROUNDS or rest <= REST * postings
         if rest:
             open_lists = materialize(placed.join(split.select("list"), "list"), "ngram-open")
-            pairs = other_pairs(open_lists, split.select("list", "largest")) if last else led_pairs(open_lists, turn)
+            largest = split.select("list", "largest")
+            pairs = other_pairs(open_lists, largest) if last else led_pairs(open_lists, largest, turn) if turn else first_pairs(open_lists)
             pairs = materialize(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "ngram-pairs")
             fresh = materialize(linked(pairs, sets), "ngram-links")
             quiet = fresh.isEmpty()
