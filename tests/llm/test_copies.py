@@ -2,12 +2,17 @@
 
 import hashlib
 import itertools
+import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, ngram_join
 from tidemark.llm.components import components
+from tidemark.llm.shingles import text_bytes, word_hashes
 
 
 def key(x):
@@ -65,10 +70,87 @@ def plain_components(rows):
     return [(i, len(s), min((x for x in least[find(k)] if x is not None), default=None)) for k, (i, s) in enumerate(sets)]
 
 
+def matches_all_pairs(docs):
+    """Components are those of all pairs of rows, whatever their ids."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = ngram_join.link_documents(docs).collect()
+    return sorted(map(tuple, got), key=str) == sorted(plain_components(rows), key=str)
+
+
 def test_join_against_all_pairs(documents):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect() if r["doc_id"] is not None]
-    got = ngram_join.link_documents(documents.where("doc_id IS NOT NULL"))
-    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_components(rows))
+    assert matches_all_pairs(documents)
+
+
+def test_rows_without_id_and_with_one_id_link_by_their_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in (0, 59)]
+    z = " ".join(f"z{i}" for i in range(40))
+    big = (1 << 60) + 1
+    rows = [(1, " ".join(words)), (1, z), (None, near[0]), (2, z + " end"), (big, near[1]), (None, "alone without id in this table"), (None, z + " end more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert matches_all_pairs(docs)
+    kept = {(r["doc_id"], r["text"]) for r in ngram_join.keep_first(docs).collect()}
+    assert kept == {rows[0], rows[1], rows[5]}
+    bridge = spark.createDataFrame([(10, near[0]), (None, " ".join(words)), (5, near[1])], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.link_documents(bridge).collect()} == {5}
+
+
+def test_one_row_of_a_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(3, base), (3, base), (3, near), (4, base), (None, near), (7, ""), (7, ""), (None, None), (8, " ")]
+    kept = sorted(map(tuple, ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert len(kept) == 5 and kept[0][0] == 3 and kept[0][1] in (base, near) and sorted(kept[1:], key=str) == sorted(rows[5:], key=str)
+    no_ids = [(None, base), (None, near), (None, base)]
+    assert ngram_join.keep_first(spark.createDataFrame(no_ids, "doc_id long, text string")).count() == 1
+
+
+def test_crafted_words_are_told_apart(spark):
+    def thue_morse(n):
+        return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+    turn = str.maketrans("ab", "ba")
+    words = [w for n in (8, 64, 256, 512, 1024, 4096) for w in (thue_morse(n), thue_morse(n).translate(turn))]
+    raw = np.frombuffer("\n".join(words).encode(), np.uint8)
+    assert len(set(word_hashes(raw, np.zeros(1, np.int64))[0].tolist())) == len(words)
+    assert matches_all_pairs(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"))
+
+
+def test_word_hashes_follow_words_not_places():
+    texts = ["The  cat\tsat", "the", "", " CAT ", "sat" * 300, "x" + "é" * 9, "éX", "a\u00a0b"]
+    raw, edges = text_bytes(pa.array([*texts, None]))
+    whole, first = word_hashes(raw, edges[:-1])
+    spelt = [w for t in texts for w in t.encode().lower().split()]
+    assert len(whole) == len(spelt) == len(first)
+    names = {}
+    assert all(names.setdefault(w, h) == h for w, h in zip(spelt, whole.tolist(), strict=True)) and len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_a_large_group_of_near_copies_beside_boilerplate(spark, monkeypatch, frequent):
+    """A group whose members are near, or just not near, one another, and others that share a passage with all of them."""
+    if frequent:  # all shingles of the group are among those that aren't counted
+        monkeypatch.setattr(ngram_join, "OFTEN", 20)
+        monkeypatch.setattr(ngram_join, "PORTION", 20_000)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(90)] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    passage = [f"p{i}" for i in range(50)]
+    rows += [(1000 + i, " ".join([*passage, *(f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(4, 14)))])) for i in range(300)]
+    assert matches_all_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
+def test_a_text_of_some_megabytes(spark):
+    rng = random.Random(1)
+    words = [f"q{rng.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1000], *("tail" for _ in range(1000))])), (3, "y" * 2_000_000), (4, "Y" * 2_000_000), (5, "y" * 1_999_999)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
 def test_chains_of_near_copies_are_one_component(spark):
@@ -91,12 +173,6 @@ def test_links_at_the_threshold(spark):
         assert (got[2 * changed + 1] == 2 * changed) == (100 * (100 - changed) >= 80 * (100 + changed))
 
 
-def test_rows_without_id_take_part(documents):
-    got = ngram_join.link_documents(documents)
-    assert got.count() == documents.count()
-    assert ngram_join.keep_first(documents).columns == documents.columns
-
-
 def test_components_of_a_ring_and_a_star(spark):
     edges = [(i, (i + 1) % 50) for i in range(50)] + [(100, x) for x in range(101, 160)] + [(200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

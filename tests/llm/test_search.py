@@ -10,15 +10,14 @@ from tidemark.llm import maxscore
 
 
 def plain(rows, k):
-    use = {}
+    use = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(256 * float(x))) for x in v]
-            use[i] = min(use.get(i, w), w)
+            use.append((i, [int(np.floor(256 * float(x))) for x in v]))
     out = []
-    for q in use:
+    for n, (q, w) in enumerate(use):
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(use[q], v, strict=False)), i) for i, v in use.items() if i != q)[:k]
+            found = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), i) for m, (i, v) in enumerate(use) if m != n)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -47,6 +46,12 @@ def test_ties_go_to_smaller_ids_and_few_rows_give_few(spark):
     assert maxscore.top_k(table(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (50, [1.0, 0.0]), (50, [3.0, 0.0]), (1 << 60, [4.0, 4.0])]
+    got = sorted(tuple(r) for r in maxscore.top_k(table(spark, rows), F.col("vec_id") % 50 == 0).collect())
+    assert got == plain(rows, 5) and got[0] == (0, 1, 1 << 60, 524288) and (0, 2, 1, 262144) in got
+
+
 def test_large_components_are_exact(spark):
     rows = [(0, [3e9, -1.0]), (1, [3.0e9, 2.0]), (2, [2.9e9, 5e3])]
     want = plain([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5)

@@ -1,11 +1,13 @@
 """BPE round trips and the token store against the tokenizers library."""
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, token_store
@@ -57,15 +59,29 @@ def test_store_gives_back_what_the_library_encodes(spark, documents):
     assert chunks.count() == chunks.select("digest").distinct().count() < sum(r["n_tokens"] > 0 for r in got) + 60
 
 
-def test_a_changed_chunk_is_noticed(spark, documents):
-    from pyspark.sql import functions as F
-
-    place = token_store.write_store(documents.limit(20), WORD)
-    broken = spark.read.parquet(f"{place}/chunks").withColumn("ids", F.concat("ids", F.unhex(F.lit("0000"))))
-    broken.write.parquet(f"{place}-broken/chunks")
-    spark.read.parquet(f"{place}/recipes").write.parquet(f"{place}-broken/recipes")
-    with pytest.raises(Exception, match="isn't what its digest says"):
-        token_store.document_checksums(spark, f"{place}-broken").collect()
+def copied(spark, place, **changed):
+    """The store with some of its tables changed, as another store."""
+    other = f"{place}-{'-'.join(changed)}-{uuid.uuid4().hex}"
+    for part in ("chunks", "recipes"):
+        (changed[part] if part in changed else spark.read.parquet(f"{place}/{part}")).write.parquet(f"{other}/{part}")
+    spark.read.parquet(f"{place}/manifest/0").write.parquet(f"{other}/manifest/0")
+    return other
+
+
+def test_what_is_changed_or_lost_is_noticed(spark, documents):
+    place = token_store.write_store(documents.limit(40), WORD)
+    chunks, recipes = spark.read.parquet(f"{place}/chunks"), spark.read.parquet(f"{place}/recipes")
+    some = chunks.orderBy("digest").first()["digest"]
+    forged = chunks.withColumn("ids", F.when(F.col("digest") == some, F.concat("ids", F.unhex(F.lit("0000")))).otherwise(F.col("ids")))
+    swapped = recipes.withColumn("doc_id", F.when(F.col("place") == 3, F.lit(4)).when(F.col("place") == 4, F.lit(3)).otherwise(F.col("doc_id")))
+    other = recipes.where("place = 5").first()
+    replaced = recipes.withColumn("digests", F.when(F.col("place") == 6, F.array(*map(F.lit, map(bytes, other["digests"])))).otherwise(F.col("digests")))
+    bad = [{"chunks": forged}, {"chunks": chunks.where(F.col("digest") != some)}, {"recipes": recipes.where("place <> 7")}, {"recipes": recipes.where("place < 20")}, {"recipes": swapped}, {"recipes": replaced}]
+    for changed in bad:
+        for read in (token_store.document_checksums, token_store.read_documents):
+            with pytest.raises(Exception, match="isn't what|aren't what|is missing"):
+                read(spark, copied(spark, place, **changed)).collect()
+    assert token_store.read_documents(spark, copied(spark, place, recipes=recipes)).count() == recipes.count()
 
 
 def test_chunks_follow_the_content():

@@ -34,6 +34,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import carry
+
 LEXICON_WORDS = 65_536
 SEEN = 8
 WIDE = 48  # bytes of a word up to which words are merged together
@@ -490,9 +492,9 @@ def encode_documents(docs: DataFrame, path: str, lexicon: str | None) -> DataFra
             texts = batch["text"].fillna("").tolist()
             for part in portions(texts):
                 ids, counts = encoder.encode(texts[part])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "ids": np.split(ids, np.cumsum(counts)[:-1])})
+                yield pd.DataFrame({"ids": np.split(ids, np.cumsum(counts)[:-1])})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return carry(docs, ["doc_id"], ["text"], "ids array<int>", run)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -504,9 +506,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             rows = [np.asarray([] if x is None else x, np.int64) for x in batch["ids"]]
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             texts = encoder.decode(np.concatenate(rows) if rows else np.empty(0, np.int64), counts)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [t.decode() for t in texts]})
+            yield pd.DataFrame({"text": [t.decode() for t in texts]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return carry(encoded, ["doc_id"], ["ids"], "text string", run)
 
 
 def round_trip(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -522,9 +524,6 @@ def round_trip(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -
                 ids, counts = encoder.encode(texts[part])
                 for own, raw in zip(np.split(ids, np.cumsum(counts)[:-1]), encoder.decode(ids, counts), strict=True):
                     rows.append((len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return carry(docs, ["doc_id"], ["text"], "n_tokens long, ids_sha256 string, decoded_sha256 string", run)

@@ -6,10 +6,19 @@ import functools
 import re
 import tempfile
 import uuid
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: A Python worker turns so many bytes of a batch into Python objects at a time, or one row.
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +80,62 @@ def held_out(modulus: int, remainder: int) -> Column:
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` rows, the same ones at every run: those with the smallest hash of doc_id."""
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def slices(batch: pa.RecordBatch, used: list[str], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes in the columns ``used``, one row at least."""
+    if not len(batch):
+        return
+    step = max(1, len(batch) * limit // max(1, sum(batch.column(c).nbytes for c in used)))
+    for at in range(0, len(batch), step):
+        part = batch.slice(at, step)
+        if len(part) > 1 and sum(part.column(c).nbytes for c in used) > 2 * limit:
+            half = len(part) // 2
+            yield from slices(part.slice(0, half), used, limit)
+            yield from slices(part.slice(half), used, limit)
+        else:
+            yield part
+
+
+def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """The columns ``carried`` of ``rows``, which never pass through pandas, beside the columns ``made`` of ``run``.
+
+    ``run`` gets pandas frames of the columns ``used`` and gives frames of the columns made, for the same rows in
+    the same order but cut as it likes. A nullable 64-bit number among ``carried`` stays what it is.
+    """
+    made_type = StructType.fromDDL(made)
+    made_schema = to_arrow_schema(made_type)
+    names = [*carried, *made_type.names]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def feed() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for part in slices(batch, used):
+                    waiting.append(part.select(carried))
+                    yield part.select(used).to_pandas()
+
+        for frame in run(feed()):
+            found = pa.Table.from_pandas(frame, made_schema, preserve_index=False).combine_chunks()
+            at = 0
+            while at < len(frame):
+                head = waiting.popleft()
+                n = min(len(head), len(frame) - at)
+                if n < len(head):
+                    waiting.appendleft(head.slice(n))
+                own = found.slice(at, n).to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*head.slice(0, n).columns, *own.columns], names=names)
+                at += n
+
+    kept = rows.select(*dict.fromkeys([*carried, *used]))
+    schema = StructType([kept.schema[c] for c in carried] + made_type.fields)
+    return kept.mapInArrow(task, schema)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores where ``df`` has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

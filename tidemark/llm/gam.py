@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample
+from tidemark.llm.common import bounded_sample, carry
 
 SAMPLE = 20_000
 BINS, COARSE = 32, 8
@@ -178,11 +178,9 @@ def features(docs: DataFrame, *others: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(x=[text_features(t) for t in batch["text"]])
+            yield pd.DataFrame({"x": [text_features(t) for t in batch["text"]]})
 
-    kept = docs.select("doc_id", *others, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInPandas(run, f"{schema}, x array<double>")
+    return carry(docs, ["doc_id", *others], ["text"], "x array<double>", run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> AdditiveModel:
@@ -202,8 +200,7 @@ def score(docs: DataFrame, model: AdditiveModel, held_out: Column | None = None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = shipped.value.scores(np.array([text_features(t) for t in batch["text"]], float).reshape(len(batch), len(FEATURES)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": got, "predicted": (got >= keep_at).astype(np.int32)})
+            yield pd.DataFrame({"score": got, "predicted": (got >= keep_at).astype(np.int32)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (held_out if held_out is not None else F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return carry(rows, ["doc_id", "held_out"], ["text"], "score double, predicted int", run)

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import carry
+
 FEATURES = 1 << 15
 PENALTY = 2.0
 EVERY = 3.0
@@ -161,9 +163,7 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
                 for (i, _), pi in zip(some, mixtures(shipped.value, [g for _, g in some]), strict=True):
                     order = np.argsort(-pi, kind="stable")[: (pi > 0).sum()]
                     found[i] = (names[order[0]], min(1.0, float(pi[order[0]])), names[order].tolist(), pi[order].tolist())
-            out = pd.DataFrame(found, columns=["lang_pred", "score", "languages", "proportions"])
-            yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
+            yield pd.DataFrame(found, columns=["lang_pred", "score", "languages", "proportions"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (held_out if held_out is not None else F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return carry(rows, ["doc_id", "held_out"], ["text"], "lang_pred string, score double, languages array<string>, proportions array<double>", run)

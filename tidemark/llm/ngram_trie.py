@@ -41,7 +41,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_words, materialize
+from tidemark.llm.common import carry, fold_words, materialize
 
 RUN, STEP = 4096, 16
 SIEVE = 512  # 64-bit words of a run's sieve
@@ -333,12 +333,10 @@ def numbered(docs: DataFrame, first: Shipped, words: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _worker_words(first)
-        for rows, texts in _portions(batches, PORTION // 4):
-            flat = known.numbers(texts)
-            yield rows.drop(columns="text").assign(tokens=np.split(flat, np.cumsum(_lengths(texts))[:-1]))
+        for _, texts in _portions(batches, PORTION // 4):
+            yield pd.DataFrame({"tokens": np.split(known.numbers(texts), np.cumsum(_lengths(texts))[:-1])})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInPandas(run, f"{schema}, tokens {_numbers(words)}" if schema else f"tokens {_numbers(words)}")
+    return carry(docs, [c for c in docs.columns if c != "text"], ["text"], f"tokens {_numbers(words)}", run)
 
 
 def _runs(batches: Iterator[pd.DataFrame], tokens: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -611,12 +609,11 @@ def score_tokens(model: TrieModel, tokens: np.ndarray, lengths: np.ndarray) -> t
 
 def _scores(table: DataFrame, model: TrieModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, tokens, lengths in _runs(batches, PORTION // 2):
+        for _, tokens, lengths in _runs(batches, PORTION // 2):
             known, base, full = score_tokens(model, tokens, lengths)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": lengths, "n_known": known, "train_tokens": model.tokens, "base_score": base, "score": full})
+            yield pd.DataFrame({"n_tokens": lengths, "n_known": known, "train_tokens": model.tokens, "base_score": base, "score": full})
 
-    kind = table.schema["doc_id"].dataType.simpleString()
-    return table.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return carry(table, ["doc_id", "held_out"], ["tokens"], "n_tokens long, n_known long, train_tokens long, base_score double, score double", run)
 
 
 def score(docs: DataFrame, model: TrieModel) -> DataFrame:

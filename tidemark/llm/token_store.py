@@ -8,9 +8,11 @@ passages give equal chunks wherever they stand. The store is a folder with three
   where the vocabulary allows it, else of 32;
 * ``recipes`` (place, doc_id, start, n_tokens, root, digests): in ascending doc_id order, how each document
   is put together; root is the SHA-256 of the digests;
-* ``manifest`` (level, block, root): the Merkle tree over the recipes' roots, ``FANOUT`` children a node.
+* ``manifest`` (level, block, root): the Merkle tree over the recipes, ``FANOUT`` children a node; a leaf is the
+  SHA-256 of a recipe's place, doc_id, start, n_tokens and root.
 
-Reading checks every chunk against its digest and every document against its root. CRC-32 is linear, so
+Both ways of reading first build the tree again from the recipes and hold every level against the manifest, then check
+every chunk against its digest, every document against its root, and that no chunk is missing. CRC-32 is linear, so
 the checksum of a document follows from those of its chunks and no chunk has to move to its documents;
 :func:`read_documents` does put the ids together.
 
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import SPACE, Merges, gather, portions
-from tidemark.llm.common import mix, shared_folder
+from tidemark.llm.common import carry, mix, shared_folder
 
 WINDOW, CUT_BITS, LEAST, MOST = 8, 8, 64, 1024
 FANOUT = 1024
@@ -195,11 +197,10 @@ def stage_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     parts.append(kept)
                 if len(seen) > SEEN:
                     seen.clear()
-                yield pd.DataFrame({"row": batch["row"].iloc[part], "doc_id": batch["doc_id"].iloc[part], "n_tokens": counts + 1, "digests": digests, "parts": parts})
+                yield pd.DataFrame({"n_tokens": counts + 1, "digests": digests, "parts": parts})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"row long, doc_id {kind}, n_tokens long, digests array<binary>, parts array<binary>")
+    return carry(rows, ["row", "doc_id"], ["text"], "n_tokens long, digests array<binary>, parts array<binary>", run)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -234,18 +235,40 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2) -> str:
         _root(F.transform("digests", lambda d: F.lower(F.hex(d)))).alias("root"),
         "digests",
     )
-    level = _written(recipes, f"{place}/recipes").select(F.col("place").alias("block"), "root")
+    written = _written(recipes, f"{place}/recipes")
+    for number, level in enumerate(_levels(written)):
+        _written(level, f"{place}/manifest/{number}")
+    return place
+
+
+def _levels(recipes: DataFrame) -> Iterator[DataFrame]:
+    """The levels (level, block, root) of the Merkle tree over the recipes, from the leaves' parents to the one root."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("place", "doc_id", "start", "n_tokens", "root")]
+    last = recipes.agg(F.max("place")).first()[0] or 0
+    level = recipes.select(F.col("place").alias("block"), F.sha2(F.concat_ws(" ", *fields), 256).alias("root"))
     number = 0
     while True:
         children = F.sort_array(F.collect_list(F.struct("block", "root")))  # FANOUT at most
         level = level.groupBy(F.floor(F.col("block") / FANOUT).alias("parent")).agg(children.alias("children"))
         level = level.select(F.lit(number).alias("level"), F.col("parent").alias("block"), _root(F.col("children.root")).alias("root"))
-        level = _written(level, f"{place}/manifest/{number}").select("block", "root")
-        if level.count() <= 1:
-            return place
+        yield level
+        last //= FANOUT
+        if not last:
+            return
+        level = level.select("block", "root")
         number += 1
 
 
+def checked_recipes(spark: SparkSession, place: str) -> DataFrame:
+    """The recipes, after the tree built from them has been held against the manifest; a difference is an error."""
+    recipes = spark.read.parquet(f"{place}/recipes")
+    for number, level in enumerate(_levels(recipes)):
+        kept = spark.read.parquet(f"{place}/manifest/{number}").select("block", F.col("root").alias("kept"))
+        if not level.join(kept, "block", "full").where("NOT root <=> kept").isEmpty():
+            raise ValueError(f"the recipes of {place} aren't what its manifest says at level {number}")
+    return recipes
+
+
 def checked_chunks(spark: SparkSession, place: str) -> DataFrame:
     """digest, n, crc (CRC-32 of the ids as 32-bit numbers) of every chunk, and ids; a chunk that isn't what its digest says is an error."""
     chunks = spark.read.parquet(f"{place}/chunks")
@@ -264,9 +287,9 @@ def checked_chunks(spark: SparkSession, place: str) -> DataFrame:
 
 def document_checksums(spark: SparkSession, place: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files of the store."""
-    recipes = spark.read.parquet(f"{place}/recipes")
+    recipes = checked_recipes(spark, place)
     own = ["place", "doc_id", "start", "n_tokens", "root"]
-    used = recipes.select(*own, F.posexplode("digests").alias("at", "digest")).join(checked_chunks(spark, place), "digest")
+    used = recipes.select(*own, F.posexplode("digests").alias("at", "digest")).join(checked_chunks(spark, place), "digest", "left")
     parts = used.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc", "digest"))).alias("parts"))
     parts = parts.select(*own, F.col("parts.n").alias("n"), F.col("parts.crc").alias("crc"), _root(F.transform("parts.digest", lambda d: F.lower(F.hex(d)))).alias("seen"))
 
@@ -279,28 +302,37 @@ def document_checksums(spark: SparkSession, place: str) -> DataFrame:
             for sizes, own_crcs in zip(batch["n"], batch["crc"], strict=True):
                 total = 0
                 for n, crc in zip(sizes.tolist(), own_crcs.tolist(), strict=True):
+                    if n != n:
+                        raise ValueError(f"a chunk of {place} is missing")
+                    n, crc = int(n), int(crc)
                     if n not in shift:
                         shift[n] = zlib.crc32(zeros[: 4 * n])
                     total = zlib.crc32(zeros[: 4 * n], total) ^ shift[n] ^ crc  # linear: the shifted first part and the second
                 crcs.append(total)
-            yield batch[["doc_id", "start", "n_tokens"]].assign(ids_crc32=crcs)
+            yield pd.DataFrame({"ids_crc32": crcs})
 
-    kind = recipes.schema["doc_id"].dataType.simpleString()
-    return parts.mapInPandas(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return carry(parts, ["doc_id", "start", "n_tokens"], ["root", "seen", "n", "crc"], "ids_crc32 long", run)
 
 
 def read_documents(spark: SparkSession, place: str) -> DataFrame:
     """doc_id, start, ids (array<int>) of every document, put together from the chunks."""
-    recipes, chunks = spark.read.parquet(f"{place}/recipes"), spark.read.parquet(f"{place}/chunks")
-    own = ["place", "doc_id", "start", "n_tokens"]
-    used = recipes.select(*own, F.posexplode("digests").alias("at", "digest")).join(chunks, "digest")
-    parts = used.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("at", "n", "ids"))).alias("parts"))
+    recipes = checked_recipes(spark, place)
+    own = ["place", "doc_id", "start", "n_tokens", "root"]
+    used = recipes.select(*own, F.posexplode("digests").alias("at", "digest")).join(spark.read.parquet(f"{place}/chunks"), "digest", "left")
+    parts = used.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("at", "ids", "digest"))).alias("parts"))
+    parts = parts.select(*own, F.col("parts.ids").alias("parts"), F.col("parts.digest").alias("digests"), _root(F.transform("parts.digest", lambda d: F.lower(F.hex(d)))).alias("seen"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = [b"".join(p) for p in batch["parts"]]
-            ids = [np.frombuffer(r, "<u2" if len(r) == 2 * n else "<u4").astype(np.int32) for r, n in zip(raw, batch["n_tokens"], strict=True)]
-            yield batch[["doc_id", "start"]].assign(ids=ids)
-
-    kind = recipes.schema["doc_id"].dataType.simpleString()
-    return parts.select(*own, F.col("parts.ids").alias("parts")).mapInPandas(run, f"doc_id {kind}, start long, ids array<int>")
+            if (batch["root"] != batch["seen"]).any():
+                raise ValueError(f"a document of {place} isn't what its root says")
+            found = []
+            for pieces, digests, n in zip(batch["parts"], batch["digests"], batch["n_tokens"], strict=True):
+                for raw, digest in zip(pieces, digests, strict=True):
+                    if raw is None or hashlib.blake2b(raw, digest_size=16).digest() != digest:
+                        raise ValueError(f"a chunk of {place} is missing or isn't what its digest says")
+                whole = b"".join(pieces)
+                found.append(np.frombuffer(whole, "<u2" if len(whole) == 2 * n else "<u4").astype(np.int32))
+            yield pd.DataFrame({"ids": found})
+
+    return carry(parts, ["doc_id", "start"], ["root", "seen", "parts", "digests", "n_tokens"], "ids array<int>", run)

@@ -5,7 +5,8 @@ beginnings of its longer words: one for a beginning that is there, one for a beg
 different words share (insults are built from few stems). Over the
 training sample Spark counts how many toxic and other documents hold each word; the words that tell most
 (by the log-likelihood ratio of their two-by-two table) become features. Grades are ordered: 0 for
-documents labelled clean, then 1, 2, ... by how many of the toxic words a toxic document holds. One weight
+documents labelled clean; labels have no degrees, so toxic documents are graded 1, 2, ... by cross-fitting: each one by
+the evidence of its words as counted in the folds that it isn't in. One weight
 per word is shared by all thresholds: P(grade >= j) = sigmoid(w x - t_j) with t_1 < t_2 < ...; the severity
 of a text is its expected grade, the sum of these probabilities.
 
@@ -29,12 +30,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, materialize
+from tidemark.llm.common import bounded_sample, carry, discard, fresh_name, materialize
 
 SAMPLE = 40_000
 FEATURES = 4096
 GRADES = 4
 REJECT_AT = 0.5
+FOLDS = 5
 TELLING = 20.0  # the least log-likelihood ratio of a feature; by chance one word in 100,000 has it
 STEM = 5  # letters of a beginning
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
@@ -108,79 +110,106 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [sorted(text_features(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"words": [sorted(text_features(t)) for t in batch["text"]]})
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, words array<string>")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    return carry(rows.select("doc_id", "toxic", fold, "text"), ["doc_id", "toxic", "fold"], ["text"], "words array<string>", run)
 
 
-def _telling(rows: DataFrame, features: int, bad: int, total: int) -> DataFrame:
-    """(word, n, bad) of the words that tell most: in how many documents, and toxic ones, they are."""
-    held = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-    share = bad / total
+def _ratio(n: Column, toxic: Column, share: float) -> Column:
+    """The log-likelihood ratio of a word that n documents hold, of which some are toxic, against the share of all."""
 
     def part(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
-    n, toxic = F.col("n").cast("double"), F.col("bad").cast("double")
-    ratio = 2 * (part(toxic, n * share) + part(n - toxic, n * (1 - share)))
-    return held.where("n >= 5").withColumn("telling", F.round(ratio, 6)).where(F.col("telling") >= TELLING).orderBy(F.desc("telling"), "word").limit(features)
+    return 2 * (part(toxic, n * share) + part(n - toxic, n * (1 - share)))
+
+
+def _telling(rows: DataFrame, features: int, share: float) -> DataFrame:
+    """(word, n, bad, ns, bads) of the words that tell most: in how many documents, and toxic ones, they are, in all and by fold."""
+    by_fold = [F.sum(F.when(F.col("fold") == k, x).otherwise(0)) for x in (F.lit(1), F.col("toxic")) for k in range(FOLDS)]
+    held = rows.select("toxic", "fold", F.explode("words").alias("word")).groupBy("word")
+    held = held.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"), F.array(*by_fold[:FOLDS]).alias("ns"), F.array(*by_fold[FOLDS:]).alias("bads"))
+    telling = F.round(_ratio(F.col("n").cast("double"), F.col("bad").cast("double"), share), 6)
+    return held.where("n >= 5").withColumn("telling", telling).where(F.col("telling") >= TELLING).orderBy(F.desc("telling"), "word").limit(features)
+
+
+def cross_fitted_grades(rows: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, ns: np.ndarray, bads: np.ndarray, grades: int) -> np.ndarray:
+    """0 for clean documents; toxic ones by their evidence, the sum of their words' log-odds as counted in the other folds:
+    of ``grades`` - 1 equal parts of the toxic documents, the strongest get the highest grade. Words are rows of ns and bads (by fold)."""
+    evidence = np.zeros(len(rows))
+    for k in range(ns.shape[1]):
+        n, bad = ns.sum(axis=1) - ns[:, k], bads.sum(axis=1) - bads[:, k]
+        odds = np.log((bad + 0.5) / (n - bad + 0.5))
+        inside = fold == k
+        odds -= np.log((toxic[~inside].sum() + 0.5) / ((1 - toxic[~inside]).sum() + 0.5))
+        for i in np.flatnonzero(inside):
+            evidence[i] = odds[rows[i]].sum()
+    of_toxic = evidence[toxic == 1]
+    cuts = np.quantile(of_toxic, np.arange(1, grades - 1) / (grades - 1)) if len(of_toxic) else np.empty(0)
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, "left"), 0).astype(np.int64)
 
 
 def _numbered(rows: DataFrame, words: dict[str, int]) -> DataFrame:
-    """(toxic, features): words as numbers."""
+    """(doc_id, toxic, fold, features): words as numbers."""
     shipped = rows.sparkSession.sparkContext.broadcast(words)  # FEATURES words at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["doc_id", "toxic"]].assign(features=[sorted(shipped.value[w] for w in own if w in shipped.value) for own in batch["words"]])
+            yield pd.DataFrame({"features": [sorted(shipped.value[w] for w in own if w in shipped.value) for own in batch["words"]]})
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, features array<int>")
+    return carry(rows, ["doc_id", "toxic", "fold"], ["words"], "features array<int>", run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES) -> OrdinalModel | None:
-    """The model learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1)."""
+    """The model learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1; leave out what is held out)."""
     rows = materialize(_labelled(docs, labels, sample), "toxicity-labelled")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     if not 0 < total["bad"] < total["n"]:
+        discard(rows)
         return None
-    chosen = _telling(rows, features, total["bad"], total["n"]).collect()
+    chosen = _telling(rows, features, total["bad"] / total["n"]).collect()
     words = {r["word"]: i for i, r in enumerate(chosen)}
-    severe = {i for i, r in enumerate(chosen) if r["bad"] / r["n"] > max(0.5, 2 * total["bad"] / total["n"])}
-    learned = bounded_sample(_numbered(rows, words), sample).toPandas()
+    learned = bounded_sample(_numbered(rows, words), sample).select("toxic", "fold", "features").toPandas()
+    discard(rows)
     found = [np.asarray(x, np.int64) for x in learned["features"]]
-    grade = np.array([toxic and min(grades - 1, max(1, len(severe.intersection(own.tolist())))) for toxic, own in zip(learned["toxic"], found, strict=True)], np.int64)
+    ns, bads = (np.array([r[c] for r in chosen], float).reshape(len(chosen), FOLDS) for c in ("ns", "bads"))
+    grade = cross_fitted_grades(found, learned["toxic"].to_numpy(), learned["fold"].to_numpy(), ns, bads, grades)
     weights, thresholds = fit_cumulative_link(found, grade, len(words))
     return OrdinalModel(words, weights, thresholds)
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, reject_at: float = REJECT_AT) -> DataFrame:
-    """doc_id, severity (expected grade), score (probability of any toxic grade), grade (likeliest), toxic."""
+def _above(docs: DataFrame, carried: list[str], model: OrdinalModel | None, name: str) -> DataFrame:
+    """``carried`` columns of ``docs`` and, as the array ``name``, P(grade >= j) for j = 1, 2, ...; of one zero without a model."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             above = shipped.value.probabilities(batch["text"].tolist()) if shipped.value else np.zeros((len(batch), 1))
-            each = np.hstack([np.ones((len(batch), 1)), above]) - np.hstack([above, np.zeros((len(batch), 1))])
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].to_numpy(),
-                    "severity": above.sum(axis=1),
-                    "score": above[:, 0],
-                    "grade": each.argmax(axis=1).astype(np.int32),
-                    "toxic": above[:, 0] >= reject_at,
-                }
-            )
+            yield pd.DataFrame({name: list(above)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, severity double, score double, grade int, toxic boolean")
+    return carry(docs, carried, ["text"], f"`{name}` array<double>", run)
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel | None, reject_at: float = REJECT_AT) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: OrdinalModel | None, held_out: Column | None = None, reject_at: float = REJECT_AT) -> DataFrame:
+    """doc_id, held_out, severity (expected grade), score (probability of any toxic grade), grade (likeliest), toxic."""
+    rows = docs.select("doc_id", (held_out if held_out is not None else F.lit(False)).alias("held_out"), "text")
+    above = _above(rows, ["doc_id", "held_out"], model, "above")
+    upper, lower = F.concat(F.array(F.lit(1.0)), "above"), F.concat("above", F.array(F.lit(0.0)))
+    each = F.zip_with(upper, lower, lambda a, b: a - b)
+    return above.select(
+        "doc_id",
+        "held_out",
+        F.aggregate("above", F.lit(0.0), lambda a, b: a + b).alias("severity"),
+        F.col("above")[0].alias("score"),
+        (F.array_position(each, F.array_max(each)) - 1).cast("int").alias("grade"),
+        (F.col("above")[0] >= reject_at).alias("toxic"),
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[shipped.value.probabilities(batch["text"].tolist())[:, 0] < reject_at] if shipped.value else batch
 
-    return docs.mapInPandas(run, docs.schema)
+def drop_toxic(docs: DataFrame, model: OrdinalModel | None, reject_at: float = REJECT_AT) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns."""
+    if model is None:
+        return docs
+    name = fresh_name(docs, "above")
+    return _above(docs, docs.columns, model, name).where(F.col(name)[0] < reject_at).drop(name)
