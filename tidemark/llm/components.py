@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Every edge (a, b) leads from a node of its own to a smaller one that has no such edge."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("all"))
+    return nodes.where("out > 1 OR out = 1 AND all > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,11 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round keeps one row per link and node at most, so a component of any size stays spread out.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
-    mark = _mark(now)
-    while mark[0]:
+    while not _done(now):
         before, now = now, materialize(_small_star(_large_star(now)), "star")
         discard(before)
-        if (after := _mark(now)) == mark:
-            break
-        mark = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -16,7 +16,7 @@ and summed per pair.
 
 A large group of near copies isn't compared pair by pair. First every posting list has two leaders, and each node
 is held against at most two of those of its lists. Then, in rounds, what is outside the largest component of a list is held
-against some leaders inside it, as long as that finds links and much is left. Last, list by list, all that isn't in the list's largest component is
+against some leaders inside it, as long as much is left. Last, list by list, all that isn't in the list's largest component is
 compared with everything of another component: a link inside a component can't change it, so none that matters is lost.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; fewer than five words
@@ -53,9 +53,9 @@ BROADCAST_ROWS = 1_000_000
 #: Bits of the filter that says which texts are read again; one that lets more through costs time only.
 FILTER_BITS = 1 << 26
 #: Rounds with leaders at most, and rows per posting that the last comparison may take before another round is made.
-ROUNDS, REST = 5, 2
-#: Leaders of a posting list in the second round; four, nine and sixteen times as many in the following ones.
-LEADERS = 4
+ROUNDS, REST = 4, 2
+#: Leaders of a posting list in the second to fourth round.
+LEADERS = (8, 32, 64)
 
 
 def prefix_length(n: int) -> int:
@@ -294,39 +294,41 @@ def posting_lists(shared: DataFrame, may: DataFrame, sets: DataFrame) -> DataFra
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, n_a, n_b) that are near enough: overlaps by fragment, summed per pair."""
+    """(a, b), the components' names, of those ``pairs`` that are near enough: overlaps by fragment, summed per pair."""
     parts = sets.select("node", F.posexplode("parts").alias("fragment", "part")).where(F.size("part") > 0)
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
-    overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return overlap.where(near_enough(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    left = parts.select(F.col("node").alias("low"), "fragment", F.col("part").alias("part_low"))
+    right = parts.select(F.col("node").alias("high"), "fragment", F.col("part").alias("part_high"))
+    own = ["low", "high", "n_low", "n_high", "a", "b"]
+    partial = pairs.join(left, "low").join(right, ["high", "fragment"]).select(*own, F.size(F.array_intersect("part_low", "part_high")).alias("shared"))
+    overlap = partial.groupBy(*own).agg(F.sum("shared").alias("shared"))
+    return overlap.where(near_enough(F.col("shared"), F.col("n_low"), F.col("n_high"))).select("a", "b").distinct()
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """Rows of x and y, joined, as distinct pairs (a, b, n_a, n_b) with a below b."""
-    x, y = (F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.n").alias("n")) for s in "xy")
-    ends = met.select(F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
-    return ends.select(F.col("low.node").alias("a"), F.col("high.node").alias("b"), F.col("low.n").alias("n_a"), F.col("high.n").alias("n_b")).distinct()
+    """Rows of x and y, joined, as distinct pairs: low, high (nodes, low below high), their sizes and components a and b."""
+    x, y = (F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("node", "n", "root"))) for s in "xy")
+    ends = met.select(F.least(x, y).alias("l"), F.greatest(x, y).alias("h"))
+    columns = [F.col(f"{s}.{c}").alias(name) for s, c, name in (("l", "node", "low"), ("h", "node", "high"), ("l", "n", "n_low"), ("h", "n", "n_high"), ("l", "root", "a"), ("h", "root", "b"))]
+    return ends.select(*columns).distinct()
 
 
 def first_pairs(lists: DataFrame) -> DataFrame:
     """Each node with at most two of the two leaders that each of its lists has."""
-    whole = F.struct("node", "n", "place")
+    whole = F.struct("node", "n", "place", "root")
     leaders = lists.groupBy("list").agg(*(F.min_by(whole, F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in (0, 1)))
     leaders = leaders.select("list", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("x")).select("list", "x.*").alias("x")
     met = leaders.join(lists.alias("y"), "list").where((F.col("x.node") != F.col("y.node")) & may_link("x", "y"))
-    leader = F.struct(F.col("x.node").alias("node"), F.col("x.n").alias("n"))
-    met = met.groupBy(leader.alias("x"), F.col("y.node").alias("node"), F.col("y.n").alias("n")).agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("node", "n").agg(F.max_by("x", F.struct("times", "x")).alias("usual"), F.min_by("x", F.xxhash64("x.node", F.lit(0))).alias("other"))
-    return _pairs(best.select(F.struct("node", "n").alias("y"), F.explode(F.array_distinct(F.array("usual", "other"))).alias("x")))
+    x, y = (F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("node", "n", "root"))) for s in "xy")
+    met = met.groupBy(x.alias("x"), y.alias("y")).agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("y").agg(F.max_by("x", F.struct("times", "x")).alias("usual"), F.min_by("x", F.xxhash64("x.node", F.lit(0))).alias("other"))
+    return _pairs(best.select("y", F.explode(F.array_distinct(F.array("usual", "other"))).alias("x")))
 
 
 def led_pairs(lists: DataFrame, largest: DataFrame, turn: int) -> DataFrame:
     """What is outside a list's largest component with this turn's leaders from inside."""
     rows = lists.join(largest, "list")
     by_hash = Window.partitionBy("list").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    leaders = rows.where("root = largest").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= LEADERS * min(turn, 4) ** 2)
+    leaders = rows.where("root = largest").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= LEADERS[min(turn, len(LEADERS)) - 1])
     return _pairs(leaders.alias("x").join(rows.where("root <> largest").alias("y"), "list").where(may_link("x", "y")))
 
 
@@ -338,46 +340,40 @@ def other_pairs(open_lists: DataFrame, largest: DataFrame) -> DataFrame:
     differ = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & may_link("x", "y")
     one = rows.where(small & F.col("outside")).alias("x").join(rows.alias("y"), "list").where(differ)
     two = rows.where(small & ~F.col("outside")).alias("x").join(rows.where("outside").alias("y"), "list").where(differ)
-    both = [d.select(F.struct("x.node", "x.n").alias("x"), F.struct("y.node", "y.n").alias("y")) for d in (one, two)]
+    both = [d.select(F.struct("x.node", "x.n", "x.root").alias("x"), F.struct("y.node", "y.n", "y.root").alias("y")) for d in (one, two)]
     return _pairs(both[0].unionByName(both[1]))
 
 
-def find_roots(lists: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, root) of every node that has a link, other than roots themselves; None without any link."""
+def find_roots(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of every node in a list; what has no link is its own root."""
     small = F.expr(f"IF((n - place) * {P + Q} >= {2 * P} * n, 1, 0)")
     postings = lists.count()
-    links, done, roots, quiet, spent = None, None, None, False, []
-    for turn in range(ROUNDS + 1):
-        placed = lists.join(roots, "node", "left") if roots is not None else lists.withColumn("root", F.lit(None).cast("long"))
-        placed = placed.withColumn("root", F.coalesce("root", "node"))
+    roots = materialize(lists.select("node", F.col("node").alias("root")).distinct(), "ngram-roots")
+    last, turn = False, 0
+    while not last:
+        placed = lists.join(roots, "node")
         by_root = placed.groupBy("list", "root").agg(F.count(F.lit(1)).alias("m"), F.sum(small).alias("small"))
         most = F.max_by("root", F.struct("m", "root")).alias("largest")
         split = by_root.groupBy("list").agg(most, F.sum("m").alias("m"), F.sum("small").alias("small"), F.max("m").alias("most"), F.count(F.lit(1)).alias("roots"))
         split = materialize(split.where("roots > 1 AND small > 0"), "ngram-split")
-        rest = split.agg(F.sum((F.col("m") - F.col("most")).cast("double") * F.col("small"))).first()[0] or 0.0
-        last = quiet or turn == ROUNDS or rest <= REST * postings
-        if rest:
-            open_lists = materialize(placed.join(split.select("list"), "list"), "ngram-open")
-            largest = split.select("list", "largest")
-            pairs = other_pairs(open_lists, largest) if last else led_pairs(open_lists, largest, turn) if turn else first_pairs(open_lists)
-            pairs = materialize(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "ngram-pairs")
-            fresh = materialize(linked(pairs, sets), "ngram-links")
-            quiet = fresh.isEmpty()
-            if not quiet:
-                links = fresh if links is None else links.unionByName(fresh)
-                roots = components(links)
-            done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-            discard(open_lists)
-            spent += [pairs, fresh]
-        discard(split)
-        if last:
+        rest = split.agg(F.sum((F.col("m") - F.col("most")).cast("double") * F.col("small"))).first()[0]
+        if not rest:
+            discard(split)
             break
-    discard(*spent)  # the roots are a table of their own
+        last = turn == ROUNDS or rest <= REST * postings
+        largest = split.select("list", "largest")
+        open_lists = placed.join(split.select("list"), "list")
+        pairs = materialize(other_pairs(open_lists, largest) if last else led_pairs(open_lists, largest, turn) if turn else first_pairs(open_lists), "ngram-pairs")
+        fresh = materialize(linked(pairs, sets), "ngram-links")
+        moved = components(fresh).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        before, roots = roots, materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "ngram-roots")
+        discard(split, pairs, fresh, before)
+        turn += 1
     return roots
 
 
-def named_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, text_hash, n, node) of every document, node being null for an empty set; and (node, root) of linked sets or None."""
+def named_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, node) of every document, node being null for an empty set; and (node, root) of the sets that may be linked."""
     spark = docs.sparkSession
     seen = materialize(survey(docs), "ngram-survey")
     often = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= OFTEN)
@@ -409,8 +405,6 @@ def named_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def in_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, node, root) of every document; root is null for an empty set."""
     rows, roots = named_rows(docs)
-    if roots is None:
-        return rows.withColumn("root", F.col("node"))
     return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("root", "node").alias("root"))
 
 
