@@ -93,14 +93,30 @@ def test_combinations_and_choice(spark):
 SIGNATURES = {
     "sf:m0_n1_1_n2_0_dD_dw0": {"m": "0", "d": "D", "dw": "0"},
     "ns:v1_p1_d0_a0_dw0": {"v": "1", "p": "1", "d": "0", "a": "0", "dw": "0"},
-    "crt:0-8-4_dw0": {"a": "0", "b": "8", "c": "4", "sum": "12", "repeated": "false"},
+    "crt:0-8-4_dw0": {"a": "0", "b": "8", "c": "4", "sum": "12", "repeated": "false", "dw": "0"},
+    "crt:5-5-12": {"a": "5", "sum": "22", "repeated": "true"},
+    "traj:CURVE_four1_normal_dw2": {"shape": "CURVE", "model": "four1", "state": "normal", "dw": "2"},
+    "nsflow:down:p3": {"flow": "down:p3"},
+    "nsflow:down_p3": {"flow": "down", "p": "3"},
+    "lab:flat:len7_sum12_dw1_v2": {"result": "flat:len7", "sum": "12", "dw": "1", "v": "2"},
+    "cs:star_hi_D_st2": {"part0": "star", "part1": "hi", "part3": "st2", "form": "star", "dircode": "hi", "st": "2", "candle_dir": "D"},
+    "cs:body_bear_mid_U_st0": {"form": "body", "dircode": "bear", "candle_dir": "U"},
+    "trail:nt4_pev1_DU_t2_dw3": {"nt": "4", "pev": "1", "t": "2", "dw": "3", "pair": "DU"},
+    "mom:r2_m0_s1_c1_dw0": {"r": "2", "m": "0", "s": "1", "c": "1"},
+    "cg:f1_s2_q4_dw1": {"f": "1", "s": "2", "q": "4"},
+    "trig:rel2_cx0_tr1_dir3_sg0_dw2": {"rel": "2", "cx": "0", "tr": "1", "dir": "3", "sg": "0"},
+    "proj:a4_c1_h2": {"a": "4", "c": "1", "h": "2"},
+    "plain": {"namespace": "unknown"},
 }
 
 
 def test_signature_features(spark):
     rows = spark.createDataFrame([(s,) for s in SIGNATURES], "s string").select("s", interactions.signature_features(F.col("s")).alias("f")).collect()
     for r in rows:
-        assert SIGNATURES[r["s"]].items() <= {x["feature"]: x["value"] for x in r["f"]}.items()
+        found = {x["feature"]: x["value"] for x in r["f"]}
+        assert SIGNATURES[r["s"]].items() <= found.items() and "namespace" in found
+        if r["s"].startswith("lab"):
+            assert "len" not in found
 
 
 def test_atoms_leave_out_silent_directions_and_placeholders(spark):
@@ -147,7 +163,30 @@ def test_feed_messages(spark):
 def test_atom_select_leaves_no_feature_out(spark):
     from tidemark.plans import queries
 
-    sf_dir, keys = "/root/testdata/sf0.001", ["symbol", "us", "event_id"]
-    found = interactions.atoms(queries._outputs(spark, sf_dir), keys).groupBy(*keys).agg(F.count_distinct("atom").alias("n"))
-    rows = queries.atom_select(spark, sf_dir).join(found, keys).select(F.size("atoms").alias("kept"), "n").collect()
+    outputs = queries._directed(spark, "/root/testdata/sf0.001")
+    found = interactions.atoms(outputs, queries.MOMENT)
+    n = found.groupBy(*queries.MOMENT).agg(F.count_distinct("atom").alias("n"))
+    rows = interactions.selected_atoms(found, queries.MOMENT).join(n, queries.MOMENT).select(F.size("atoms").alias("kept"), "n").collect()
     assert rows and max(r["n"] for r in rows) > 8 and all(r["kept"] == min(r["n"], interactions.MOST_ATOMS) for r in rows)
+
+
+def test_state_summary_counts_and_orders(spark):
+    rows = [(1, "b", "UP", "x:1"), (1, "a", "NO_SIGNAL", "y:2"), (1, "c", "DOWN", "-"), (2, "a", "DOWN", None), (3, "a", "odd", "z")]
+    got = {r["k"]: (r["state_json"], r["n_signatures"], r["n_directional"]) for r in interactions.state_summary(spark.createDataFrame(rows, "k int, engine string, direction string, signature string"), ["k"]).collect()}
+    assert got == {1: ('[["a","NO_SIGNAL","y:2"],["b","UP","x:1"]]', 2, 1), 3: ('[["a","NO_SIGNAL","z"]]', 1, 0)}
+
+
+def test_sway_knows_only_earlier_outcomes(spark):
+    S = 1_000_000
+    rows = [(i, i * S, (i + 1) * S, ["a", "b"], "UP") for i in range(20)]
+    got = {r["k"]: r for r in interactions.sway(spark.createDataFrame(rows, "k int, us bigint, label_us bigint, atoms array<string>, next_outcome string"), ["k"]).collect()}
+    # with n earlier ups the shrunk share is (n + 4) / (n + 8); five are the least
+    assert set(got) == set(range(5, 20)) and all(got[k]["p_up"] == pytest.approx((k + 4) / (k + 8)) for k in got)
+    late = [(i, 0, (i + 1) * S, ["a", "b"], "UP") for i in range(20)]
+    assert interactions.sway(spark.createDataFrame(late, "k int, us bigint, label_us bigint, atoms array<string>, next_outcome string"), ["k"]).count() == 0
+
+
+def test_agreement_and_sway_of_a_direction(spark):
+    rows = spark.createDataFrame([("UP", "UP"), ("UP", "DOWN"), ("UP", "NO_SIGNAL"), ("NO_SIGNAL", "DOWN")], "a string, b string")
+    got = [tuple(r) for r in rows.select(interactions.agreement(F.col("a"), F.col("b")), interactions.swayed(F.col("a"), F.col("b"))).collect()]
+    assert got == [("A", "continuation"), ("C", "reversal"), ("N", "none"), ("N", "none")]

@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators.asof import next_ticks, price_asof, range_join
-from tidemark.operators.sessions import session_stats
+from tidemark.operators.ordered import lagged, running
+from tidemark.operators.sessions import rounds_in_sessions, session_stats
 from tidemark.operators.upserts import add_counts, insert_if_absent, latest_wins
 
 TICK = "symbol string, us bigint, event_id bigint, price double"
@@ -55,3 +58,32 @@ def test_keyed_sinks(spark):
     assert sorted(tuple(r) for r in insert_if_absent(held, more, ["key"], ["at"]).collect()) == [("k", 2, "y"), ("l", 1, "z"), ("m", 4, "p")]
     counts = spark.createDataFrame([("k", 1), ("l", 2)], "key string, n int"), spark.createDataFrame([("k", 5)], "key string, n int")
     assert sorted(tuple(r) for r in add_counts(*counts, ["key"], ["n"]).collect()) == [("k", 6), ("l", 2)]
+
+
+def test_one_symbol_over_many_blocks(spark):
+    """As-of, next-k, sessions and running sums carry over blocks, empty ones too."""
+    rng = random.Random(7)
+    rows = [("a", rng.randrange(0, 400) * S + (0 if i % 2 else 900 * S), i, float(rng.randrange(50))) for i in range(120)]
+    ticks = spark.createDataFrame(rows, TICK)
+    own = sorted((u, e, p) for _, u, e, p in rows)
+    asked = spark.createDataFrame([("a", t * S, t) for t in range(-20, 1400, 13)], "symbol string, at_us bigint, k bigint")
+    for block in (7.0, 100.0, 5000.0):
+        got = {r["k"]: r["price"] for r in price_asof(asked, ticks, "at_us", block=block).collect()}
+        after = {r["k"]: [tuple(x) for x in r["next"]] for r in next_ticks(asked, ticks, 4, block=block).collect()}
+        for k, price in got.items():
+            before = [p for u, e, p in own if u <= k * S]
+            later = [(u, p) for u, e, p in own if u > k * S]
+            assert price == (before[-1] if before else later[0][1])
+            assert after[k] == later[:4]
+        sums = running(ticks, ["symbol"], ["us", "event_id"], {"n": F.lit(1), "s": F.col("price")}, block=block).collect()
+        place = {e: i for i, (_, e, _) in enumerate(own)}
+        assert all(r["n"] == place[r["event_id"]] + 1 and abs(r["s"] - sum(p for _, _, p in own[: r["n"]])) < 1e-6 for r in sums)
+        gaps = {r["event_id"]: r["before"] for r in lagged(ticks, ["symbol"], ["us", "event_id"], "us", "before", block=block).collect()}
+        assert all(gaps[e] == (own[i - 1][0] if i else None) for i, (_, e, _) in enumerate(own))
+
+
+def test_rounds_belong_to_the_session_that_runs(spark):
+    sessions = spark.createDataFrame([("a", 0, 10), ("a", 1, 50), ("b", 0, 5)], "symbol string, session_num bigint, start_us bigint")
+    rounds = spark.createDataFrame([("a", 1, 5), ("a", 2, 10), ("a", 3, 49), ("a", 4, 70), ("b", 1, 6)], "symbol string, round_num int, start_us bigint")
+    got = {(r["symbol"], r["round_num"]): r["session_num"] for r in rounds_in_sessions(rounds, sessions).collect()}
+    assert got == {("a", 1): None, ("a", 2): 0, ("a", 3): 0, ("a", 4): 1, ("b", 1): 0}

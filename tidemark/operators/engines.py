@@ -58,7 +58,7 @@ def velocity(features: list[str], scale: TimeScale, offset: int = 4) -> Column:
     seconds = (F.col("us") - F.lag("us", offset).over(order)) / 1e6
     moved = sum((F.abs(F.col(f) - F.lag(f, offset).over(order)) for f in features), F.lit(0.0))
     speed = F.when(seconds > 0, moved / seconds)
-    return F.coalesce(ladder(speed, scale.velocity), F.lit(0))
+    return F.when(speed.isNull(), 0).otherwise(ladder(speed, scale.velocity))
 
 
 def prices(name: str = "w") -> Column:
@@ -191,16 +191,31 @@ def _arrays(window) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x["us"] for x in window], float) / 1e6, np.array([x["price"] for x in window], float)
 
 
-def numeric(ticks: DataFrame, scale: TimeScale, name: str) -> DataFrame:
-    """symbol, us, event_id, core, signature of one of the engines in ``NUMERIC``."""
+def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None = None) -> DataFrame:
+    """symbol, us, event_id, core, signature of one of the engines in ``NUMERIC``; a window on which it fails gives null.
+
+    ``wanted``: a condition on a tick and ``next_us``, the time of the one after it; only such ticks, and those that their dwell looks back on, are computed.
+    """
     size, back, function = NUMERIC[name]
 
+    def signature_of(window) -> str | None:
+        try:
+            return function(*_arrays(window))
+        except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
+            return None
+
     @F.pandas_udf("string")
     def signature(w: pd.Series) -> pd.Series:
-        return pd.Series([function(*_arrays(x)) for x in w], dtype=object)
+        return pd.Series([signature_of(x) for x in w], dtype=object)
 
     rows = trailing(blocked(ticks, scale), size, scale)
+    if wanted is not None:
+        rows = rows.withColumn("next_us", F.lead("us").over(_order())).withColumn("_wanted", wanted)
+        near = F.max(F.col("_wanted").cast("int")).over(_order().rowsBetween(0, back - 1))
+        rows = rows.withColumn("_near", near).where("_near = 1")
     rows = rows.withColumn("core", signature("w")).drop("w").withColumn("dwell_bin", dwell("core", back, scale))
+    if wanted is not None:
+        rows = rows.where("_wanted")
     return _done(rows.withColumn("signature", F.when(F.col("core").isNotNull(), _text("%s_dw%d", "core", "dwell_bin"))), "core", "signature")
 
 
@@ -213,7 +228,13 @@ def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: C
 
     @F.pandas_udf("core string, ensemble_direction string, strength double, model string")
     def fitted(w: pd.Series) -> pd.DataFrame:
-        rows = [windows.trajectory(*_arrays(x)) or (None, None, None, None) for x in w]
+        def fit(x) -> tuple:
+            try:
+                return windows.trajectory(*_arrays(x)) or (None,) * 4
+            except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
+                return (None,) * 4
+
+        rows = [fit(x) for x in w]
         return pd.DataFrame(rows, columns=["core", "ensemble_direction", "strength", "model"])
 
     back = 10

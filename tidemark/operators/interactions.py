@@ -8,27 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import beta_shrunk
+from tidemark.operators.ordered import running
 
 MOST_ATOMS, MOST_SETS = 28, 6000
-SILENT = ("", "-", "NO_SIGNAL", "NO SIGNAL", "NONE", "NULL", "NAN")
+SILENT = ("", "-", "NO_SIGNAL", "NO SIGNAL", "NONE", "NULL", "NAN")  # fixed values
 
-# The parts of each namespace's signature, longest prefix first.
+# The prefixes of each namespace's parts.
 PARTS = {
-    "trig": ("rel", "dir", "cx", "tr", "sg", "dw"),
-    "proj": ("dw", "a", "c", "h"),
-    "ent": ("dw", "p", "r", "d", "v"),
-    "mom": ("dw", "r", "m", "s", "c"),
-    "cg": ("dw", "f", "s", "q"),
-    "ns": ("dw", "v", "p", "d", "a"),
-    "sf": ("dw", "n1", "n2", "m", "d"),
+    "trig": ("rel", "cx", "tr", "dir", "sg", "dw"),
+    "proj": ("a", "c", "h", "dw"),
+    "ent": ("p", "r", "d", "dw", "v"),
+    "mom": ("r", "m", "s", "c", "dw"),
+    "cg": ("f", "s", "q", "dw"),
+    "ns": ("v", "p", "d", "a", "dw"),
+    "sf": ("m", "n1", "n2", "d", "dw"),
     "lab": ("len", "sum", "dw", "v"),
-    "trail": ("pe", "nt", "dw", "t"),
-    "cs": ("st",),
+    "trail": ("nt", "pev", "t", "dw"),
 }
 # Priority of a feature when atoms are chosen; 10 for any other.
 PRIORITY = {
-    "model": 100, "state": 95, "dw": 90, "a": 90, "b": 90, "c": 90, "rel": 90, "dir": 88, "pair": 88, "form": 88, "m": 88, "sum": 85, "dircode": 85, "p": 85, "flow": 85,
-    "repeated": 80, "v": 80, "f": 80, "q": 80, "h": 75, "r": 75, "s": 75, "t": 70, "n1": 70, "n2": 70, "cx": 65, "tr": 65, "sg": 65, "namespace": 20, "result": 20,
+    "model": 100, "state": 95, "dw": 90, "a": 90, "b": 90, "c": 90,
+    "sum": 85, "repeated": 80, "rel": 90, "dir": 88, "pair": 88,
+    "form": 88, "dircode": 85, "m": 88, "v": 80, "p": 85,
+    "flow": 85, "f": 80, "q": 80, "h": 75, "r": 75, "s": 75,
+    "t": 70, "cx": 65, "tr": 65, "sg": 65, "n1": 70, "n2": 70,
+    "namespace": 20, "result": 20,
 }
 
 
@@ -37,34 +41,76 @@ def _feature(name: str | Column, value: Column) -> Column:
 
 
 def signature_features(signature: Column) -> Column:
-    """Array of (feature, value) that a signature's text holds, for any namespace."""
-    space, body = F.split_part(signature, F.lit(":"), F.lit(1)), F.split(signature, ":", 2)[1]
+    """Array of (feature, value) that a signature's text holds, for any namespace; values may be null."""
+    tagged = signature.contains(":")
+    space = F.when(tagged, F.split_part(signature, F.lit(":"), F.lit(1))).otherwise("unknown")
+    body = F.when(tagged, F.get(F.split(signature, ":", 2), F.lit(1)))
     parts = F.split(body, "_")
+    none = F.lit(None).cast("struct<feature:string,value:string>")
 
-    def prefixed(name: str) -> Column:
+    def after(k: int) -> Column:
+        return F.slice(parts, k + 1, F.greatest(F.size(parts) - k, F.lit(0)))
+
+    def named(part: Column, names: tuple[str, ...]) -> Column:
         # the longest prefix that leaves something names the part
-        def named(part: Column) -> Column:
-            found = F.lit(None).cast("struct<feature:string,value:string>")
-            for prefix in reversed(sorted(PARTS[name], key=len, reverse=True)):
-                found = F.when(part.startswith(prefix) & (F.length(part) > len(prefix)), _feature(prefix, F.substring(part, len(prefix) + 1, 1000))).otherwise(found)
-            return found
+        found = none
+        for prefix in sorted(names, key=len):
+            found = F.when(part.startswith(prefix) & (F.length(part) > len(prefix)), _feature(prefix, F.substring(part, len(prefix) + 1, 1000))).otherwise(found)
+        return found
+
+    def prefixed(parts: Column, *names: str) -> Column:
+        return F.transform(parts, lambda part: named(part, names))
 
-        return F.filter(F.transform(parts, named), lambda x: x.isNotNull())
+    def token(among: tuple[str, ...]) -> Column:
+        return F.element_at(F.filter(parts, lambda x: x.isin(*among)), -1)
 
-    residues = F.regexp_extract(signature, r"^crt:(\d+)-(\d+)-(\d+)(?:_dw(\d+))?$", 1)
-    a, b, c = (F.regexp_extract(signature, r"^crt:(\d+)-(\d+)-(\d+)(?:_dw(\d+))?$", i).cast("int") for i in (1, 2, 3))
+    def last_token(among: tuple[str, ...]) -> Column:
+        return F.when(F.size(F.filter(parts, lambda x: x.isin(*among))) > 0, token(among))
+
+    a, b, c, dw = (F.regexp_extract(body, r"^(\d+)-(\d+)-(\d+)(?:_dw(\d+))?$", i) for i in (1, 2, 3, 4))
     repeated = F.when((a == b) | (b == c) | (a == c), "true").otherwise("false")
-    crt = F.array(_feature("a", a.cast("string")), _feature("b", b.cast("string")), _feature("c", c.cast("string")), _feature("sum", (a + b + c).cast("string")), _feature("repeated", repeated))
-    found = F.when((space == "crt") & (residues != ""), crt)
+    residues = F.array(
+        _feature("a", a), _feature("b", b), _feature("c", c), _feature("sum", (a.try_cast("int") + b.try_cast("int") + c.try_cast("int")).cast("string")), _feature("repeated", repeated), _feature("dw", F.when(dw != "", dw))
+    )
+    second = F.get(parts, F.lit(1))
+    code = F.when(second.isin("mid", "bull", "bear", "hi", "lo"), second).when(F.array_contains(parts, "mid"), "mid")
+    streak = F.regexp_extract(body, r"(?:^|_)st([A-Za-z0-9]+)$", 1)
+    candle = [
+        _feature("form", F.when(F.array_contains(parts, "body"), "body").otherwise(F.get(parts, F.lit(0)))), _feature("dircode", code),
+        _feature("st", F.when(streak != "", streak)), _feature("candle_dir", last_token(("D", "U"))),
+    ]
+    found = F.when((space == "crt") & (a != ""), residues)
+    found = found.when(space == "traj", F.concat(F.array(*(_feature(n, F.get(parts, F.lit(i))) for i, n in enumerate(("shape", "model", "state")))), prefixed(after(3), "dw")))
+    flow = F.when(second.startswith("p"), F.substring(second, 2, 1000))
+    found = found.when(space == "nsflow", F.array(_feature("flow", F.get(parts, F.lit(0))), _feature("p", flow)))
+    found = found.when(space == "cs", F.concat(F.transform(parts, lambda x, i: _feature(F.concat(F.lit("part"), i.cast("string")), x)), F.array(*candle)))
+    # the staking signature's result is all of its first part, length included
+    found = found.when(space == "lab", F.concat(F.array(_feature("result", F.get(parts, F.lit(0)))), prefixed(after(1), *PARTS["lab"])))
+    found = found.when(space == "trail", F.concat(prefixed(parts, *PARTS["trail"]), F.array(_feature("pair", last_token(("UD", "DU", "DD", "UU"))))))
     for name in PARTS:
-        found = found.when(space == name, prefixed(name))
-    return F.concat(F.array(_feature("namespace", space)), F.coalesce(found, F.array().cast("array<struct<feature:string,value:string>>")))
+        if name not in ("lab", "trail"):
+            found = found.when(space == name, prefixed(parts, *PARTS[name]))
+    found = F.filter(F.coalesce(found, F.array().cast("array<struct<feature:string,value:string>>")), lambda x: x.isNotNull() & x.value.isNotNull())
+    return F.concat(F.array(_feature("namespace", space)), found)
+
+
+def has_signature(signature: Column) -> Column:
+    """A signature that says something."""
+    return F.coalesce(~F.trim(signature).isin(*SILENT), F.lit(False))
+
+
+def state_summary(outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, state_json (canonical JSON of [engine, direction, signature], sorted), n_signatures and n_directional of every moment's outputs."""
+    said = F.when(F.col("direction").isin("UP", "DOWN"), F.col("direction")).otherwise("NO_SIGNAL")
+    rows = outputs.where(has_signature(F.col("signature"))).select(*keys, "engine", said.alias("direction"), "signature")
+    triples = F.array_sort(F.collect_list(F.array("engine", "direction", "signature")))  # an engine each
+    directional = F.count_distinct(F.when(F.col("direction") != "NO_SIGNAL", F.col("engine")))
+    return rows.groupBy(*keys).agg(F.to_json(triples).alias("state_json"), F.count_distinct("engine").alias("n_signatures"), directional.alias("n_directional"))
 
 
 def atoms(outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, kind, engine, feature and atom (``key=value``) of every engine's output (keys, engine, direction, signature)."""
-    signature = F.trim("signature")
-    rows = outputs.where(F.col("signature").isNotNull() & ~F.upper(signature).isin(*SILENT)).withColumn("_s", signature)
+    rows = outputs.where(has_signature(F.col("signature"))).withColumn("_s", F.col("signature"))
     exact = rows.select(*keys, F.lit("exact_signature").alias("kind"), "engine", F.lit("signature").alias("feature"), F.concat(F.lit("sig."), "engine", F.lit("="), "_s").alias("atom"))
     way = rows.where(F.col("direction").isin("UP", "DOWN")).select(*keys, F.lit("direction").alias("kind"), "engine", F.lit("direction").alias("feature"), F.concat(F.lit("dir."), "engine", F.lit("="), "direction").alias("atom"))
     parts = rows.select(*keys, "engine", F.explode(signature_features(F.col("_s"))).alias("x"))
@@ -150,14 +196,38 @@ def mined_rules(observations: DataFrame, keys: Sequence[str], least: int = 5, mo
     return out
 
 
-def sway(observations: DataFrame, stats: DataFrame, keys: Sequence[str], least: int = 5, least_effect: float = 0.04, most: int = 24) -> DataFrame:
-    """keys, n_matched, p_up and direction from the best matching sets of each observation (keys, atoms)."""
-    asked = observations.select(*keys, F.explode(bounded_sets(F.col("atoms"))).alias("s")).withColumn("key", F.to_json("s")).drop("s")
-    rows = asked.join(ranked(stats, least).where(F.col("effect") >= least_effect), "key")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("n"), "key"))
+def sway(observations: DataFrame, keys: Sequence[str], sets: Column | None = None, least: int = 5, least_effect: float = 0.04, most: int = 24) -> DataFrame:
+    """keys, n_matched, p_up and direction of each observation (keys, us, label_us, atoms, next_outcome) from the sets that it matches.
+
+    A set's statistics are those of the observations whose outcome was known (label_us) by the observation's own
+    time us: labels and lookups of a set stand in one order by time, labels first, and sums run along it.
+    """
+    sets = bounded_sets(F.col("atoms")) if sets is None else sets
+    rows = observations.select(*keys, "us", "label_us", "next_outcome", F.explode(sets).alias("s")).withColumn("key", F.to_json("s")).drop("s")
+    up = F.when(F.col("next_outcome") == "UP", 1).otherwise(0)
+    moment = F.struct(*keys)
+    known = rows.where(F.col("next_outcome").isin("UP", "DOWN")).select("key", F.col("label_us").alias("_us"), F.lit(0).alias("_kind"), moment.alias("_moment"), up.alias("_up"))
+    asked = rows.select("key", F.col("us").alias("_us"), F.lit(1).alias("_kind"), moment.alias("_moment"), F.lit(None).cast("int").alias("_up"))
+    sums = {"n": F.when(F.col("_up").isNull(), 0).otherwise(1), "up": F.coalesce("_up", F.lit(0))}
+    rows = running(known.unionByName(asked), ["key"], ["_us", "_kind", "_moment"], sums).where("_kind = 1")
+    rows = ranked(rows, least).where(F.col("effect") >= least_effect)
+    rank = F.row_number().over(Window.partitionBy("_moment").orderBy(F.desc("score"), F.desc("n"), "key"))
     best = rows.withColumn("_rank", rank).where(F.col("_rank") <= most)
-    g = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matched"), (F.sum(F.col("p") * F.sqrt("n")) / F.sum(F.sqrt("n"))).alias("p_up"))
-    return g.withColumn("direction", F.when(F.col("p_up") > 0.55, "UP").when(1 - F.col("p_up") > 0.55, "DOWN").otherwise("NO_SIGNAL"))
+    g = best.groupBy("_moment").agg(F.count(F.lit(1)).alias("n_matched"), (F.sum(F.col("p") * F.sqrt("n")) / F.sum(F.sqrt("n"))).alias("p_up"))
+    direction = F.when(F.col("p_up") > 0.55, "UP").when(1 - F.col("p_up") > 0.55, "DOWN").otherwise("NO_SIGNAL")
+    return g.select("_moment.*", "n_matched", "p_up", direction.alias("direction"))
+
+
+def swayed(direction: Column, sway_direction: Column) -> Column:
+    """What the sway does to an engine's direction: reversal, continuation, or none where either says nothing."""
+    both = direction.isin("UP", "DOWN") & sway_direction.isin("UP", "DOWN")
+    return F.when(both & (direction != sway_direction), "reversal").when(both, "continuation").otherwise("none")
+
+
+def agreement(seed_direction: Column, adaptive_direction: Column) -> Column:
+    """A: both votes say the same way, C: they conflict, N: at least one says nothing."""
+    both = seed_direction.isin("UP", "DOWN") & adaptive_direction.isin("UP", "DOWN")
+    return F.when(both & (seed_direction == adaptive_direction), "A").when(both, "C").otherwise("N")
 
 
 def fused(seed_up: Column, seed_down: Column, adaptive_up: Column) -> tuple[Column, Column]:

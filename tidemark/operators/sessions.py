@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import micros
+from tidemark.operators.asof import price_asof
+from tidemark.operators.ordered import lagged, running
 
 
 def with_sessions(ticks: DataFrame, gap: float) -> DataFrame:
     """``ticks`` with gap_us (since the tick before, null for a symbol's first) and session_num; a pause of exactly ``gap`` seconds cuts."""
-    order = Window.partitionBy("symbol").orderBy("us", "event_id")
-    rows = ticks.withColumn("gap_us", F.col("us") - F.lag("us").over(order))
+    order = ["us", "event_id"]
+    rows = lagged(ticks, ["symbol"], order, "us", "_before").withColumn("gap_us", F.col("us") - F.col("_before")).drop("_before")
     cut = F.when(F.col("gap_us") >= micros(gap), 1).otherwise(0)
-    return rows.withColumn("session_num", F.sum(cut).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return running(rows, ["symbol"], order, {"session_num": cut})
 
 
 def session_stats(ticks: DataFrame, gap: float) -> DataFrame:
@@ -24,3 +26,10 @@ def session_stats(ticks: DataFrame, gap: float) -> DataFrame:
     )
     is_last = F.col("session_num") == F.max("session_num").over(Window.partitionBy("symbol"))
     return out.withColumn("status", F.when(is_last, "ACTIVE").otherwise("INTERRUPTED")).withColumn("reason", F.when(F.col("gap_before_us").isNull(), "startup").otherwise("gap"))
+
+
+def rounds_in_sessions(rounds: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``rounds`` (symbol, start_us, ...) with the number of the session that runs at their start: the newest one begun by then, else null."""
+    begun = sessions.select("symbol", F.col("start_us").alias("us"), F.col("session_num").alias("event_id"), F.col("session_num").cast("double").alias("price"))
+    found = price_asof(rounds, begun, "start_us", forward=False)
+    return found.withColumn("session_num", F.col("price").cast("bigint")).drop("price")

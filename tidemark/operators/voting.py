@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import fold
+from tidemark.operators.ordered import running
 
 ROLLING = 100
 
 
 def rolling_accuracy(outcomes: DataFrame, window: int = ROLLING) -> DataFrame:
-    """Outcomes (engine, at_us, symbol, correct not null) with n_seen and accuracy over the last ``window`` of their engine, own one included."""
-    order = Window.partitionBy("engine").orderBy("at_us", "symbol").rowsBetween(-(window - 1), 0)
-    hit = F.col("correct").cast("int")
-    return outcomes.where("correct IS NOT NULL").withColumn("n_seen", F.count(hit).over(order)).withColumn("accuracy", F.avg(hit).over(order))
+    """Outcomes (engine, at_us, symbol, correct not null) with n_seen and accuracy over the last ``window`` of their engine, own one included.
+
+    Running hits at the engine's n-th outcome less those at its (n - window)-th; an engine's outcomes are dealt to blocks of time.
+    """
+    known = outcomes.where("correct IS NOT NULL")
+    rows = running(known, ["engine"], ["at_us", "symbol"], {"_n": F.lit(1), "_hits": F.col("correct").cast("int")})
+    old = rows.select("engine", (F.col("_n") + window).alias("_n"), F.col("_hits").alias("_before"))
+    rows = rows.join(old, ["engine", "_n"], "left").withColumn("n_seen", F.least("_n", F.lit(window)))
+    return rows.withColumn("accuracy", (F.col("_hits") - F.coalesce("_before", F.lit(0))) / F.col("n_seen")).drop("_n", "_hits", "_before")
 
 
 def holt_slope(series: Column, level: float = 0.3, trend: float = 0.1) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 TICKS = "ticks AS (SELECT event_type AS symbol, epoch_us(ts) AS us, event_id, 1000000 + value AS price FROM events)"
 LENGTH, PLAY, HORIZON, CANDLE = 21_600_000_000, 10_800_000_000, 10_800_000_000, 3_600_000_000
 
@@ -47,18 +49,6 @@ BASELINES = f"""{ROUNDS},
              UNION ALL SELECT symbol, round_num, 'last_reverse', CASE last WHEN 1 THEN 'DOWN' WHEN 2 THEN 'UP' ELSE 'NO_SIGNAL' END FROM known
              UNION ALL SELECT symbol, round_num, 'majority', CASE WHEN 2 * up > n THEN 'UP' WHEN 2 * up < n THEN 'DOWN' ELSE 'NO_SIGNAL' END FROM known)"""
 
-OUTCOMES = f"""{BASELINES},
-    keyed AS (SELECT symbol, us, arg_max(price, event_id) AS price FROM ticks GROUP BY ALL),
-    firsts AS (SELECT symbol, us, arg_min(price, event_id) AS price FROM ticks GROUP BY ALL),
-    priced AS (SELECT r.symbol, r.round_num, r.cutoff_us AS at_us, r.cutoff_us + {HORIZON} AS target_us, a.price AS price_then, coalesce(b.price, f.price) AS actual_price
-               FROM rounds r ASOF LEFT JOIN keyed a ON a.symbol = r.symbol AND r.cutoff_us >= a.us
-               ASOF LEFT JOIN keyed b ON b.symbol = r.symbol AND r.cutoff_us + {HORIZON} >= b.us
-               ASOF LEFT JOIN firsts f ON f.symbol = r.symbol AND r.cutoff_us + {HORIZON} < f.us),
-    judged AS (SELECT says.*, at_us, target_us, price_then, actual_price, actual_price - price_then AS moved,
-                      CASE WHEN actual_price > price_then THEN 'UP' WHEN actual_price < price_then THEN 'DOWN' WHEN actual_price = price_then THEN 'FLAT' END AS actual_direction
-               FROM says JOIN priced USING (symbol, round_num)),
-    outcomes AS (SELECT *, CASE WHEN direction IN ('UP', 'DOWN') AND actual_direction IS NOT NULL THEN direction = actual_direction END AS correct FROM judged)"""
-
 STATS = """SELECT engine, count(*) AS total, count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT correct) AS n_incorrect, count(*) FILTER (correct IS NULL) AS n_pending
            FROM outcomes WHERE direction IN ('UP', 'DOWN') GROUP BY engine"""
 
@@ -77,12 +67,6 @@ def verdict(up: str, n: str, least: int = 40) -> str:
                round(CASE WHEN {n} >= {least} AND {low} > 0.5 THEN {low} WHEN {n} >= {least} AND {high} < 0.5 THEN 1 - ({high}) END, 9) AS confidence"""
 
 
-RESIDUES = f"""{TICKS},
-    keyed AS (SELECT symbol, us, arg_max(price, event_id) AS price FROM ticks GROUP BY ALL),
-    observed AS (SELECT CAST(CAST(trunc(t.price * 100000) AS BIGINT) % 7 AS VARCHAR) AS signature, t.us, t.event_id, t.us + {HORIZON} AS label_us,
-                        CASE WHEN k.price > t.price THEN 'UP' WHEN k.price < t.price THEN 'DOWN' ELSE 'FLAT' END AS result
-                 FROM ticks t ASOF JOIN keyed k ON k.symbol = t.symbol AND t.us + {HORIZON} >= k.us)"""
-
 MESSAGES = """m AS (SELECT event_id, CASE WHEN user_id = 0 THEN 'ping' ELSE 'tick' END AS cmd, event_type AS symbol, value AS price, epoch_us(ts) // 1000 AS tick_ms, epoch_us(ts) // 1000 + user_id AS received_ms FROM events),
     judged AS (SELECT *, CASE WHEN cmd <> 'tick' THEN 'wrong_cmd' WHEN symbol <> 'purchase' THEN 'wrong_symbol' WHEN NOT (price > 100 AND price < 1e7) THEN 'bad_price'
                               WHEN NOT (tick_ms > 1577836800000 AND tick_ms < 4102444800000) THEN 'bad_time' END AS reason FROM m)"""
@@ -97,22 +81,120 @@ LABOUCHERE = (
     + "".join(f", q{i} AS (SELECT * REPLACE ({_STEP.format(a=8 - i, b=7 - i)} AS s) FROM q{i - 1})" for i in range(1, 8))
 )
 
-OBSERVED_CANDLES = f"""{SIGNATURES},
-    following AS (SELECT *, lead(c) OVER (PARTITION BY symbol ORDER BY bucket) AS next_c FROM signed),
-    observations AS (SELECT symbol, bucket, CASE WHEN next_c > c THEN 'UP' WHEN next_c < c THEN 'DOWN' END AS next_outcome,
-                            list_sort(['feat.symbol=' || symbol, 'feat.class=' || class, 'feat.position=' || position, 'feat.prev_dir=' || prev_dir, 'feat.streak=' || streak]) AS atoms FROM following),
-    chosen AS (SELECT atoms[i] AS a, atoms[j] AS b, next_outcome FROM observations, range(1, 6) x(i), range(1, 6) y(j) WHERE i < j AND next_outcome IS NOT NULL),
-    support AS (SELECT CAST(to_json([a, b]) AS VARCHAR) AS key, count(*) AS n, count(*) FILTER (next_outcome = 'UP') AS up, count(*) FILTER (next_outcome = 'DOWN') AS down FROM chosen GROUP BY ALL)"""
+def _dwell(core: str, rows: str, back: int, tag: str = "") -> str:
+    """CTE ``binned{tag}``: rows with dwell_bin, from the newest row among the last ``back`` whose successor on has one core."""
+    return f"""numbered{tag} AS (SELECT *, row_number() OVER {_W} AS rn FROM {rows}),
+    last_other{tag} AS (SELECT a.symbol, a.rn, max(b.rn) FILTER (b.{core} IS DISTINCT FROM a.{core}) AS other, min(b.rn) AS oldest
+                   FROM numbered{tag} a JOIN numbered{tag} b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - {back - 1} AND a.rn GROUP BY ALL),
+    dwelt{tag} AS (SELECT a.*, (a.us - s.us) / 1e6 AS held FROM numbered{tag} a JOIN last_other{tag} o ON o.symbol = a.symbol AND o.rn = a.rn
+              JOIN numbered{tag} s ON s.symbol = a.symbol AND s.rn = coalesce(o.other + 1, o.oldest)),
+    binned{tag} AS (SELECT *, CASE WHEN held < 1440 THEN 0 WHEN held < 5760 THEN 1 WHEN held < 14400 THEN 2 ELSE 3 END AS dwell_bin FROM dwelt{tag})"""
+
+
+def _speed(*features: str) -> str:
+    """How fast features have moved since the fourth tick before, as a bin."""
+    moved = " + ".join(f"abs({f} - lag({f}, 4) OVER {_W})" for f in features)
+    speed = f"CASE WHEN us - lag(us, 4) OVER {_W} > 0 THEN ({moved}) / ((us - lag(us, 4) OVER {_W}) / 1e6) END"
+    return f"CASE WHEN {speed} >= 0.30 / 720 THEN 2 WHEN {speed} >= 0.05 / 720 THEN 1 ELSE 0 END"
+
+
+def _after_ticks(ctes: str) -> str:
+    """The CTEs without the first one, which all of them share."""
+    return ctes.removeprefix(TICKS).lstrip(" ,\n")
+
 
+CRT = f"""{TICKS}, crt_v AS (SELECT symbol, us, event_id, CAST(trunc(price * 100000) AS BIGINT) % 1001 AS v FROM ticks),
+    crt_r AS (SELECT symbol, us, event_id, 'crt:' || v % 7 || '-' || v % 11 || '-' || v % 13 AS core FROM crt_v), {_dwell("core", "crt_r", 15, "_crt")},
+    crt_signed AS (SELECT symbol, us, event_id, core, dwell_bin, core || '_dw' || dwell_bin AS signature FROM binned_crt)"""
 
-def _dwell(core: str, rows: str, back: int) -> str:
-    """CTE ``dwelt``: rows with dwell_bin, from the newest row among the last ``back`` whose successor on has one core."""
-    return f"""numbered AS (SELECT *, row_number() OVER {_W} AS rn FROM {rows}),
-    last_other AS (SELECT a.symbol, a.rn, max(b.rn) FILTER (b.{core} IS DISTINCT FROM a.{core}) AS other, min(b.rn) AS oldest
-                   FROM numbered a JOIN numbered b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - {back - 1} AND a.rn GROUP BY ALL),
-    dwelt AS (SELECT a.*, (a.us - s.us) / 1e6 AS held FROM numbered a JOIN last_other o ON o.symbol = a.symbol AND o.rn = a.rn
-              JOIN numbered s ON s.symbol = a.symbol AND s.rn = coalesce(o.other + 1, o.oldest)),
-    binned AS (SELECT *, CASE WHEN held < 1440 THEN 0 WHEN held < 5760 THEN 1 WHEN held < 14400 THEN 2 ELSE 3 END AS dwell_bin FROM dwelt)"""
+STAKED = f"""{LABOUCHERE},
+    lab_r AS (SELECT symbol, us, event_id, len(s) AS n, list_sum(s) AS total, CASE WHEN p1 IS NOT NULL THEN 'lab:' || CASE WHEN p0 > p1 THEN 'win' WHEN p0 < p1 THEN 'loss' ELSE 'flat' END || ':len' || len(s) || '_sum' || CAST(list_sum(s) AS BIGINT) END AS core FROM q7),
+    lab_v AS (SELECT *, {_speed("n", "total")} AS velocity_bin FROM lab_r), {_dwell("core", "lab_v", 12, "_lab")},
+    lab_signed AS (SELECT symbol, us, event_id, core || '_dw' || dwell_bin || '_v' || velocity_bin AS signature FROM binned_lab)"""
+
+ENTROPIES = f"""{TICKS}, ent_w AS (SELECT symbol, us, event_id, price, list(price) OVER (PARTITION BY symbol ORDER BY us, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS p FROM ticks),
+    ent_pat AS (SELECT *, [CASE WHEN p[i] <= p[i + 1] THEN 4 ELSE 0 END + CASE WHEN p[i] <= p[i + 2] THEN 2 ELSE 0 END + CASE WHEN p[i + 1] <= p[i + 2] THEN 1 ELSE 0 END FOR i IN range(1, len(p) - 1)] AS o,
+                   [ln(p[i]) - ln(p[i - 1]) FOR i IN range(2, len(p) + 1)] AS r FROM ent_w),
+    ent_b AS (SELECT *, [least(CAST(trunc((x - list_min(r)) / (list_max(r) - list_min(r)) * 8) AS BIGINT), 7) FOR x IN r] AS rb FROM ent_pat WHERE len(p) >= 4),
+    ent_h AS (SELECT symbol, us, event_id, [len(list_filter(o, lambda x: x = k)) FOR k IN range(8)] AS po, [len(list_filter(rb, lambda x: x = k)) FOR k IN range(8)] AS ro, len(o) AS no, len(r) AS nr, list_max(r) > list_min(r) AS moves FROM ent_b),
+    ent AS (SELECT t.symbol, t.us, t.event_id, t.price, list_sum([CASE WHEN c > 0 THEN -(c / no) * ln(c / no) ELSE 0.0 END FOR c IN po]) / ln(6) AS pe,
+                   CASE WHEN moves THEN list_sum([CASE WHEN c > 0 THEN -(c / nr) * ln(c / nr) ELSE 0.0 END FOR c IN ro]) / ln(8) WHEN moves IS NOT NULL THEN 0.0 END AS re
+            FROM ticks t LEFT JOIN ent_h USING (symbol, us, event_id))"""
+
+_QUARTER = "CASE WHEN {0} <= 0 THEN 0 WHEN {0} >= 1 THEN 3 ELSE CAST(trunc({0} * 4) AS INTEGER) END"
+ENTROPY_SIGNED = f"""{ENTROPIES},
+    ent_n AS (SELECT *, row_number() OVER {_W} AS seen, lag(price) OVER {_W} AS before, {_speed("pe", "re")} AS velocity_bin FROM ent),
+    ent_r AS (SELECT symbol, us, event_id, velocity_bin, CASE WHEN seen >= 8 THEN 'ent:p' || {_QUARTER.format("pe")} || '_r' || {_QUARTER.format("re")} || '_d' || CASE WHEN price > before THEN 'U' WHEN price < before THEN 'D' ELSE 'F' END END AS core FROM ent_n),
+    {_dwell("core", "ent_r", 10, "_ent")},
+    ent_signed AS (SELECT symbol, us, event_id, core, core || '_dw' || dwell_bin || '_v' || velocity_bin AS signature FROM binned_ent)"""
+
+# what the engines say at every cutoff: their newest signature, and what had followed it by then
+DIRECTED = f"""{BASELINES}, {_after_ticks(CRT)}, {_after_ticks(STAKED)}, {_after_ticks(ENTROPY_SIGNED)}, {_after_ticks(SIGNATURES)},
+    facts AS (SELECT 'crt' AS engine, symbol, us, event_id, signature FROM crt_signed UNION ALL SELECT 'labouchere', symbol, us, event_id, signature FROM lab_signed
+              UNION ALL SELECT 'entropy_regime', symbol, us, event_id, signature FROM ent_signed UNION ALL SELECT 'candlestick', symbol, (bucket + 1) * {CANDLE}, bucket, signature FROM signed),
+    newest AS (SELECT engine, symbol, us, arg_max(signature, event_id) AS signature FROM facts WHERE signature IS NOT NULL GROUP BY ALL),
+    asked AS (SELECT symbol, round_num, cutoff_us AS at_us, cutoff_us + {HORIZON} AS target_us, e.engine FROM rounds, (SELECT unnest(['crt', 'labouchere', 'entropy_regime', 'candlestick']) AS engine) e),
+    states AS (SELECT a.symbol, a.round_num, a.at_us, a.target_us, a.engine, n.signature FROM asked a ASOF LEFT JOIN newest n ON n.engine = a.engine AND n.symbol = a.symbol AND a.at_us >= n.us),
+    keyed AS (SELECT symbol, us, arg_max(price, event_id) AS price FROM ticks GROUP BY ALL),
+    firsts AS (SELECT symbol, us, arg_min(price, event_id) AS price FROM ticks GROUP BY ALL),
+    priced AS (SELECT r.symbol, r.round_num, r.cutoff_us AS at_us, r.cutoff_us + {HORIZON} AS target_us, a.price AS price_then, coalesce(b.price, f.price) AS actual_price
+               FROM rounds r ASOF LEFT JOIN keyed a ON a.symbol = r.symbol AND r.cutoff_us >= a.us
+               ASOF LEFT JOIN keyed b ON b.symbol = r.symbol AND r.cutoff_us + {HORIZON} >= b.us
+               ASOF LEFT JOIN firsts f ON f.symbol = r.symbol AND r.cutoff_us + {HORIZON} < f.us),
+    moved AS (SELECT *, CASE WHEN actual_price > price_then THEN 'UP' WHEN actual_price < price_then THEN 'DOWN' WHEN actual_price = price_then THEN 'FLAT' END AS result FROM priced),
+    labels AS (SELECT s.engine, s.signature, s.symbol, s.round_num, s.target_us, m.result FROM states s JOIN moved m USING (symbol, round_num) WHERE s.signature IS NOT NULL AND m.result IN ('UP', 'DOWN')),
+    recalled AS (SELECT s.symbol, s.round_num, s.at_us, s.engine, s.signature, l.result, row_number() OVER (PARTITION BY s.symbol, s.round_num, s.engine ORDER BY l.target_us DESC, l.symbol DESC, l.round_num DESC) AS k
+                 FROM states s LEFT JOIN labels l ON l.engine = s.engine AND l.signature = s.signature AND l.target_us <= s.at_us),
+    counted AS (SELECT symbol, round_num, at_us, engine, signature, count(result) FILTER (k <= 50) AS n_seen, count(*) FILTER (k <= 50 AND result = 'UP') AS up_seen FROM recalled GROUP BY ALL),
+    directed AS (SELECT *, {verdict("up_seen", "n_seen")} FROM counted)"""
+
+# atoms of the states, by kind, with their order of choice
+ATOMS = f"""{DIRECTED},
+    parsed AS (SELECT *, string_split(signature[strpos(signature, ':') + 1:], '_') AS ps FROM directed WHERE signature IS NOT NULL),
+    listed AS (SELECT symbol, round_num, engine, direction, signature,
+        list_concat([['namespace', split_part(signature, ':', 1)]], CASE engine
+            WHEN 'crt' THEN [['a', split_part(ps[1], '-', 1)], ['b', split_part(ps[1], '-', 2)], ['c', split_part(ps[1], '-', 3)],
+                 ['sum', CAST(CAST(split_part(ps[1], '-', 1) AS INT) + CAST(split_part(ps[1], '-', 2) AS INT) + CAST(split_part(ps[1], '-', 3) AS INT) AS VARCHAR)],
+                 ['repeated', CASE WHEN len(list_distinct(string_split(ps[1], '-'))) < 3 THEN 'true' ELSE 'false' END], ['dw', ps[2][3:]]]
+            WHEN 'labouchere' THEN [['result', ps[1]], ['sum', ps[2][4:]], ['dw', ps[3][3:]], ['v', ps[4][2:]]]
+            WHEN 'entropy_regime' THEN [['p', ps[1][2:]], ['r', ps[2][2:]], ['d', ps[3][2:]], ['dw', ps[4][3:]], ['v', ps[5][2:]]]
+            ELSE list_concat([['part' || (i - 1), ps[i]] FOR i IN range(1, len(ps) + 1)], [['form', CASE WHEN list_contains(ps, 'body') THEN 'body' ELSE ps[1] END],
+                 ['dircode', CASE WHEN ps[2] IN ('mid', 'bull', 'bear', 'hi', 'lo') THEN ps[2] WHEN list_contains(ps, 'mid') THEN 'mid' END], ['st', ps[len(ps)][3:]],
+                 ['candle_dir', CASE WHEN ps[len(ps) - 1] IN ('D', 'U') THEN ps[len(ps) - 1] END]]) END) AS fs FROM parsed),
+    spread AS (SELECT symbol, round_num, engine, unnest(fs) AS f FROM listed),
+    atoms AS (SELECT symbol, round_num, 'exact_signature' AS kind, engine, 'signature' AS feature, 'sig.' || engine || '=' || signature AS atom, 0 AS rank, 0 AS prio FROM listed
+              UNION ALL SELECT symbol, round_num, 'direction', engine, 'direction', 'dir.' || engine || '=' || direction, 1, 0 FROM listed WHERE direction <> 'NO_SIGNAL'
+              UNION ALL SELECT DISTINCT symbol, round_num, 'structural', engine, f[1], 'feat.' || engine || '.' || f[1] || '=' || f[2], 2,
+                        CASE WHEN f[1] IN ('dw', 'a', 'b', 'c') THEN -90 WHEN f[1] = 'form' THEN -88 WHEN f[1] IN ('sum', 'p', 'dircode') THEN -85 WHEN f[1] IN ('repeated', 'v') THEN -80
+                             WHEN f[1] = 'r' THEN -75 WHEN f[1] IN ('namespace', 'result') THEN -20 ELSE -10 END FROM spread WHERE f[2] IS NOT NULL),
+    chosen AS (SELECT *, row_number() OVER (PARTITION BY symbol, round_num ORDER BY rank, prio, engine, atom) AS k FROM atoms),
+    selected AS (SELECT symbol, round_num, list(atom ORDER BY atom) AS atoms FROM chosen WHERE k <= 28 GROUP BY ALL)"""
+
+STATE_PAIRS = f"""{ATOMS},
+    following AS (SELECT symbol, round_num, lead(raw_direction) OVER (PARTITION BY symbol ORDER BY round_num) AS next_outcome FROM rounds),
+    paired AS (SELECT s.atoms[i] AS a, s.atoms[j] AS b, next_outcome FROM selected s JOIN following USING (symbol, round_num), range(1, 29) x(i), range(1, 29) y(j)
+               WHERE i < j AND j <= len(s.atoms) AND next_outcome IN ('UP', 'DOWN')),
+    support AS (SELECT CAST(to_json([a, b]) AS VARCHAR) AS key, count(*) AS n, count(*) FILTER (next_outcome = 'UP') AS up, count(*) FILTER (next_outcome = 'DOWN') AS down FROM paired GROUP BY ALL)"""
+
+_SETS = [list(c) for size in (2, 3, 4) for c in itertools.combinations(range(1, 6), size)]
+CANDLE_SETS = f"""{SIGNATURES},
+    after AS (SELECT *, lead(c) OVER w AS next_c, lead(bucket) OVER w AS next_bucket FROM signed WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    seen AS (SELECT symbol, bucket, (bucket + 1) * {CANDLE} AS us, (next_bucket + 1) * {CANDLE} AS label_us, CASE WHEN next_c > c THEN 'UP' WHEN next_c < c THEN 'DOWN' END AS next_outcome,
+                    list_sort(['feat.symbol=' || symbol, 'feat.class=' || class, 'feat.position=' || position, 'feat.prev_dir=' || prev_dir, 'feat.streak=' || streak]) AS atoms FROM after),
+    sets AS (SELECT symbol, bucket, us, label_us, next_outcome, len(i) AS size, [atoms[k] FOR k IN i] AS s, CAST(to_json([atoms[k] FOR k IN i]) AS VARCHAR) AS key FROM seen, (SELECT unnest({_SETS}) AS i) x)"""
+
+RECORDED = f"""{_after_ticks(CRT)}, {_after_ticks(STAKED)},
+    keyed AS (SELECT symbol, us, arg_max(price, event_id) AS price FROM ticks GROUP BY ALL),
+    moved AS (SELECT t.symbol, t.us, t.event_id, CASE WHEN k.price > t.price THEN 'UP' WHEN k.price < t.price THEN 'DOWN' ELSE 'FLAT' END AS result
+              FROM ticks t ASOF JOIN keyed k ON k.symbol = t.symbol AND t.us + {HORIZON} >= k.us),
+    says AS (SELECT symbol, us, event_id, signature FROM crt_signed UNION ALL SELECT symbol, us, event_id, signature FROM lab_signed),
+    observed AS (SELECT signature, us, event_id, us + {HORIZON} AS label_us, result FROM says JOIN moved USING (symbol, us, event_id) WHERE signature IS NOT NULL)"""
+RESIDUES = f"{TICKS}, {RECORDED}"
+
+OUTCOMES = f"""{DIRECTED},
+    spoken AS (SELECT symbol, round_num, engine, direction FROM says UNION ALL SELECT symbol, round_num, engine, direction FROM directed),
+    judged AS (SELECT spoken.*, at_us, target_us, price_then, actual_price, actual_price - price_then AS moved, result AS actual_direction FROM spoken JOIN moved USING (symbol, round_num)),
+    outcomes AS (SELECT *, CASE WHEN direction IN ('UP', 'DOWN') AND actual_direction IS NOT NULL THEN direction = actual_direction END AS correct FROM judged)"""
 
 
 ORACLE_SQL = {
@@ -156,14 +238,15 @@ ORACLE_SQL = {
         SELECT engine, total, n_correct, n_incorrect, n_pending, round(acc, 9) AS accuracy,
                CASE WHEN total = 0 THEN 'learning' WHEN acc IS NULL THEN 'pending' WHEN acc >= 0.55 THEN 'edge' WHEN acc >= 0.5 THEN 'marginal' ELSE 'below_chance' END AS label FROM a""",
     "signals_zero_filled": f"""WITH {OUTCOMES}, g AS ({STATS}),
-        k AS (SELECT unnest(['always_down', 'always_up', 'last_continue', 'last_reverse', 'majority', 'crt', 'labouchere', 'candlestick']) AS engine)
+        k AS (SELECT unnest(['always_down', 'always_up', 'last_continue', 'last_reverse', 'majority', 'crt', 'labouchere', 'trig_euler', 'entropy_regime', 'superformula', 'navier_stokes', 'candlestick',
+                             'momentum', 'trail_tracer', 'curve_geometry', 'ns_flow', 'trajectory', 'projectile']) AS engine)
         SELECT engine, coalesce(total, 0) AS total, coalesce(n_correct, 0) AS n_correct, coalesce(n_incorrect, 0) AS n_incorrect, coalesce(n_pending, 0) AS n_pending,
                round(CAST(n_correct AS DOUBLE) / nullif(n_correct + n_incorrect, 0), 9) AS accuracy FROM k LEFT JOIN g USING (engine)""",
     "signals_recent": f"""WITH {OUTCOMES} SELECT engine, symbol, round_num, direction, at_us, actual_direction, correct FROM outcomes WHERE direction IN ('UP', 'DOWN')
         ORDER BY at_us DESC, symbol, engine LIMIT 50""",
     "rolling_engine_accuracy": f"""WITH {OUTCOMES} SELECT engine, symbol, at_us, count(*) OVER w AS n_seen, round(avg(CAST(correct AS INTEGER)) OVER w, 9) AS accuracy FROM outcomes WHERE correct IS NOT NULL
         WINDOW w AS (PARTITION BY engine ORDER BY at_us, symbol ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
-    "picked_direction": f"""WITH {BASELINES}, o AS (SELECT *, list_position(['majority', 'last_reverse', 'last_continue', 'always_up'], engine) AS k FROM says),
+    "picked_direction": f"""WITH {OUTCOMES}, o AS (SELECT *, list_position(['crt', 'labouchere', 'entropy_regime', 'candlestick', 'majority', 'last_reverse', 'last_continue', 'always_up'], engine) AS k FROM spoken),
         r AS (SELECT *, row_number() OVER (PARTITION BY symbol, round_num ORDER BY direction = 'NO_SIGNAL', k) AS first FROM o WHERE k IS NOT NULL)
         SELECT symbol, round_num, engine, direction FROM r WHERE first = 1""",
     "combination_memory": f"""WITH {BASELINES}, c AS (SELECT symbol, round_num, string_agg(engine || ':' || direction, '|' ORDER BY engine || ':' || direction) AS combination FROM says WHERE direction <> 'NO_SIGNAL' GROUP BY ALL),
@@ -172,19 +255,10 @@ ORACLE_SQL = {
         SELECT *, round(CAST(up_recent AS DOUBLE) / n_recent, 9) AS recent_rate, {verdict("up_recent", "n_recent")} FROM g""",
     "prediction_lead": f"""WITH {TICKS}, c AS (SELECT *, us // {LENGTH} * {LENGTH} + {PLAY} AS cutoff FROM ticks), l AS (SELECT *, CAST(trunc((cutoff - 720000000 - us) / 1000) AS BIGINT) AS lead_ms FROM c)
         SELECT symbol, us, event_id, lead_ms, CASE WHEN us >= cutoff THEN 'INVALID' WHEN lead_ms < 720000 THEN 'LATE' ELSE 'LOCKED' END AS status FROM l""",
-    "crt_signature": f"""WITH {TICKS}, v AS (SELECT symbol, us, event_id, CAST(trunc(price * 100000) AS BIGINT) % 1001 AS v FROM ticks),
-        r AS (SELECT symbol, us, event_id, 'crt:' || v % 7 || '-' || v % 11 || '-' || v % 13 AS core FROM v), {_dwell("core", "r", 15)}
-        SELECT symbol, us, event_id, core, dwell_bin, core || '_dw' || dwell_bin AS signature FROM binned""",
+    "crt_signature": f"WITH {CRT} SELECT * FROM crt_signed",
     "labouchere_sequence": f"""WITH {LABOUCHERE} SELECT symbol, us, event_id, CASE WHEN p1 IS NULL THEN 'none' WHEN p0 > p1 THEN 'win' WHEN p0 < p1 THEN 'loss' ELSE 'flat' END AS transition,
         CAST(len(s) AS INTEGER) AS seq_len, CAST(list_sum(s) AS BIGINT) AS seq_sum FROM q7""",
-    "entropy_regime": f"""WITH {TICKS}, w AS (SELECT symbol, us, event_id, list(price) OVER (PARTITION BY symbol ORDER BY us, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS p FROM ticks),
-        pat AS (SELECT *, [CASE WHEN p[i] <= p[i + 1] THEN 4 ELSE 0 END + CASE WHEN p[i] <= p[i + 2] THEN 2 ELSE 0 END + CASE WHEN p[i + 1] <= p[i + 2] THEN 1 ELSE 0 END FOR i IN range(1, len(p) - 1)] AS o,
-                       [ln(p[i]) - ln(p[i - 1]) FOR i IN range(2, len(p) + 1)] AS r FROM w),
-        b AS (SELECT *, [least(CAST(trunc((x - list_min(r)) / (list_max(r) - list_min(r)) * 8) AS BIGINT), 7) FOR x IN r] AS rb FROM pat WHERE len(p) >= 4),
-        h AS (SELECT symbol, us, event_id, [len(list_filter(o, lambda x: x = k)) FOR k IN range(8)] AS po, [len(list_filter(rb, lambda x: x = k)) FOR k IN range(8)] AS ro, len(o) AS no, len(r) AS nr, list_max(r) > list_min(r) AS moves FROM b)
-        SELECT t.symbol, t.us, t.event_id, round(list_sum([CASE WHEN c > 0 THEN -(c / no) * ln(c / no) ELSE 0.0 END FOR c IN po]) / ln(6), 6) AS permutation_entropy,
-               round(CASE WHEN moves THEN list_sum([CASE WHEN c > 0 THEN -(c / nr) * ln(c / nr) ELSE 0.0 END FOR c IN ro]) / ln(8) WHEN moves IS NOT NULL THEN 0.0 END, 6) AS return_entropy
-        FROM ticks t LEFT JOIN h USING (symbol, us, event_id)""",
+    "entropy_regime": f"WITH {ENTROPIES} SELECT symbol, us, event_id, round(pe, 6) AS permutation_entropy, round(re, 6) AS return_entropy FROM ent",
     "return_volatility": f"""WITH {TICKS}, r AS (SELECT *, price / lag(price) OVER {_W} - 1 AS r FROM ticks),
         v AS (SELECT symbol, us, event_id, count(r) OVER f AS n, stddev_samp(r) OVER f AS volatility FROM r WINDOW f AS (PARTITION BY symbol ORDER BY us, event_id ROWS BETWEEN 18 PRECEDING AND CURRENT ROW))
         SELECT symbol, us, event_id, n, round(volatility, 9) AS volatility, CASE WHEN volatility < 0.00005 THEN 0 WHEN volatility < 0.0002 THEN 1 ELSE 2 END AS terrain FROM v WHERE n >= 2""",
@@ -197,8 +271,8 @@ ORACLE_SQL = {
         g AS (SELECT signature, us, event_id, count(up) FILTER (k <= 50) AS n_seen, CAST(coalesce(sum(up) FILTER (k <= 50), 0) AS BIGINT) AS up_seen FROM j GROUP BY ALL)
         SELECT *, {verdict("up_seen", "n_seen")} FROM g""",
     "patterns_topk": f"""WITH {SIGNATURES} SELECT signature, count(*) AS n FROM signed WHERE signature LIKE 'cs:body%' GROUP BY signature HAVING count(*) >= 2 ORDER BY n DESC, signature LIMIT 20""",
-    "pair_support": f"WITH {OBSERVED_CANDLES} SELECT * FROM support",
-    "interaction_ranking": f"""WITH {OBSERVED_CANDLES} SELECT key, sha256(key) AS hash, n, up, round((up + 4) / (n + 8), 9) AS p, round(abs((up + 4) / (n + 8) - 0.5) * sqrt(n), 9) AS score FROM support WHERE n >= 5""",
+    "pair_support": f"WITH {STATE_PAIRS} SELECT * FROM support",
+    "interaction_ranking": f"""WITH {STATE_PAIRS} SELECT key, sha256(key) AS hash, n, up, round((up + 4) / (n + 8), 9) AS p, round(abs((up + 4) / (n + 8) - 0.5) * sqrt(n), 9) AS score FROM support WHERE n >= 5""",
     "props_keys": """WITH k AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
         SELECT event_type, k // 10 AS tens, count(*) AS n, round(sum(value), 4) AS value FROM k WHERE k IS NOT NULL GROUP BY ALL""",
     "feed_status": f"""WITH {TICKS}, g AS (SELECT symbol, max(us) AS last_us, count(*) AS n FROM ticks GROUP BY symbol), a AS (SELECT symbol, n, ((SELECT max(us) FROM ticks) - last_us) / 1e6 AS age_s FROM g),
@@ -218,4 +292,35 @@ ORACLE_SQL = {
         c AS (SELECT *, (qy - tq / tt * ty) / (qq - tq / tt * tq) AS c2 FROM a), d AS (SELECT *, (ty - c2 * tq) / tt AS c1 FROM c)
         SELECT symbol, round_num, n AS n_points, round(my - c1 * mt - c2 * mq, 6) + 0.0 AS y0, round(sqrt(greatest(0.0, yy - c1 * ty - c2 * qy) / n), 6) AS rms FROM d""",
     "revenue_by_flag": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL""",
+    "labouchere_signature": f"WITH {STAKED} SELECT * FROM lab_signed",
+    "entropy_signature": f"WITH {ENTROPY_SIGNED} SELECT * FROM ent_signed",
+    "engine_directions": f"WITH {DIRECTED} SELECT symbol, round_num, at_us, engine, signature, n_seen, up_seen, direction, confidence FROM directed",
+    "signature_outcomes": f"""WITH {DIRECTED} SELECT engine, signature, count(*) AS occurrences, count(*) FILTER (result = 'UP') AS ups, count(*) FILTER (result = 'DOWN') AS downs,
+        count(*) FILTER (direction <> 'NO_SIGNAL' AND direction = result) AS n_correct, count(*) FILTER (direction <> 'NO_SIGNAL' AND direction <> result) AS n_incorrect
+        FROM directed JOIN moved USING (symbol, round_num) WHERE signature IS NOT NULL AND result IS NOT NULL GROUP BY ALL""",
+    "memory_by_engine": f"""WITH {DIRECTED}, g AS (SELECT engine, signature, count(*) AS n, count(*) FILTER (result = 'UP') AS ups, count(*) FILTER (result = 'DOWN') AS downs
+        FROM directed JOIN moved USING (symbol, round_num) WHERE signature IS NOT NULL AND result IS NOT NULL GROUP BY ALL)
+        SELECT engine, count(*) AS n_signatures, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(ups) AS BIGINT) AS ups, CAST(sum(downs) AS BIGINT) AS downs, count(*) FILTER (ups + downs >= 40) AS n_usable,
+               arg_min(signature, (-n, signature)) AS most_frequent FROM g GROUP BY engine""",
+    "state_json": f"""WITH {DIRECTED} SELECT symbol, round_num, CAST(to_json(list([engine, direction, signature] ORDER BY engine)) AS VARCHAR) AS state_json, count(*) AS n_signatures,
+        count(*) FILTER (direction <> 'NO_SIGNAL') AS n_directional FROM directed WHERE signature IS NOT NULL GROUP BY ALL""",
+    "atom_extract": f"WITH {ATOMS} SELECT kind, engine, feature, atom, count(*) AS n FROM atoms GROUP BY ALL",
+    "atom_select": f"WITH {ATOMS} SELECT symbol, round_num, array_to_string(atoms, ' ') AS atoms FROM selected",
+    "apriori_rules": f"""WITH {CANDLE_SETS}, g AS (SELECT size, s, key, count(*) AS n, count(*) FILTER (next_outcome = 'UP') AS up, count(*) FILTER (next_outcome = 'DOWN') AS down FROM sets WHERE next_outcome IS NOT NULL GROUP BY ALL),
+        kept AS (SELECT list(key) AS ks FROM g WHERE size = 2 AND n >= 5),
+        whole AS (SELECT g.*, list_filter(flatten([[CAST(to_json([s[i], s[j]]) AS VARCHAR) FOR j IN range(i + 1, len(s) + 1)] FOR i IN range(1, len(s))]), lambda x: NOT list_contains(ks, x)) AS missing FROM g, kept WHERE n >= 5)
+        SELECT CAST(size AS INTEGER) AS size, key, n, up, down, round((up + 4) / (n + 8), 9) AS p FROM whole WHERE size = 2 OR len(missing) = 0""",
+    "interaction_sway": f"""WITH {CANDLE_SETS}, e AS (SELECT key, label_us AS t, 0 AS kind, NULL AS symbol, NULL AS bucket, CASE next_outcome WHEN 'UP' THEN 1 ELSE 0 END AS up FROM sets WHERE next_outcome IS NOT NULL
+                UNION ALL SELECT key, us, 1, symbol, bucket, NULL FROM sets),
+        r AS (SELECT *, count(up) OVER w AS n, coalesce(sum(up) OVER w, 0) AS ups FROM e WINDOW w AS (PARTITION BY key ORDER BY t, kind RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        m AS (SELECT symbol, bucket, key, n, (ups + 4) / (n + 8) AS p FROM r WHERE kind = 1 AND n >= 5),
+        b AS (SELECT *, row_number() OVER (PARTITION BY symbol, bucket ORDER BY abs(p - 0.5) * sqrt(n) DESC, n DESC, key) AS k FROM m WHERE abs(p - 0.5) >= 0.04),
+        f AS (SELECT symbol, bucket, count(*) AS n_matched, sum(p * sqrt(n)) / sum(sqrt(n)) AS p_up FROM b WHERE k <= 24 GROUP BY ALL)
+        SELECT symbol, bucket, n_matched, round(p_up, 9) AS p_up, CASE WHEN p_up > 0.55 THEN 'UP' WHEN 1 - p_up > 0.55 THEN 'DOWN' ELSE 'NO_SIGNAL' END AS direction FROM f""",
+    "rounds_sessions": f"""WITH {ROUNDS}, gaps AS (SELECT symbol, us, event_id, us - lag(us) OVER {_W} AS gap_us FROM ticks),
+        s AS (SELECT symbol, us, CAST(sum(CASE WHEN gap_us >= 7200000000 THEN 1 ELSE 0 END) OVER {_W} AS BIGINT) AS session_num FROM gaps),
+        b AS (SELECT symbol, session_num, min(us) AS us FROM s GROUP BY ALL), n AS (SELECT symbol, us, max(session_num) AS session_num FROM b GROUP BY ALL)
+        SELECT r.symbol, r.round_num, r.start_us, n.session_num FROM rounds r ASOF LEFT JOIN n ON n.symbol = r.symbol AND r.start_us >= n.us""",
+    "ticks_before": f"""WITH {TICKS} SELECT symbol, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM ticks WHERE us BETWEEN 1705000000000000 - 86400000000 AND 1705000000000000 GROUP BY symbol""",
+    "change_from_first": f"""WITH {CANDLES}, f AS (SELECT symbol, arg_min(c, bucket) AS first_c FROM candles GROUP BY symbol) SELECT symbol, bucket, round((c - first_c) / first_c * 100, 9) AS change FROM candles JOIN f USING (symbol)""",
 }

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SPARSE, micros
 from tidemark.functions.columns import beta_shrunk, ratio, wilson
-from tidemark.operators import engines, interactions
-from tidemark.operators.asof import next_ticks, price_asof, range_join
+from tidemark.operators import engines, interactions, shell
+from tidemark.operators.asof import next_ticks, price_asof, range_join, within
 from tidemark.operators.baselines import baselines
 from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.evaluate import accuracy_label, outcomes, prediction_status, predictions
 from tidemark.operators.memory import latest_rates, point_in_time
 from tidemark.operators.projectile import projectile
 from tidemark.operators.seeds import seed_votes
-from tidemark.operators.sessions import session_stats, with_sessions
+from tidemark.operators.sessions import rounds_in_sessions, session_stats, with_sessions
 from tidemark.operators.upserts import add_counts, insert_if_absent, latest_wins
 from tidemark.operators.voting import combinations, engine_weights, pick_direction, rolling_accuracy, weighted_vote
+from tidemark.scratch import materialize
 from tidemark.sources import feed
 from tidemark.sources.tables import events, rounds, table, ticks
 
@@ -83,6 +84,24 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_stats(ticks(spark, sf_dir), SESSION_GAP)
 
 
+def rounds_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each round with the session that runs at its start."""
+    r = _rounds(spark, sf_dir).select("symbol", "round_num", "start_us")
+    return rounds_in_sessions(r, session_stats(ticks(spark, sf_dir), SESSION_GAP))
+
+
+def ticks_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of the day before a stated moment, that moment included."""
+    return within(ticks(spark, sf_dir), F.lit(1_705_000_000_000_000), 86_400.0).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+def change_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candle's close in per cent of the symbol's first one."""
+    rows = candles(ticks(spark, sf_dir), SPARSE.candle)
+    first = rows.groupBy("symbol").agg(F.min_by("c", "bucket").alias("first_c"))
+    return rows.join(first, "symbol").select("symbol", "bucket", F.round((F.col("c") - F.col("first_c")) / F.col("first_c") * 100, 9).alias("change"))
+
+
 def rounds_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounds(spark, sf_dir)
 
@@ -134,10 +153,48 @@ def round_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- predictors and how they did
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column engines' signatures at every cutoff, with the direction that memory gives them; written, as much is built on it."""
     t = ticks(spark, sf_dir)
     r = rounds(t)
-    return outcomes(predictions(baselines(r), r, t, SPARSE), t)
+    states = materialize(shell.at_cutoffs(materialize(shell.column_facts(t, SPARSE), "facts"), r, shell.COLUMNS), "states")
+    return materialize(shell.directed(states, shell.moves(r, t, SPARSE)), "directed")
+
+
+def _says(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, round_num, engine, direction of the baselines and the column engines."""
+    return baselines(_rounds(spark, sf_dir)).unionByName(_directed(spark, sf_dir).select("symbol", "round_num", "engine", "direction"))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    return outcomes(predictions(_says(spark, sf_dir), rounds(t), t, SPARSE), t)
+
+
+def engine_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _directed(spark, sf_dir).select("symbol", "round_num", "at_us", "engine", "signature", "n_seen", "up_seen", "direction", F.round("confidence", 9).alias("confidence"))
+
+
+def signature_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What followed every engine's signatures, and whether the engine was right where it said a direction."""
+    t = ticks(spark, sf_dir)
+    moved = shell.moves(rounds(t), t, SPARSE).where("result IS NOT NULL").select("symbol", "round_num", "result")
+    rows = _directed(spark, sf_dir).where("signature IS NOT NULL").join(moved, ["symbol", "round_num"])
+    said = F.col("direction").isin("UP", "DOWN")
+    return rows.groupBy("engine", "signature").agg(
+        F.count(F.lit(1)).alias("occurrences"), F.count_if(F.col("result") == "UP").alias("ups"), F.count_if(F.col("result") == "DOWN").alias("downs"),
+        F.count_if(said & (F.col("result") == F.col("direction"))).alias("n_correct"), F.count_if(said & (F.col("result") != F.col("direction"))).alias("n_incorrect"),
+    )
+
+
+def memory_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per engine: how many signatures memory holds, their outcomes, those seen often enough to be used, and the most frequent one."""
+    rows = signature_outcomes(spark, sf_dir)
+    decided = F.col("ups") + F.col("downs")
+    return rows.groupBy("engine").agg(
+        F.count(F.lit(1)).alias("n_signatures"), F.sum("occurrences").alias("occurrences"), F.sum("ups").alias("ups"), F.sum("downs").alias("downs"), F.count_if(decided >= 40).alias("n_usable"),
+        F.min_by("signature", F.struct(-F.col("occurrences"), "signature")).alias("most_frequent"),
+    )
 
 
 def baselines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +218,7 @@ def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("label", accuracy_label(F.col("total"), F.col("accuracy"))).withColumn("accuracy", F.round("accuracy", 9))
 
 
-ENGINES = ("always_down", "always_up", "last_continue", "last_reverse", "majority", "crt", "labouchere", "candlestick")
+ENGINES = ("always_down", "always_up", "last_continue", "last_reverse", "majority", *shell.ORDER)
 
 
 def signals_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,13 +240,13 @@ def rolling_engine_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted vote of the baselines; rows only, as the weights fold a smoothing over time."""
+    """Weighted vote of baselines and engines; rows only, as the weights fold a smoothing over time."""
     rows = _outcomes(spark, sf_dir)
     return weighted_vote(rows, engine_weights(rows, window=50), ["symbol", "round_num"])
 
 
 def picked_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pick_direction(baselines(_rounds(spark, sf_dir)), ["symbol", "round_num"], ["majority", "last_reverse", "last_continue", "always_up"])
+    return pick_direction(_says(spark, sf_dir), ["symbol", "round_num"], [*shell.ORDER, "majority", "last_reverse", "last_continue", "always_up"])
 
 
 def combination_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,23 +327,24 @@ def momentum_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pattern memory
 
 
-def _crt_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tick's residues with the way the price went by the horizon."""
+def _tick_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick's signatures of two engines with the way the price went by the horizon."""
     t = ticks(spark, sf_dir)
-    core = F.pmod((F.col("price") * 100_000).cast("bigint"), F.lit(7)).cast("string")
-    rows = t.select("symbol", "us", "event_id", "price", core.alias("signature"), (F.col("us") + micros(SPARSE.horizon)).alias("target_us"))
-    priced = price_asof(rows.withColumnRenamed("price", "price_then"), t)
+    priced = price_asof(t.withColumnRenamed("price", "price_then").withColumn("target_us", F.col("us") + micros(SPARSE.horizon)), t)
     result = F.when(F.col("price") > F.col("price_then"), "UP").when(F.col("price") < F.col("price_then"), "DOWN").otherwise("FLAT")
-    return priced.select("signature", "us", "event_id", F.col("target_us").alias("label_us"), result.alias("result"))
+    moved = priced.select("symbol", "us", "event_id", F.col("target_us").alias("label_us"), result.alias("result"))
+    says = engines.crt(t, SPARSE).select("symbol", "us", "event_id", "signature").unionByName(engines.labouchere(t, SPARSE).select("symbol", "us", "event_id", "signature"))
+    rows = says.where("signature IS NOT NULL").join(moved, ["symbol", "us", "event_id"])
+    return materialize(rows.select("signature", "us", "event_id", "label_us", "result"), "observations")
 
 
 def wilson_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = latest_rates(_crt_observations(spark, sf_dir))
+    g = latest_rates(_tick_observations(spark, sf_dir))
     return g.select("signature", "occurrences", "ups", "n_recent", "up_recent", F.round("recent_rate", 9).alias("recent_rate"), "direction", F.round("confidence", 9).alias("confidence"))
 
 
 def pit_wilson_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = point_in_time(_crt_observations(spark, sf_dir))
+    rows = point_in_time(_tick_observations(spark, sf_dir))
     return rows.select("signature", "us", "event_id", "n_seen", "up_seen", "direction", F.round("confidence", 9).alias("confidence"))
 
 
@@ -300,15 +358,28 @@ def patterns_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per candle: its atoms and whether the next close is higher."""
+    """Per candle: its atoms, whether the next close is higher, when it closed and when the next one did."""
     rows = candlestick_signatures(ticks(spark, sf_dir), SPARSE)
-    nxt = F.lead("c").over(Window.partitionBy("symbol").orderBy("bucket"))
+    following = Window.partitionBy("symbol").orderBy("bucket")
+    nxt, closes = F.lead("c").over(following), micros(SPARSE.candle)
     atoms = F.array_sort(F.array(*(F.concat(F.lit(f"feat.{n}="), F.col(n).cast("string")) for n in ("symbol", "class", "position", "prev_dir", "streak"))))
-    return rows.select("symbol", "bucket", atoms.alias("atoms"), F.when(nxt > F.col("c"), "UP").when(nxt < F.col("c"), "DOWN").alias("next_outcome"))
+    return rows.select(
+        "symbol", "bucket", ((F.col("bucket") + 1) * closes).alias("us"), ((F.lead("bucket").over(following) + 1) * closes).alias("label_us"), atoms.alias("atoms"),
+        F.when(nxt > F.col("c"), "UP").when(nxt < F.col("c"), "DOWN").alias("next_outcome"),
+    )
+
+
+MOMENT = ["symbol", "round_num"]
+
+
+def _state_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every round with the chosen atoms of its engines' states and the next round's outcome."""
+    chosen = interactions.selected_atoms(interactions.atoms(_directed(spark, sf_dir), MOMENT), MOMENT)
+    return chosen.join(round_labels(spark, sf_dir).select(*MOMENT, "next_outcome"), MOMENT)
 
 
 def pair_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interactions.set_support(_observations(spark, sf_dir), interactions.pairs(F.col("atoms")))
+    return interactions.set_support(_state_atoms(spark, sf_dir), interactions.pairs(F.col("atoms")))
 
 
 def interaction_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,28 +392,25 @@ def apriori_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("size", "key", "n", "up", "down", F.round("p", 9).alias("p"))
 
 
-def interaction_sway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _observations(spark, sf_dir)
-    stats = interactions.set_support(rows, interactions.bounded_sets(F.col("atoms")))
-    return interactions.sway(rows, stats, ["symbol", "bucket"])
+def state_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules mined from the engines' states of every round; rows only."""
+    rows = interactions.mined_rules(_state_atoms(spark, sf_dir), MOMENT)
+    return rows.select("size", "key", "n", "up", "down", F.round("p", 9).alias("p"))
 
 
-def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir)
-    crt = engines.crt(t, SPARSE).select("symbol", "us", "event_id", F.lit("crt").alias("engine"), F.lit("NO_SIGNAL").alias("direction"), "signature")
-    lab = engines.labouchere(t, SPARSE).select("symbol", "us", "event_id", F.lit("labouchere").alias("engine"), F.when(F.col("transition") == "win", "UP").otherwise("NO_SIGNAL").alias("direction"), "signature")
-    return crt.unionByName(lab)
+def interaction_sway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interactions.sway(_observations(spark, sf_dir), ["symbol", "bucket"])
+    return rows.select("symbol", "bucket", "n_matched", F.round("p_up", 9).alias("p_up"), "direction")
 
 
 def seed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seed rules' vote at every tick, over the engines that are columns and two numeric ones."""
+    """The seed rules' vote at every round's cutoff over all engines; rows only, as some engines are numeric."""
     t = ticks(spark, sf_dir)
-    keys = ["symbol", "us", "event_id"]
-    outputs = _outputs(spark, sf_dir)
-    others = {"entropy_regime": engines.entropy_regime(t, SPARSE), **{n: engines.numeric(t, SPARSE, n) for n in ("superformula", "trail_tracer")}}
-    for name, rows in others.items():
-        outputs = outputs.unionByName(rows.select(*keys, F.lit(name).alias("engine"), F.lit("NO_SIGNAL").alias("direction"), "signature"))
-    return seed_votes(outputs, keys)
+    return seed_votes(shell.all_outputs(t, rounds(t), SPARSE), MOMENT)
+
+
+def state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.state_summary(_directed(spark, sf_dir), MOMENT)
 
 
 def research_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,13 +422,12 @@ def research_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atom_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = interactions.atoms(_outputs(spark, sf_dir), ["symbol", "us", "event_id"])
+    found = interactions.atoms(_directed(spark, sf_dir), MOMENT)
     return found.groupBy("kind", "engine", "feature", "atom").agg(F.count(F.lit(1)).alias("n"))
 
 
 def atom_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["symbol", "us", "event_id"]
-    return interactions.selected_atoms(interactions.atoms(_outputs(spark, sf_dir), keys), keys)
+    return interactions.selected_atoms(interactions.atoms(_directed(spark, sf_dir), MOMENT), MOMENT).select(*MOMENT, F.array_join("atoms", " ").alias("atoms"))
 
 
 # ---- reports over the other tables
@@ -402,6 +469,6 @@ QUERIES = {
         candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
         return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
-        apriori_rules, interaction_sway, seed_vote, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
+        apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
