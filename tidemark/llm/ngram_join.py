@@ -43,11 +43,11 @@ FRAGMENTS = 6
 #: Links need 5 * intersection >= 4 * union.
 P, Q = 4, 5
 #: A task looks at so many shingles at a time; those that ``SEEN`` of its nodes hold are reported.
-PORTION, SEEN = 2_000_000, 4
+PORTION, SEEN = 1_000_000, 4
 #: Shingles reported so often or more go last in the order without being counted, ``FREQUENT`` of them at most.
 OFTEN, FREQUENT = 1_000, 100_000
 #: Shingles in one bucket of the count, and the least number of buckets.
-BUCKET, BUCKETS = 4_000_000, 24
+BUCKET, BUCKETS = 2_000_000, 48
 #: Rows of two numbers that may be broadcast, 16 MB; beyond it Spark joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bits of the filter that says which texts are read again; one that lets more through costs time only.
