@@ -1,5 +1,6 @@
 """Quality, toxicity, languages, language model and mixing: plain versions, held-out accuracy and odd rows."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -224,3 +225,128 @@ def test_mixing_tells_any_domains_apart(spark, domains):
     learnt = mixing.learn_domains(docs.where("doc_id % 4 < 2"))
     got = mixing.rates(docs.where("doc_id % 4 >= 2"), mixing.fit(docs, learnt)).select("doc_id", "domain").collect()
     assert got and all(r["domain"] == rows[r["doc_id"]][2] for r in got)
+
+
+def test_mixing_against_a_plain_solver(spark):
+    """Overlapping domains and targets that some rates at zero must meet: as near as long projected-gradient descent comes."""
+    rng = random.Random(6)
+    shared = EN[:10]
+    rows = [(i, prose(rng, shared + (EN[10:] if n == "a" else DE if n == "b" else FR), rng.randrange(5, 60)), n) for i in range(120) for n in ["aab"[i % 3] if i % 5 else "c"]]
+    docs = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
+    for weights in ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 0.02, "b": 0.03, "c": 0.95}):
+        mix = mixing.fit(docs, mixing.learn_domains(docs), weights, max_steps=60)
+        got = mixing.rates(docs, mix).collect()
+        p, t = np.array([r["posterior"] for r in got]), np.array([float(r["n_tokens"]) for r in got])
+        a = (p * t[:, None]).T
+        rate, step = np.ones(len(t)), 1 / np.linalg.norm(a @ a.T, 2)
+        for _ in range(20_000):
+            rate = np.maximum(0, rate - step * a.T @ (a @ rate - mix.targets))
+        least = np.linalg.norm(a @ rate - mix.targets)
+        mine = np.linalg.norm(a @ np.array([r["rate"] for r in got]) - mix.targets)
+        assert min(r["rate"] for r in got) >= 0 and mine <= least + 0.01 * sum(mix.targets)
+
+
+def test_too_many_domains_are_an_error(spark, monkeypatch):
+    docs = mixing.measured(spark.createDataFrame([(i, "a b", str(i)) for i in range(4)], "doc_id long, text string, lang string"), "lang")
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 3)
+    with pytest.raises(ValueError, match="more than 3 domains"):
+        mixing.learn_domains(docs)
+
+
+def plain_likelihood(model, features, chosen):
+    """Penalised log-likelihood of the best proportions of some languages, by long expectation-maximisation."""
+    values, counts = np.unique(features, return_counts=True)
+    w, shares = counts / langid.EVERY, np.exp(model.logs[values][:, chosen])
+    pi = np.full(len(chosen), 1 / len(chosen))
+    for _ in range(3000):
+        joint = shares * pi
+        joint *= (w / joint.sum(axis=1))[:, None]
+        pi = joint.sum(axis=0) / w.sum()
+    return float(w @ np.log(shares @ pi)) - langid.PENALTY * math.log(max(w.sum(), 2.0)) / 2 * (len(chosen) - 1), pi
+
+
+def test_language_sets_against_all_subsets(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(rng, w, 40), n) for i in range(60) for n, w in [(("en", EN), ("de", DE), ("fr", FR))[i % 3]]], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    texts = [" ".join(prose(rng, w, n) for w, n in zip(rng.sample([EN, DE, FR], k), rng.sample([15, 40, 90], k), strict=True)) for k in (1, 1, 2, 2, 2, 3, 3, 3)]
+    for text in texts:
+        own = langid.grams(text)
+        subsets = [list(c) for k in (1, 2, 3) for c in itertools.combinations(range(3), k)]
+        best = max(subsets, key=lambda c: plain_likelihood(model, own, c)[0])
+        got = langid.mixtures(model, [own])[0]
+        kept = np.flatnonzero(got > 0).tolist()
+        assert plain_likelihood(model, own, kept)[0] >= plain_likelihood(model, own, best)[0] - 1.0
+        assert np.abs(got[kept] - plain_likelihood(model, own, kept)[1]).max() < 0.05
+
+
+def test_equal_languages_tie_to_the_first_name(spark):
+    docs = spark.createDataFrame([(i, "same words in both", n) for i, n in enumerate(["zz", "aa"])], "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.learn(docs)).collect()
+    assert {r["lang_pred"] for r in got} == {"aa"}
+
+
+def test_gradient_of_the_ordinal_fit_vanishes():
+    """The weights and thresholds found are a stationary point of the penalised log-likelihood, by finite differences."""
+    rng = np.random.default_rng(8)
+    rows = [np.flatnonzero(rng.random(5) < 0.4) for _ in range(800)]
+    latent = np.array([(r * 0.7 - 1).sum() for r in rows]) + rng.logistic(size=800)
+    grades = np.digitize(latent, [-0.5, 1.0, 2.0])
+    l2 = 1e-4
+    weights, cuts = toxicity.fit_cumulative_link(rows, grades, 5, steps=3000, rate=0.03, l2=l2)
+
+    def value(theta):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            above = [1.0, *(1 / (1 + math.exp(-(theta[:5][r].sum() - c))) for c in theta[5:]), 0.0]
+            total += math.log(above[g] - above[g + 1])
+        return total / len(rows) - l2 / 2 * (theta[:5] ** 2).sum()
+
+    theta = np.concatenate([weights, cuts])
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-4
+        assert abs(value(theta + step) - value(theta - step)) / 2e-4 < 2e-3
+
+
+def test_grades_come_from_the_other_folds():
+    """A word that only the document's own fold has seen gives it no evidence."""
+    rows = [np.array([0]), np.array([0, 1]), np.array([2]), np.array([0]), np.array([], int)]
+    toxic, fold = np.array([1, 1, 1, 1, 0]), np.array([0, 1, 2, 1, 0])
+    ns = np.array([[1.0, 2, 0], [0, 1, 0], [0, 0, 1]])
+    got = toxicity.cross_fitted_grades(rows, toxic, fold, ns, ns, 4)
+    assert got[4] == 0 and (got[:4] >= 1).all() and got.max() <= 3
+    swapped = toxicity.cross_fitted_grades(rows, toxic, fold, ns, ns * np.array([1, 1, 0]), 4)
+    assert swapped[2] == got[2]  # document 2's own fold doesn't count for it
+
+
+def plain_scores_of(model, x):
+    out = []
+    for row in x:
+        total, bins = model.intercept, []
+        for f, edges in enumerate(model.edges):
+            bins.append(sum(row[f] >= e for e in edges))
+            total += model.tables[f][bins[-1]]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[bins[i] * gam.COARSE // gam.BINS][bins[j] * gam.COARSE // gam.BINS]
+        out.append(1 / (1 + math.exp(-total)))
+    return out
+
+
+def test_quality_scores_and_cuts_against_plain_loops():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    model = gam.fit_additive(x, y)
+    assert np.allclose(model.scores(x[:80]), plain_scores_of(model, x[:80]))
+    for _ in range(20):  # the best cut of a histogram by trying all of them
+        n = rng.integers(0, 60, 12).astype(float)
+        g, h = rng.normal(size=12) * n, rng.random(12) * n
+        best = (0.0, 0)
+        for at in range(1, 12):
+            if n[:at].sum() >= gam.LEAF_ROWS and n[at:].sum() >= gam.LEAF_ROWS:
+                gain = sum(a.sum() ** 2 / (b.sum() + gam.RIDGE) for a, b in ((g[:at], h[:at]), (g[at:], h[at:]))) - g.sum() ** 2 / (h.sum() + gam.RIDGE)
+                if gain > best[0] + 1e-12:
+                    best = (gain, at)
+        got = gam._cut(g, h, n)
+        assert got[1] == best[1] and abs(got[0] - best[0]) < 1e-9

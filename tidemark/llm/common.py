@@ -1,11 +1,7 @@
-"""What the operators share: the folder for intermediate tables, text columns and word hashes."""
+"""What the operators share: text columns, columns carried past Python, word hashes and samples."""
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -17,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.scratch import discard, materialize, shared_folder
+
+__all__ = ["bounded_sample", "carry", "discard", "fold_words", "fresh_name", "held_out", "materialize", "mix", "shared_folder", "slices", "table", "whole_text"]
+
 #: A Python worker turns so many bytes of a batch into Python objects at a time, or one row.
 SLICE_BYTES = 4_000_000
 
@@ -26,35 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only in local mode, where the session may name none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^-,]*(,\d+)?\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (folder or _own_folder()).rstrip("/")
-
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` has written and nothing will read again."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole_text(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -31,6 +31,8 @@ from tidemark.llm.common import carry
 
 FEATURES = 1 << 15
 PENALTY = 2.0
+#: Languages at most, whose counts the driver holds; more are an error.
+MOST_LANGUAGES = 256
 EVERY = 3.0
 ROUNDS = 12
 CHARS = 1_000_000  # of text that a worker handles at a time
@@ -76,6 +78,8 @@ def learn(docs: DataFrame, lang: str = "lang") -> LanguageModel:
             yield pd.DataFrame({"lang": name, "feature": at, "n": own[at]})
 
     found = rows.mapInPandas(run, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = found.toPandas()  # languages x FEATURES rows at most
     names = sorted(table["lang"].unique())
     counts = np.full((FEATURES, len(names)), 0.1)

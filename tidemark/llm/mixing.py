@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, whole_text
+from tidemark.llm.common import fresh_name, materialize, whole_text
 
 #: Words are hashed into so many numbers; by domain each has a weight.
 BUCKETS = 4096
@@ -32,6 +32,8 @@ BUCKETS = 4096
 UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\x{20000}-\x{3FFFF}]"
 EVIDENCE = 60.0
 STEPS = 25
+#: Domains at most, as each pair of them is summed; more are an error.
+MOST_DOMAINS = 64
 
 
 def split_words(lower: Column) -> Column:
@@ -86,7 +88,9 @@ def measured(docs: DataFrame, domain: str) -> DataFrame:
 def learn_domains(labelled: DataFrame) -> Domains:
     """Shares of the buckets in each domain over all rows of the labelled table, as :func:`measured` gives it."""
     known = labelled.where(F.col("domain").isNotNull())
-    found = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()
+    found = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(MOST_DOMAINS + 1).collect()
+    if len(found) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
     place = {r["domain"]: i for i, r in enumerate(found)}
     counts = np.full((len(found), BUCKETS), 0.5)
     each = known.select("domain", F.explode("words").alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -192,7 +196,7 @@ def resample(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more where a hash of doc_id is below the rest."""
     if not mix.domains.names:
         return docs
-    row, rate, copies, words = (f"__{x}" for x in ("row", "rate", "copies", "words"))
+    row, rate, copies, words = (fresh_name(docs, f"mixing_{x}") for x in ("row", "rate", "copies", "words"))
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
     counted = rows.select(row, F.lower(whole_text()).alias(words)).withColumn(words, word_buckets(split_words(F.col(words))))
     rated = mix.domains.posteriors(counted, row, words)
