@@ -97,7 +97,7 @@ def test_languages(spark, documents, nothing):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(nothing)).collect()} == {"und"}
 
 
-def plain_scores(train, texts):
+def plain_scores(train, texts, least=2):
     """n_known, base and score of each text by dictionaries, with the same quantisation."""
     end, c1, c2, c3, in2, in3 = b" ", Counter(), Counter(), Counter(), Counter(), Counter()
     for t in train:
@@ -112,10 +112,10 @@ def plain_scores(train, texts):
     n, v, d = sum(c1.values()), len(c1), ngram_trie.DISCOUNT
     left2, left3 = defaultdict(float), defaultdict(float)
     for (a, b), k in c2.items():
-        if k > 1:
+        if k >= least:
             left2[a] += (k - d) / in2[a]
     for (a, b, c), k in c3.items():
-        if k > 1 and c2[a, b] > 1:
+        if k >= least and c2[a, b] >= least:
             left3[a, b] += (k - d) / in3[a, b]
     byte = lambda p: 10 ** (-round(-25.5 * max(math.log10(p), -10.0)) / 25.5)
     out = []
@@ -124,32 +124,32 @@ def plain_scores(train, texts):
         for i in range(1, len(s)):
             w, p = s[i], (c1[s[i]] + 0.1) / (n + 0.1 * (v + 1))
             base, known = base + math.log10(p), known + (c1[w] > 0)
-            for context, counts, total, left, kept in ([((s[i - 1],), c2, in2.get(s[i - 1], 0), left2, True)] + ([((s[i - 2], s[i - 1]), c3, in3.get((s[i - 2], s[i - 1]), 0), left3, c2[s[i - 2], s[i - 1]] > 1)] if i > 1 else [])):
+            for context, counts, total, left, kept in ([((s[i - 1],), c2, in2.get(s[i - 1], 0), left2, True)] + ([((s[i - 2], s[i - 1]), c3, in3.get((s[i - 2], s[i - 1]), 0), left3, c2[s[i - 2], s[i - 1]] >= least)] if i > 1 else [])):
                 if not kept:
                     continue
                 k = counts[(*context, w)]
                 key = context if len(context) > 1 else context[0]
-                p = (byte((k - d) / total) if k > 1 else 0.0) + (byte(max(1 - left[key], 1e-10)) if key in left else 1.0) * p
+                p = (byte((k - d) / total) if k >= least else 0.0) + (byte(max(1 - left[key], 1e-10)) if key in left else 1.0) * p
             score += math.log10(min(p, 1.0))
         out.append((len(t) + 1, known, base, score))
     return n, out
 
 
-@pytest.mark.parametrize(("block", "portion"), [(2_000_000, 1_000_000), (150, 400)])
-def test_trie_scores_against_dictionaries(documents, monkeypatch, block, portion):
+@pytest.mark.parametrize(("block", "portion", "least"), [(2_000_000, 1_000_000, 2), (150, 400, 2), (2_000_000, 1_000_000, 1), (150, 400, 1)])
+def test_trie_scores_against_dictionaries(documents, monkeypatch, block, portion, least):
     monkeypatch.setattr(ngram_trie, "BLOCK", block)
     monkeypatch.setattr(ngram_trie, "PORTION", portion)
     monkeypatch.setattr(ngram_trie, "WORDS_BLOCK", 50)
     held = held_out(10, 0)
     rows = documents.select("doc_id", "text", held.alias("held")).collect()
     words = lambda t: (t or "").encode().lower().split()
-    n, want = plain_scores([words(r["text"]) for r in rows if not r["held"]], [words(r["text"]) for r in rows])
-    got = ngram_trie.learn_and_score(documents, held).collect()
+    n, want = plain_scores([words(r["text"]) for r in rows if not r["held"]], [words(r["text"]) for r in rows], least)
+    got = ngram_trie.learn_and_score(documents, held, least).collect()
     assert {r["train_tokens"] for r in got} == {n}
     a = sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
     b = sorted((x[0], x[1], round(x[2], 6), round(x[3], 6)) for x in want)
     assert np.allclose(np.array(a), np.array(b), atol=2e-6)
-    apart = ngram_trie.score(documents, ngram_trie.learn(documents.where(~held))).collect()
+    apart = ngram_trie.score(documents, ngram_trie.learn(documents.where(~held), least)).collect()
     assert np.allclose(np.array(sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in apart)), np.array(a))
 
 

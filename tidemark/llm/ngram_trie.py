@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie of order three.
 
 Levels. The first level holds every word of the training texts, known by a 63-bit hash; a word's number is
-its hash's place. The second holds the bigrams and the third the trigrams that occur twice or more. A
+its hash's place. The second holds the bigrams and the third the trigrams that occur ``least_count`` times or more. A
 level is one ascending sequence of numbers (context * width + successor), cut into runs of ``RUN`` and
 stored by Elias-Fano: low bits packed, high bits in unary, with a directory of every ``STEP``-th bucket. A
 context's own entry, successor 0, is the pointer to its successors, which follow it. A trigram's context is
@@ -41,12 +41,12 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import carry, fold_words, materialize
+from tidemark.llm.common import carry, discard, fold_words, materialize
 
 RUN, STEP = 4096, 16
 SIEVE = 512  # 64-bit words of a run's sieve
 DISCOUNT = 0.75
-LEAST_COUNT = 2
+LEAST_COUNT = 2  # of a bigram or trigram that is kept; 1 keeps all
 BLOCK = 2_000_000  # occurrences between two cuts of the number range, about
 PORTION = 1_000_000  # tokens that a task sorts at a time
 WORDS_BLOCK = 500_000  # words of the first level in one group
@@ -417,7 +417,7 @@ def count_grams(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np
     return texts.select("tokens").mapInPandas(run, "block long, packed binary")
 
 
-def merge_grams(counted: DataFrame, width: int) -> DataFrame:
+def merge_grams(counted: DataFrame, width: int, least_count: int = LEAST_COUNT) -> DataFrame:
     """One row for each block: its kept keys, and of every context with kept keys all occurrences; apart from
     them, what the block holds of its first and last context, which may go on in other blocks."""
 
@@ -430,7 +430,7 @@ def merge_grams(counted: DataFrame, width: int) -> DataFrame:
         keys, counts = keys[starts], np.add.reduceat(counts, starts)
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] // width != keys[:-1] // width]))
         context, total = keys[heads] // width, np.add.reduceat(counts, heads)
-        keep = (counts >= LEAST_COUNT) & (keys % width != width - 1)
+        keep = (counts >= least_count) & (keys % width != width - 1)
         kept, number = np.add.reduceat(np.where(keep, counts, 0), heads), np.add.reduceat(keep.astype(np.int64), heads)
         ends = [{"context": int(context[i]), "total": int(total[i]), "kept": int(kept[i]), "number": int(number[i])} for i in sorted({0, len(heads) - 1})]
         some = number > 0
@@ -543,12 +543,12 @@ def _pairs(second: Level, tokens: np.ndarray, lengths: np.ndarray, words: int) -
     return _found(second, np.where(heads >= 0, _pair_keys(tokens, _before(tokens, lengths), words), -1)), heads, own, which
 
 
-def learn(docs: DataFrame) -> TrieModel:
+def learn(docs: DataFrame, least_count: int = LEAST_COUNT) -> TrieModel:
     """The model of all texts of ``docs``."""
-    return _learn(docs, F.lit(False))[0]
+    return _learn(docs, F.lit(False), least_count)[0]
 
 
-def _learn(docs: DataFrame, held_out: Column) -> tuple[TrieModel, DataFrame]:
+def _learn(docs: DataFrame, held_out: Column, least_count: int) -> tuple[TrieModel, DataFrame]:
     """The model of the texts that aren't held out, and all documents (doc_id, held_out, tokens) by the model's numbers."""
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     counted = materialize(count_words(rows.where("NOT held_out")), "trie-words")
@@ -560,17 +560,19 @@ def _learn(docs: DataFrame, held_out: Column) -> tuple[TrieModel, DataFrame]:
     if not words:
         return TrieModel([], 0, 0), table
     texts, width = table.where("NOT held_out"), words + 2
-    merged = materialize(merge_grams(count_grams(texts, lambda t, n: _pair_keys(t, _before(t, n), words), _cuts(first, width)[0]), width), "trie-bigrams")
+    merged = materialize(merge_grams(count_grams(texts, lambda t, n: _pair_keys(t, _before(t, n), words), _cuts(first, width)[0]), width, least_count), "trie-bigrams")
     second, widest = gram_level(merged, width)
     second = materialize(second, "trie-level-2")
+    discard(merged, counted)
     two, wide = _ship(second, "level-2"), widest + 2
 
     def triples(t: np.ndarray, n: np.ndarray) -> np.ndarray:
         keys = _triple_keys(*_pairs(open_level(two), t, n, words)[:2], n, wide)
         return keys[keys >= 0]
 
-    merged = materialize(merge_grams(count_grams(texts, triples, _cuts(second, wide)[0]), wide), "trie-trigrams")
+    merged = materialize(merge_grams(count_grams(texts, triples, _cuts(second, wide)[0]), wide, least_count), "trie-trigrams")
     third = materialize(gram_level(merged, wide)[0], "trie-level-3")
+    discard(merged)
     return TrieModel([one, two, _ship(third, "level-3")], tokens, words, wide), table
 
 
@@ -626,7 +628,7 @@ def score(docs: DataFrame, model: TrieModel) -> DataFrame:
     return _scores(numbered(rows, model.levels[0], model.words), model)
 
 
-def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
+def learn_and_score(docs: DataFrame, held_out: Column, least_count: int = LEAST_COUNT) -> DataFrame:
     """The scores of all documents by the model of those that aren't held out; words are looked up once for both."""
-    model, table = _learn(docs, held_out)
+    model, table = _learn(docs, held_out, least_count)
     return _scores(table, model)
