@@ -10,8 +10,10 @@ from tidemark.config import TimeScale
 from tidemark.operators import engines, interactions
 from tidemark.operators.evaluate import accuracy_label, forecast_scores, prediction_status
 from tidemark.operators.memory import point_in_time
+from tidemark.operators.shell import decided
 from tidemark.operators.voting import combinations, holt_slope, pick_direction
-from tidemark.sources.feed import normalize_rounds, normalize_ticks
+from tidemark.sources.feed import feed_health, normalize_rounds, normalize_ticks
+from tidemark.sources.files import bounded, open_or_create, record_set, scan_csv, scan_json, sink_json
 
 TICK = "symbol string, us bigint, event_id bigint, price double"
 
@@ -149,15 +151,56 @@ def test_mined_rules_need_every_pair(spark):
 
 
 def test_feed_messages(spark):
-    ok = {"cmd": "tick", "status": 1, "resp": {"c": "d", "p": "50000.5", "s": "BTC-USD", "t": 1_700_000_000_000}}
-    bad = [ok | {"cmd": "x"}, ok | {"resp": ok["resp"] | {"s": "Y"}}, ok | {"resp": ok["resp"] | {"p": "100"}}, ok | {"resp": ok["resp"] | {"p": "NaN?"}}, ok | {"resp": ok["resp"] | {"t": 5}}]
+    ok = {"cmd": "/kline/BTC-USD/ticker", "status": 1, "resp": {"c": "d", "p": "50000.5", "s": "BTC-USD", "t": 1_700_000_000_000}}
+    bad = [ok | {"cmd": "x"}, {"cmd": ok["cmd"]}, *(ok | {"resp": ok["resp"] | x} for x in ({"s": "Y"}, {"p": "100"}, {"p": "NaN?"}, {"t": 5}))]
     rows = spark.createDataFrame([(json.dumps(m), 1_700_000_000_250) for m in [ok, *bad]] + [("no json", 1)], "message string, received_ms bigint")
     got = normalize_ticks(rows).collect()
-    assert [r["reject_reason"] for r in got] == [None, "wrong_cmd", "wrong_symbol", "bad_price", "bad_price", "bad_time", "wrong_cmd"]
-    assert got[0]["latency_ms"] == 250
-    body = {"id": "7", "symbol": "BTC/USD", "roundStartTime": 1_700_000_000_000, "tradeCutoffTime": 1_700_000_015_000, "startPrice": "50", "endPrice": "50001", "winSide": 2, "previousRoundResult": list("abcdefgh")}
-    r = normalize_rounds(spark.createDataFrame([(json.dumps({"cmd": "round", "resp": body}),)], "message string")).first()
-    assert (r["raw_direction"], r["start_price"], r["end_price"], r["earlier"], r["reject_reason"]) == ("DOWN", None, 50001.0, list("abcdef"), None)
+    assert [r["reject_reason"] for r in got] == [
+        None, "unknown_tick_cmd", "missing_resp", "wrong_tick_symbol:Y", "implausible_tick_price:100", "implausible_tick_price:NaN?", "implausible_tick_timestamp:5", "unknown_tick_cmd",
+    ]
+    assert (got[0]["latency_ms"], got[0]["raw_change"]) == (250, "d")
+    earlier = [{"id": x, "startPrice": 1.5, "endPrice": 2, "winSide": 1} for x in "abcdefgh"]
+    body = {"id": "7", "symbol": "BTC/USD", "roundStartTime": 1_700_000_000_000, "tradeCutoffTime": 1_700_000_015_000, "startPrice": "50", "endPrice": "50001", "winSide": 2, "previousRoundResult": earlier}
+    told = [body, body | {"symbol": "Z"}, body | {"id": ""}, body | {"roundStartTime": 7}, body | {"tradeCutoffTime": None}]
+    got = normalize_rounds(spark.createDataFrame([(json.dumps({"cmd": "/contest/BTC/USD/5/ticker", "resp": b}),) for b in told], "message string")).collect()
+    r = got[0]
+    assert (r["raw_direction"], r["start_price"], r["end_price"], [x["round_id"] for x in r["earlier"]], r["earlier"][0]["end_price"]) == ("DOWN", None, 50001.0, list("abcdef"), 2.0)
+    assert [x["reject_reason"] for x in got] == [None, "wrong_round_symbol:Z", "missing_round_id", "bad_round_start:7", "bad_cutoff:undefined"]
+
+
+def test_feed_health(spark):
+    schema = "tick_age_ms bigint, round_age_ms bigint, tick_symbol string, round_symbol string, latency_ms bigint, session_id string"
+    rows = [(100, 200, "BTC-USD", "BTC/USD", 5, "s"), (5001, 200, "BTC-USD", "BTC/USD", 3001, "s"), (60_001, None, None, None, None, None), (None, None, None, None, None, ""), (5, 5, "X", "Y", 1, "s")]
+    got = [(r["status"], r["reason"]) for r in feed_health(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [
+        ("VERIFIED", "ok"), ("DEGRADED", "tick_stale:5001ms,high_latency:3001ms"), ("OFFLINE", "tick_stale:60001ms,no_round_received,no_session"),
+        ("UNVERIFIED", "no_tick_received,no_round_received,no_session"), ("DEGRADED", "wrong_tick_symbol:X,wrong_round_symbol:Y"),
+    ]
+
+
+def test_decisions_beside_memory(spark):
+    rows = [("UP", 0.8, "UP", 0.6), ("UP", 0.8, "DOWN", 0.6), ("UP", 0.8, "NO_SIGNAL", None), (None, None, "DOWN", 0.6), (None, None, "NO_SIGNAL", None)]
+    d = spark.createDataFrame(rows, "a string, s double, b string, c double")
+    got = [tuple(r) for r in d.select(*decided(F.col("a"), F.col("s"), F.col("b"), F.col("c"))).collect()]
+    assert got == [("UP", pytest.approx(0.64), "agree"), ("NO_SIGNAL", None, "disagree"), ("UP", 0.8, "own_only"), ("DOWN", 0.6, "pattern_fallback"), ("NO_SIGNAL", None, "both_silent")]
+
+
+def test_files_of_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("crt_signature,next_round_outcome,crt_direction\ncrt:1-2-3,UP,\n,DOWN,UP\n")
+    rows = scan_csv(spark, str(tmp_path / "a.csv"), "crt_signature string, next_round_outcome string, crt_direction string")
+    assert [tuple(r) for r in rows.collect()] == [("crt:1-2-3", "UP", None), (None, "DOWN", "UP")]
+    sink_json(rows, str(tmp_path / "out"))
+    assert sorted(map(str, scan_json(spark, str(tmp_path / "out"), rows.schema.simpleString()[7:-1].replace(":", " ")).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "bad.json").write_text('{"a": 1}\nno json\n')
+    assert sorted(str(r["a"]) for r in scan_json(spark, str(tmp_path / "bad.json"), "a int").collect()) == ["1", "None"]
+    t = open_or_create(spark, str(tmp_path / "t"), "k int")
+    spark.range(3).selectExpr("CAST(id AS int) AS k").write.mode("append").parquet(str(tmp_path / "t"))
+    assert t.count() == 0 and open_or_create(spark, str(tmp_path / "t"), "k int").count() == 3
+    sets = spark.createDataFrame([('[{"n": 1}, {"n": 2}]',), ("nothing",), (None,)], "j string").select(record_set("j", "struct<n:int>").alias("x")).collect()
+    assert [[y["n"] for y in r["x"]] for r in sets] == [[1, 2], [], []]
+    assert bounded(5, 1, 9) == 5
+    with pytest.raises(ValueError, match="not between"):
+        bounded(0, 1, 9)
 
 
 def test_atom_select_leaves_no_feature_out(spark):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import TimeScale, micros
@@ -16,6 +16,7 @@ from tidemark.operators.asof import price_asof
 from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.memory import point_in_time
 from tidemark.operators.projectile import projectile
+from tidemark.scratch import materialize
 
 #: Engines whose signatures are columns, numeric ones, and those that say a direction of their own.
 COLUMNS = ("crt", "labouchere", "entropy_regime", "candlestick")
@@ -81,12 +82,40 @@ def directed(outputs: DataFrame, moved: DataFrame) -> DataFrame:
     return known.unionByName(silent)
 
 
+def decided(own: Column, strength: Column, recalled: Column, confidence: Column) -> tuple[Column, Column, Column]:
+    """Direction, confidence and decision_source of an engine with a direction of its own (null if none) beside the one that memory gives (NO_SIGNAL if none)."""
+    speaks, known = own.isin("UP", "DOWN"), recalled.isin("UP", "DOWN")
+    speaks, known = F.coalesce(speaks, F.lit(False)), F.coalesce(known, F.lit(False))
+    agree = speaks & known & (own == recalled)
+    direction = F.when(agree | (speaks & ~known), own).when(known & ~speaks, recalled).otherwise("NO_SIGNAL")
+    sure = F.when(agree, F.least(F.lit(1.0), strength * (0.5 + 0.5 * confidence))).when(speaks & ~known, strength).when(known & ~speaks, confidence)
+    source = F.when(agree, "agree").when(speaks & known, "disagree").when(speaks, "own_only").when(known, "pattern_fallback").otherwise("both_silent")
+    return direction, sure, source
+
+
+def with_own_direction(said: DataFrame, moved: DataFrame) -> DataFrame:
+    """said (symbol, round_num, engine, signature, own_direction, strength) decided beside memory: symbol, round_num, engine, direction, confidence, decision_source, signature."""
+    cutoffs = moved.select("symbol", "round_num", "at_us")
+    recalled = directed(said.join(cutoffs, ["symbol", "round_num"]).select("symbol", "round_num", "at_us", "engine", "signature"), moved)
+    rows = said.join(recalled.select("symbol", "round_num", "engine", F.col("direction").alias("recalled"), F.col("confidence").alias("sure")), ["symbol", "round_num", "engine"])
+    direction, confidence, source = decided(F.col("own_direction"), F.col("strength"), F.col("recalled"), F.col("sure"))
+    return rows.select("symbol", "round_num", "engine", direction.alias("direction"), confidence.alias("confidence"), source.alias("decision_source"), "signature")
+
+
+def thrown(rounds: DataFrame, ticks: DataFrame, scale: TimeScale) -> DataFrame:
+    """The projectile engine's own words at every cutoff, as :func:`with_own_direction` takes them."""
+    rows = projectile(rounds, ticks, scale)
+    return rows.select("symbol", "round_num", F.lit("projectile").alias("engine"), "signature", F.col("direction").alias("own_direction"), F.col("consistency").alias("strength"))
+
+
 def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale) -> DataFrame:
     """symbol, round_num, engine, direction, signature of every engine at every round's cutoff."""
-    facts = column_facts(ticks, scale).unionByName(other_facts(ticks, rounds, scale))
-    says = directed(at_cutoffs(facts, rounds, [*COLUMNS, *NUMERIC, "momentum"]), moves(rounds, ticks, scale)).select("symbol", "round_num", "engine", "direction", "signature")
+    moved = materialize(moves(rounds, ticks, scale), "moves")
+    facts = materialize(column_facts(ticks, scale).unionByName(other_facts(ticks, rounds, scale)), "facts")
+    states = materialize(at_cutoffs(facts, rounds, [*COLUMNS, *NUMERIC, "momentum"]), "states")
+    columns = ["symbol", "round_num", "engine", "direction", "signature"]
     length, play = micros(scale.round_length), micros(scale.round_length * scale.play_share)
     path = engines.trajectory(ticks, scale, F.floor(F.col("us") / length), F.pmod(F.col("us"), F.lit(length)) <= play)
-    path = path.select("symbol", "round_num", F.lit("trajectory").alias("engine"), F.coalesce("ensemble_direction", F.lit("NO_SIGNAL")).alias("direction"), "signature")
-    thrown = projectile(rounds, ticks, scale).select("symbol", "round_num", F.lit("projectile").alias("engine"), F.coalesce("direction", F.lit("NO_SIGNAL")).alias("direction"), "signature")
-    return says.unionByName(path).unionByName(thrown)
+    path = path.select("symbol", "round_num", F.lit("trajectory").alias("engine"), "signature", F.col("ensemble_direction").alias("own_direction"), "strength")
+    own = materialize(path.unionByName(thrown(rounds, ticks, scale)), "own")
+    return directed(states, moved).select(columns).unionByName(with_own_direction(own, moved).select(columns))

@@ -68,8 +68,8 @@ def verdict(up: str, n: str, least: int = 40) -> str:
 
 
 MESSAGES = """m AS (SELECT event_id, CASE WHEN user_id = 0 THEN 'ping' ELSE 'tick' END AS cmd, event_type AS symbol, value AS price, epoch_us(ts) // 1000 AS tick_ms, epoch_us(ts) // 1000 + user_id AS received_ms FROM events),
-    judged AS (SELECT *, CASE WHEN cmd <> 'tick' THEN 'wrong_cmd' WHEN symbol <> 'purchase' THEN 'wrong_symbol' WHEN NOT (price > 100 AND price < 1e7) THEN 'bad_price'
-                              WHEN NOT (tick_ms > 1577836800000 AND tick_ms < 4102444800000) THEN 'bad_time' END AS reason FROM m)"""
+    judged AS (SELECT *, CASE WHEN cmd <> 'tick' THEN 'unknown_tick_cmd' WHEN symbol <> 'purchase' THEN 'wrong_tick_symbol' WHEN NOT (price > 100 AND price < 1e7) THEN 'implausible_tick_price'
+                              WHEN NOT (tick_ms > 1577836800000 AND tick_ms < 4102444800000) THEN 'implausible_tick_timestamp' END AS reason FROM m)"""
 
 # the staking rule's seven steps, one level of SQL each
 _W = "(PARTITION BY symbol ORDER BY us, event_id)"
@@ -323,4 +323,29 @@ ORACLE_SQL = {
         SELECT r.symbol, r.round_num, r.start_us, n.session_num FROM rounds r ASOF LEFT JOIN n ON n.symbol = r.symbol AND r.start_us >= n.us""",
     "ticks_before": f"""WITH {TICKS} SELECT symbol, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM ticks WHERE us BETWEEN 1705000000000000 - 86400000000 AND 1705000000000000 GROUP BY symbol""",
     "change_from_first": f"""WITH {CANDLES}, f AS (SELECT symbol, arg_min(c, bucket) AS first_c FROM candles GROUP BY symbol) SELECT symbol, bucket, round((c - first_c) / first_c * 100, 9) AS change FROM candles JOIN f USING (symbol)""",
+    "engine_signals": f"""WITH {OUTCOMES} SELECT symbol, round_num, at_us, direction, actual_direction, correct FROM outcomes WHERE engine = 'entropy_regime' AND direction <> 'NO_SIGNAL'""",
+    "trig_state": f"""WITH {TICKS}, b AS (SELECT *, 1705000000000000 AS now FROM ticks), r AS (SELECT symbol, min(price) AS lo, max(price) AS hi FROM b WHERE us BETWEEN now - 864000000000 AND now GROUP BY symbol),
+        a AS (SELECT b.symbol, us, event_id, 2 * pi() * (price - lo) / (hi - lo) AS theta FROM b JOIN r USING (symbol) WHERE us BETWEEN now - 86400000000 AND now),
+        f AS (SELECT *, sin(theta) AS s, cos(theta) AS c FROM a), n AS (SELECT *, CASE WHEN abs(s) >= 0.02 THEN s END AS sn, CASE WHEN abs(c) >= 0.02 THEN c END AS cn FROM f)
+        SELECT symbol, us, event_id, round(theta, 6) AS theta, round(s, 6) + 0.0 AS sin, round(c, 6) + 0.0 AS cos, round(s / cn, 6) + 0.0 AS tan, round(c / sn, 6) + 0.0 AS cot, round(1 / cn, 6) AS sec, round(1 / sn, 6) AS csc,
+               CASE WHEN cn IS NULL THEN 2 ELSE 0 END + CASE WHEN sn IS NULL THEN 2 ELSE 0 END AS singular FROM n""",
+    "feed_verification": f"""WITH {ROUNDS}, t AS (SELECT * FROM ticks WHERE us BETWEEN 1706600000000000 - 2592000000000 AND 1706600000000000),
+        g AS (SELECT symbol, 1706600000000 - CAST(max(us) AS DOUBLE) / 1000 AS tick_age, arg_max(event_id % 5000, (us, event_id)) AS latency_ms FROM t GROUP BY symbol),
+        c AS (SELECT symbol, 1706600000000 - max((us // {LENGTH} + 1) * {LENGTH}) / 1000 AS round_age FROM t WHERE (us // {LENGTH} + 1) * {LENGTH} <= 1706600000000000 GROUP BY symbol),
+        a AS (SELECT symbol, CAST(trunc(tick_age) AS BIGINT) AS tick_age_ms, CAST(trunc(round_age) AS BIGINT) AS round_age_ms, latency_ms FROM g LEFT JOIN c USING (symbol)),
+        r AS (SELECT *, list_filter([CASE WHEN tick_age_ms > 600000 THEN 'tick_stale:' || tick_age_ms || 'ms' END, CASE WHEN round_age_ms IS NULL THEN 'no_round_received' WHEN round_age_ms > 21600000 THEN 'round_stale:' || round_age_ms || 'ms' END,
+                     CASE WHEN symbol <> 'purchase' THEN 'wrong_tick_symbol:' || symbol END, CASE WHEN symbol <> 'purchase' THEN 'wrong_round_symbol:' || symbol END,
+                     CASE WHEN latency_ms > 2500 THEN 'high_latency:' || latency_ms || 'ms' END, CASE WHEN symbol = 'view' THEN 'no_session' END], lambda x: x IS NOT NULL) AS rs FROM a)
+        SELECT symbol, tick_age_ms, round_age_ms, latency_ms, CASE WHEN tick_age_ms > 36000000 THEN 'OFFLINE' WHEN len(rs) > 0 THEN 'DEGRADED' ELSE 'VERIFIED' END AS status,
+               CASE WHEN len(rs) > 0 THEN array_to_string(rs, ',') ELSE 'ok' END AS reason FROM r""",
+    "decided_direction": f"""WITH {OUTCOMES}, o AS (SELECT *, list_position(['crt', 'labouchere', 'entropy_regime', 'candlestick', 'majority', 'last_reverse', 'last_continue', 'always_up'], engine) AS k FROM spoken),
+        r AS (SELECT *, row_number() OVER (PARTITION BY symbol, round_num ORDER BY direction = 'NO_SIGNAL', k) AS first FROM o WHERE k IS NOT NULL),
+        c AS (SELECT symbol, round_num, at_us, target_us, result, string_agg(engine || ':' || direction, '|' ORDER BY engine || ':' || direction) AS combination FROM spoken JOIN moved USING (symbol, round_num)
+              WHERE direction <> 'NO_SIGNAL' GROUP BY ALL),
+        h AS (SELECT a.symbol, a.round_num, b.result, row_number() OVER (PARTITION BY a.symbol, a.round_num ORDER BY b.target_us DESC, b.symbol DESC, b.round_num DESC) AS k
+              FROM c a JOIN c b ON b.combination = a.combination AND b.target_us <= a.at_us AND b.result IN ('UP', 'DOWN')),
+        n AS (SELECT symbol, round_num, count(*) FILTER (k <= 50) AS n_seen, count(*) FILTER (k <= 50 AND result = 'UP') AS up_seen FROM h GROUP BY ALL),
+        v AS (SELECT symbol, round_num, {verdict("up_seen", "n_seen")} FROM n)
+        SELECT r.symbol, r.round_num, CASE WHEN v.direction <> 'NO_SIGNAL' THEN 'combination' ELSE r.engine END AS engine, CASE WHEN v.direction <> 'NO_SIGNAL' THEN v.direction ELSE r.direction END AS direction
+        FROM r LEFT JOIN v USING (symbol, round_num) WHERE first = 1""",
 }

@@ -9,6 +9,7 @@ from tidemark.config import SPARSE, micros
 from tidemark.functions.columns import beta_shrunk, ratio, wilson
 from tidemark.operators import engines, interactions, shell
 from tidemark.operators.asof import next_ticks, price_asof, range_join, within
+from tidemark.operators.angles import trig_states
 from tidemark.operators.baselines import baselines
 from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.evaluate import accuracy_label, outcomes, prediction_status, predictions
@@ -36,7 +37,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as raw tick messages; their values are prices, many of them implausible."""
     e = events(spark, sf_dir)
     body = F.struct(F.lit("d").alias("c"), F.col("value").cast("string").alias("p"), F.col("event_type").alias("s"), F.expr("us div 1000").alias("t"))
-    message = F.to_json(F.struct(F.when(F.col("user_id") == 0, "ping").otherwise("tick").alias("cmd"), F.lit(1).alias("status"), body.alias("resp")))
+    message = F.to_json(F.struct(F.when(F.col("user_id") == 0, "ping").otherwise(feed.TICK_COMMAND).alias("cmd"), F.lit(1).alias("status"), body.alias("resp")))
     return e.select("event_id", message.alias("message"), (F.expr("us div 1000") + F.col("user_id")).alias("received_ms"))
 
 
@@ -46,7 +47,26 @@ def tick_normalize_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.normalize_ticks(_messages(spark, sf_dir), "purchase").groupBy(F.coalesce("reject_reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """How many messages are refused, by the reason without the value that it names."""
+    reason = F.split_part(F.coalesce("reject_reason", F.lit("good")), F.lit(":"), F.lit(1))
+    return feed.normalize_ticks(_messages(spark, sf_dir), "purchase").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def feed_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol: the feed's status and reasons a day before a stated moment's end, ages in milliseconds, with limits for sparse feeds."""
+    now_ms = 1_706_600_000_000
+    t = within(ticks(spark, sf_dir), F.lit(now_ms * 1000), 30 * 86_400.0)
+    last = t.groupBy("symbol").agg((now_ms - F.max("us") / 1000).cast("bigint").alias("tick_age_ms"), F.max_by(F.pmod("event_id", F.lit(5000)), F.struct("us", "event_id")).alias("latency_ms"))
+    closed = rounds(t).where(F.col("end_us") <= now_ms * 1000).groupBy("symbol").agg((now_ms - F.max("end_us") / 1000).cast("bigint").alias("round_age_ms"))
+    rows = last.join(closed, "symbol", "left").withColumn("tick_symbol", F.col("symbol")).withColumn("round_symbol", F.col("symbol")).withColumn("session_id", F.when(F.col("symbol") != "view", F.lit("s")))
+    found = feed.feed_health(rows, 600_000, 21_600_000, 2_500, 36_000_000, "purchase", "purchase")
+    return found.select("symbol", "tick_age_ms", "round_age_ms", "latency_ms", "status", "reason")
+
+
+def trig_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of the day before a stated moment as angles over the price range of the ten days before it."""
+    rows = trig_states(ticks(spark, sf_dir), F.lit(1_705_000_000_000_000), 86_400.0, 864_000.0)
+    return rows.select("symbol", "us", "event_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("theta", "sin", "cos", "tan", "cot", "sec", "csc")), "singular")
 
 
 def rounds_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +226,32 @@ def evaluated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("engine", "symbol", "round_num", "direction", "at_us", "target_us", "price_then", "actual_price", F.round("price_difference", 6).alias("price_difference"), "actual_direction", "correct")
 
 
+def engine_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every directional prediction of one engine with what came of it."""
+    rows = _outcomes(spark, sf_dir).where((F.col("engine") == "entropy_regime") & F.col("direction").isin("UP", "DOWN"))
+    return rows.select("symbol", "round_num", "at_us", "direction", "actual_direction", "correct")
+
+
+def decided_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direction of each round: what has followed the combination of all directions, else of the first one that speaks."""
+    t = ticks(spark, sf_dir)
+    says, keys = materialize(_says(spark, sf_dir), "says"), ["symbol", "round_num"]
+    moved = shell.moves(rounds(t), t, SPARSE)
+    combined = combinations(says.where(F.col("direction").isin("UP", "DOWN")), keys).join(moved, keys)
+    seen = combined.select("combination", F.col("at_us").alias("us"), F.struct(*keys).alias("event_id"), F.col("target_us").alias("label_us"), "result")
+    known = point_in_time(seen).where("direction <> 'NO_SIGNAL'").select("event_id.*", F.col("direction").alias("combined"))
+    picked = pick_direction(says, keys, [*shell.ORDER, "majority", "last_reverse", "last_continue", "always_up"]).join(known, keys, "left")
+    return picked.select(*keys, F.when(F.col("combined").isNotNull(), "combination").otherwise(F.col("engine")).alias("engine"), F.coalesce("combined", "direction").alias("direction"))
+
+
+def projectile_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projectile's own direction beside what memory says of its signature; rows only, as fits may differ in the last digits."""
+    t = ticks(spark, sf_dir)
+    r = rounds(t)
+    rows = shell.with_own_direction(materialize(shell.thrown(r, t, SPARSE), "thrown"), materialize(shell.moves(r, t, SPARSE), "moves"))
+    return rows.select("symbol", "round_num", "direction", F.round("confidence", 9).alias("confidence"), "decision_source")
+
+
 def _stats(rows: DataFrame) -> DataFrame:
     g = rows.groupBy("engine").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("n_correct"), F.count_if(~F.col("correct")).alias("n_incorrect"), F.count_if(F.col("correct").isNull()).alias("n_pending")
@@ -469,6 +515,6 @@ QUERIES = {
         candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
         return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
-        apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
+        apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
