@@ -119,6 +119,7 @@ def superformula(_: np.ndarray, prices: np.ndarray) -> str | None:
 
 # ---- flow over a graph of price levels
 
+# Ticks, nodes, steps, length of a step, viscosity and seed.
 FLOW_WINDOW, FLOW_NODES, FLOW_STEPS, FLOW_DT, FLOW_VISCOSITY, FLOW_SEED = 48, 16, 8, 0.15, 0.05, 0xC0FFEE
 
 
@@ -126,9 +127,8 @@ def flow(_: np.ndarray, prices: np.ndarray) -> str | None:
     p = prices[-FLOW_WINDOW:]
     if len(p) < 8:
         return None
-    edges = np.quantile(p, np.linspace(0, 1, FLOW_NODES + 1))
-    edges[-1] += 1e-9
-    used, node = np.unique(np.clip(np.digitize(p, edges) - 1, 0, FLOW_NODES - 1), return_inverse=True)
+    inner = np.quantile(p, np.arange(1, FLOW_NODES) / FLOW_NODES)  # between the nodes
+    used, node = np.unique(np.searchsorted(inner, p, "right"), return_inverse=True)
     n = len(used)
     if n < 3:
         return None
@@ -320,31 +320,31 @@ TRAJECTORY_WINDOW, TRAJECTORY_LEAST, HORIZON = 30, 12, 3
 
 def _thirds(x: np.ndarray, y: np.ndarray) -> Fit | None:
     """A parabola for each third of the points; outside them the first or the last one."""
-    n = len(x)
-    cuts = [0, n // 3, 2 * n // 3, n]
-    if min(np.diff(cuts)) < 3:
+    ends = len(x) * np.arange(1, 3) // 3
+    groups = np.split(np.arange(len(x)), ends)
+    if min(map(len, groups)) < 3:
         return None
-    parts = [(x[a], x[b - 1], np.polyfit(x[a:b], y[a:b], 2)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    parabolas = np.stack([np.polyfit(x[g], y[g], 2) for g in groups])
 
     def at(points: np.ndarray) -> np.ndarray:
-        inside = [(points >= lo) & (points <= hi) for lo, hi, _ in parts]
-        which = np.select(inside, range(3), np.where(points < parts[0][0], 0, 2))
-        return np.choose(which, [np.polyval(c, points) for _, _, c in parts])
+        return (parabolas[np.searchsorted(x[ends - 1], points)] * np.vander(points, 3)).sum(axis=1)
 
     return at, rms(y, at(x))
 
 
 def _autoregression(y: np.ndarray, order: int) -> Fit:
-    rows = np.stack([np.ones(len(y) - order), *(y[order - 1 - j : len(y) - 1 - j] for j in range(order))], axis=1)
-    c = np.linalg.lstsq(rows, y[order:], rcond=None)[0]
+    """Least squares on the ``order`` values before each one, newest first; the forecast goes on from the last ones."""
+    windows = np.lib.stride_tricks.sliding_window_view(y, order + 1)
+    design = np.column_stack([np.ones(len(windows)), windows[:, -2::-1]])
+    c = np.linalg.lstsq(design, windows[:, -1], rcond=None)[0]
 
     def at(points: np.ndarray) -> np.ndarray:
-        seen = y[-order:].tolist()
-        for _ in range(len(points)):
-            seen.append(float(c[0] + np.dot(c[1:], seen[: -order - 1 : -1])))
-        return np.array(seen[order:])
+        path = np.concatenate([y[-order:], np.empty(len(points))])
+        for i in range(order, len(path)):
+            path[i] = c[0] + path[i - order : i] @ c[:0:-1]
+        return path[order:]
 
-    return at, rms(y, np.concatenate([y[:order], rows @ c]))
+    return at, rms(y, np.concatenate([y[:order], design @ c]))
 
 
 def _exponential(x: np.ndarray, y: np.ndarray) -> Fit:
@@ -365,7 +365,7 @@ def _power(x: np.ndarray, y: np.ndarray) -> Fit:
     return at, rms(y, at(x))
 
 
-#: name, points it needs, complexity, fitter
+# Name, points it needs, complexity; and its fitter.
 MODELS: tuple[tuple[str, int, float, Callable[[np.ndarray, np.ndarray], Fit | None]], ...] = (
     ("lin", 3, 1.0, lambda x, y: polynomial(x, y, 1)),
     ("quad", 4, 1.2, lambda x, y: polynomial(x, y, 2)),
