@@ -173,35 +173,51 @@ def test_elias_fano_runs(tmp_path):
         assert (level.find(np.setdiff1d(keys + 1, keys)) == -1).all()
 
 
+def softly(docs, domain="lang", learnt=None):
+    """Posteriors of all documents and the domains."""
+    rows = mixing.measured(docs, domain)
+    domains = learnt or mixing.learn_domains(rows)
+    return mixing.soft_members(rows, domains), domains
+
+
 def test_mixing_meets_targets(spark, documents, nothing):
     rng = random.Random(9)
     rows = [(i, prose(rng, w, 60), n) for i in range(90) for n, w in [(("en", EN), ("en", EN), ("de", DE), ("fr", FR))[i % 4]]]
-    docs = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
-    mix = mixing.fit(docs, mixing.learn_domains(docs), {"en": 1.0, "de": 2.0, "fr": 1.0})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    soft, domains = softly(docs)
+    mix = mixing.fit(soft, domains, {"en": 1.0, "de": 2.0, "fr": 1.0})
     assert np.allclose(mix.totals, mix.targets, rtol=1e-4)
-    got = mixing.rates(docs, mix)
+    got = mixing.rates(soft, mix)
     assert got.where("rate < 0").count() == 0
     sums = got.select(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[k]).alias(str(k)) for k in range(3))).first()
     assert np.allclose(list(sums), mix.targets, rtol=1e-4)
-    again = mixing.fit(docs, mixing.learn_domains(docs), power=0.5)
-    whole = mixing.resample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), again)
-    assert whole.select("doc_id").distinct().count() == 90  # no document is taken away
-    odd = mixing.measured(documents, "lang")
-    mix = mixing.fit(odd, mixing.learn_domains(odd), power=0.7)
-    assert mixing.rates(odd, mix).count() == documents.count() and mixing.resample(documents, mix).columns == documents.columns
-    empty = mixing.measured(nothing, "lang")
-    assert mixing.rates(empty, mixing.fit(empty, mixing.learn_domains(empty))).count() == 0
+    assert mixing.mixed(docs, "lang", power=0.5).select("doc_id").distinct().count() == 90  # no document is taken away
+    odd, domains = softly(documents)
+    assert mixing.rates(odd, mixing.fit(odd, domains, power=0.7)).count() == documents.count() and mixing.mixed(documents, "lang", power=0.7).columns == documents.columns
+    empty, domains = softly(nothing)
+    assert mixing.rates(empty, mixing.fit(empty, domains)).count() == 0
+
+
+def test_rows_come_as_often_as_their_rates_say(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, w, 50), n) for i in range(200) for n, w in [(("en", EN), ("en", EN), ("en", EN), ("fr", FR))[i % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    soft, domains = softly(docs)
+    rates = {r["doc_id"]: r["rate"] for r in mixing.rates(soft, mixing.fit(soft, domains, {"en": 1.0, "fr": 1.2})).collect()}
+    often = Counter(r["doc_id"] for r in mixing.mixed(docs, "lang", {"en": 1.0, "fr": 1.2}).collect())
+    assert all(math.floor(rate + 1e-6) <= often[i] <= math.ceil(rate - 1e-6) for i, rate in rates.items())
+    assert abs(sum(often.values()) - sum(rates.values())) < 40 and len({often[i] for i in rates}) > 2
 
 
 def test_mixing_by_power_takes_no_document_away(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, EN + DE if i % 3 else EN, 40), "mixed" if i % 3 else ("en" if i % 2 else "en2")) for i in range(400)]  # domains overlap
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    measured = mixing.measured(docs, "lang")
-    mix = mixing.fit(measured, mixing.learn_domains(measured), power=0.3)
-    got = mixing.rates(measured, mix)
+    soft, domains = softly(docs)
+    mix = mixing.fit(soft, domains, power=0.3)
+    got = mixing.rates(soft, mix)
     assert got.where("rate < 1").count() == 0 and got.where("rate > 1.01").count() > 0
-    assert {r["doc_id"] for r in mixing.resample(docs, mix).select("doc_id").collect()} == set(range(400))
+    assert {r["doc_id"] for r in mixing.mixed(docs, "lang", power=0.3).select("doc_id").collect()} == set(range(400))
     # the totals that fit has counted are those of the rates
     size = len(mix.targets)
     sums = got.select(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[k]).alias(str(k)) for k in range(size))).first()
@@ -223,7 +239,8 @@ def test_mixing_tells_any_domains_apart(spark, domains):
     rows = [(i, ("" if n in unspaced else " ").join(rng.choice(w) for _ in range(60)), n) for i in range(150) for n, w in [list(domains.items())[i % len(domains)]]]
     docs = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
     learnt = mixing.learn_domains(docs.where("doc_id % 4 < 2"))
-    got = mixing.rates(docs.where("doc_id % 4 >= 2"), mixing.fit(docs, learnt)).select("doc_id", "domain").collect()
+    soft = mixing.soft_members(docs, learnt)
+    got = mixing.rates(soft.where("doc_id % 4 >= 2"), mixing.fit(soft, learnt)).select("doc_id", "domain").collect()
     assert got and all(r["domain"] == rows[r["doc_id"]][2] for r in got)
 
 
@@ -232,10 +249,10 @@ def test_mixing_against_a_plain_solver(spark):
     rng = random.Random(6)
     shared = EN[:10]
     rows = [(i, prose(rng, shared + (EN[10:] if n == "a" else DE if n == "b" else FR), rng.randrange(5, 60)), n) for i in range(120) for n in ["aab"[i % 3] if i % 5 else "c"]]
-    docs = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
+    soft, domains = softly(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     for weights in ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 0.02, "b": 0.03, "c": 0.95}):
-        mix = mixing.fit(docs, mixing.learn_domains(docs), weights, max_steps=60)
-        got = mixing.rates(docs, mix).collect()
+        mix = mixing.fit(soft, domains, weights, max_steps=60)
+        got = mixing.rates(soft, mix).collect()
         p, t = np.array([r["posterior"] for r in got]), np.array([float(r["n_tokens"]) for r in got])
         a = (p * t[:, None]).T
         rate, step = np.ones(len(t)), 1 / np.linalg.norm(a @ a.T, 2)

@@ -11,7 +11,7 @@ from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_
 from tidemark.llm.common import held_out
 
 IDS = [(1 << 60) + 1, None, (1 << 60) + 3, (1 << 53) + 1, None, -(1 << 62) - 1, 5, 5]
-CLASH = ["row", "node", "words", "above", "rate", "copies", "ids", "domain", "bucket", "text_hash", "key_id", "key_hash"]
+CLASH = ["row", "node", "words", "above", "rate", "copies", "ids", "domain", "bucket", "text_hash", "key_id", "key_hash", "mixing_row", "mixing_rate", "mixing_copies"]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,9 @@ def labels(spark):
 
 def mixed(docs):
     measured = mixing.measured(docs, "lang")
-    return measured, mixing.fit(measured, mixing.learn_domains(measured), power=0.7)
+    domains = mixing.learn_domains(measured)
+    soft = mixing.soft_members(measured, domains)
+    return soft, mixing.fit(soft, domains, power=0.7)
 
 
 OPERATORS = {
@@ -48,7 +50,7 @@ FILTERS = {
     "toxicity": lambda d, x: toxicity.drop_toxic(d, toxicity.fit(d, x), reject_at=2.0),
     "exact": lambda d, _: exact_dedup.drop_copies(d),
     "join": lambda d, _: ngram_join.keep_first(d),
-    "mixing": lambda d, _: mixing.resample(d, mixed(d)[1]),
+    "mixing": lambda d, _: mixing.mixed(d, "lang", power=0.7),
 }
 
 

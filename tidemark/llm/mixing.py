@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_name, materialize, whole_text
+from tidemark.llm.common import discard, fresh_name, materialize, whole_text
 
 #: Words are hashed into so many numbers; by domain each has a weight.
 BUCKETS = 4096
@@ -75,10 +75,10 @@ class Domains:
         return g.select(*others, F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def measured(docs: DataFrame, domain: str) -> DataFrame:
-    """row (a number), doc_id, domain (as text), n_tokens and words (their buckets) of every document, written as a table."""
+def measured(docs: DataFrame, domain: str, row: str | None = None) -> DataFrame:
+    """row (a number, from the column ``row`` if one is named), doc_id, domain (as text), n_tokens and words (their buckets) of every document, written as a table."""
     text = whole_text()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(domain).cast("string").alias("domain"), text.alias("text"), F.lower(text).alias("lower"))
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", F.col(domain).cast("string").alias("domain"), text.alias("text"), F.lower(text).alias("lower"))
     rows = rows.withColumn("words", split_words(F.col("lower")))
     # where no character is a word of its own, words are tokens
     n = F.when(F.col("lower").rlike(UNSPACED), token_count(F.col("text"))).otherwise(F.size("words").cast("long"))
@@ -100,6 +100,13 @@ def learn_domains(labelled: DataFrame) -> Domains:
     return Domains([r["domain"] for r in found], np.log(n / n.sum()).tolist(), np.log(counts / counts.sum(axis=1, keepdims=True)).round(6).tolist())
 
 
+def soft_members(rows: DataFrame, domains: Domains) -> DataFrame:
+    """row, doc_id, n_tokens and p (the domains' posteriors) of every document that :func:`measured` gives, written as a table."""
+    kept = rows.select("row", "doc_id", "n_tokens", "words")
+    found = domains.posteriors(kept, "row", "words") if domains.names else kept.drop("words").withColumn("p", F.array().cast("array<double>"))
+    return materialize(found, "mixing-posteriors")
+
+
 @dataclass
 class Mix:
     domains: Domains
@@ -143,8 +150,8 @@ def tempered_targets(totals: np.ndarray, power: float) -> np.ndarray:
     return weights * max((totals[weights > 0] / weights[weights > 0]).tolist(), default=0.0)
 
 
-def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = None, power: float | None = None, max_steps: int = STEPS, tolerance: float = 1e-6) -> Mix:
-    """Rates that bring the expected tokens of the domains to their targets; ``docs`` as :func:`measured` gives it.
+def fit(soft: DataFrame, domains: Domains, weights: dict[str, float] | None = None, power: float | None = None, max_steps: int = STEPS, tolerance: float = 1e-6) -> Mix:
+    """Rates that bring the expected tokens of the domains to their targets; ``soft`` as :func:`soft_members` gives it.
 
     ``weights``: share of each domain in today's total (equal ones if none are given). ``power``: instead,
     shares in proportion to today's expected tokens to this power, of a total that takes nothing away; no rate
@@ -153,7 +160,7 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
     size = len(domains.names)
     if not size:
         return Mix(domains, [], [], [])
-    soft = materialize(domains.posteriors(docs.select("row", F.col("n_tokens").alias("tokens"), "words"), "row", "words").select("tokens", "p"), "mixing-posteriors")
+    soft = soft.select(F.col("n_tokens").alias("tokens"), "p")
     steps: list[list[float]] = []
     least = 0.0 if power is None else 1.0
     totals, gram = _state(soft, steps, size, least)
@@ -181,28 +188,28 @@ def fit(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = No
     return Mix(domains, targets.tolist(), steps, totals.tolist(), least)
 
 
-def rates(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, n_tokens, domain (likeliest), posterior, rate of every document that :func:`measured` gives."""
-    rows = docs.select("row", "doc_id", "n_tokens", "words")
+def rates(soft: DataFrame, mix: Mix) -> DataFrame:
+    """doc_id, n_tokens, domain (likeliest), posterior, rate of every document that :func:`soft_members` gives."""
     if not mix.domains.names:
-        return rows.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
-    rows = mix.domains.posteriors(rows, "row", "words").select("doc_id", "n_tokens", F.col("p").alias("posterior"))
+        return soft.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.col("p").alias("posterior"), F.lit(1.0).alias("rate"))
     names = F.array(*map(F.lit, mix.domains.names))
-    likeliest = names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
-    return rows.select("doc_id", "n_tokens", likeliest.alias("domain"), "posterior", mix.rate(F.col("posterior")).alias("rate"))
+    likeliest = names[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
+    return soft.select("doc_id", "n_tokens", likeliest.alias("domain"), F.col("p").alias("posterior"), mix.rate(F.col("p")).alias("rate"))
 
 
-def resample(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with each row as often as its rate says: the whole part, and once more where a hash of doc_id is below the rest."""
-    if not mix.domains.names:
-        return docs
-    row, rate, copies, words = (fresh_name(docs, f"mixing_{x}") for x in ("row", "rate", "copies", "words"))
+def mixed(docs: DataFrame, domain: str, weights: dict[str, float] | None = None, power: float | None = None) -> DataFrame:
+    """``docs`` mixed to the targets of :func:`fit`: each row as often as its rate says, the whole part, and once more where a hash of doc_id is below the rest."""
+    row, rate, copies = (fresh_name(docs, f"mixing_{x}") for x in ("row", "rate", "copies"))
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
-    counted = rows.select(row, F.lower(whole_text()).alias(words)).withColumn(words, word_buckets(split_words(F.col(words))))
-    rated = mix.domains.posteriors(counted, row, words)
-    rated = rated.select(row, F.round(mix.rate(F.col("p")), 9).alias(rate))  # a sum of doubles may end just below a whole number
-    rows = rows.join(rated, row)
+    words = measured(rows, domain, row)
+    domains = learn_domains(words)
+    soft = soft_members(words, domains)
+    discard(words)
+    mix = fit(soft, domains, weights, power)
+    columns = [f"`{c}`" for c in docs.columns]
+    if not domains.names:
+        return rows.select(*columns)
+    rated = soft.select(F.col("row").alias(row), F.round(mix.rate(F.col("p")), 9).alias(rate))  # a sum of doubles may end just below a whole number
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     often = (F.floor(rate) + F.when(chance < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
-    rows = rows.select(*(f"`{c}`" for c in docs.columns), F.explode(F.array_repeat(F.lit(0), often)).alias(copies))
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+    return rows.join(rated, row).select(*columns, F.explode(F.array_repeat(F.lit(0), often)).alias(copies)).select(*columns)

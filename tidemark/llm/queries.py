@@ -52,7 +52,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.measured(table(spark, sf_dir, "documents"), "lang")
-    return mixing.rates(rows, mixing.fit(rows, mixing.learn_domains(rows)))
+    domains = mixing.learn_domains(rows)
+    soft = mixing.soft_members(rows, domains)
+    return mixing.rates(soft, mixing.fit(soft, domains))
 
 
 QUERIES = {
