@@ -30,8 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.measured(docs, "lang")
-    return mixing.resample(docs, mixing.fit(rows, mixing.learn_domains(rows), power=MIX_POWER))
+    return mixing.mixed(docs, "lang", power=MIX_POWER)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
