@@ -65,7 +65,20 @@ def prices(name: str = "w") -> Column:
     return F.transform(name, lambda x: x.price)
 
 
+def near(rows: DataFrame, wanted: Column | None, back: int) -> DataFrame:
+    """Only those ``rows`` that are ``wanted`` or one of the ``back`` before such a one; all if nothing is said.
+
+    ``wanted`` may name ``next_us``, the time of the tick after a row. A signature costs far more than finding these rows.
+    """
+    if wanted is None:
+        return rows.withColumn("wanted", F.lit(True))
+    rows = rows.withColumn("next_us", F.lead("us").over(_order())).withColumn("wanted", wanted)
+    return rows.withColumn("_near", F.max(F.col("wanted").cast("int")).over(_order().rowsBetween(0, back))).where("_near = 1").drop("_near", "next_us")
+
+
 def _done(rows: DataFrame, *columns: str) -> DataFrame:
+    if "wanted" in rows.columns:
+        rows = rows.where("wanted")
     return rows.where("own").select("symbol", "us", "event_id", *columns)
 
 
@@ -89,7 +102,7 @@ def crt(ticks: DataFrame, scale: TimeScale) -> DataFrame:
 START = (1, 1, 2, 3)
 
 
-def labouchere(ticks: DataFrame, scale: TimeScale) -> DataFrame:
+def labouchere(ticks: DataFrame, scale: TimeScale, wanted: Column | None = None) -> DataFrame:
     """The sequence that a staking rule reaches over the last eight ticks, its last step, length and sum."""
 
     def start() -> Column:
@@ -106,7 +119,7 @@ def labouchere(ticks: DataFrame, scale: TimeScale) -> DataFrame:
         return F.struct(s.alias("s"), x.price.alias("p"), way.alias("way"))
 
     first = F.struct(start().alias("s"), F.lit(None).cast("double").alias("p"), F.lit("none").alias("way"))
-    rows = trailing(blocked(ticks, scale), 8, scale).withColumn("state", fold(F.col("w"), first, step)).drop("w")
+    rows = near(trailing(blocked(ticks, scale), 8, scale), wanted, 13).withColumn("state", fold(F.col("w"), first, step)).drop("w")
     rows = rows.select("*", F.col("state.way").alias("transition"), F.size("state.s").alias("seq_len"), F.aggregate("state.s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("seq_sum")).drop("state")
     core = F.when(F.col("transition") != "none", _text("lab:%s:len%d_sum%d", "transition", "seq_len", "seq_sum"))
     rows = rows.withColumn("core", core).withColumn("dwell_bin", dwell("core", 12, scale)).withColumn("velocity_bin", velocity(["seq_len", "seq_sum"], scale))
@@ -149,8 +162,8 @@ def entropies(rows: DataFrame, name: str = "w") -> DataFrame:
     return rows.withColumn("return_entropy", entropy).drop("_p", "_n", "_patterns", "_l", "_r", "_lo", "_hi", "_bins")
 
 
-def entropy_regime(ticks: DataFrame, scale: TimeScale) -> DataFrame:
-    rows = trailing(blocked(ticks, scale), 32, scale)
+def entropy_regime(ticks: DataFrame, scale: TimeScale, wanted: Column | None = None) -> DataFrame:
+    rows = near(trailing(blocked(ticks, scale), 32, scale), wanted, 12)
     rows = entropies(rows)
 
     def quarter(x: str) -> Column:
@@ -194,7 +207,7 @@ def _arrays(window) -> tuple[np.ndarray, np.ndarray]:
 def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None = None) -> DataFrame:
     """symbol, us, event_id, core, signature of one of the engines in ``NUMERIC``; a window on which it fails gives null.
 
-    ``wanted``: a condition on a tick and ``next_us``, the time of the one after it; only such ticks, and those that their dwell looks back on, are computed.
+    ``wanted`` as in :func:`near`.
     """
     size, back, function = NUMERIC[name]
 
@@ -208,14 +221,8 @@ def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None
     def signature(w: pd.Series) -> pd.Series:
         return pd.Series([signature_of(x) for x in w], dtype=object)
 
-    rows = trailing(blocked(ticks, scale), size, scale)
-    if wanted is not None:
-        rows = rows.withColumn("next_us", F.lead("us").over(_order())).withColumn("_wanted", wanted)
-        near = F.max(F.col("_wanted").cast("int")).over(_order().rowsBetween(0, back - 1))
-        rows = rows.withColumn("_near", near).where("_near = 1")
+    rows = near(trailing(blocked(ticks, scale), size, scale), wanted, back)
     rows = rows.withColumn("core", signature("w")).drop("w").withColumn("dwell_bin", dwell("core", back, scale))
-    if wanted is not None:
-        rows = rows.where("_wanted")
     return _done(rows.withColumn("signature", F.when(F.col("core").isNotNull(), _text("%s_dw%d", "core", "dwell_bin"))), "core", "signature")
 
 

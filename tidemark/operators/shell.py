@@ -29,12 +29,21 @@ ORDER = (
 )
 
 
+def before_cutoff(scale: TimeScale) -> Column:
+    """True of the last tick not after a cutoff: the cutoff of its own round, or of the one before the next tick's."""
+    length, play = micros(scale.round_length), micros(scale.round_length * scale.play_share)
+    us, following = F.col("us"), F.col("next_us")
+    cutoff = F.floor(us / length) * length + play
+    return (us <= cutoff) & (following.isNull() | (following > cutoff)) | (us > cutoff) & (following.isNull() | (following > cutoff + length))
+
+
 def column_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
-    """engine, symbol, us, event_id and price (a signature) whenever an engine in ``COLUMNS`` has a new one."""
-    made = {"crt": engines.crt, "labouchere": engines.labouchere, "entropy_regime": engines.entropy_regime}
+    """engine, symbol, us, event_id and price (a signature) of the engines in ``COLUMNS``, at the last tick before each cutoff or whenever a candle closes."""
+    last = before_cutoff(scale)
+    made = {"crt": engines.crt(ticks, scale), "labouchere": engines.labouchere(ticks, scale, last), "entropy_regime": engines.entropy_regime(ticks, scale, last)}
     out = None
-    for name, engine in made.items():
-        rows = engine(ticks, scale).select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
+    for name, found in made.items():
+        rows = found.select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
         out = rows if out is None else out.unionByName(rows)
     closed = ((F.col("bucket") + 1) * micros(scale.candle)).alias("us")
     rows = candlestick_signatures(ticks, scale).select(F.lit("candlestick").alias("engine"), "symbol", closed, F.col("bucket").alias("event_id"), F.col("signature").alias("price"))
@@ -43,10 +52,7 @@ def column_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
 
 def other_facts(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, momentum_least: int = 90) -> DataFrame:
     """The same of the numeric engines and of momentum; the numeric ones only at the last tick before a cutoff."""
-    length, play = micros(scale.round_length), micros(scale.round_length * scale.play_share)
-    cutoff = F.floor(F.col("us") / length) * length + play
-    # the last tick not after a cutoff: the cutoff of its own round, or of the one before the next tick's
-    last = (F.col("us") <= cutoff) & (F.col("next_us").isNull() | (F.col("next_us") > cutoff)) | (F.col("us") > cutoff) & (F.col("next_us").isNull() | (F.col("next_us") > cutoff + length))
+    last = before_cutoff(scale)
     out = None
     for name in NUMERIC:
         rows = engines.numeric(ticks, scale, name, last).select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
