@@ -57,8 +57,10 @@ def test_labels_come_from_the_next_round_in_time(spark, tmp_path):
 
 
 def test_batches_are_merged_latest_first(spark, tmp_path):
-    write = ingest.upsert_batches(str(tmp_path / "t"), ["k"], ["v"])
-    write(spark.createDataFrame([("x", 1), ("y", 1)], "k string, v int"), 0)
-    for _ in range(2):  # a replay
-        write(spark.createDataFrame([("x", 2), ("z", 5)], "k string, v int"), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()) == [("x", 2), ("y", 1), ("z", 5)]
+    target, schema = str(tmp_path / "t"), "k string, v int, w string"
+    write = ingest.upsert_batches(target, ["k"], ["v"])
+    write(spark.createDataFrame([("x", 1, "a"), ("y", 1, "a"), ("x", 0, "old")], schema), 0)
+    for _ in range(2):  # a replay, and a gap in the numbers
+        write(spark.createDataFrame([("x", 2, "b"), ("z", 5, "b"), ("y", 1, "same time, later batch")], schema), 7)
+    got = sorted(tuple(r) for r in ingest.upserted(spark, target, schema, ["k"], ["v"]).select("k", "v", "w").collect())
+    assert got == [("x", 2, "b"), ("y", 1, "same time, later batch"), ("z", 5, "b")]

@@ -54,19 +54,25 @@ def delayed_labels(observations: DataFrame, outcomes: DataFrame, within: str = "
     return joined.select("a.*", F.col("b.outcome").alias("next_outcome"))
 
 
-def upsert_batches(target: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each batch is merged into the newest version under ``target``; replaying a batch changes nothing."""
+def upsert_batches(target: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch writes its own newest rows by key bucket under ``target``; nothing older is read or written again.
+
+    Replaying a batch writes the same files, and numbers may have gaps.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        if number:
-            merged = spark.read.schema(batch.schema).parquet(f"{target}/version={number - 1}").unionByName(batch)
-        latest_wins(merged, keys, order).select(batch.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
+        newest = latest_wins(batch, keys, order).select(batch.columns)
+        newest.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
 
     return write
 
 
+def upserted(spark: SparkSession, target: str, schema: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The newest row of each key that :func:`upsert_batches` has written; of rows equal in ``order``, the later batch's."""
+    rows = spark.read.schema(f"{schema}, batch bigint, bucket bigint").parquet(target)
+    return latest_wins(rows, keys, [*order, "batch"]).drop("batch", "bucket")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run over what has come so far into the in-memory table ``name``; for tests and backfills."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
