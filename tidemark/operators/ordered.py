@@ -15,8 +15,6 @@ from tidemark.config import micros
 
 #: Seconds in a block: a day.
 BLOCK = 86_400.0
-#: Rows by number in a part of :func:`overlapped`.
-PART = 4096
 
 
 def in_block(time: str | Column, block: float = BLOCK) -> Column:
@@ -39,15 +37,6 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: di
     return rows.drop("_block", *(f"_start_of_{n}" for n in sums))
 
 
-def overlapped(rows: DataFrame, number: str, back: int, part: int = PART) -> DataFrame:
-    """``rows`` with part and own: dealt to parts by their ``number``; the last ``back`` rows of a part are repeated, not own, in the next."""
-    assert back < part
-    mine = F.floor(F.col(number) / part)
-    late = F.pmod(F.col(number), F.lit(part)) >= part - back
-    rows = rows.withColumn("part", F.explode(F.when(late, F.array(mine, mine + 1)).otherwise(F.array(mine))))
-    return rows.withColumn("own", F.col("part") == mine)
-
-
 def lagged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, block: float = BLOCK) -> DataFrame:
     """``rows`` with ``name``: ``value`` of the row before in the order of their keys, null for the first."""
     rows = rows.withColumn("_block", in_block(order[0], block))
