@@ -99,7 +99,7 @@ def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run:
                 yield pa.RecordBatch.from_arrays([*head.slice(0, n).columns, *own.columns], names=names)
                 at += n
 
-    kept = rows.select(*dict.fromkeys([*carried, *used]))
+    kept = rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carried, *used])))
     schema = StructType([kept.schema[c] for c in carried] + made_type.fields)
     return kept.mapInArrow(task, schema)
 

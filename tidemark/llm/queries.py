@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_join, ngram_trie, token_store, toxicity
+from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, merkle, mixing, ngram_join, ngram_trie, token_store, toxicity, whitening, wumanber
 from tidemark.llm.common import held_out, table
 
 
@@ -57,6 +57,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(soft, mixing.fit(soft, domains))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.every_seventh())
+
+
+def op12_wumanber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wumanber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_maxscore": op2_maxscore,
@@ -68,6 +80,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
+    "op12_wumanber": op12_wumanber,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -87,4 +102,46 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op11_merkle": """
+        WITH RECURSIVE
+          crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+          d AS (SELECT row_number() OVER () AS r, doc_id, n_chars, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree,
+                       [CAST(doc_id AS VARCHAR), source, lang, text] AS f, CAST(n_chars AS VARCHAR) AS chars, CAST(n_chars + 1 AS VARCHAR) AS more,
+                       xor(list_reduce(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+                                       lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 7 = 0 AS tampered FROM documents, crc_table),
+          e AS (SELECT *, list_transform([f[1], f[2], f[3], chars, more, f[4]], lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END) AS g FROM d),
+          leaves AS (SELECT r, doc_id, tree, sha256(g[1] || g[2] || g[3] || g[4] || g[6]) AS leaf, CASE WHEN tampered AND n_chars IS NOT NULL THEN sha256(g[1] || g[2] || g[3] || g[5] || g[6]) END AS claimed FROM e),
+          placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+          nodes(tree, level, pos, n, node) AS (
+            SELECT tree, 0, pos, n, leaf FROM placed
+            UNION ALL SELECT tree, level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 2),
+          subroots AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, level AS height FROM nodes WHERE n = 1),
+          tops(level, pos, n, node) AS (
+            SELECT 0, pos, n, node FROM subroots
+            UNION ALL SELECT level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2),
+          -- every node's sibling on the way up, null for a lone one, by level
+          steps AS (SELECT p.r, s.level, s.pos % 2 AS side, o.node AS sibling FROM placed p JOIN nodes s ON s.tree = p.tree AND s.n > 1 AND s.pos = p.pos >> s.level
+                    LEFT JOIN nodes o ON o.tree = s.tree AND o.level = s.level AND o.pos = xor(s.pos, 1)
+                    UNION ALL SELECT p.r, q.height + s.level, s.pos % 2, o.node FROM placed p JOIN subroots q ON q.tree = p.tree JOIN tops s ON s.n > 1 AND s.pos = q.pos >> s.level
+                    LEFT JOIN tops o ON o.level = s.level AND o.pos = xor(s.pos, 1)),
+          proof AS (SELECT r, list({'side': side, 'sibling': sibling} ORDER BY level) AS path, coalesce(string_agg(sibling, '' ORDER BY level), '') AS joined FROM steps GROUP BY r),
+          fold(r, k, node) AS (
+            SELECT p.r, 0, coalesce(claimed, leaf) FROM placed p
+            UNION ALL SELECT f.r, k + 1, sha256(CASE WHEN path[k + 1].sibling IS NULL THEN node WHEN path[k + 1].side = 0 THEN node || path[k + 1].sibling ELSE path[k + 1].sibling || node END)
+                      FROM fold f JOIN proof USING (r) WHERE k < len(path))
+        SELECT p.doc_id, p.leaf, q.node AS subroot, t.node AS root, sha256(coalesce(joined, '')) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+        FROM placed p JOIN subroots q ON q.tree = p.tree JOIN tops t ON t.n = 1 LEFT JOIN proof USING (r) JOIN fold f ON f.r = p.r AND f.k = coalesce(len(path), 0)
+    """,
+    "op12_wumanber": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             sized AS (SELECT item, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
+             wanted AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+             seen AS (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT r, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM d, (SELECT DISTINCT m FROM sized))),
+             found AS (SELECT r, i, m, item FROM seen JOIN wanted USING (m, s)),
+             hit AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT r, i, m FROM found)) GROUP BY r),
+             held AS (SELECT r, list(DISTINCT item ORDER BY item) AS items FROM found GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+    """,
 }
