@@ -1,16 +1,18 @@
 """BPE round trips and the token store against the tokenizers library."""
 
 import hashlib
+import random
 import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, token_store
+from tidemark.llm import bpe, characters, token_store
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -97,3 +99,51 @@ def test_chunks_follow_the_content():
 def test_no_documents(spark, nothing):
     assert bpe.round_trip(nothing, BYTE).count() == 0
     assert token_store.document_checksums(spark, token_store.write_store(nothing, WORD)).count() == 0
+
+
+def every_character():
+    return [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+
+
+def test_classes_are_the_library_s_on_every_character():
+    library = Tokenizer.from_file(BYTE).pre_tokenizer
+    letter, number = (regex.compile("(?V1)" + x) for x in (characters.LETTER, characters.NUMBER))
+    known, rest = [], []
+    for c in every_character():
+        (known if letter.match(chr(c)) or number.match(chr(c)) else rest).append(c)
+    space = regex.compile(f"[{bpe.SPACE}]")
+    # what is neither letter, number nor space is one piece, whatever there is of it
+    others = "".join(chr(c) for c in rest if not space.match(chr(c)) and chr(c) != "'")
+    assert len(library.pre_tokenize_str(others)) == 1
+    for probe, one in (("x", letter), ("1", number)):
+        for at in range(0, len(known), 20_000):
+            part = known[at : at + 20_000]
+            starts = {a for _, (a, _) in library.pre_tokenize_str("".join("\n" + probe + chr(c) for c in part))}
+            assert [c for i, c in enumerate(part) if (3 * i + 2 not in starts) != bool(one.match(chr(c)))] == []
+    old = [c for c in every_character() if chr(c) < characters.OLD]
+    assert all(max(chr(c).encode()) >= characters.OLD_BYTE for c in every_character() if chr(c) >= characters.OLD)
+    assert all(bool(regex.match(p, chr(c))) == bool(q.match(chr(c))) for c in old for p, q in ((r"\p{L}", letter), (r"\p{N}", number)))
+
+
+def test_normalised_text_is_the_library_s_on_every_character():
+    library = Tokenizer.from_file(WORD).normalizer
+    for probe in ("{}", "a{}\u0334", "\u0344{}", "Σ{}"):
+        chars = [c for c in every_character() if not chr(c).isspace()]
+        lines = [probe.format(chr(c)) for c in chars]
+        assert [hex(c) for c, a, b in zip(chars, map(token_store.normalized, lines), library.normalize_str(" ".join(lines)).split(" "), strict=True) if a != b] == []
+
+
+def test_texts_of_mixed_scripts_are_the_library_s():
+    rng = random.Random(11)
+    odd = [c for a, b in characters.NEITHER for c in (a, b)] + [0x1C89, 0xA7CB, 0xA7DC, 0x10D50, 0x16EA0, 0x7FD, 0x898, 0x1DF7, 0x345, 0x323, 0x301, 0x3A3, 0x130, 0x1E9E, 0x23A, 0x212A, 0x2028, 0x85, 0xA0, 0x3000]
+    texts = []
+    for _ in range(20_000):
+        n = rng.randrange(1, 9)
+        texts.append("".join(rng.choice([" ", "a", "B", "'s", "7", "é", chr(rng.choice(odd)), chr(rng.randrange(0x20, 0x600)), chr(rng.choice([rng.randrange(0x600, 0xD800), rng.randrange(0xE000, 0x20000)]))]) for _ in range(n)))
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    ids, length = bpe.Encoder(bpe.Merges(BYTE), None).encode(texts)
+    ends = np.cumsum(length)
+    assert [t for t, a, b, w in zip(texts, ends - length, ends, byte.encode_batch(texts, add_special_tokens=False), strict=True) if ids[a:b].tolist() != w.ids] == []
+    ids, length = token_store.WordEncoder(WORD).encode(texts)
+    ends = np.cumsum(length)
+    assert [t for t, a, b, w in zip(texts, ends - length, ends, word.encode_batch(texts, add_special_tokens=False), strict=True) if ids[a:b].tolist() != w.ids] == []

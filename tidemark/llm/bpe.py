@@ -34,6 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.characters import cutter, is_old
 from tidemark.llm.common import carry
 
 LEXICON_WORDS = 65_536
@@ -45,10 +46,15 @@ NO_RANK = np.iinfo(np.int32).max
 # The pattern that cuts a text before byte-level BPE, with Unicode white space spelt out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+NEW_CUT = cutter(rf"'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?OTHER+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+", SPACE)
 #: White space that may bind words on both sides of a space; such texts are cut as a whole.
 LONG_SPACE = regex.compile(rf"[{SPACE}]{{3}}|[{SPACE}]{{2}}\Z")
 
 
+def pieces_of(text: str) -> list[str]:
+    return (CUT if is_old(text) else NEW_CUT).findall(text)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in the vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -207,7 +213,7 @@ def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def cut(word: str) -> list[bytes]:
-    return [piece.encode("utf-8", "surrogatepass") for piece in CUT.findall(word)]
+    return [piece.encode("utf-8", "surrogatepass") for piece in pieces_of(word)]
 
 
 def encode_words(merges: Merges, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -423,7 +429,7 @@ class Encoder:
                     n += 1
                 elif part:
                     if LONG_SPACE.search(part):
-                        pieces = CUT.findall(part)
+                        pieces = pieces_of(part)
                         runs.append((False, np.fromiter(map(self.bare.__getitem__, pieces), np.int64, len(pieces))))
                         n += 1
                     else:

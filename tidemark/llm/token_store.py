@@ -26,7 +26,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import SPACE, Merges, gather, portions
+from tidemark.llm.characters import OLD_BYTE, composed, cutter, is_old, lower
 from tidemark.llm.common import carry, mix, shared_folder
 
 WINDOW, CUT_BITS, LEAST, MOST = 8, 8, 64, 1024
@@ -47,7 +47,9 @@ SEEN = 200_000  # digests that a task remembers so as not to pass on a chunk twi
 
 # Fixed value: the pattern that cuts a normalised text into words of the vocabulary.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+NEW_PIECE = cutter(r"'s|'t|'re|'ve|'m|'ll|'d|LETTER+|NUMBER|OTHER+", SPACE)
 PIECE_OR_LINE = regex.compile(PIECE.pattern + r"|\n")
+NEW_PIECE_OR_LINE = regex.compile(NEW_PIECE.pattern + r"|\n")
 ASCII_PIECE_OR_LINE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+|\n")
 WORD_END = "</w>"
 
@@ -56,8 +58,12 @@ _ODD = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
 def normalized(text: str) -> str:
     """NFC and lower case, character by character."""
-    text = unicodedata.normalize("NFC", text)
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    return lower(composed(text))
+
+
+def pieces_of(text: str) -> list[str]:
+    """Words of the vocabulary in a normalised text."""
+    return (PIECE if is_old(text) else NEW_PIECE).findall(text)
 
 
 class Numbers(dict):
@@ -99,9 +105,9 @@ class WordEncoder:
         out: list[str | int] = []
         at = 0
         for hit in self.specials.finditer(word):
-            out += [*PIECE.findall(normalized(word[at : hit.start()])), self.merges.special[hit[0]]]
+            out += [*pieces_of(normalized(word[at : hit.start()])), self.merges.special[hit[0]]]
             at = hit.end()
-        return out + PIECE.findall(normalized(word[at:]))
+        return out + pieces_of(normalized(word[at:]))
 
     def _cut(self, words: list[bytes], pattern: re.Pattern | regex.Pattern) -> list[str | int]:
         """Pieces of all words, each word closed by a line end."""
@@ -112,9 +118,10 @@ class WordEncoder:
         return pattern.findall(normalized(text))
 
     def _learn(self, fresh: list[bytes]) -> None:
-        plain = [w.isascii() for w in fresh]
-        found = self._cut([w for w, p in zip(fresh, plain, strict=True) if p], ASCII_PIECE_OR_LINE)
-        found += self._cut([w for w, p in zip(fresh, plain, strict=True) if not p], PIECE_OR_LINE)
+        kind = np.array([0 if w.isascii() else 1 if max(w) < OLD_BYTE else 2 for w in fresh])
+        found: list[str | int] = []
+        for k, pattern in enumerate((ASCII_PIECE_OR_LINE, PIECE_OR_LINE, NEW_PIECE_OR_LINE)):
+            found += self._cut([fresh[i] for i in np.flatnonzero(kind == k).tolist()], pattern)
         new = [p for p in dict.fromkeys(found) if p not in self.pieces]
         ids, length = self.merges.merge([p.encode("utf-8", "surrogatepass") for p in new])
         self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
@@ -123,7 +130,7 @@ class WordEncoder:
         rows = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
         own = np.diff(np.concatenate([[0], np.cumsum(self.piece_length[rows])[rows == 0]]))
         start = len(self.ids) + np.cumsum(own) - own
-        back = np.argsort(np.argsort(~np.array(plain), kind="stable"), kind="stable")  # the ASCII ones were cut first
+        back = np.argsort(np.argsort(kind, kind="stable"), kind="stable")  # they were cut by kind
         self.start, self.length = np.concatenate([self.start, start[back]]), np.concatenate([self.length, own[back]])
         self.ids = np.concatenate([self.ids, self.piece_ids[gather(self.piece_start[rows], self.piece_length[rows])]])
 
