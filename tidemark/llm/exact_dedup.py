@@ -8,7 +8,7 @@ size reaches the second step as at most one row per partition and salt, and the
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays; a
 null doc_id is smaller than any other; rows repeated with the same doc_id count in ``group_size`` and
 share their verdict in :func:`copy_groups`, while :func:`drop_copies` returns one row of each group
-(among rows with equal doc_id the one with the largest other columns). Other columns are ignored by
+(among rows with equal doc_id the one with the largest hash of all its columns). Other columns are ignored by
 :func:`copy_groups`, whatever their names. An empty table gives an empty result.
 """
 
@@ -56,15 +56,24 @@ def copy_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_dig
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row of each group of equal texts, with all columns of ``docs`` (of types that can be ordered)."""
-    rest = ["doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    """One row of each group of equal texts, with all columns of ``docs``, whatever their names and types.
+
+    Only ids are compared, and a hash of the other columns among rows with the same id: the same row stays at every run.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = F.struct(F.col("doc_id"), F.col("text"), *(F.col(f"`{c}`") for c in rest))
     rows = docs.select(
         sha256_digest(whole_text()).alias("digest"),
         whole_text().alias("text"),
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
-        F.struct(F.col("doc_id"), F.col("text").isNotNull().alias("had_text"), *(F.col(f"`{c}`") for c in rest[1:])).alias("row"),
+        F.struct(F.col("doc_id").alias("id"), F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256).alias("hash")).alias("place"),
+        F.col("text").isNotNull().alias("held"),
+        F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))).alias("row"),
     )
-    won = _combined(rows, F.max("row"), salts)
-    columns = {c: F.col("keep")[c].alias(c) for c in rest}
-    columns["text"] = F.when(F.col("keep.had_text"), F.col("text")).alias("text")
+    kept = F.max_by(F.struct("place", "held", "row"), F.col("place"))
+    salted = rows.groupBy("digest", "salt", "text").agg(kept.alias("keep"))
+    won = salted.repartition("digest").groupBy("digest", "text").agg(F.max_by("keep", F.col("keep.place")).alias("keep"))
+    columns = {c: F.col("keep.row")[f"c{k}"].alias(c) for k, c in enumerate(rest)}
+    columns["doc_id"] = F.col("keep.place.id").alias("doc_id")
+    columns["text"] = F.when(F.col("keep.held"), F.col("text")).alias("text")
     return won.select(*(columns[c] for c in docs.columns))
