@@ -186,6 +186,7 @@ def features(docs: DataFrame, *others: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> AdditiveModel:
     """Learn from ``labels`` (doc_id and ``label`` 0/1; leave out what is held out) and the texts of ``docs``."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels without a document take no places
     chosen = F.broadcast(bounded_sample(own, sample))  # ``sample`` small rows at most
     rows = features(docs.select("doc_id", "text").join(chosen, "doc_id"), "label")
     found = bounded_sample(rows, sample).toPandas()

@@ -105,6 +105,7 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, features: in
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, toxic, words) of the training sample."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels without a document take no places
     chosen = F.broadcast(bounded_sample(own, sample))  # ``sample`` small rows at most
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
 
