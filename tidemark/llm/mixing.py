@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, fresh_name, materialize, whole_text
+from tidemark.operators.ordered import running
 
 #: Words are hashed into so many numbers; by domain each has a weight.
 BUCKETS = 4096
@@ -34,6 +35,8 @@ EVIDENCE = 60.0
 STEPS = 25
 #: Domains at most, as each pair of them is summed; more are an error.
 MOST_DOMAINS = 64
+#: Row numbers of one partition, as a block of :func:`running`.
+PARTITION = (1 << 33) / 1e6
 
 
 def split_words(lower: Column) -> Column:
@@ -198,8 +201,11 @@ def rates(soft: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mixed(docs: DataFrame, domain: str, weights: dict[str, float] | None = None, power: float | None = None) -> DataFrame:
-    """``docs`` mixed to the targets of :func:`fit`: each row as often as its rate says, the whole part, and once more where a hash of doc_id is below the rest."""
-    row, rate, copies = (fresh_name(docs, f"mixing_{x}") for x in ("row", "rate", "copies"))
+    """``docs`` mixed to the targets of :func:`fit`: each row as often as its rate says, the whole part, and once more where a draw is below the rest.
+
+    The draw is a hash of id and text and, of rows that share both, of their place among them: so each row has its own, and a rerun gives the same.
+    """
+    row, rate, copies, draw = (fresh_name(docs, f"mixing_{x}") for x in ("row", "rate", "copies", "draw"))
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
     words = measured(rows, domain, row)
     domains = learn_domains(words)
@@ -210,6 +216,9 @@ def mixed(docs: DataFrame, domain: str, weights: dict[str, float] | None = None,
     if not domains.names:
         return rows.select(*columns)
     rated = soft.select(F.col("row").alias(row), F.round(mix.rate(F.col("p")), 9).alias(rate))  # a sum of doubles may end just below a whole number
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    often = (F.floor(rate) + F.when(chance < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
+    same = rows.select(F.col(row).alias("row"), F.xxhash64("doc_id", "text").alias("same"))
+    drawn = running(same, ["same"], ["row"], {"nth": F.lit(1)}, PARTITION)  # a row repeated very often is ranked in many tasks
+    chance = F.pmod(F.xxhash64("same", "nth", F.lit("mix")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    rated = rated.join(drawn.select(F.col("row").alias(row), chance.alias(draw)), row)
+    often = (F.floor(rate) + F.when(F.col(draw) < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
     return rows.join(rated, row).select(*columns, F.explode(F.array_repeat(F.lit(0), often)).alias(copies)).select(*columns)
