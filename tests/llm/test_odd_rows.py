@@ -11,15 +11,15 @@ from tidemark.llm import bpe, exact_dedup, gam, langid, maxscore, mixing, ngram_
 from tidemark.llm.common import held_out
 
 IDS = [(1 << 60) + 1, None, (1 << 60) + 3, (1 << 53) + 1, None, -(1 << 62) - 1, 5, 5]
-CLASH = ["row", "node", "words", "above", "rate", "copies", "ids", "domain", "bucket", "text_hash", "key_id", "key_hash", "mixing_row", "mixing_rate", "mixing_copies"]
+CLASH = ["row", "node", "words", "above", "rate", "copies", "ids", "domain", "bucket", "text_hash", "key_id", "key_hash", "mixing_row", "mixing_rate", "mixing_copies", "mixing_draw", "had_text", "held", "place", "a.b", "text.x"]
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = random.Random(2)
     texts = [prose(rng, EN if i % 2 else DE, 40) for i in range(len(IDS) - 1)]
-    made = [(i, t, "en" if k % 2 else "de", (1 << 60) + 7 if k % 3 else None, *[9] * len(CLASH)) for k, (i, t) in enumerate(zip(IDS, [*texts, texts[-1]], strict=True))]
-    return spark.createDataFrame(made, "doc_id long, text string, lang string, source_id long, " + ", ".join(f"{c} int" for c in CLASH)).coalesce(1)
+    made = [(i, t, "en" if k % 2 else "de", (1 << 60) + 7 if k % 3 else None, {"m": k % 2}, (1, "s"), *[9] * len(CLASH)) for k, (i, t) in enumerate(zip(IDS, [*texts, texts[-1]], strict=True))]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source_id long, m map<string, int>, s struct<x: int, `y.z`: string>, " + ", ".join(f"`{c}` int" for c in CLASH)).coalesce(1)
 
 
 @pytest.fixture(scope="module")
@@ -64,9 +64,9 @@ def test_large_ids_beside_nulls_stay_what_they_are(spark, rows, labels, name):
 def test_whole_rows_pass_a_stage_unchanged(rows, labels, name):
     kept = FILTERS[name](rows, labels)
     assert kept.schema.simpleString() == rows.schema.simpleString()
-    before = {tuple(r) for r in rows.collect()}
+    before = {str(r): r for r in rows.collect()}
     after = kept.collect()
-    assert {tuple(r) for r in after} <= before and len({r["text"] for r in after}) == len({r[1] for r in before})
+    assert {str(r) for r in after} <= set(before) and len({r["text"] for r in after}) == len({r["text"] for r in before.values()})
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -91,3 +91,24 @@ def test_vectors_keep_large_ids(spark):
     table = spark.createDataFrame([((1 << 60), [1.0]), (None, [1.0]), ((1 << 60) + 1, [2.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in maxscore.top_k(table, F.col("vec_id") == 1 << 60).collect()]
     assert got == [(1 << 60, 1, (1 << 60) + 1, 131072)]
+
+
+def test_rows_are_drawn_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(None, prose(rng, words, 30), lang) for lang, words in (("en", EN), ("de", DE)) for _ in range(200)]
+    for made in (rows, [(5, *r[1:]) for r in rows], [rows[0]] * 200 + [rows[-1]] * 200):
+        docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+        halved = mixing.mixed(docs, "lang", {"en": 0.25, "de": 0.75})
+        kept = [r["lang"] for r in halved.collect()]
+        assert sorted(kept) == sorted(r["lang"] for r in mixing.mixed(docs.repartition(2), "lang", {"en": 0.25, "de": 0.75}).collect())
+        assert 0.15 < kept.count("en") / len(kept) < 0.36
+
+
+def test_labels_of_absent_documents_take_no_places(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, EN if i % 2 else DE, 30)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(i, 0, 0) for i in range(1000, 6000)], "doc_id long, quality int, toxic int")
+    model = gam.fit(docs, labels, sample=60)
+    got = {r["doc_id"]: r["score"] for r in gam.score(docs, model).collect()}
+    assert got == {r["doc_id"]: r["score"] for r in gam.score(docs, gam.fit(docs, labels.where("doc_id < 100"), sample=60)).collect()}
+    assert toxicity._labelled(docs, labels, 60).count() == 60

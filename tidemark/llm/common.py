@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.scratch import discard, materialize, shared_folder
 
@@ -77,15 +77,17 @@ def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run:
     made_type = StructType.fromDDL(made)
     made_schema = to_arrow_schema(made_type)
     names = [*carried, *made_type.names]
+    plain = {c: f"c{k}" for k, c in enumerate(dict.fromkeys([*carried, *used]))}  # names that Python functions can't take are set aside
+    held, read = [plain[c] for c in carried], [plain[c] for c in used]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: deque[pa.RecordBatch] = deque()
 
         def feed() -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for part in slices(batch, used):
-                    waiting.append(part.select(carried))
-                    yield part.select(used).to_pandas()
+                for part in slices(batch, read):
+                    waiting.append(part.select(held))
+                    yield part.select(read).to_pandas().set_axis(used, axis=1)
 
         for frame in run(feed()):
             found = pa.Table.from_pandas(frame, made_schema, preserve_index=False).combine_chunks()
@@ -99,8 +101,8 @@ def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run:
                 yield pa.RecordBatch.from_arrays([*head.slice(0, n).columns, *own.columns], names=names)
                 at += n
 
-    kept = rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carried, *used])))
-    schema = StructType([kept.schema[c] for c in carried] + made_type.fields)
+    kept = rows.select(*(F.col(f"`{c}`").alias(k) for c, k in plain.items()))
+    schema = StructType([StructField(c, kept.schema[plain[c]].dataType) for c in carried] + made_type.fields)
     return kept.mapInArrow(task, schema)
 
 
