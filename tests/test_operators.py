@@ -77,13 +77,14 @@ def test_forecast_scores(spark):
 
 
 def test_holt_slope(spark):
-    level, slope = 0.5, 0.0
+    level, slope = 0.5, 0.6 - 0.5
     for x in (0.6, 0.55, 0.7, 0.65):
         new = 0.3 * x + 0.7 * (level + slope)
         slope = 0.1 * (new - level) + 0.9 * slope
         level = new
-    got = spark.range(1).select(holt_slope(F.array(*map(F.lit, (0.5, 0.6, 0.55, 0.7, 0.65)))).alias("x")).first()["x"]
-    assert got == pytest.approx(slope, abs=1e-15)
+    for values, want in (((0.5, 0.6, 0.55, 0.7, 0.65), slope), ((0.5,), 0.0), ((), 0.0)):
+        got = spark.range(1).select(holt_slope(F.array(*map(F.lit, values)).cast("array<double>")).alias("x")).first()["x"]
+        assert got == pytest.approx(want, abs=1e-15)
 
 
 def test_combinations_and_choice(spark):

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.config import TimeScale, micros
 from tidemark.functions import windows
 from tidemark.functions.columns import fold, ladder, move, total
+from tidemark.operators.ordered import RANKS, lagged, running
+from tidemark.operators.recurrences import ema_and_its_ema, restarted, scanned, wilder
+from tidemark.scratch import materialize
 
 BLOCK_HISTORIES = 10  # length of a block in histories; two histories before it are read again
 
@@ -260,25 +263,88 @@ def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: C
     return g.where("f.core IS NOT NULL").select("symbol", "round_num", "us", "f.*", _text("%s_dw%d", F.col("f.core"), ladder(since, scale.dwell)).alias("signature"))
 
 
-def momentum(candles: DataFrame, scale: TimeScale, **periods: int) -> DataFrame:
-    """symbol, bucket, core, signature of every candle from the candles of the history up to it."""
-    most = round(scale.history / scale.candle)
+# ---- momentum over closed candles
 
-    @F.pandas_udf("string")
-    def signature(h: pd.Series, l: pd.Series, c: pd.Series) -> pd.Series:  # noqa: E741
-        return pd.Series([windows.momentum(*(np.asarray(x, float) for x in row), **periods) for row in zip(h, l, c, strict=True)], dtype=object)
-
-    order = Window.partitionBy("symbol").orderBy("bucket")
-    frame = order.rowsBetween(-(most - 1), 0)
-    rows = candles.withColumn("core", signature(*(F.collect_list(x).over(frame) for x in ("h", "l", "c"))))
-    same = [F.lag("core", i).over(order) == F.col("core") for i in range(1, 13)]
-    run = sum((F.when(_all(same[:i]), 1).otherwise(0) for i in range(1, 13)), F.lit(0))
-    rows = rows.withColumn("dwell_bin", ladder(run * scale.candle, scale.dwell))
-    return rows.where("core IS NOT NULL").select("symbol", "bucket", "core", _text("%s_dw%d", "core", "dwell_bin").alias("signature"))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return F.coalesce(out, F.lit(False))
+#: Candles and ticks that a window needs, candles that it holds at most, candles whose signatures dwell looks at.
+MOMENTUM_CANDLES, MOMENTUM_TICKS, MOMENTUM_MOST, MOMENTUM_BACK = 90, 200, 240, 12
+#: Differences of averages below this share of the price are rounding.
+ROUNDING = 1e-13
+
+
+def momentum(candles: DataFrame, scale: TimeScale, least: int = MOMENTUM_CANDLES, least_ticks: int = MOMENTUM_TICKS, rsi: int = 60, fast: int = 30, slow: int = 60, smooth: int = 20, short: int = 30) -> DataFrame:
+    """symbol, bucket, core, dwell_bin, signature, rsi, hist, stochastic and channel as of every candle (symbol, bucket, o, h, l, c, n) with enough before it.
+
+    A window holds the candles of the history up to its last one, and its smoothings start with its first one. All of
+    them are read off one scan of the symbol's candles by :func:`restarted`, for the window and for the up to
+    ``MOMENTUM_BACK`` shorter ones whose signatures tell how long the core has held. Candles are dealt to blocks by rank
+    with a look-back, so a symbol is many tasks and no row holds more than ``short + MOMENTUM_BACK`` values.
+    """
+    most = min(round(scale.history / scale.candle), MOMENTUM_MOST)
+    needed = max(least, rsi + 1, slow + smooth + 1, 2 * short + 1)
+    rows = running(candles.where("bucket IS NOT NULL"), ["symbol"], ["bucket"], {"_rank": F.lit(1)}, RANKS)
+    rows = lagged(rows, ["symbol"], ["_rank"], "c", "_before", RANKS)
+    gain, loss = F.greatest(F.col("c") - F.col("_before"), F.lit(0.0)), F.greatest(F.col("_before") - F.col("c"), F.lit(0.0))
+    rows = rows.withColumn("_gain", F.coalesce(gain, F.lit(0.0))).withColumn("_loss", F.coalesce(loss, F.lit(0.0)))
+    averages = {"f": ema_and_its_ema(fast, smooth), "s": ema_and_its_ema(slow, smooth)}
+    scans = {n: (r, F.col("c")) for n, r in averages.items()}
+    for name, period in (("long", rsi), ("near", short)):
+        scans |= {f"g_{name}": (wilder(period), F.col("_gain")), f"l_{name}": (wilder(period), F.col("_loss"))}
+    rows = materialize(scanned(rows, ["symbol"], "_rank", scans), "momentum-scans")
+    # blocks of candles with the look-back of a window before them
+    size = 8 * most
+    block, late = F.floor(F.col("_rank") / size), F.col("_rank") % size >= size - most - 1
+    rows = rows.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block)))).withColumn("own", F.col("_block") == block)
+    order = Window.partitionBy("symbol", "_block").orderBy("bucket")
+    window = order.rangeBetween(-(most - 1), 0)
+    for name, period in (("long", rsi), ("near", short)):  # the first average is the plain one of ``period`` moves
+        plain = order.rowsBetween(-(period - 1), 0)
+        rows = rows.withColumn(f"_first_{name}", F.struct(*(F.avg(x).over(plain).alias(x[1]) for x in ("_gain", "_loss")), F.col(f"g_{name}").alias("g_then"), F.col(f"l_{name}").alias("l_then")))
+    typical = F.collect_list((F.col("h") + F.col("l") + F.col("c")) / 3).over(order.rowsBetween(-(short - 1), 0))
+    rows = rows.withColumn("_typical", typical).withColumn("_mean", total(F.col("_typical")) / F.size("_typical"))
+    spread = total(F.transform("_typical", lambda x: F.abs(x - F.col("_mean")))) / F.size("_typical")
+    rows = rows.withColumn("_spread", spread).withColumn("_channel", F.when(F.col("_spread") <= 1e-12, 0.0).otherwise((F.element_at("_typical", -1) - F.col("_mean")) / (0.015 * F.col("_spread")))).drop("_typical", "_mean", "_spread")
+    state = F.struct("c", "f", "s", "g_long", "l_long", "g_near", "l_near", "_channel")
+    rows = rows.withColumn("_tail", F.collect_list(state).over(order.rowsBetween(-(short + MOMENTUM_BACK), 0)))
+    rows = rows.withColumn("_start", F.first(F.struct("c", "f", "s")).over(window)).withColumn("_n", F.count(F.lit(1)).over(window)).withColumn("_ticks", F.sum("n").over(window))
+    for name, period in (("long", rsi), ("near", short)):
+        rows = rows.withColumn(f"_from_{name}", F.nth_value(f"_first_{name}", period + 1).over(window))
+    rows = rows.where(F.col("own") & (F.col("_n") >= needed) & (F.col("_ticks") >= least_ticks))
+
+    def at(back: Column) -> Column:
+        return F.element_at("_tail", -(back + 1).cast("int"))
+
+    def histogram(back: Column) -> Column:
+        """Fast less slow average, less the average of that difference."""
+        steps, now = F.col("_n") - 1 - back, at(back)
+        parts = [restarted(r, most, steps, [F.col("_start.c")] * 2, [F.col(f"_start.{n}")[k] for k in range(2)], [now[n][k] for k in range(2)]) for n, r in averages.items()]
+        line, signal = parts[0][0] - parts[1][0], parts[0][1] - parts[1][1]
+        return F.when(F.abs(line - signal) <= ROUNDING * F.abs(now.c), 0.0).otherwise(line - signal)
+
+    def strength(back: Column, name: str, period: int) -> Column:
+        steps, now, begun = F.col("_n") - 1 - back - period, at(back), F.col(f"_from_{name}")
+        g, l = (restarted(wilder(period), most, steps, [begun[x]], [begun[f"{x}_then"][0]], [now[f"{x}_{name}"][0]])[0] for x in "gl")  # noqa: E741
+        return F.when(l <= 1e-12, 100.0).otherwise(100 - 100 / (1 + g / l))
+
+    def values(back: Column) -> Column:
+        recent = F.transform(F.sequence(F.lit(0), F.lit(short - 1)), lambda i: strength(back + i, "near", short))
+        return F.struct(strength(back, "long", rsi).alias("rsi"), histogram(back).alias("hist"), histogram(back + 1).alias("before"), recent.alias("recent"), at(back)["_channel"].alias("channel"))
+
+    def judged(x: Column) -> Column:
+        low, high = F.array_min(x.recent), F.array_max(x.recent)
+        stochastic = F.when(high - low <= 1e-9, 50.0).otherwise((x.recent[0] - low) / (high - low) * 100)
+        return F.struct(x.rsi.alias("rsi"), x.hist.alias("hist"), x.before.alias("before"), stochastic.alias("stochastic"), x.channel.alias("channel"))
+
+    def core(x: Column) -> Column:
+        grows = (x.hist >= x.before) | (F.abs(x.hist - x.before) <= ROUNDING * F.col("c"))
+        falls = (x.hist <= x.before) | (F.abs(x.hist - x.before) <= ROUNDING * F.col("c"))
+        phase = F.when(x.hist > 0, F.when(grows, 0).otherwise(1)).when((x.hist < 0) & falls, 2).otherwise(3)
+        return _text("mom:r%d_m%d_s%d_c%d", ladder(x.rsi, (30, 50, 70)), phase, ladder(x.stochastic, (20, 80)), ladder(x.channel, (-100, 100)))
+
+    # this window and the shorter ones with the same start that are still long enough
+    longest = F.least(F.lit(MOMENTUM_BACK), F.col("_n") - needed).cast("int")
+    rows = rows.withColumn("_judged", F.transform(F.transform(F.sequence(F.lit(0), longest), values), judged)).drop("_tail")
+    rows = rows.withColumn("_cores", F.transform("_judged", core)).withColumn("core", F.col("_cores")[0])
+    other = F.array_position(F.transform("_cores", lambda x: x != F.col("core")), True)
+    held = F.when(other > 0, other - 2).otherwise(longest)
+    rows = rows.withColumn("dwell_bin", ladder(held * scale.candle, scale.dwell)).withColumn("_v", F.col("_judged")[0])
+    return rows.select("symbol", "bucket", "core", "dwell_bin", _text("%s_dw%d", "core", "dwell_bin").alias("signature"), "_v.rsi", "_v.hist", "_v.stochastic", "_v.channel")

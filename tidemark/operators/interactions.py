@@ -206,7 +206,7 @@ def sway(observations: DataFrame, keys: Sequence[str], sets: Column | None = Non
     rows = observations.select(*keys, "us", "label_us", "next_outcome", F.explode(sets).alias("s")).withColumn("key", F.to_json("s")).drop("s")
     up = F.when(F.col("next_outcome") == "UP", 1).otherwise(0)
     moment = F.struct(*keys)
-    known = rows.where(F.col("next_outcome").isin("UP", "DOWN")).select("key", F.col("label_us").alias("_us"), F.lit(0).alias("_kind"), moment.alias("_moment"), up.alias("_up"))
+    known = rows.where(F.col("next_outcome").isin("UP", "DOWN") & F.col("label_us").isNotNull()).select("key", F.col("label_us").alias("_us"), F.lit(0).alias("_kind"), moment.alias("_moment"), up.alias("_up"))
     asked = rows.select("key", F.col("us").alias("_us"), F.lit(1).alias("_kind"), moment.alias("_moment"), F.lit(None).cast("int").alias("_up"))
     sums = {"n": F.when(F.col("_up").isNull(), 0).otherwise(1), "up": F.coalesce("_up", F.lit(0))}
     rows = running(known.unionByName(asked), ["key"], ["_us", "_kind", "_moment"], sums).where("_kind = 1")

@@ -1,12 +1,14 @@
 """Running values in long orders, computed block by block so that one hot key is many tasks.
 
 Rows are dealt to (keys, block of time). A first aggregation takes a row for each block; an order over these
-few rows says what each block starts with, and inside a block a window carries on from there.
+few rows says what each block starts with, and inside a block a window carries on from there. No row is lost:
+rows whose key is null belong together, and rows without a time come before all others of their keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +17,21 @@ from tidemark.config import micros
 
 #: Seconds in a block: a day.
 BLOCK = 86_400.0
+#: A block where the order is a number of rows, not a time: 4096 of them.
+RANKS = 4096e-6
 
 
 def in_block(time: str | Column, block: float = BLOCK) -> Column:
     return F.floor(F.col(time) / micros(block) if isinstance(time, str) else time / micros(block)).alias("_block")
 
 
+def rejoined(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``facts``, where null equals null."""
+    named = facts.select(*(F.col(c).alias(f"_on_{c}" if c in on else c) for c in facts.columns))
+    same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(named[f"_on_{c}"]) for c in on))
+    return rows.join(named, same, how).drop(*(f"_on_{c}" for c in on))
+
+
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], block: float = BLOCK) -> DataFrame:
     """``rows`` with the running sum of each of ``sums`` among the rows of their keys, own one included; order[0] is a time in microseconds."""
     rows = rows.withColumn("_block", in_block(order[0], block))
@@ -31,7 +42,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: di
     inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for n, x in sums.items():
         rows = rows.withColumn(n, F.coalesce(F.sum(x).over(inside), F.lit(0)))
-    rows = rows.join(starts, at)
+    rows = rejoined(rows, starts, at)
     for n in sums:
         rows = rows.withColumn(n, F.col(n) + F.col(f"_start_of_{n}"))
     return rows.drop("_block", *(f"_start_of_{n}" for n in sums))
@@ -44,4 +55,6 @@ def lagged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
     last = rows.groupBy(*at).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     starts = last.select(*at, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_start_of_block"))
     rows = rows.withColumn(name, F.lag(value).over(Window.partitionBy(*at).orderBy(*order)))
-    return rows.join(starts, at).withColumn(name, F.coalesce(name, "_start_of_block")).drop("_block", "_start_of_block")
+    first = F.row_number().over(Window.partitionBy(*at).orderBy(*order)) == 1
+    rows = rejoined(rows.withColumn("_first", first), starts, at)
+    return rows.withColumn(name, F.when(F.col("_first"), F.col("_start_of_block")).otherwise(F.col(name))).drop("_block", "_start_of_block", "_first")

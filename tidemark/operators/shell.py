@@ -50,7 +50,7 @@ def column_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     return out.unionByName(rows)
 
 
-def other_facts(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, momentum_least: int = 90) -> DataFrame:
+def other_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     """The same of the numeric engines and of momentum; the numeric ones only at the last tick before a cutoff."""
     last = before_cutoff(scale)
     out = None
@@ -58,7 +58,7 @@ def other_facts(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, momentum_
         rows = engines.numeric(ticks, scale, name, last).select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
         out = rows if out is None else out.unionByName(rows)
     closed = ((F.col("bucket") + 1) * micros(scale.candle)).alias("us")
-    rows = engines.momentum(candles(ticks, scale.candle), scale, least=momentum_least)
+    rows = engines.momentum(candles(ticks, scale.candle), scale)
     return out.unionByName(rows.select(F.lit("momentum").alias("engine"), "symbol", closed, F.col("bucket").alias("event_id"), F.col("signature").alias("price")))
 
 
@@ -117,7 +117,7 @@ def thrown(rounds: DataFrame, ticks: DataFrame, scale: TimeScale) -> DataFrame:
 def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale) -> DataFrame:
     """symbol, round_num, engine, direction, signature of every engine at every round's cutoff."""
     moved = materialize(moves(rounds, ticks, scale), "moves")
-    facts = materialize(column_facts(ticks, scale).unionByName(other_facts(ticks, rounds, scale)), "facts")
+    facts = materialize(column_facts(ticks, scale).unionByName(other_facts(ticks, scale)), "facts")
     states = materialize(at_cutoffs(facts, rounds, [*COLUMNS, *NUMERIC, "momentum"]), "states")
     columns = ["symbol", "round_num", "engine", "direction", "signature"]
     length, play = micros(scale.round_length), micros(scale.round_length * scale.play_share)

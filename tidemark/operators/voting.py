@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import fold
-from tidemark.operators.ordered import running
+from tidemark.operators.ordered import RANKS, rejoined, running
+from tidemark.operators.recurrences import holt, restarted, scanned
+from tidemark.scratch import materialize
 
 ROLLING = 100
 
@@ -21,46 +23,119 @@ def rolling_accuracy(outcomes: DataFrame, window: int = ROLLING) -> DataFrame:
     known = outcomes.where("correct IS NOT NULL")
     rows = running(known, ["engine"], ["at_us", "symbol"], {"_n": F.lit(1), "_hits": F.col("correct").cast("int")})
     old = rows.select("engine", (F.col("_n") + window).alias("_n"), F.col("_hits").alias("_before"))
-    rows = rows.join(old, ["engine", "_n"], "left").withColumn("n_seen", F.least("_n", F.lit(window)))
+    rows = rejoined(rows, old, ["engine", "_n"], "left").withColumn("n_seen", F.least("_n", F.lit(window)))
     return rows.withColumn("accuracy", (F.col("_hits") - F.coalesce("_before", F.lit(0))) / F.col("n_seen")).drop("_n", "_hits", "_before")
 
 
+#: Fixed values of the vote: outcomes in a weight's history, in its accuracy, needed at all and in the series of accuracies.
+HISTORY, LEAST_OUTCOMES, LEAST_POINTS = 300, 30, 5
+#: Deviations below the mean that mute, least weight, share that decides, floor and cap of an engine that stands alone.
+BAND, LEAST_WEIGHT, SHARE, LONE_FLOOR, LONE_CAP = 2.0, 0.05, 0.55, 0.53, 0.62
+
+
 def holt_slope(series: Column, level: float = 0.3, trend: float = 0.1) -> Column:
-    """Last slope of Holt's double exponential smoothing of an array (0 for fewer than two values)."""
+    """Last slope of Holt's double exponential smoothing of an array: it starts at the first value with the first step (0 for fewer than two values)."""
 
     def step(a: Column, x: Column) -> Column:
         new = level * x + (1 - level) * (a.level + a.slope)
-        first = a.n == 0
-        return F.struct((a.n + 1).alias("n"), F.when(first, x).otherwise(new).alias("level"), F.when(first, F.lit(0.0)).otherwise(trend * (new - a.level) + (1 - trend) * a.slope).alias("slope"))
+        return F.struct(new.alias("level"), (trend * (new - a.level) + (1 - trend) * a.slope).alias("slope"))
+
+    first, second = F.get(series, F.lit(0)), F.get(series, F.lit(1))
+    start = F.struct(first.alias("level"), (second - first).alias("slope"))
+    return F.when(F.size(series) < 2, 0.0).otherwise(fold(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), start, step, lambda a: a.slope))
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("level"), F.lit(0.0).alias("slope"))
-    return fold(series, start, step, lambda a: a.slope)
 
+def _numbered(moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settled rounds with their number ``_r`` by the time of their outcome, and all rounds with the number of those settled by their own moment."""
+    settled = moved.where(F.col("result").isin("UP", "DOWN") & F.col("target_us").isNotNull())
+    labels = settled.select("symbol", "round_num", "result", F.col("target_us").alias("_us"), F.lit(0).alias("_kind"))
+    asked = moved.select("symbol", "round_num", "result", F.col("at_us").alias("_us"), F.lit(1).alias("_kind"))
+    rows = labels.unionByName(asked).withColumn("_all", F.lit(0))
+    rows = running(rows, ["_all"], ["_us", "_kind", "symbol", "round_num"], {"_r": 1 - F.col("_kind")}).drop("_all", "_us")
+    return rows.where("_kind = 0").drop("_kind"), rows.where("_kind = 1").drop("_kind", "result")
 
-def engine_weights(outcomes: DataFrame, window: int = ROLLING, least_points: int = 5, history: int = 300) -> DataFrame:
-    """engine, accuracy, muted, slope, weight from the rolling accuracies of its latest ``history`` outcomes.
 
-    An engine is muted while its accuracy is more than two sample deviations below its mean. The weight grows
-    with accuracy and shrinks while accuracy falls; it is 0.05 at least.
+def engine_weights(says: DataFrame, moved: DataFrame, window: int = ROLLING, history: int = HISTORY, least: int = LEAST_OUTCOMES, least_points: int = LEAST_POINTS) -> DataFrame:
+    """says (symbol, round_num, engine, direction) with each engine's weight as of the round's moment, and the reason where it has none.
+
+    moved: symbol, round_num, at_us, target_us, result. An engine's history is what it said in the latest ``history`` rounds
+    whose outcome was known by then. It is muted while its accuracy over the last ``window`` outcomes is more than ``BAND`` sample
+    deviations below the mean of the accuracies in that history; its weight grows with accuracy and shrinks while Holt's
+    smoothing of them falls. Accuracies are running hits, their moments running sums of whole numbers, and the
+    smoothing is one scan of all outcomes that every history takes its own part of, so nothing is folded over an array.
+    Adds n_history, accuracy, lower_band, slope, weight and reason.
     """
-    newest = Window.partitionBy("engine").orderBy(F.desc("at_us"), F.desc("symbol"))
-    rows = outcomes.where("correct IS NOT NULL").withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= history)
-    rows = rolling_accuracy(rows, window).where(F.col("n_seen") >= window)
-    points = F.sort_array(F.collect_list(F.struct("at_us", "symbol", "accuracy")))  # ``history`` at most
-    g = rows.groupBy("engine").agg(points.alias("p"), F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("deviation")).where(F.size("p") >= least_points)
-    series = F.transform("p", lambda x: x.accuracy)
-    g = g.select("engine", F.element_at(series, -1).alias("accuracy"), "mean", "deviation", holt_slope(series).alias("slope"))
+    numbered, moments = _numbered(moved)
+    said = says.where(F.col("direction").isin("UP", "DOWN"))
+    known = said.join(numbered, ["symbol", "round_num"]).select("engine", "_r", F.lit(0).alias("_kind"), "symbol", "round_num", (F.col("direction") == F.col("result")).cast("int").alias("_hit"))
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("_kind"), F.col("_r")), F.struct(F.lit(2).alias("_kind"), (F.col("_r") - history).alias("_r")))).alias("_x")
+    asked = said.join(moments, ["symbol", "round_num"]).select("engine", "symbol", "round_num", ends).select("engine", "_x._r", "_x._kind", "symbol", "round_num", F.lit(None).cast("int").alias("_hit"))
+    rows = running(known.unionByName(asked), ["engine"], ["_r", "_kind", "symbol", "round_num"], {"_n": F.when(F.col("_kind") == 0, 1).otherwise(0), "_hits": F.coalesce("_hit", F.lit(0))}, RANKS)
+    # the series: hits among the last outcomes at each outcome, from the first one that has enough before it
+    outcome = rows.where("_kind = 0").select("engine", "_n", "_hits")
+    before = outcome.select("engine", (F.col("_n") + window).alias("_n"), F.col("_hits").alias("_before"))
+    outcome = rejoined(outcome, before, ["engine", "_n"], "left").withColumn("_h", F.when(F.col("_n") >= window, F.col("_hits") - F.coalesce("_before", F.lit(0)))).drop("_hits", "_before")
+    smooth = holt()
+    outcome = running(outcome, ["engine"], ["_n"], {"_sum": F.col("_h"), "_squares": F.col("_h") * F.col("_h")}, RANKS)
+    outcome = materialize(scanned(outcome, ["engine"], "_n", {"_z": (smooth, F.col("_h") / window)}), "outcome-series")
+
+    def at(rank: Column, name: str) -> DataFrame:
+        """The series at rank ``_n``, with every column's name ending in ``name``."""
+        return outcome.select("engine", rank.alias("_key"), *(F.col(c).alias(f"{c}{name}") for c in ("_h", "_sum", "_squares", "_z")))
+
+    asked = rows.where("_kind > 0").groupBy("engine", "symbol", "round_num").agg(F.max(F.when(F.col("_kind") == 1, F.col("_n"))).alias("_end"), F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_old"))
+    found = asked.withColumn("_key", F.col("_end"))
+    found = rejoined(found, at(F.col("_n"), "_e"), ["engine", "_key"], "left").withColumn("_key", F.col("_old") + window)
+    found = rejoined(found, at(F.col("_n"), "_s"), ["engine", "_key"], "left")
+    found = rejoined(found, at(F.col("_n") - 1, "_t"), ["engine", "_key"], "left")
+    points = F.col("_end") - F.col("_old") - window + 1
+    enough = points >= least_points
+    total, squares = F.col("_sum_e") - F.col("_sum_s") + F.col("_h_s"), F.col("_squares_e") - F.col("_squares_s") + F.col("_h_s") * F.col("_h_s")
+    deviation = F.sqrt(F.greatest(F.lit(0), points * squares - total * total) / (points * (points - 1)))
+    start = [F.col("_h_s") / window, (F.col("_h_t") - F.col("_h_s")) / window]
+    slope = restarted(smooth, history, points - 1, start, [F.col("_z_s")[k] for k in range(2)], [F.col("_z_e")[k] for k in range(2)])[1]
+    found = found.select(
+        "engine", "symbol", "round_num", (F.col("_end") - F.col("_old")).alias("n_history"), F.when(enough, F.col("_h_e") / window).alias("accuracy"),
+        F.when(enough, (total / points - BAND * deviation) / window).alias("lower_band"), F.when(enough, slope).alias("slope"),
+        F.when(enough, F.col("_h_e") < total / points - BAND * deviation).alias("_muted"),
+    )
     factor = F.when(F.col("slope") >= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.3), 1 + 10 * F.col("slope")))
-    weight = F.greatest(F.lit(0.05), F.exp(4 * (F.col("accuracy") - 0.5)) * factor)
-    return g.select("engine", "accuracy", (F.col("accuracy") < F.col("mean") - 2 * F.col("deviation")).alias("muted"), "slope", weight.alias("weight"))
+    found = found.withColumn("_weight", F.exp(4 * (F.col("accuracy") - 0.5)) * factor)
+    reason = (
+        F.when(~F.coalesce(F.col("direction").isin("UP", "DOWN"), F.lit(False)), "silent").when(F.coalesce("n_history", F.lit(0)) < least, "insufficient history")
+        .when(F.col("accuracy").isNull(), "accuracy series too short").when(F.col("_muted"), "below lower band").when(F.col("_weight") < LEAST_WEIGHT, "weight too small")
+    )
+    out = rejoined(says, found, ["engine", "symbol", "round_num"], "left").withColumn("reason", reason)
+    return out.withColumn("weight", F.when(F.col("reason").isNull(), F.col("_weight"))).drop("_muted", "_weight")
+
 
+def weighted_vote(weighed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n_firing, n_voters, up_share, direction, confidence, signature and reason of a vote among the rows (keys, engine, direction, accuracy, weight null if it has none).
 
-def weighted_vote(says: DataFrame, weights: DataFrame, keys: Sequence[str], share: float = 0.55) -> DataFrame:
-    """keys, up_share, n_voters, direction: UP or DOWN where it holds ``share`` of the weight of engines that speak and aren't muted."""
-    rows = says.where(F.col("direction").isin("UP", "DOWN")).join(F.broadcast(weights.where("NOT muted")), "engine")  # a row for each engine
-    g = rows.groupBy(*keys).agg(F.sum("weight").alias("w"), F.sum(F.when(F.col("direction") == "UP", F.col("weight")).otherwise(0.0)).alias("up"), F.count(F.lit(1)).alias("n_voters"))
-    g = g.withColumn("up_share", F.col("up") / F.col("w"))
-    return g.select(*keys, "up_share", "n_voters", F.when(F.col("up_share") >= share, "UP").when(1 - F.col("up_share") >= share, "DOWN").otherwise("NO_SIGNAL").alias("direction"))
+    UP or DOWN needs ``SHARE`` of the weight; an engine that is alone on the winning side needs ``LONE_FLOOR`` of its outcomes right and gives ``LONE_CAP`` of confidence at most.
+    """
+    fires = F.col("direction").isin("UP", "DOWN")
+    votes = fires & F.col("weight").isNotNull()
+    up = F.col("direction") == "UP"
+    g = weighed.groupBy(*keys).agg(
+        F.count_if(fires).alias("n_firing"), F.count_if(votes).alias("n_voters"), F.sum(F.when(votes, F.col("weight"))).alias("_w"), F.coalesce(F.sum(F.when(votes & up, F.col("weight"))), F.lit(0.0)).alias("_up"),
+        F.count_if(votes & up).alias("_n_up"), F.max(F.when(votes & up, F.col("accuracy"))).alias("_best_up"), F.max(F.when(votes & ~up, F.col("accuracy"))).alias("_best_down"),
+    )
+    g = g.withColumn("up_share", F.col("_up") / F.col("_w"))
+    side = F.when(F.col("up_share") >= SHARE, "UP").when(1 - F.col("up_share") >= SHARE, "DOWN")
+    g = g.withColumn("_side", side).withColumn("_share", F.when(F.col("_side") == "UP", F.col("up_share")).otherwise(1 - F.col("up_share")))
+    agreeing = F.when(F.col("_side") == "UP", F.col("_n_up")).otherwise(F.col("n_voters") - F.col("_n_up"))
+    sole = F.when(F.col("_side") == "UP", F.col("_best_up")).otherwise(F.col("_best_down"))
+    g = g.withColumn("_lone", agreeing == 1).withColumn("_sole", sole)
+    reason = (
+        F.when(F.col("n_firing") < 1, "no engine speaks").when(F.col("n_voters") < 1, "no engine has a weight").when(F.col("_side").isNull(), "disagreement")
+        .when(F.col("_lone") & (F.col("_sole") < LONE_FLOOR), "single engine below accuracy floor")
+    )
+    g = g.withColumn("reason", reason)
+    confidence = F.when(F.col("reason").isNull(), F.when(F.col("_lone"), F.least(F.col("_share"), F.lit(LONE_CAP))).otherwise(F.col("_share")))
+    g = g.withColumn("confidence", confidence).withColumn("direction", F.when(F.col("reason").isNull(), F.col("_side")).otherwise("NO_SIGNAL"))
+    signature = F.when(F.col("reason").isNull(), F.concat(F.lit("ek:"), F.lower("direction"), F.lit(":"), F.floor(F.col("confidence") * 10).cast("string")))
+    return g.select(*keys, "n_firing", "n_voters", "up_share", "direction", "confidence", signature.alias("signature"), "reason")
 
 
 def combinations(says: DataFrame, keys: Sequence[str]) -> DataFrame:

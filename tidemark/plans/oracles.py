@@ -196,6 +196,48 @@ OUTCOMES = f"""{DIRECTED},
     judged AS (SELECT spoken.*, at_us, target_us, price_then, actual_price, actual_price - price_then AS moved, result AS actual_direction FROM spoken JOIN moved USING (symbol, round_num)),
     outcomes AS (SELECT *, CASE WHEN direction IN ('UP', 'DOWN') AND actual_direction IS NOT NULL THEN direction = actual_direction END AS correct FROM judged)"""
 
+# a walk over each window's candles, one a step, that carries the averages; the last 13 steps give the cores that dwell looks at
+MOMENTUM = f"""{CANDLES},
+    k0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS rn, c - lag(c) OVER (PARTITION BY symbol ORDER BY bucket) AS d, (h + l + c) / 3 AS typ FROM candles),
+    k1 AS (SELECT *, count(*) OVER w AS seen, sum(n) OVER w AS n_seen FROM k0 WINDOW w AS (PARTITION BY symbol ORDER BY bucket RANGE BETWEEN 119 PRECEDING AND CURRENT ROW)),
+    cm AS (SELECT a.symbol, a.rn, avg(b.typ) AS m FROM k0 a JOIN k0 b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn GROUP BY ALL),
+    cs AS (SELECT a.symbol, a.rn, any_value(a.m) AS m, avg(abs(b.typ - a.m)) AS dev FROM cm a JOIN k0 b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn GROUP BY ALL),
+    k2 AS (SELECT k1.*, CASE WHEN dev <= 1e-12 THEN 0.0 ELSE (typ - m) / (0.015 * dev) END AS cci FROM k1 JOIN cs USING (symbol, rn)),
+    walk AS (
+        SELECT symbol, bucket, rn, seen, 0 AS j, k.c0 AS f, k.c0 AS s, CAST(0 AS DOUBLE) AS sig, CAST(0 AS DOUBLE) AS hist, CAST(NULL AS DOUBLE) AS before, CAST(0 AS DOUBLE) AS gl, CAST(0 AS DOUBLE) AS ll, CAST(0 AS DOUBLE) AS gn, CAST(0 AS DOUBLE) AS ln, CAST([] AS DOUBLE[]) AS rs
+        FROM (SELECT a.symbol, a.bucket, a.rn, a.seen, b.c AS c0 FROM k2 a JOIN k2 b ON b.symbol = a.symbol AND b.rn = a.rn - a.seen + 1 WHERE a.seen >= 90 AND a.n_seen >= 200) k
+        UNION ALL
+        SELECT symbol, bucket, rn, seen, j, f, s, sig, f - s - sig, before, gl, ll, gn, ln, CASE WHEN j >= 30 THEN list_append(rs[greatest(1, len(rs) - 28):], CASE WHEN ln <= 1e-12 THEN 100.0 ELSE 100 - 100 / (1 + gn / ln) END) ELSE rs END
+        FROM (SELECT w.symbol, w.bucket, w.rn, w.seen, w.j + 1 AS j, k.c * 2 / 31 + w.f * 29 / 31 AS f, k.c * 2 / 61 + w.s * 59 / 61 AS s, (k.c * 2 / 31 + w.f * 29 / 31 - k.c * 2 / 61 - w.s * 59 / 61) * 2 / 21 + w.sig * 19 / 21 AS sig, w.hist AS before,
+                     CASE WHEN w.j < 60 THEN w.gl + greatest(k.d, 0) / 60 ELSE (w.gl * 59 + greatest(k.d, 0)) / 60 END AS gl, CASE WHEN w.j < 60 THEN w.ll + greatest(-k.d, 0) / 60 ELSE (w.ll * 59 + greatest(-k.d, 0)) / 60 END AS ll,
+                     CASE WHEN w.j < 30 THEN w.gn + greatest(k.d, 0) / 30 ELSE (w.gn * 29 + greatest(k.d, 0)) / 30 END AS gn, CASE WHEN w.j < 30 THEN w.ln + greatest(-k.d, 0) / 30 ELSE (w.ln * 29 + greatest(-k.d, 0)) / 30 END AS ln, w.rs
+              FROM walk w JOIN k0 k ON k.symbol = w.symbol AND k.rn = w.rn - w.seen + 2 + w.j WHERE w.j + 1 < w.seen) x),
+    felt AS (SELECT w.symbol, w.bucket, w.seen - 1 - w.j AS back, CASE WHEN ll <= 1e-12 THEN 100.0 ELSE 100 - 100 / (1 + gl / ll) END AS rsi, hist, before,
+                    CASE WHEN list_max(rs) - list_min(rs) <= 1e-9 THEN 50.0 ELSE (rs[len(rs)] - list_min(rs)) / (list_max(rs) - list_min(rs)) * 100 END AS stochastic, k.cci AS channel
+             FROM walk w JOIN k2 k ON k.symbol = w.symbol AND k.rn = w.rn - w.seen + 1 + w.j WHERE w.j >= w.seen - 13 AND w.j >= 89),
+    cored AS (SELECT *, 'mom:r' || CASE WHEN rsi < 30 THEN 0 WHEN rsi < 50 THEN 1 WHEN rsi < 70 THEN 2 ELSE 3 END || '_m' || CASE WHEN hist > 0 AND hist >= before THEN 0 WHEN hist > 0 THEN 1 WHEN hist < 0 AND hist <= before THEN 2 ELSE 3 END
+                     || '_s' || CASE WHEN stochastic < 20 THEN 0 WHEN stochastic < 80 THEN 1 ELSE 2 END || '_c' || CASE WHEN channel < -100 THEN 0 WHEN channel < 100 THEN 1 ELSE 2 END AS core FROM felt),
+    held AS (SELECT a.*, coalesce((SELECT min(b.back) - 1 FROM cored b WHERE b.symbol = a.symbol AND b.bucket = a.bucket AND b.core <> a.core), (SELECT max(b.back) FROM cored b WHERE b.symbol = a.symbol AND b.bucket = a.bucket)) AS k
+             FROM cored a WHERE a.back = 0),
+    mom_signed AS (SELECT *, core || '_dw' || CASE WHEN k * 3600 < 1440 THEN 0 WHEN k * 3600 < 5760 THEN 1 WHEN k * 3600 < 14400 THEN 2 ELSE 3 END AS signature FROM held)"""
+
+# every engine's history at every cutoff: hits of the latest 300 settled rounds, accuracies over 100 of them, and Holt's smoothing step by step
+WEIGHED = f"""{OUTCOMES},
+    settled AS (SELECT symbol, round_num, target_us, result, row_number() OVER (ORDER BY target_us, symbol, round_num) AS r FROM moved WHERE result IN ('UP', 'DOWN')),
+    so_far AS (SELECT m.symbol, m.round_num, count(s.r) AS r FROM moved m LEFT JOIN settled s ON s.target_us <= m.at_us GROUP BY ALL),
+    hits AS (SELECT p.engine, s.r, CASE WHEN p.direction = s.result THEN 1 ELSE 0 END AS hit FROM spoken p JOIN settled s USING (symbol, round_num) WHERE p.direction <> 'NO_SIGNAL'),
+    history AS (SELECT p.engine, p.symbol, p.round_num, list(h.hit ORDER BY h.r) AS h FROM spoken p JOIN so_far f USING (symbol, round_num) JOIN hits h ON h.engine = p.engine AND h.r > f.r - 300 AND h.r <= f.r
+             WHERE p.direction <> 'NO_SIGNAL' GROUP BY ALL),
+    series AS (SELECT *, [list_sum(h[i - 99:i]) / 100.0 FOR i IN range(100, len(h) + 1)] AS a FROM history),
+    walk(engine, symbol, round_num, a, k, level, slope) AS (
+        SELECT engine, symbol, round_num, a, 1, CAST(a[1] AS DOUBLE), CAST(a[2] - a[1] AS DOUBLE) FROM series WHERE len(a) >= 5
+        UNION ALL SELECT engine, symbol, round_num, a, k + 1, 0.3 * a[k + 1] + 0.7 * (level + slope), 0.1 * (0.3 * a[k + 1] + 0.7 * (level + slope) - level) + 0.9 * slope FROM walk WHERE k < len(a)),
+    judged_w AS (SELECT engine, symbol, round_num, a[len(a)] AS accuracy, list_avg(a) - 2 * sqrt(list_var_samp(a)) AS lower_band, slope FROM walk WHERE k = len(a)),
+    scored AS (SELECT p.symbol, p.round_num, p.engine, p.direction, coalesce(len(h), 0) AS n_history, accuracy, lower_band, slope, exp(4 * (accuracy - 0.5)) * CASE WHEN slope >= 0 THEN 1 ELSE greatest(0.3, 1 + 10 * slope) END AS w
+               FROM spoken p LEFT JOIN history USING (engine, symbol, round_num) LEFT JOIN judged_w USING (engine, symbol, round_num)),
+    weighed AS (SELECT *, CASE WHEN direction = 'NO_SIGNAL' THEN 'silent' WHEN n_history < 30 THEN 'insufficient history' WHEN accuracy IS NULL THEN 'accuracy series too short'
+                               WHEN accuracy < lower_band - 1e-12 THEN 'below lower band' WHEN w < 0.05 THEN 'weight too small' END AS reason FROM scored)"""
+
 
 ORACLE_SQL = {
     "candlestick_edge": f"""WITH {SIGNATURES}, nx AS (SELECT *, lead(c) OVER (PARTITION BY symbol ORDER BY bucket) AS next_c FROM signed),
@@ -348,4 +390,16 @@ ORACLE_SQL = {
         v AS (SELECT symbol, round_num, {verdict("up_seen", "n_seen")} FROM n)
         SELECT r.symbol, r.round_num, CASE WHEN v.direction <> 'NO_SIGNAL' THEN 'combination' ELSE r.engine END AS engine, CASE WHEN v.direction <> 'NO_SIGNAL' THEN v.direction ELSE r.direction END AS direction
         FROM r LEFT JOIN v USING (symbol, round_num) WHERE first = 1""",
+    "engine_weight_history": f"""WITH RECURSIVE {WEIGHED} SELECT symbol, round_num, engine, direction, n_history, round(accuracy, 9) AS accuracy, round(lower_band, 9) AS lower_band,
+        round(CASE WHEN reason IS NULL THEN w END, 9) AS weight, round(slope, 9) AS slope, reason FROM weighed""",
+    "engine_vote": f"""WITH RECURSIVE {WEIGHED}, v AS (SELECT *, reason IS NULL AS votes FROM weighed),
+        g AS (SELECT symbol, round_num, count(*) FILTER (direction <> 'NO_SIGNAL') AS n_firing, count(*) FILTER (votes) AS n_voters, coalesce(sum(w) FILTER (votes AND direction = 'UP'), 0) / sum(w) FILTER (votes) AS up_share,
+                     count(*) FILTER (votes AND direction = 'UP') AS n_up, max(accuracy) FILTER (votes AND direction = 'UP') AS best_up, max(accuracy) FILTER (votes AND direction = 'DOWN') AS best_down FROM v GROUP BY ALL),
+        s AS (SELECT *, CASE WHEN up_share >= 0.55 THEN 'UP' WHEN 1 - up_share >= 0.55 THEN 'DOWN' END AS side FROM g),
+        c AS (SELECT *, CASE side WHEN 'UP' THEN up_share ELSE 1 - up_share END AS share, CASE side WHEN 'UP' THEN n_up ELSE n_voters - n_up END = 1 AS lone, CASE side WHEN 'UP' THEN best_up ELSE best_down END AS sole FROM s),
+        r AS (SELECT *, CASE WHEN n_firing = 0 THEN 'no engine speaks' WHEN n_voters = 0 THEN 'no engine has a weight' WHEN side IS NULL THEN 'disagreement' WHEN lone AND sole < 0.53 THEN 'single engine below accuracy floor' END AS reason FROM c),
+        f AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN lone THEN least(share, 0.62) ELSE share END END AS conf FROM r)
+        SELECT symbol, round_num, n_firing, n_voters, round(up_share, 9) AS up_share, CASE WHEN reason IS NULL THEN side ELSE 'NO_SIGNAL' END AS direction, round(conf, 9) AS confidence,
+               'ek:' || lower(side) || ':' || CASE WHEN reason IS NULL THEN CAST(floor(conf * 10) AS BIGINT) END AS signature, reason FROM f""",
+    "momentum_signature": f"""WITH RECURSIVE {MOMENTUM} SELECT symbol, bucket, core, signature, round(rsi, 3) AS rsi, round(stochastic, 3) AS stochastic, round(channel, 3) AS channel, round(hist, 3) + 0.0 AS hist FROM mom_signed""",
 }

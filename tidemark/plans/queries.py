@@ -285,10 +285,22 @@ def rolling_engine_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("engine", "symbol", "at_us", "n_seen", F.round("accuracy", 9).alias("accuracy"))
 
 
+def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What baselines and engines say at every cutoff, with their weights as of then."""
+    t = ticks(spark, sf_dir)
+    return engine_weights(materialize(_says(spark, sf_dir), "says"), materialize(shell.moves(rounds(t), t, SPARSE), "moves"))
+
+
 def engine_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted vote of baselines and engines; rows only, as the weights fold a smoothing over time."""
-    rows = _outcomes(spark, sf_dir)
-    return weighted_vote(rows, engine_weights(rows, window=50), ["symbol", "round_num"])
+    """Weighted vote of baselines and engines at every cutoff, from what was known by then."""
+    rows = weighted_vote(_weighed(spark, sf_dir), MOMENT)
+    return rows.select(*MOMENT, "n_firing", "n_voters", F.round("up_share", 9).alias("up_share"), "direction", F.round("confidence", 9).alias("confidence"), "signature", "reason")
+
+
+def engine_weight_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every engine's weight at every cutoff, and why it has none."""
+    rows = _weighed(spark, sf_dir)
+    return rows.select(*MOMENT, "engine", "direction", F.coalesce("n_history", F.lit(0)).alias("n_history"), *(F.round(c, 9).alias(c) for c in ("accuracy", "lower_band", "weight")), F.round(F.col("slope"), 9).alias("slope"), "reason")
 
 
 def picked_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,8 +378,8 @@ def trajectory_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def momentum_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Momentum over hourly candles, with periods shortened to the month that the table spans."""
-    return engines.momentum(candles(ticks(spark, sf_dir), SPARSE.candle), SPARSE, least=90)
+    rows = engines.momentum(candles(ticks(spark, sf_dir), SPARSE.candle), SPARSE)
+    return rows.select("symbol", "bucket", "core", "signature", *(F.round(c, 3).alias(c) for c in ("rsi", "stochastic", "channel")), (F.round("hist", 3) + 0.0).alias("hist"))
 
 
 # ---- pattern memory
@@ -513,7 +525,7 @@ QUERIES = {
     for f in (
         candlestick_edge, tick_normalize_filter, reject_reasons, rounds_latest_upsert, insert_if_absent_users, counter_upsert, session_gap, session_summary, rounds_tumbling, ohlc_candles,
         candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
-        rolling_engine_accuracy, engine_vote, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
+        rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
         return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
         apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
