@@ -14,6 +14,7 @@ from tidemark.config import TimeScale, micros
 from tidemark.operators import engines
 from tidemark.operators.asof import price_asof
 from tidemark.operators.candles import candles, candlestick_signatures
+from tidemark.operators.flow import FlowWeights, flow
 from tidemark.operators.memory import point_in_time
 from tidemark.operators.projectile import projectile
 from tidemark.scratch import materialize
@@ -114,8 +115,9 @@ def thrown(rounds: DataFrame, ticks: DataFrame, scale: TimeScale) -> DataFrame:
     return rows.select("symbol", "round_num", F.lit("projectile").alias("engine"), "signature", F.col("direction").alias("own_direction"), F.col("consistency").alias("strength"))
 
 
-def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale) -> DataFrame:
-    """symbol, round_num, engine, direction, signature of every engine at every round's cutoff."""
+def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, weights: FlowWeights | None = None) -> DataFrame:
+    """symbol, round_num, engine, direction, signature of every engine at every round's cutoff; the flow engine speaks only with ``weights``."""
+    last = before_cutoff(scale)
     moved = materialize(moves(rounds, ticks, scale), "moves")
     facts = materialize(column_facts(ticks, scale).unionByName(other_facts(ticks, scale)), "facts")
     states = materialize(at_cutoffs(facts, rounds, [*COLUMNS, *NUMERIC, "momentum"]), "states")
@@ -124,4 +126,9 @@ def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale) -> DataFr
     path = engines.trajectory(ticks, scale, F.floor(F.col("us") / length), F.pmod(F.col("us"), F.lit(length)) <= play)
     path = path.select("symbol", "round_num", F.lit("trajectory").alias("engine"), "signature", F.col("ensemble_direction").alias("own_direction"), "strength")
     own = materialize(path.unionByName(thrown(rounds, ticks, scale)), "own")
-    return directed(states, moved).select(columns).unionByName(with_own_direction(own, moved).select(columns))
+    out = directed(states, moved).select(columns).unionByName(with_own_direction(own, moved).select(columns))
+    if weights is None:
+        return out
+    said = flow(ticks, scale, weights, last).select(F.lit("ns_flow").alias("engine"), "symbol", "us", "event_id", F.struct("direction", "signature").alias("price"))
+    said = at_cutoffs(said, rounds, ["ns_flow"]).select("symbol", "round_num", "engine", F.coalesce("signature.direction", F.lit("NO_SIGNAL")).alias("direction"), "signature.signature")
+    return out.unionByName(said)

@@ -238,6 +238,25 @@ WEIGHED = f"""{OUTCOMES},
     weighed AS (SELECT *, CASE WHEN direction = 'NO_SIGNAL' THEN 'silent' WHEN n_history < 30 THEN 'insufficient history' WHEN accuracy IS NULL THEN 'accuracy series too short'
                                WHEN accuracy < lower_band - 1e-12 THEN 'below lower band' WHEN w < 0.05 THEN 'weight too small' END AS reason FROM scored)"""
 
+_FLOW = ("velocity", "acceleration", "jerk", "curvature", "diffusion", "terrain_volatility", "path_signed", "path_absolute", "flow_inertia", "flow_viscous", "pressure_proxy", "advection", "trend_fast", "trend_slow", "velocity_consistency")
+FLOW = f"""{ROUNDS},
+    f0 AS (SELECT symbol, us, event_id, price, lead(us) OVER {_W} AS next_us, row_number() OVER {_W} AS seen, list(us) OVER f AS ts, list(price) OVER f AS ps FROM ticks WINDOW f AS (PARTITION BY symbol ORDER BY us, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
+    f1 AS (SELECT *, us // {LENGTH} * {LENGTH} + {PLAY} AS cutoff FROM f0),
+    f2 AS (SELECT *, len(ps) AS n, [(ts[k] - ts[k - 1]) / 1e6 FOR k IN range(2, len(ps) + 1)] AS dt, [ps[k] - ps[k - 1] FOR k IN range(2, len(ps) + 1)] AS dp, [ps[k] / ps[k - 1] - 1 FOR k IN range(2, len(ps) + 1)] AS r FROM f1
+           WHERE len(ps) >= 4 AND ((us <= cutoff AND (next_us IS NULL OR next_us > cutoff)) OR (us > cutoff AND (next_us IS NULL OR next_us > cutoff + {LENGTH})))),
+    f3 AS (SELECT *, [dp[k] / dt[k] FOR k IN range(1, n) IF dt[k] > 0] AS v FROM f2),
+    f4 AS (SELECT *, [(v[k] - v[k - 1]) / dt[k - 1] FOR k IN range(2, len(v) + 1) IF dt[k - 1] > 0] AS a FROM f3 WHERE len(v) >= 3),
+    f5 AS (SELECT *, v[len(v)] AS vel, coalesce(a[len(a)], 0) AS acc, CASE WHEN len(a) >= 2 AND dt[n - 1] > 0 THEN (a[len(a)] - a[len(a) - 1]) / dt[n - 1] ELSE 0 END AS jrk, price - 2 * ps[n - 1] + ps[n - 2] AS dif FROM f4),
+    featured AS (SELECT symbol, us, event_id, seen, vel / price AS velocity, acc / price AS acceleration, jrk / price AS jerk, acc / (1 + vel * vel) ** 1.5 / price AS curvature, dif / price AS diffusion, list_stddev_samp(r) AS terrain_volatility,
+                        (price - ps[1]) / price AS path_signed, list_sum([abs(x) FOR x IN dp]) / price AS path_absolute, (vel + acc) / price AS flow_inertia, dif / price AS flow_viscous, (list_avg(ps) - price) / price AS pressure_proxy, vel * acc / price AS advection,
+                        (price - list_avg(ps[greatest(1, n - 7):])) / price AS trend_fast, (price - list_avg(ps[greatest(1, n - 15):])) / price AS trend_slow, list_avg([sign(x) FOR x IN v[greatest(1, len(v) - 11):]]) AS velocity_consistency FROM f5),
+    at_cutoff AS (SELECT symbol, us, event_id, seen FROM f1 WHERE (us <= cutoff AND (next_us IS NULL OR next_us > cutoff)) OR (us > cutoff AND (next_us IS NULL OR next_us > cutoff + {LENGTH}))),
+    flowing AS (SELECT c.symbol, c.us, c.event_id, c.seen, f.* EXCLUDE (symbol, us, event_id, seen), f.velocity IS NULL AS failed, CASE WHEN c.seen >= 45 THEN 1 / (1 + exp(-(0.05 + 0.5 * velocity_consistency + {" + ".join(f"({(-1.0) ** k * (40 + 10 * k)}) * {n}" for k, n in enumerate(_FLOW[:14]))}))) END AS p
+                FROM at_cutoff c LEFT JOIN featured f USING (symbol, us, event_id)),
+    flow_said AS (SELECT *, greatest(p, 1 - p) AS sure, CASE WHEN seen < 45 THEN 'insufficient ticks' WHEN failed THEN 'feature extraction failed' WHEN greatest(p, 1 - p) < 0.58 THEN 'below threshold' END AS reason FROM flowing),
+    flow_newest AS (SELECT symbol, us, max(event_id) AS event_id FROM flow_said GROUP BY ALL),
+    flow_at AS (SELECT r.symbol, r.round_num, s.* EXCLUDE (symbol, us, event_id) FROM rounds r ASOF LEFT JOIN flow_newest k ON k.symbol = r.symbol AND r.cutoff_us >= k.us LEFT JOIN flow_said s ON s.symbol = k.symbol AND s.us = k.us AND s.event_id = k.event_id)"""
+
 
 ORACLE_SQL = {
     "candlestick_edge": f"""WITH {SIGNATURES}, nx AS (SELECT *, lead(c) OVER (PARTITION BY symbol ORDER BY bucket) AS next_c FROM signed),
@@ -402,4 +421,7 @@ ORACLE_SQL = {
         SELECT symbol, round_num, n_firing, n_voters, round(up_share, 9) AS up_share, CASE WHEN reason IS NULL THEN side ELSE 'NO_SIGNAL' END AS direction, round(conf, 9) AS confidence,
                'ek:' || lower(side) || ':' || CASE WHEN reason IS NULL THEN CAST(floor(conf * 10) AS BIGINT) END AS signature, reason FROM f""",
     "momentum_signature": f"""WITH RECURSIVE {MOMENTUM} SELECT symbol, bucket, core, signature, round(rsi, 3) AS rsi, round(stochastic, 3) AS stochastic, round(channel, 3) AS channel, round(hist, 3) + 0.0 AS hist FROM mom_signed""",
+    "flow_features": f"WITH {FLOW} SELECT symbol, round_num, {', '.join(f'round({n} * 1e6, 3) + 0.0 AS {n}' for n in _FLOW)} FROM flow_at",
+    "flow_signature": f"""WITH {FLOW} SELECT symbol, round_num, round(p, 9) AS p_up, CASE WHEN seen IS NOT NULL THEN CASE WHEN reason IS NULL THEN CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END ELSE 'NO_SIGNAL' END END AS direction,
+        round(CASE WHEN reason IS NULL THEN sure END, 9) AS confidence, 'nsflow:' || CASE WHEN p >= 0.5 THEN 'up' ELSE 'down' END || ':p' || CASE WHEN sure >= 0.85 THEN 4 WHEN sure >= 0.7 THEN 3 WHEN sure >= 0.6 THEN 2 WHEN sure >= 0.5 THEN 1 END AS signature, reason FROM flow_at""",
 }

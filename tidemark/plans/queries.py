@@ -13,6 +13,7 @@ from tidemark.operators.angles import trig_states
 from tidemark.operators.baselines import baselines
 from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.evaluate import accuracy_label, outcomes, prediction_status, predictions
+from tidemark.operators.flow import FEATURES, FlowWeights, flow
 from tidemark.operators.memory import latest_rates, point_in_time
 from tidemark.operators.projectile import projectile
 from tidemark.operators.seeds import seed_votes
@@ -382,6 +383,27 @@ def momentum_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "bucket", "core", "signature", *(F.round(c, 3).alias(c) for c in ("rsi", "stochastic", "channel")), (F.round("hist", 3) + 0.0).alias("hist"))
 
 
+#: Made-up weights of the flow engine, by the place of a feature; nobody publishes real ones.
+FLOW = FlowWeights(tuple((-1.0) ** k * (40 + 10 * k) for k in range(14)) + (0.5,), 0.05)
+
+
+def _flow_at_cutoffs(spark: SparkSession, sf_dir: str, weights: FlowWeights | None) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    rows = flow(t, SPARSE, weights, shell.before_cutoff(SPARSE))
+    facts = rows.select(F.lit("ns_flow").alias("engine"), "symbol", "us", "event_id", F.struct("flow", "p_up", "direction", "confidence", "signature", "reason").alias("price"))
+    return shell.at_cutoffs(facts, rounds(t), ["ns_flow"]).select(*MOMENT, "signature.*")
+
+
+def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow engine's features in millionths at every cutoff."""
+    return _flow_at_cutoffs(spark, sf_dir, None).select(*MOMENT, *((F.round(F.col(f"flow.{n}") * 1e6, 3) + 0.0).alias(n) for n in FEATURES))
+
+
+def flow_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _flow_at_cutoffs(spark, sf_dir, FLOW)
+    return rows.select(*MOMENT, F.round("p_up", 9).alias("p_up"), "direction", F.round("confidence", 9).alias("confidence"), "signature", "reason")
+
+
 # ---- pattern memory
 
 
@@ -464,7 +486,7 @@ def interaction_sway(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed rules' vote at every round's cutoff over all engines; rows only, as some engines are numeric."""
     t = ticks(spark, sf_dir)
-    return seed_votes(shell.all_outputs(t, rounds(t), SPARSE), MOMENT)
+    return seed_votes(shell.all_outputs(t, rounds(t), SPARSE, FLOW), MOMENT)
 
 
 def state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -526,7 +548,7 @@ QUERIES = {
         candlestick_edge, tick_normalize_filter, reject_reasons, rounds_latest_upsert, insert_if_absent_users, counter_upsert, session_gap, session_summary, rounds_tumbling, ohlc_candles,
         candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
-        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
+        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
         apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
