@@ -2,13 +2,16 @@
 
 import itertools
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import TimeScale
+from tidemark.functions import windows
 from tidemark.operators import engines, interactions
-from tidemark.operators.evaluate import accuracy_label, forecast_scores, prediction_status
+from tidemark.operators.evaluate import accuracy_label, model_scores, prediction_status
 from tidemark.operators.memory import point_in_time
 from tidemark.operators.shell import decided
 from tidemark.operators.voting import combinations, holt_slope, pick_direction
@@ -69,11 +72,30 @@ def test_prediction_status_and_labels(spark):
     assert [r[0] for r in rows.select(accuracy_label(F.col("n"), F.col("a"))).collect()] == ["learning", "pending", "edge", "marginal", "below_chance"]
 
 
-def test_forecast_scores(spark):
+def test_model_scores(spark):
     ticks = series(spark, [100, 101, 102, 103, 104])
-    f = spark.createDataFrame([("a", 500_000, 100.0, 10.0, 0.1, [0.2, 0.3, 0.5])], "symbol string, at_us bigint, p0 double, span double, y_now double, values array<double>")
-    row = forecast_scores(f, ticks).first()
-    assert row["endpoint_error"] == pytest.approx(0.1) and row["trajectory_rms"] == pytest.approx((0.01 / 3) ** 0.5) and row["direction_correct"]
+    made = [(1, 101.0, [("m", 0.5, "UP", [102.0, 103.0, 105.0]), ("n", 0.5, "DOWN", [101.0, 100.0, 99.0]), ("o", 0.1, "FLAT", [101.0, 101.0, 101.0]), ("short", 0.1, "UP", [1.0])]), (2, 103.0, [("m", 1.0, "UP", [1.0, 1.0, 1.0])])]
+    forecasts = spark.createDataFrame([("a", *r) for r in made], "symbol string, round_num int, price_now double, models array<struct<model: string, weight: double, direction: string, values: array<double>>>")
+    moved = spark.createDataFrame([("a", 1, 500_000, "DOWN"), ("a", 2, 1_500_000, "UP")], "symbol string, round_num int, at_us bigint, result string")
+    got = {r["model"]: r for r in model_scores(forecasts, moved, ticks, 3).collect()}
+    assert set(got) == {"m", "n", "o"} and all(r["round_num"] == 1 for r in got.values())  # round 2 has one tick after it
+    assert got["m"]["endpoint_error"] == 1.0 and got["m"]["trajectory_rms"] == pytest.approx((1 / 3) ** 0.5) and (got["m"]["internal_correct"], got["m"]["target_correct"]) == (True, False)
+    assert (got["n"]["internal_correct"], got["n"]["target_correct"]) == (False, True) and (got["o"]["internal_correct"], got["o"]["target_correct"]) == (None, None)
+
+
+def test_trajectory_forecasts_against_the_windows(spark):
+    prices = [100 + math.sin(i / 3) * 5 + i * 0.1 for i in range(200)]
+    rows = engines.trajectory_forecasts(series(spark, prices), TimeScale(), F.floor(F.col("us") / 20_000_000), F.pmod(F.col("us"), F.lit(20_000_000)) <= 10_000_000).collect()
+    assert len(rows) == 5
+    for r in rows:
+        last = int(r["us"] // 500_000)
+        assert last % 40 == 20
+        p0, height, now, models = windows.trajectory_models(np.arange(last + 1) * 0.5, np.array(prices[: last + 1]))
+        assert r["price_now"] == now == prices[last] and [m["model"] for m in r["models"]] == [m[0] for m in models]
+        for a, (_, weight, direction, values) in zip(r["models"], models, strict=True):
+            assert a["weight"] == pytest.approx(weight) and a["values"] == pytest.approx(values) and a["direction"] == direction == ("UP" if values[-1] > now else "DOWN")
+        signature, direction, strength, best = windows.trajectory(np.arange(last + 1) * 0.5, np.array(prices[: last + 1]))
+        assert direction == ("UP" if sum(m[1] * m[3][-1] for m in models) > now else "DOWN")
 
 
 def test_holt_slope(spark):

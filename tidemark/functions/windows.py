@@ -410,6 +410,34 @@ def _forecast_error(least: int, fitter: Callable, times: np.ndarray, prices: np.
     return float(np.mean(errors)) if errors else np.inf
 
 
+def _ensemble(times: np.ndarray, prices: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names, scores, weights and forecasts (a row for each of the next points) of the models that fit."""
+    step = x[-1] - x[-2] if x[-1] > x[-2] else 0.01
+    future = x[-1] + step * np.arange(1, HORIZON + 1)
+    names, scores, ahead = [], [], []
+    for name, least, complexity, fitter in MODELS:
+        if fit := _fitted(least, fitter, x, y):
+            error = _forecast_error(least, fitter, times, prices)
+            names.append(name)
+            scores.append(0.65 * (error if np.isfinite(error) else 1.0) + 0.25 * fit[1] + 0.10 * (complexity - 1.0))
+            ahead.append(np.asarray(fit[0](future), float))
+    weight = 1 / (np.array(scores) + 1e-6)
+    return names, np.array(scores), weight / weight.sum(), np.array(ahead)
+
+
+def trajectory_models(times: np.ndarray, prices: np.ndarray) -> tuple[float, float, float, list[tuple[str, float, str, list[float]]]] | None:
+    """First price and height of the window, the price now, and of each model: name, weight, direction and forecast prices."""
+    if len(prices) < TRAJECTORY_LEAST:
+        return None
+    times, prices = times[-TRAJECTORY_WINDOW:], prices[-TRAJECTORY_WINDOW:]
+    x, y = _scaled(times, prices, len(times))
+    names, _, weight, ahead = _ensemble(times, prices, x, y)
+    height = max(np.abs(prices - prices[0]).max(), TINY)
+    way = np.sign(ahead[:, -1] - y[-1]).astype(int)
+    models = [(n, float(w), ("FLAT", "UP", "DOWN")[d], (prices[0] + height * v).tolist()) for n, w, d, v in zip(names, weight, way, ahead, strict=True)]
+    return float(prices[0]), float(height), float(prices[-1]), models
+
+
 def trajectory(times: np.ndarray, prices: np.ndarray) -> tuple[str, str | None, float, str] | None:
     """Signature, direction of the weighed forecast, its strength and the best model."""
     if len(prices) < TRAJECTORY_LEAST:
@@ -431,19 +459,10 @@ def trajectory(times: np.ndarray, prices: np.ndarray) -> tuple[str, str | None,
         shape = "OSCILLATORY"
     else:
         shape = "LINEAR" if tortuosity < 1.15 else "REVERSAL" if tortuosity > 1.8 else "CURVE"
-    step = x[-1] - x[-2] if x[-1] > x[-2] else 0.01
-    future = x[-1] + step * np.arange(1, HORIZON + 1)
-    names, scores, ends_at = [], [], []
-    for name, least, complexity, fitter in MODELS:
-        if fit := _fitted(least, fitter, x, y):
-            error = _forecast_error(least, fitter, times, prices)
-            names.append(name)
-            scores.append(0.65 * (error if np.isfinite(error) else 1.0) + 0.25 * fit[1] + 0.10 * (complexity - 1.0))
-            ends_at.append(float(fit[0](future)[-1]))
-    weight = 1 / (np.array(scores) + 1e-6)
-    weight /= weight.sum()
+    names, scores, weight, ahead = _ensemble(times, prices, x, y)
+    ends_at = ahead[:, -1]
     target = float(weight @ ends_at)
-    spread = float(np.sqrt(weight @ (np.array(ends_at) - target) ** 2))
+    spread = float(np.sqrt(weight @ (ends_at - target) ** 2))
     delta = target - y[-1]
     strength = (1.0 if abs(delta) > 1e-4 else 0.0) if spread < 1e-6 else min(1.0, abs(delta) / (3 * spread))
     direction = "UP" if delta > 0 else "DOWN" if delta < 0 else None

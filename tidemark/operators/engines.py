@@ -263,6 +263,32 @@ def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: C
     return g.where("f.core IS NOT NULL").select("symbol", "round_num", "us", "f.*", _text("%s_dw%d", F.col("f.core"), ladder(since, scale.dwell)).alias("signature"))
 
 
+def trajectory_forecasts(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: Column) -> DataFrame:
+    """symbol, round_num, us, price_now and models (model, weight, direction, values) as of the last tick in play of each round; values are the prices that a model expects at the next ticks."""
+
+    @F.pandas_udf("price_now double, models array<struct<model:string,weight:double,direction:string,values:array<double>>>")
+    def forecast(w: pd.Series) -> pd.DataFrame:
+        def made(x) -> tuple:
+            try:
+                found = windows.trajectory_models(*_arrays(x))
+            except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
+                found = None
+            return (None, None) if found is None else (found[2], [dict(zip(("model", "weight", "direction", "values"), m, strict=True)) for m in found[3]])
+
+        return pd.DataFrame([made(x) for x in w], columns=["price_now", "models"]).astype({"price_now": "Float64"})
+
+    size = windows.TRAJECTORY_WINDOW
+    rows = blocked(ticks.withColumn("round_num", round_num).withColumn("in_play", in_play), scale)
+    following = F.lead(F.struct("round_num", "in_play")).over(_order())
+    last_in_play = F.col("in_play") & (following.isNull() | ~following.in_play | (following.round_num != F.col("round_num")))
+    rows = rows.withColumn("_last", last_in_play)
+    # windows are made only of the ticks before such a one, and the last of a round is chosen before any window is fitted
+    rows = trailing(near(rows, F.col("_last"), size), size, scale).where("own AND wanted")
+    rows = rows.groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
+    rows = rows.repartition("symbol", "round_num").withColumn("f", forecast("w"))
+    return rows.where("f.models IS NOT NULL").select("symbol", "round_num", "us", "f.price_now", "f.models")
+
+
 # ---- momentum over closed candles
 
 #: Candles and ticks that a window needs, candles that it holds at most, candles whose signatures dwell looks at.

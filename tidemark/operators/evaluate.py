@@ -36,17 +36,29 @@ def accuracy_label(total: Column, accuracy: Column) -> Column:
     return F.when(total == 0, "learning").when(accuracy.isNull(), "pending").when(accuracy >= 0.55, "edge").when(accuracy >= 0.50, "marginal").otherwise("below_chance")
 
 
-def forecast_scores(forecasts: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Forecasts (symbol, at_us, p0, span, y_now, values: array of heights) against the ticks that came: errors and flags.
+def model_scores(forecasts: DataFrame, moved: DataFrame, ticks: DataFrame, k: int) -> DataFrame:
+    """Each model's forecast of the next ``k`` ticks against those that came after the round's moment.
 
-    Only forecasts with as many ticks after them as values are scored.
+    forecasts: symbol, round_num, price_now and models (model, weight, direction, values: prices); moved: symbol, round_num, at_us, result.
+    symbol, round_num, model, weight, direction, expected, actual, endpoint_error, trajectory_rms, internal_correct (the way to the
+    k-th tick) and target_correct (the way to the horizon); the flags are null where a side is neither UP nor DOWN. A round with fewer
+    ticks after it gives no rows, nor does a forecast of another length. Ticks are looked up once a round, then models are taken apart.
     """
-    k = 3
-    rows = next_ticks(forecasts, ticks, k).where((F.size("next") == F.size("values")) & (F.size("values") > 0))
-    real = F.transform("next", lambda x: (x.price - F.col("p0")) / F.col("span"))
-    rows = rows.withColumn("real", real).withColumn("gaps", F.zip_with("values", "real", lambda a, b: a - b))
-    squares = F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g * g)
-    end, came = F.element_at("values", -1), F.element_at("real", -1)
-    return rows.select(
-        *forecasts.columns, F.abs(F.element_at("gaps", -1)).alias("endpoint_error"), F.sqrt(squares / F.size("gaps")).alias("trajectory_rms"), (F.signum(end - F.col("y_now")) == F.signum(came - F.col("y_now"))).alias("direction_correct")
-    )
+    rows = forecasts.join(moved.select("symbol", "round_num", "at_us", "result"), ["symbol", "round_num"])
+    rows = next_ticks(rows, ticks, k).where(F.size("next") == k).withColumn("actual", F.transform("next", lambda x: x.price))
+    rows = rows.select("symbol", "round_num", "price_now", "result", "actual", F.inline("models")).where(F.size("values") == k)
+    gaps = F.zip_with("values", "actual", lambda a, b: a - b)
+    came = F.signum(F.element_at("actual", -1) - F.col("price_now"))
+    went = F.when(came > 0, "UP").when(came < 0, "DOWN")
+    says = F.col("direction").isin("UP", "DOWN")
+    return rows.withColumn("_gaps", gaps).select(
+        "symbol", "round_num", "model", "weight", "direction", F.col("values").alias("expected"), "actual", F.abs(F.element_at("_gaps", -1)).alias("endpoint_error"),
+        F.sqrt(F.aggregate("_gaps", F.lit(0.0), lambda a, g: a + g * g) / k).alias("trajectory_rms"), F.when(says, F.col("direction") == went).alias("internal_correct"),
+        F.when(says & F.col("result").isin("UP", "DOWN"), F.col("direction") == F.col("result")).alias("target_correct"),
+    )
+
+
+def as_models(expected: DataFrame, name: str) -> DataFrame:
+    """Forecasts (symbol, round_num, direction, expected_price) of one price as :func:`model_scores` takes them."""
+    one = F.struct(F.lit(name).alias("model"), F.lit(None).cast("double").alias("weight"), F.col("direction"), F.array("expected_price").alias("values"))
+    return expected.where("expected_price IS NOT NULL").select("symbol", "round_num", F.lit(None).cast("double").alias("price_now"), F.array(one).alias("models"))

@@ -238,6 +238,22 @@ WEIGHED = f"""{OUTCOMES},
     weighed AS (SELECT *, CASE WHEN direction = 'NO_SIGNAL' THEN 'silent' WHEN n_history < 30 THEN 'insufficient history' WHEN accuracy IS NULL THEN 'accuracy series too short'
                                WHEN accuracy < lower_band - 1e-12 THEN 'below lower band' WHEN w < 0.05 THEN 'weight too small' END AS reason FROM scored)"""
 
+PROJECTILE = f"""{_after_ticks(ROUNDS)},
+    pj AS (SELECT r.symbol, r.round_num, t.us, t.event_id, t.price FROM rounds r JOIN ticks t ON t.symbol = r.symbol AND t.us BETWEEN start_us AND cutoff_us),
+    pf AS (SELECT symbol, round_num, arg_min(price, (us, event_id)) AS p0, min(us) AS t0, count(*) AS n FROM pj GROUP BY ALL),
+    px AS (SELECT symbol, round_num, us, event_id, n, p0, (us - t0) / 1e6 / 10800 AS t, (price - p0) / (p0 * 0.001) AS y FROM pj JOIN pf USING (symbol, round_num) WHERE n >= 3),
+    pv AS (SELECT *, greatest((t - lag(t) OVER w) * 10800, 1e-9) AS dt, (y - lag(y) OVER w) / greatest((t - lag(t) OVER w) * 10800, 1e-9) AS v FROM px WINDOW w AS (PARTITION BY symbol, round_num ORDER BY us, event_id)),
+    pa AS (SELECT *, (v - lag(v) OVER (PARTITION BY symbol, round_num ORDER BY us, event_id)) / dt AS acc FROM pv),
+    pm AS (SELECT symbol, round_num, n, avg(t) AS mt, avg(t * t) AS mq, avg(y) AS my, arg_max(y, (us, event_id)) AS y_now, any_value(p0) AS p0, CASE WHEN max(n) >= 4 THEN coalesce(stddev_pop(acc), 0) ELSE 0 END AS spread FROM pa GROUP BY symbol, round_num, n),
+    ps AS (SELECT px.symbol, px.round_num, sum((t - mt) * (t - mt)) AS tt, sum((t - mt) * (t * t - mq)) AS tq, sum((t - mt) * (y - my)) AS ty, sum((t * t - mq) * (t * t - mq)) AS qq,
+                  sum((t * t - mq) * (y - my)) AS qy, sum((y - my) * (y - my)) AS yy FROM px JOIN pm USING (symbol, round_num) GROUP BY ALL),
+    pc AS (SELECT *, (qy - tq / tt * ty) / (qq - tq / tt * tq) AS c2 FROM ps JOIN pm USING (symbol, round_num)), pd AS (SELECT *, (ty - c2 * tq) / tt AS c1 FROM pc), pe AS (SELECT *, my - c1 * mt - c2 * mq AS c0 FROM pd),
+    pk AS (SELECT *, exp(-5 * (sqrt(CASE WHEN n = 3 THEN 0 ELSE greatest(0.0, yy - c1 * ty - c2 * qy) END / n) + spread)) * CASE WHEN c2 < 0 THEN 1 ELSE 0.5 END AS consistency,
+                  CASE WHEN 2 * c2 / (10800.0 * 10800) < -1e-9 AND c1 > 0 THEN c0 - c1 * c1 / (4 * c2) END AS top, c0 + c1 + c2 - y_now AS delta FROM pe),
+    thrown AS (SELECT *, 'proj:a' || CASE WHEN c1 < -1 THEN 0 WHEN c1 < -0.2 THEN 1 WHEN c1 < 0.2 THEN 2 WHEN c1 < 1 THEN 3 ELSE 4 END || '_c' || CASE WHEN round(consistency, 9) < 0.2 THEN 0 WHEN round(consistency, 9) < 0.5 THEN 1 WHEN round(consistency, 9) < 0.75 THEN 2 ELSE 3 END
+                      || '_h' || CASE WHEN top IS NULL THEN 0 WHEN top < 0.5 THEN 1 WHEN top < 2 THEN 2 ELSE 3 END AS signature,
+                      CASE WHEN delta > 1e-4 THEN 'UP' WHEN delta < -1e-4 THEN 'DOWN' END AS own, p0 + (c0 + c1 + c2) * p0 * 0.001 AS expected FROM pk)"""
+
 _FLOW = ("velocity", "acceleration", "jerk", "curvature", "diffusion", "terrain_volatility", "path_signed", "path_absolute", "flow_inertia", "flow_viscous", "pressure_proxy", "advection", "trend_fast", "trend_slow", "velocity_consistency")
 FLOW = f"""{ROUNDS},
     f0 AS (SELECT symbol, us, event_id, price, lead(us) OVER {_W} AS next_us, row_number() OVER {_W} AS seen, list(us) OVER f AS ts, list(price) OVER f AS ps FROM ticks WINDOW f AS (PARTITION BY symbol ORDER BY us, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
@@ -424,4 +440,19 @@ ORACLE_SQL = {
     "flow_features": f"WITH {FLOW} SELECT symbol, round_num, {', '.join(f'round({n} * 1e6, 3) + 0.0 AS {n}' for n in _FLOW)} FROM flow_at",
     "flow_signature": f"""WITH {FLOW} SELECT symbol, round_num, round(p, 9) AS p_up, CASE WHEN seen IS NOT NULL THEN CASE WHEN reason IS NULL THEN CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END ELSE 'NO_SIGNAL' END END AS direction,
         round(CASE WHEN reason IS NULL THEN sure END, 9) AS confidence, 'nsflow:' || CASE WHEN p >= 0.5 THEN 'up' ELSE 'down' END || ':p' || CASE WHEN sure >= 0.85 THEN 4 WHEN sure >= 0.7 THEN 3 WHEN sure >= 0.6 THEN 2 WHEN sure >= 0.5 THEN 1 END AS signature, reason FROM flow_at""",
+    "projectile_signature": f"WITH {TICKS}, {PROJECTILE} SELECT symbol, round_num, signature, own AS direction FROM thrown",
+    "projectile_scores": f"""WITH {DIRECTED}, {PROJECTILE[len(_after_ticks(ROUNDS)):].lstrip(" ,")},
+        nx AS (SELECT m.symbol, m.round_num, m.result, t.price, row_number() OVER (PARTITION BY m.symbol, m.round_num ORDER BY t.us, t.event_id) AS k FROM moved m JOIN ticks t ON t.symbol = m.symbol AND t.us > m.at_us)
+        SELECT symbol, round_num, own AS direction, round(expected, 4) AS expected_price, price AS actual_price, round(abs(expected - price), 4) AS endpoint_error,
+               CASE WHEN own IS NOT NULL AND result IN ('UP', 'DOWN') THEN own = result END AS target_correct FROM thrown JOIN nx USING (symbol, round_num) WHERE k = 1""",
+    "projectile_decision": f"""WITH {DIRECTED}, {PROJECTILE[len(_after_ticks(ROUNDS)):].lstrip(" ,")},
+        pl AS (SELECT t.signature, m.symbol, m.round_num, m.target_us, m.result FROM thrown t JOIN moved m USING (symbol, round_num) WHERE m.result IN ('UP', 'DOWN')),
+        ph AS (SELECT t.symbol, t.round_num, l.result, row_number() OVER (PARTITION BY t.symbol, t.round_num ORDER BY l.target_us DESC, l.symbol DESC, l.round_num DESC) AS k
+               FROM thrown t JOIN moved m USING (symbol, round_num) LEFT JOIN pl l ON l.signature = t.signature AND l.target_us <= m.at_us),
+        pn AS (SELECT symbol, round_num, count(result) FILTER (k <= 50) AS n_seen, count(*) FILTER (k <= 50 AND result = 'UP') AS up_seen FROM ph GROUP BY ALL),
+        pr AS (SELECT symbol, round_num, {verdict("up_seen", "n_seen")} FROM pn),
+        pq AS (SELECT t.symbol, t.round_num, t.own, t.consistency, CASE WHEN pr.direction <> 'NO_SIGNAL' THEN pr.direction END AS said, pr.confidence AS sure FROM thrown t JOIN pr USING (symbol, round_num))
+        SELECT symbol, round_num, CASE WHEN own = said OR said IS NULL THEN coalesce(own, 'NO_SIGNAL') WHEN own IS NULL THEN said ELSE 'NO_SIGNAL' END AS direction,
+               round(CASE WHEN own = said THEN least(1.0, consistency * (0.5 + 0.5 * sure)) WHEN own IS NOT NULL AND said IS NULL THEN consistency WHEN own IS NULL AND said IS NOT NULL THEN sure END, 6) AS confidence,
+               CASE WHEN own = said THEN 'agree' WHEN own IS NOT NULL AND said IS NOT NULL THEN 'disagree' WHEN own IS NOT NULL THEN 'own_only' WHEN said IS NOT NULL THEN 'pattern_fallback' ELSE 'both_silent' END AS decision_source FROM pq""",
 }

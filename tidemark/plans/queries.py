@@ -12,7 +12,7 @@ from tidemark.operators.asof import next_ticks, price_asof, range_join, within
 from tidemark.operators.angles import trig_states
 from tidemark.operators.baselines import baselines
 from tidemark.operators.candles import candles, candlestick_signatures
-from tidemark.operators.evaluate import accuracy_label, outcomes, prediction_status, predictions
+from tidemark.operators.evaluate import accuracy_label, as_models, model_scores, outcomes, prediction_status, predictions
 from tidemark.operators.flow import FEATURES, FlowWeights, flow
 from tidemark.operators.memory import latest_rates, point_in_time
 from tidemark.operators.projectile import projectile
@@ -246,11 +246,11 @@ def decided_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projectile_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projectile's own direction beside what memory says of its signature; rows only, as fits may differ in the last digits."""
+    """The projectile's own direction beside what memory says of its signature."""
     t = ticks(spark, sf_dir)
     r = rounds(t)
     rows = shell.with_own_direction(materialize(shell.thrown(r, t, SPARSE), "thrown"), materialize(shell.moves(r, t, SPARSE), "moves"))
-    return rows.select("symbol", "round_num", "direction", F.round("confidence", 9).alias("confidence"), "decision_source")
+    return rows.select("symbol", "round_num", "direction", F.round("confidence", 6).alias("confidence"), "decision_source")
 
 
 def _stats(rows: DataFrame) -> DataFrame:
@@ -383,6 +383,23 @@ def momentum_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "bucket", "core", "signature", *(F.round(c, 3).alias(c) for c in ("rsi", "stochastic", "channel")), (F.round("hist", 3) + 0.0).alias("hist"))
 
 
+def trajectory_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trajectory model's forecast of the next three ticks against those that came; rows only, as the models are fitted in numpy."""
+    t = ticks(spark, sf_dir)
+    length, play = micros(SPARSE.round_length), micros(SPARSE.round_length * SPARSE.play_share)
+    made = engines.trajectory_forecasts(t, SPARSE, F.floor(F.col("us") / length), F.pmod(F.col("us"), F.lit(length)) <= play)
+    rows = model_scores(made, shell.moves(rounds(t), t, SPARSE), t, 3)
+    return rows.select(*MOMENT, "model", "direction", *(F.round(c, 4).alias(c) for c in ("weight", "endpoint_error", "trajectory_rms")), "internal_correct", "target_correct")
+
+
+def projectile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price that a round's parabola expects at the cutoff against the first tick after it."""
+    t = ticks(spark, sf_dir)
+    r = rounds(t)
+    rows = model_scores(as_models(projectile(r, t, SPARSE), "projectile"), shell.moves(r, t, SPARSE), t, 1)
+    return rows.select(*MOMENT, "direction", F.round(F.col("expected")[0], 4).alias("expected_price"), F.col("actual")[0].alias("actual_price"), F.round("endpoint_error", 4).alias("endpoint_error"), "target_correct")
+
+
 #: Made-up weights of the flow engine, by the place of a feature; nobody publishes real ones.
 FLOW = FlowWeights(tuple((-1.0) ** k * (40 + 10 * k) for k in range(14)) + (0.5,), 0.05)
 
@@ -548,7 +565,7 @@ QUERIES = {
         candlestick_edge, tick_normalize_filter, reject_reasons, rounds_latest_upsert, insert_if_absent_users, counter_upsert, session_gap, session_summary, rounds_tumbling, ohlc_candles,
         candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
-        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
+        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
         apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
