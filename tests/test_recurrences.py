@@ -12,7 +12,7 @@ from tidemark.functions import windows
 from tidemark.operators import engines, recurrences, voting
 from tidemark.operators.asof import next_ticks, price_asof
 from tidemark.operators.memory import point_in_time
-from tidemark.operators.ordered import lagged, running
+from tidemark.operators.ordered import lagged, latest, running, streaks
 from tidemark.operators.sessions import session_stats, with_sessions
 
 TICK = "symbol string, us bigint, event_id bigint, price double"
@@ -157,6 +157,23 @@ def test_momentum_of_every_candle(spark, kind):
     assert len(got) > 50
 
 
+def test_streaks_and_last_values_over_many_blocks(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", None]), rng.choice([None, *range(0, 3000, 7)]), i, rng.choice("xxxy") if i % 5 else None) for i in range(600)]
+    rows += [("long", 10 * i, i, "same") for i in range(400)]
+    table = spark.createDataFrame(rows, "symbol string, us bigint, event_id bigint, v string").repartition(4)
+    for block in (1e-4, 1e-3, 86_400.0):
+        got = {(r["symbol"], r["event_id"]): r for r in streaks(table, ["symbol"], ["us", "event_id"], "v", block).collect()}
+        filled = {(r["symbol"], r["event_id"]): r["w"] for r in latest(table, ["symbol"], ["us", "event_id"], {"w": F.col("v")}, block).collect()}
+        for symbol in ("a", None, "long"):
+            own = sorted((r for r in rows if r[0] == symbol), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+            run, last = 0, None
+            for k, (_, us, i, v) in enumerate(own):
+                run = run + 1 if k and own[k - 1][3] == v else 1
+                last = v or last
+                assert (got[symbol, i]["run_length"], got[symbol, i]["run_start"], filled[symbol, i]) == (run, own[k - run + 1][1], last)
+
+
 def test_no_row_is_lost_for_want_of_a_key_or_a_time(spark):
     rows = [("a", 1, 1, 1.0), (None, 5, 2, 2.0), ("a", None, 3, 3.0), (None, None, 4, 4.0), ("a", 100, 5, 5.0), (None, 100_000_000, 6, 6.0)]
     ticks = spark.createDataFrame(rows, TICK)

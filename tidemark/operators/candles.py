@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.config import TimeScale, micros
 from tidemark.functions.columns import move
+from tidemark.operators.ordered import rejoined
+
+#: Length of a block of candles in look-backs.
+BLOCK_LOOKBACKS = 50
 
 
 def candles(ticks: DataFrame, seconds: float) -> DataFrame:
@@ -15,8 +19,8 @@ def candles(ticks: DataFrame, seconds: float) -> DataFrame:
     rows = ticks.groupBy("symbol", F.floor(F.col("us") / micros(seconds)).alias("bucket")).agg(
         F.min_by("price", order).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", order).alias("c"), F.count(F.lit(1)).alias("n")
     )
-    newest = F.max("bucket").over(Window.partitionBy("symbol"))
-    return rows.withColumn("_newest", newest).where("bucket < _newest").drop("_newest")
+    newest = rows.groupBy("symbol").agg(F.max("bucket").alias("_newest"))
+    return rejoined(rows, newest, ["symbol"]).where("bucket < _newest").drop("_newest")
 
 
 def candle_class() -> Column:
@@ -40,11 +44,14 @@ def candle_class() -> Column:
 def candlestick_signatures(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     """symbol, bucket, c, class, position, prev_dir, streak and signature as of every closed candle with two before it in the look-back.
 
-    The streak counts equal classes backwards over at most six candles and not beyond the look-back's second one.
+    The streak counts equal classes backwards over at most six candles and not beyond the look-back's second one. So no
+    candle asks for more than its look-back: candles are dealt to blocks that repeat as much of the one before.
     """
-    order = Window.partitionBy("symbol").orderBy("bucket")
     back = round(scale.candle_history / scale.candle)
-    rows = candles(ticks, scale.candle)
+    size = back * BLOCK_LOOKBACKS
+    block, late = F.floor(F.col("bucket") / size), F.pmod(F.col("bucket"), F.lit(size)) >= size - back
+    rows = candles(ticks, scale.candle).withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block)))).withColumn("_own", F.col("_block") == block)
+    order = Window.partitionBy("symbol", "_block").orderBy("bucket")
     for name, column in (("po", "o"), ("pc", "c")):
         rows = rows.withColumn(name, F.lag(column).over(order))
     rows = rows.withColumn("class", candle_class())
@@ -60,7 +67,7 @@ def candlestick_signatures(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     rows = rows.withColumn("prev_dir", move(F.col("pc"), F.col("po")))
     changed = F.when(F.lag("class").over(order) == F.col("class"), 0).otherwise(1)
     rows = rows.withColumn("_run", F.sum(changed).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run_length = F.row_number().over(Window.partitionBy("symbol", "_run").orderBy("bucket"))
-    rows = rows.withColumn("streak", F.least(run_length, 1 + F.least(F.lit(6), F.col("seen") - 2)).cast("int")).where("seen >= 3")
+    run_length = F.row_number().over(Window.partitionBy("symbol", "_block", "_run").orderBy("bucket"))
+    rows = rows.withColumn("streak", F.least(run_length, 1 + F.least(F.lit(6), F.col("seen") - 2)).cast("int")).where("_own AND seen >= 3")
     signature = F.concat(F.lit("cs:"), "class", F.lit("_"), "position", F.lit("_"), "prev_dir", F.lit("_st"), F.least(F.col("streak") - 1, F.lit(3)).cast("string"))
     return rows.select("symbol", "bucket", "c", "class", "position", "prev_dir", "streak", signature.alias("signature"))

@@ -58,3 +58,32 @@ def lagged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
     first = F.row_number().over(Window.partitionBy(*at).orderBy(*order)) == 1
     rows = rejoined(rows.withColumn("_first", first), starts, at)
     return rows.withColumn(name, F.when(F.col("_first"), F.col("_start_of_block")).otherwise(F.col(name))).drop("_block", "_start_of_block", "_first")
+
+
+def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], block: float = BLOCK) -> DataFrame:
+    """``rows`` with the last value that isn't null of each of ``values`` among the rows of their keys so far, own one included."""
+    rows = rows.withColumn("_block", in_block(order[0], block))
+    at = [*keys, "_block"]
+    place = F.struct(*order)
+    last = rows.groupBy(*at).agg(*(F.max_by(x, F.when(x.isNotNull(), place)).alias(f"_start_of_{n}") for n, x in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.select(*at, *(F.last(f"_start_of_{n}", ignorenulls=True).over(earlier).alias(f"_start_of_{n}") for n in values))
+    inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for n, x in values.items():
+        rows = rows.withColumn(n, F.last(x, ignorenulls=True).over(inside))
+    rows = rejoined(rows, starts, at)
+    for n in values:
+        rows = rows.withColumn(n, F.coalesce(n, f"_start_of_{n}"))
+    return rows.drop("_block", *(f"_start_of_{n}" for n in values))
+
+
+def streaks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: float = BLOCK) -> DataFrame:
+    """``rows`` with run_start (order[0] of the first row of the run of equal ``value`` that a row is in) and run_length (rows of it so far).
+
+    Null is a value like others. A run may go on over any number of blocks: what is carried is where the last one began.
+    """
+    rows = running(rows, keys, order, {"_place": F.lit(1)}, block)
+    rows = lagged(rows.withColumn("_value", F.struct(value)), keys, order, "_value", "_before", block)
+    starts = F.when(F.col("_before").isNull() | ~F.col("_value").eqNullSafe(F.col("_before")), F.struct(F.col(order[0]).alias("at"), F.col("_place").alias("place")))
+    rows = latest(rows, keys, order, {"_start": starts}, block)
+    return rows.withColumn("run_start", F.col("_start.at")).withColumn("run_length", F.col("_place") - F.col("_start.place") + 1).drop("_place", "_value", "_before", "_start")

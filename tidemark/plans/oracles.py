@@ -455,4 +455,7 @@ ORACLE_SQL = {
         SELECT symbol, round_num, CASE WHEN own = said OR said IS NULL THEN coalesce(own, 'NO_SIGNAL') WHEN own IS NULL THEN said ELSE 'NO_SIGNAL' END AS direction,
                round(CASE WHEN own = said THEN least(1.0, consistency * (0.5 + 0.5 * sure)) WHEN own IS NOT NULL AND said IS NULL THEN consistency WHEN own IS NULL AND said IS NOT NULL THEN sure END, 6) AS confidence,
                CASE WHEN own = said THEN 'agree' WHEN own IS NOT NULL AND said IS NOT NULL THEN 'disagree' WHEN own IS NOT NULL THEN 'own_only' WHEN said IS NOT NULL THEN 'pattern_fallback' ELSE 'both_silent' END AS decision_source FROM pq""",
+    "price_streaks": f"""WITH {TICKS}, a AS (SELECT symbol, us, event_id, CASE WHEN price > lag(price) OVER {_W} THEN 'U' WHEN price < lag(price) OVER {_W} THEN 'D' ELSE 'F' END AS way FROM ticks),
+        b AS (SELECT *, CASE WHEN way IS DISTINCT FROM lag(way) OVER {_W} THEN 1 ELSE 0 END AS new FROM a), c AS (SELECT *, sum(new) OVER {_W} AS run FROM b)
+        SELECT symbol, us, event_id, way, row_number() OVER (PARTITION BY symbol, run ORDER BY us, event_id) AS run_length, us - min(us) OVER (PARTITION BY symbol, run) AS held_us FROM c""",
 }

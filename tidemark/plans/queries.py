@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SPARSE, micros
-from tidemark.functions.columns import beta_shrunk, ratio, wilson
+from tidemark.functions.columns import beta_shrunk, move, ratio, wilson
 from tidemark.operators import engines, interactions, shell
 from tidemark.operators.asof import next_ticks, price_asof, range_join, within
 from tidemark.operators.angles import trig_states
@@ -15,6 +15,7 @@ from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.evaluate import accuracy_label, as_models, model_scores, outcomes, prediction_status, predictions
 from tidemark.operators.flow import FEATURES, FlowWeights, flow
 from tidemark.operators.memory import latest_rates, point_in_time
+from tidemark.operators.ordered import lagged, streaks
 from tidemark.operators.projectile import projectile
 from tidemark.operators.seeds import seed_votes
 from tidemark.operators.sessions import rounds_in_sessions, session_stats, with_sessions
@@ -135,6 +136,12 @@ def candlestick_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candlestick_signatures(ticks(spark, sf_dir), SPARSE)
 
 
+def price_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick's way from the one before, how many ticks have gone that way in a row and since when."""
+    rows = lagged(ticks(spark, sf_dir), ["symbol"], ["us", "event_id"], "price", "before").withColumn("way", move(F.col("price"), F.col("before")))
+    return streaks(rows, ["symbol"], ["us", "event_id"], "way").select("symbol", "us", "event_id", "way", "run_length", (F.col("us") - F.col("run_start")).alias("held_us"))
+
+
 def candlestick_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each candlestick signature is followed by a higher close, with its Wilson bounds."""
     nxt = F.lead("c").over(Window.partitionBy("symbol").orderBy("bucket"))
@@ -563,7 +570,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         candlestick_edge, tick_normalize_filter, reject_reasons, rounds_latest_upsert, insert_if_absent_users, counter_upsert, session_gap, session_summary, rounds_tumbling, ohlc_candles,
-        candlestick_signature, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
+        candlestick_signature, price_streaks, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
         return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
         apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
