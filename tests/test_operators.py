@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import TimeScale
 from tidemark.functions import windows
-from tidemark.operators import engines, interactions
+from tidemark.operators import engines, interactions, shell
 from tidemark.operators.evaluate import accuracy_label, model_scores, prediction_status
 from tidemark.operators.memory import point_in_time
 from tidemark.operators.shell import decided
@@ -98,6 +99,33 @@ def test_trajectory_forecasts_against_the_windows(spark):
         assert direction == ("UP" if sum(m[1] * m[3][-1] for m in models) > now else "DOWN")
 
 
+def test_curve_of_play_against_the_windows(spark):
+    rng = random.Random(3)
+    rows, us, price = [], 0, 100.0
+    while us < 300_000_000:
+        rows.append(("a", us, len(rows), price))
+        us += rng.choice([100_000, 500_000, 500_000, 1_000_000]) if not 120_000_000 < us < 180_000_000 else rng.choice([100_000, 4_000_000])
+        price += rng.gauss(0, 1)
+    ticks = spark.createDataFrame(rows, "symbol string, us bigint, event_id bigint, price double").repartition(3)
+    scale = TimeScale()
+    rounds = spark.createDataFrame([("a", k, k * 30_000_000, k * 30_000_000 + 15_000_000) for k in range(10)] + [("z", 0, 0, 1)], "symbol string, round_num int, start_us bigint, cutoff_us bigint")
+    got = {r["round_num"]: r for r in shell.curve_of_play(ticks, rounds, scale).collect()}
+    fallbacks = 0
+    for k in range(10):
+        seen = [(u / 1e6, p) for _, u, _, p in rows if u <= k * 30_000_000 + 15_000_000]
+        play = [x for x in seen if x[0] >= k * 30]
+        n_play = len(play)
+        if n_play < 8:
+            play, fallbacks = seen[-60:], fallbacks + 1
+        elif n_play > 60:
+            play = [play[int(i * (n_play / 60))] for i in range(60)]
+        core = windows.curve(*(np.array([x[j] for x in play]) for j in range(2)))
+        minute = [x for x in seen if x[0] >= seen[-1][0] - 60]
+        dwell = windows.curve_dwell(*(np.array([x[j] for x in minute]) for j in range(2)), core, (5.0, 15.0, 30.0, 60.0)) if len(seen) >= 40 else 0.0
+        assert (got[k]["n_play"], got[k]["signature"]) == (n_play, f"{core}_dw{sum(dwell >= e for e in scale.dwell)}")
+    assert fallbacks and len(got) == 10
+
+
 def test_holt_slope(spark):
     level, slope = 0.5, 0.6 - 0.5
     for x in (0.6, 0.55, 0.7, 0.65):

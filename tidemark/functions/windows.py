@@ -248,7 +248,7 @@ def best_fit(fits: Iterable[Fit]) -> Fit:
     return min(fits, key=lambda f: f[1])
 
 
-CURVE_POINTS = 60
+CURVE_POINTS, CURVE_LEAST = 60, 8
 FAMILIES = ("linear", "quadratic", "cubic", "quartic", "power", "exponential", "logarithmic")
 
 
@@ -282,16 +282,16 @@ def _crossings(points: np.ndarray) -> int:
     return int(((turn(a[i], a[j], b[j]) != turn(b[i], a[j], b[j])) & (turn(a[i], b[i], a[j]) != turn(a[i], b[i], b[j]))).sum())
 
 
-def curve(times: np.ndarray, prices: np.ndarray) -> str | None:
-    if len(prices) < 8:
-        return None
-    if len(prices) > CURVE_POINTS:
-        at = (np.arange(CURVE_POINTS) * (len(prices) / CURVE_POINTS)).astype(int)
-        times, prices = times[at], prices[at]
+def _graph(times: np.ndarray, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Times and prices around the middle of their ranges, on one scale."""
     x, y = times - times[0], prices - prices[0]
     x, y = x - (x.min() + x.max()) / 2, y - (y.min() + y.max()) / 2
     half = max(np.abs(x).max(), np.abs(y).max(), TINY)
-    x, y = x / half, y / half
+    return x / half, y / half
+
+
+def curve_shape(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Class of the path (loop, zigzag, wiggle, s, straight or curve) and the quadrant that holds most of its points."""
     points = np.stack([x, y], axis=1)
     d = np.diff(points, axis=0)
     size = np.sqrt((d**2).sum(axis=1))
@@ -310,7 +310,28 @@ def curve(times: np.ndarray, prices: np.ndarray) -> str | None:
     else:
         shape = 0 if tortuosity < 1.15 else 1
     quarter = np.where(y >= 0, np.where(x >= 0, 0, 1), np.where(x < 0, 2, 3))
-    return f"cg:f{int(np.argmin(_families(x, y)))}_s{shape}_q{int(np.bincount(quarter, minlength=4).argmax())}"
+    return shape, int(np.bincount(quarter, minlength=4).argmax())
+
+
+def curve(times: np.ndarray, prices: np.ndarray) -> str | None:
+    if len(prices) < CURVE_LEAST:
+        return None
+    if len(prices) > CURVE_POINTS:
+        at = (np.arange(CURVE_POINTS) * (len(prices) / CURVE_POINTS)).astype(int)
+        times, prices = times[at], prices[at]
+    x, y = _graph(times, prices)
+    shape, quarter = curve_shape(x, y)
+    return f"cg:f{int(np.argmin(_families(x, y)))}_s{shape}_q{quarter}"
+
+
+def curve_dwell(times: np.ndarray, prices: np.ndarray, core: str, backs: tuple[float, ...]) -> float:
+    """Seconds that the class and quadrant of ``core`` have held: the span of the shortest of the last ``backs`` seconds that differs, else the longest of them."""
+    own = tuple(int(part[1:]) for part in core.split("_")[1:3])
+    for back in backs:
+        part = times >= times[-1] - back
+        if part.sum() >= CURVE_LEAST and curve_shape(*_graph(times[part], prices[part])) != own:
+            return float(times[-1] - times[part][0])
+    return float(backs[-1])
 
 
 # ---- trajectory: twelve models, weighed by how well they forecast

@@ -203,7 +203,8 @@ NUMERIC: dict[str, tuple[int, int, Callable]] = {
 }
 
 
-def _arrays(window) -> tuple[np.ndarray, np.ndarray]:
+def arrays(window) -> tuple[np.ndarray, np.ndarray]:
+    """Times in seconds and prices of an array of ticks."""
     return np.array([x["us"] for x in window], float) / 1e6, np.array([x["price"] for x in window], float)
 
 
@@ -216,7 +217,7 @@ def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None
 
     def signature_of(window) -> str | None:
         try:
-            return function(*_arrays(window))
+            return function(*arrays(window))
         except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
             return None
 
@@ -240,7 +241,7 @@ def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: C
     def fitted(w: pd.Series) -> pd.DataFrame:
         def fit(x) -> tuple:
             try:
-                return windows.trajectory(*_arrays(x)) or (None,) * 4
+                return windows.trajectory(*arrays(x)) or (None,) * 4
             except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
                 return (None,) * 4
 
@@ -270,7 +271,7 @@ def trajectory_forecasts(ticks: DataFrame, scale: TimeScale, round_num: Column,
     def forecast(w: pd.Series) -> pd.DataFrame:
         def made(x) -> tuple:
             try:
-                found = windows.trajectory_models(*_arrays(x))
+                found = windows.trajectory_models(*arrays(x))
             except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
                 found = None
             return (None, None) if found is None else (found[2], [dict(zip(("model", "weight", "direction", "values"), m, strict=True)) for m in found[3]])

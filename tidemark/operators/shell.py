@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TimeScale, micros
+from tidemark.functions import windows
+from tidemark.functions.columns import ladder
 from tidemark.operators import engines
-from tidemark.operators.asof import price_asof
+from tidemark.operators.asof import price_asof, range_join
 from tidemark.operators.candles import candles, candlestick_signatures
 from tidemark.operators.flow import FlowWeights, flow
 from tidemark.operators.memory import point_in_time
@@ -55,7 +59,7 @@ def other_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     """The same of the numeric engines and of momentum; the numeric ones only at the last tick before a cutoff."""
     last = before_cutoff(scale)
     out = None
-    for name in NUMERIC:
+    for name in (n for n in NUMERIC if n != "curve_geometry"):  # that one looks at play periods
         rows = engines.numeric(ticks, scale, name, last).select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
         out = rows if out is None else out.unionByName(rows)
     closed = ((F.col("bucket") + 1) * micros(scale.candle)).alias("us")
@@ -70,6 +74,63 @@ def at_cutoffs(facts: DataFrame, rounds: DataFrame, names: Sequence[str]) -> Dat
     return price_asof(moments, facts, "at_us", forward=False, keys=("engine", "symbol")).withColumnRenamed("price", "signature")
 
 
+# Ticks that dwell needs, and the seconds that it looks back.
+CURVE_RECENT, CURVE_BACKS = 40, (5.0, 15.0, 30.0, 60.0)
+
+
+def play_points(rounds: DataFrame, ticks: DataFrame, scale: TimeScale, most: int = windows.CURVE_POINTS) -> DataFrame:
+    """symbol, round_num, n_play and points: the ticks (us, price) of the play period in order, ``most`` of them evenly by number if there are more.
+
+    Each tick is in one play period at most; which of them are taken is known from their number, before any array is made.
+    """
+    played = range_join(rounds.select("symbol", "round_num", "start_us", "cutoff_us"), ticks, scale.round_length * scale.play_share, end="cutoff_us")
+    whole = Window.partitionBy("symbol", "round_num")
+    rows = played.withColumn("_at", F.row_number().over(whole.orderBy("us", "event_id")) - 1).withColumn("n_play", F.count(F.lit(1)).over(whole))
+    taken = F.exists(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.col("n_play") / float(most))) == F.col("_at"))
+    rows = rows.where((F.col("n_play") <= most) | taken)
+    g = rows.groupBy("symbol", "round_num", "n_play").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "price"))).alias("_p"))
+    return g.select("symbol", "round_num", "n_play", F.transform("_p", lambda x: F.struct(x.us.alias("us"), x.price.alias("price"))).alias("points"))
+
+
+def curve_of_play(ticks: DataFrame, rounds: DataFrame, scale: TimeScale) -> DataFrame:
+    """symbol, round_num, at_us, n_play, core and signature of the path of each round's play period; of the latest ticks where the period has too few.
+
+    Dwell is looked for in the ticks of the last minute before the cutoff; it is 0 where the history holds fewer than ``CURVE_RECENT``.
+    """
+    factor = scale.history / TimeScale().history
+    backs, reach = tuple(b * factor for b in CURVE_BACKS), micros(CURVE_BACKS[-1] * factor)
+    rows = engines.blocked(ticks, scale)
+    order = Window.partitionBy("symbol", "block").orderBy("us", "event_id")
+    rows = rows.withColumn("next_us", F.lead("us").over(order)).withColumn("_wanted", before_cutoff(scale))
+    # only ticks that some wanted one looks back on: by number or by time
+    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    soon = F.max(F.col("_wanted").cast("int")).over(order.rowsBetween(0, windows.CURVE_POINTS)) == 1
+    rows = rows.withColumn("_near", soon | (F.min(F.when(F.col("_wanted"), F.col("us"))).over(ahead) - F.col("us") <= reach)).where("_near")
+    rows = engines.trailing(rows, windows.CURVE_POINTS, scale, "w")
+    minute = F.collect_list(F.struct("us", "event_id", "price")).over(Window.partitionBy("symbol", "block").orderBy("us").rangeBetween(-reach, 0))
+    rows = rows.withColumn("d", minute).where("own AND _wanted")
+    facts = rows.select("symbol", "us", "event_id", F.struct("w", F.sort_array("d").alias("d")).alias("price"))
+    moments = rounds.select("symbol", "round_num", F.col("cutoff_us").alias("at_us"))
+    rows = price_asof(moments, facts, "at_us", forward=False).join(play_points(rounds, ticks, scale), ["symbol", "round_num"], "left")
+    played = F.coalesce(F.col("n_play"), F.lit(0)) >= windows.CURVE_LEAST
+    rows = rows.select("symbol", "round_num", "at_us", F.coalesce("n_play", F.lit(0)).alias("n_play"), F.when(played, F.col("points")).otherwise(F.col("price.w")).alias("v"), F.col("price.d").alias("d"), (F.size("price.w") >= CURVE_RECENT).alias("enough"))
+
+    @F.pandas_udf("core string, dwell double")
+    def judged(v: pd.Series, d: pd.Series, enough: pd.Series) -> pd.DataFrame:
+        def one(path, minute, much) -> tuple[str | None, float]:
+            try:
+                core = windows.curve(*engines.arrays(path))
+                return core, windows.curve_dwell(*engines.arrays(minute), core, backs) if core and much else 0.0
+            except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
+                return None, 0.0
+
+        return pd.DataFrame([one(*x) for x in zip(v, d, enough, strict=True)], columns=["core", "dwell"])
+
+    rows = rows.where("v IS NOT NULL").repartition("symbol", "round_num").withColumn("f", judged("v", "d", "enough"))
+    signature = F.format_string("%s_dw%d", F.col("f.core"), ladder(F.col("f.dwell"), scale.dwell))
+    return rows.where("f.core IS NOT NULL").select("symbol", "round_num", "at_us", "n_play", "f.core", signature.alias("signature"))
+
+
 def moves(rounds: DataFrame, ticks: DataFrame, scale: TimeScale) -> DataFrame:
     """symbol, round_num, at_us, target_us, price_then, actual_price and result (UP, DOWN, FLAT) from the cutoff to the horizon."""
     then = price_asof(rounds.select("symbol", "round_num", F.col("cutoff_us").alias("at_us")), ticks, "at_us", forward=False).withColumnRenamed("price", "price_then")
@@ -120,7 +181,10 @@ def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, weights:
     last = before_cutoff(scale)
     moved = materialize(moves(rounds, ticks, scale), "moves")
     facts = materialize(column_facts(ticks, scale).unionByName(other_facts(ticks, scale)), "facts")
-    states = materialize(at_cutoffs(facts, rounds, [*COLUMNS, *NUMERIC, "momentum"]), "states")
+    states = at_cutoffs(facts, rounds, [*COLUMNS, *(n for n in NUMERIC if n != "curve_geometry"), "momentum"])
+    curves = rounds.select("symbol", "round_num", F.col("cutoff_us").alias("at_us"), F.lit("curve_geometry").alias("engine"))
+    curves = curves.join(curve_of_play(ticks, rounds, scale).select("symbol", "round_num", "signature"), ["symbol", "round_num"], "left")
+    states = materialize(states.unionByName(curves), "states")
     columns = ["symbol", "round_num", "engine", "direction", "signature"]
     length, play = micros(scale.round_length), micros(scale.round_length * scale.play_share)
     path = engines.trajectory(ticks, scale, F.floor(F.col("us") / length), F.pmod(F.col("us"), F.lit(length)) <= play)

@@ -458,4 +458,8 @@ ORACLE_SQL = {
     "price_streaks": f"""WITH {TICKS}, a AS (SELECT symbol, us, event_id, CASE WHEN price > lag(price) OVER {_W} THEN 'U' WHEN price < lag(price) OVER {_W} THEN 'D' ELSE 'F' END AS way FROM ticks),
         b AS (SELECT *, CASE WHEN way IS DISTINCT FROM lag(way) OVER {_W} THEN 1 ELSE 0 END AS new FROM a), c AS (SELECT *, sum(new) OVER {_W} AS run FROM b)
         SELECT symbol, us, event_id, way, row_number() OVER (PARTITION BY symbol, run ORDER BY us, event_id) AS run_length, us - min(us) OVER (PARTITION BY symbol, run) AS held_us FROM c""",
+    "play_samples": f"""WITH {ROUNDS}, j AS (SELECT r.symbol, r.round_num, t.us, t.event_id, t.price FROM rounds r JOIN ticks t ON t.symbol = r.symbol AND t.us BETWEEN start_us AND cutoff_us),
+        n AS (SELECT *, row_number() OVER w - 1 AS at_pos, count(*) OVER (PARTITION BY symbol, round_num) AS n_play FROM j WINDOW w AS (PARTITION BY symbol, round_num ORDER BY us, event_id)),
+        k AS (SELECT * FROM n WHERE n_play <= 12 OR list_contains([CAST(floor(i * (n_play / 12.0)) AS BIGINT) FOR i IN range(12)], at_pos))
+        SELECT symbol, round_num, n_play, CAST(row_number() OVER (PARTITION BY symbol, round_num ORDER BY us, event_id) - 1 AS INTEGER) AS pos, us, price FROM k""",
 }

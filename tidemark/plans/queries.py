@@ -407,6 +407,19 @@ def projectile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*MOMENT, "direction", F.round(F.col("expected")[0], 4).alias("expected_price"), F.col("actual")[0].alias("actual_price"), F.round("endpoint_error", 4).alias("endpoint_error"), "target_correct")
 
 
+def curve_of_play(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve engine's signature of every round's play period; rows only, as families of curves are fitted in numpy."""
+    t = ticks(spark, sf_dir)
+    return shell.curve_of_play(t, rounds(t), SPARSE)
+
+
+def play_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks of every play period that the curve engine looks at, 12 at most here."""
+    t = ticks(spark, sf_dir)
+    rows = shell.play_points(rounds(t), t, SPARSE, 12).select(*MOMENT, "n_play", F.posexplode("points").alias("pos", "x"))
+    return rows.select(*MOMENT, "n_play", "pos", "x.us", "x.price")
+
+
 #: Made-up weights of the flow engine, by the place of a feature; nobody publishes real ones.
 FLOW = FlowWeights(tuple((-1.0) ** k * (40 + 10 * k) for k in range(14)) + (0.5,), 0.05)
 
@@ -572,7 +585,7 @@ QUERIES = {
         candlestick_edge, tick_normalize_filter, reject_reasons, rounds_latest_upsert, insert_if_absent_users, counter_upsert, session_gap, session_summary, rounds_tumbling, ohlc_candles,
         candlestick_signature, price_streaks, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
-        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
+        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, curve_of_play, play_samples, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
         apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
