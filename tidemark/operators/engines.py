@@ -92,11 +92,11 @@ def _text(template: str, *parts: Column | str) -> Column:
 # ---- residues
 
 
-def crt(ticks: DataFrame, scale: TimeScale) -> DataFrame:
+def crt(ticks: DataFrame, scale: TimeScale, wanted: Column | None = None) -> DataFrame:
     """symbol, us, event_id, core, dwell_bin, signature: residues of the price modulo 7, 11 and 13."""
     value = F.pmod((F.col("price") * 100_000).cast("bigint"), F.lit(1001))
     core = F.concat(F.lit("crt:"), (value % 7).cast("string"), F.lit("-"), (value % 11).cast("string"), F.lit("-"), (value % 13).cast("string"))
-    rows = blocked(ticks, scale).withColumn("core", core).withColumn("dwell_bin", dwell("core", 15, scale))
+    rows = near(blocked(ticks, scale), wanted, 15).withColumn("core", core).withColumn("dwell_bin", dwell("core", 15, scale))
     return _done(rows.withColumn("signature", _text("%s_dw%d", "core", "dwell_bin")), "core", "dwell_bin", "signature")
 
 
@@ -209,25 +209,26 @@ def arrays(window) -> tuple[np.ndarray, np.ndarray]:
 
 
 def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None = None) -> DataFrame:
-    """symbol, us, event_id, core, signature of one of the engines in ``NUMERIC``; a window on which it fails gives null.
+    """symbol, us, event_id, core, signature of one of the engines in ``NUMERIC``; a window on which it fails gives null and the reason.
 
     ``wanted`` as in :func:`near`.
     """
     size, back, function = NUMERIC[name]
 
-    def signature_of(window) -> str | None:
+    def signature_of(window) -> tuple[str | None, str | None]:
         try:
-            return function(*arrays(window))
-        except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
-            return None
+            core = function(*arrays(window))
+            return core, None if core else "insufficient ticks"
+        except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError) as error:
+            return None, f"failed: {type(error).__name__}"
 
-    @F.pandas_udf("string")
-    def signature(w: pd.Series) -> pd.Series:
-        return pd.Series([signature_of(x) for x in w], dtype=object)
+    @F.pandas_udf("core string, reason string")
+    def signature(w: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([signature_of(x) for x in w], columns=["core", "reason"], dtype=object)
 
     rows = near(trailing(blocked(ticks, scale), size, scale), wanted, back)
-    rows = rows.withColumn("core", signature("w")).drop("w").withColumn("dwell_bin", dwell("core", back, scale))
-    return _done(rows.withColumn("signature", F.when(F.col("core").isNotNull(), _text("%s_dw%d", "core", "dwell_bin"))), "core", "signature")
+    rows = rows.withColumn("_f", signature("w")).drop("w").withColumn("core", F.col("_f.core")).withColumn("reason", F.col("_f.reason")).drop("_f").withColumn("dwell_bin", dwell("core", back, scale))
+    return _done(rows.withColumn("signature", F.when(F.col("core").isNotNull(), _text("%s_dw%d", "core", "dwell_bin"))), "core", "signature", "reason")
 
 
 def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: Column) -> DataFrame:

@@ -17,16 +17,12 @@ from tidemark.functions import windows
 from tidemark.functions.columns import ladder
 from tidemark.operators import engines
 from tidemark.operators.asof import price_asof, range_join
-from tidemark.operators.candles import candles, candlestick_signatures
-from tidemark.operators.flow import FlowWeights, flow
+from tidemark.operators.candles import candlestick_signatures
 from tidemark.operators.memory import point_in_time
 from tidemark.operators.projectile import projectile
-from tidemark.scratch import materialize
 
-#: Engines whose signatures are columns, numeric ones, and those that say a direction of their own.
+#: Engines whose signatures are columns of the last ticks or candles.
 COLUMNS = ("crt", "labouchere", "entropy_regime", "candlestick")
-NUMERIC = tuple(engines.NUMERIC)
-OWN_DIRECTION = ("trajectory", "projectile")
 #: The order in which engines are asked for a direction.
 ORDER = (
     "crt", "labouchere", "trig_euler", "entropy_regime", "superformula", "navier_stokes", "candlestick", "momentum", "trail_tracer", "curve_geometry",
@@ -45,7 +41,7 @@ def before_cutoff(scale: TimeScale) -> Column:
 def column_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     """engine, symbol, us, event_id and price (a signature) of the engines in ``COLUMNS``, at the last tick before each cutoff or whenever a candle closes."""
     last = before_cutoff(scale)
-    made = {"crt": engines.crt(ticks, scale), "labouchere": engines.labouchere(ticks, scale, last), "entropy_regime": engines.entropy_regime(ticks, scale, last)}
+    made = {"crt": engines.crt(ticks, scale, last), "labouchere": engines.labouchere(ticks, scale, last), "entropy_regime": engines.entropy_regime(ticks, scale, last)}
     out = None
     for name, found in made.items():
         rows = found.select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
@@ -55,18 +51,6 @@ def column_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
     return out.unionByName(rows)
 
 
-def other_facts(ticks: DataFrame, scale: TimeScale) -> DataFrame:
-    """The same of the numeric engines and of momentum; the numeric ones only at the last tick before a cutoff."""
-    last = before_cutoff(scale)
-    out = None
-    for name in (n for n in NUMERIC if n != "curve_geometry"):  # that one looks at play periods
-        rows = engines.numeric(ticks, scale, name, last).select(F.lit(name).alias("engine"), "symbol", "us", "event_id", F.col("signature").alias("price"))
-        out = rows if out is None else out.unionByName(rows)
-    closed = ((F.col("bucket") + 1) * micros(scale.candle)).alias("us")
-    rows = engines.momentum(candles(ticks, scale.candle), scale)
-    return out.unionByName(rows.select(F.lit("momentum").alias("engine"), "symbol", closed, F.col("bucket").alias("event_id"), F.col("signature").alias("price")))
-
-
 def at_cutoffs(facts: DataFrame, rounds: DataFrame, names: Sequence[str]) -> DataFrame:
     """symbol, round_num, at_us, engine, signature: each engine's newest signature at each round's cutoff, null if it has none."""
     asked = F.explode(F.array(*map(F.lit, names))).alias("engine")
@@ -174,25 +158,3 @@ def thrown(rounds: DataFrame, ticks: DataFrame, scale: TimeScale) -> DataFrame:
     """The projectile engine's own words at every cutoff, as :func:`with_own_direction` takes them."""
     rows = projectile(rounds, ticks, scale)
     return rows.select("symbol", "round_num", F.lit("projectile").alias("engine"), "signature", F.col("direction").alias("own_direction"), F.col("consistency").alias("strength"))
-
-
-def all_outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, weights: FlowWeights | None = None) -> DataFrame:
-    """symbol, round_num, engine, direction, signature of every engine at every round's cutoff; the flow engine speaks only with ``weights``."""
-    last = before_cutoff(scale)
-    moved = materialize(moves(rounds, ticks, scale), "moves")
-    facts = materialize(column_facts(ticks, scale).unionByName(other_facts(ticks, scale)), "facts")
-    states = at_cutoffs(facts, rounds, [*COLUMNS, *(n for n in NUMERIC if n != "curve_geometry"), "momentum"])
-    curves = rounds.select("symbol", "round_num", F.col("cutoff_us").alias("at_us"), F.lit("curve_geometry").alias("engine"))
-    curves = curves.join(curve_of_play(ticks, rounds, scale).select("symbol", "round_num", "signature"), ["symbol", "round_num"], "left")
-    states = materialize(states.unionByName(curves), "states")
-    columns = ["symbol", "round_num", "engine", "direction", "signature"]
-    length, play = micros(scale.round_length), micros(scale.round_length * scale.play_share)
-    path = engines.trajectory(ticks, scale, F.floor(F.col("us") / length), F.pmod(F.col("us"), F.lit(length)) <= play)
-    path = path.select("symbol", "round_num", F.lit("trajectory").alias("engine"), "signature", F.col("ensemble_direction").alias("own_direction"), "strength")
-    own = materialize(path.unionByName(thrown(rounds, ticks, scale)), "own")
-    out = directed(states, moved).select(columns).unionByName(with_own_direction(own, moved).select(columns))
-    if weights is None:
-        return out
-    said = flow(ticks, scale, weights, last).select(F.lit("ns_flow").alias("engine"), "symbol", "us", "event_id", F.struct("direction", "signature").alias("price"))
-    said = at_cutoffs(said, rounds, ["ns_flow"]).select("symbol", "round_num", "engine", F.coalesce("signature.direction", F.lit("NO_SIGNAL")).alias("direction"), "signature.signature")
-    return out.unionByName(said)

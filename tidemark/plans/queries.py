@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SPARSE, micros
 from tidemark.functions.columns import beta_shrunk, move, ratio, wilson
-from tidemark.operators import engines, interactions, shell
+from tidemark.operators import engines, interactions, registry, shell
 from tidemark.operators.asof import next_ticks, price_asof, range_join, within
 from tidemark.operators.angles import trig_states
 from tidemark.operators.baselines import baselines
@@ -373,7 +373,7 @@ def projectile_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numeric(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engines.numeric(ticks(spark, sf_dir), SPARSE, name)
+        return engines.numeric(ticks(spark, sf_dir), SPARSE, name).drop("reason")
 
     return query
 
@@ -523,7 +523,14 @@ def interaction_sway(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed rules' vote at every round's cutoff over all engines; rows only, as some engines are numeric."""
     t = ticks(spark, sf_dir)
-    return seed_votes(shell.all_outputs(t, rounds(t), SPARSE, FLOW), MOMENT)
+    return seed_votes(registry.outputs(t, rounds(t), SPARSE, registry.registered(FLOW).values()), MOMENT)
+
+
+def engine_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every registered engine says at every cutoff, from which source, and why it is silent; rows only, as some engines are numeric."""
+    t = ticks(spark, sf_dir)
+    rows = registry.outputs(t, rounds(t), SPARSE, registry.registered(FLOW).values())
+    return rows.withColumn("confidence", F.round("confidence", 6))
 
 
 def state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,6 +593,6 @@ QUERIES = {
         candlestick_signature, price_streaks, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
         rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
         return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, curve_of_play, play_samples, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
-        apriori_rules, interaction_sway, seed_vote, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
+        apriori_rules, interaction_sway, seed_vote, engine_outputs, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}
