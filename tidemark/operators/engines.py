@@ -231,38 +231,44 @@ def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None
     return _done(rows.withColumn("signature", F.when(F.col("core").isNotNull(), _text("%s_dw%d", "core", "dwell_bin"))), "core", "signature", "reason")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` over as many tasks as the session shuffles to, few and small as they may be: a row that is fitted costs far more than its bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: Column) -> DataFrame:
     """symbol, round_num, us, core, signature, ensemble_direction, strength and best model as of the last tick in play of each round.
 
-    The time since the signature last differed is looked for over the ten windows before, which are fitted as
-    well; it is 0 where none of them differs.
+    The time since the signature last differed is looked for over the ten windows before, the latest first and only
+    until one differs; it is 0 where none of them does.
     """
+    back, size = 10, windows.TRAJECTORY_WINDOW
 
-    @F.pandas_udf("core string, ensemble_direction string, strength double, model string")
+    @F.pandas_udf("core string, ensemble_direction string, strength double, model string, since_us long")
     def fitted(w: pd.Series) -> pd.DataFrame:
-        def fit(x) -> tuple:
+        def fit(times: np.ndarray, prices: np.ndarray) -> tuple:
             try:
-                return windows.trajectory(*arrays(x)) or (None,) * 4
+                return windows.trajectory(times, prices) or (None,) * 4
             except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
                 return (None,) * 4
 
-        rows = [fit(x) for x in w]
-        return pd.DataFrame(rows, columns=["core", "ensemble_direction", "strength", "model"])
+        def judged(x) -> tuple:
+            times, prices = arrays(x)
+            n = len(prices)
+            own = fit(times[-size:], prices[-size:])
+            for ago in range(1, min(back, n - 1) + 1) if own[0] else ():
+                part = slice(max(0, n - ago - size), n - ago)
+                if fit(times[part], prices[part])[0] != own[0]:
+                    return *own, x[n - 1]["us"] - x[n - ago - 1]["us"]
+            return *own, 0
+
+        return pd.DataFrame([judged(x) for x in w], columns=["core", "ensemble_direction", "strength", "model", "since_us"])
 
-    back = 10
-    size = windows.TRAJECTORY_WINDOW
     rows = trailing(blocked(ticks.withColumn("round_num", round_num).withColumn("in_play", in_play), scale), size + back, scale)
     rows = rows.where("own AND in_play").groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
-    # the window itself and those that end up to ten ticks before
-    n = F.size("w")
-    window = F.when(n > F.col("ago"), F.slice("w", F.greatest(n - F.col("ago") - size + 1, F.lit(1)), F.least(n - F.col("ago"), F.lit(size))))
-    rows = rows.withColumn("ago", F.explode(F.sequence(F.lit(0), F.lit(back)))).withColumn("v", window).where("v IS NOT NULL")
-    rows = rows.select("symbol", "round_num", "us", "ago", F.element_at("v", -1).us.alias("then_us"), "v").repartition("symbol", "round_num", "ago")
-    rows = rows.withColumn("f", fitted("v")).drop("v")
-    g = rows.groupBy("symbol", "round_num", "us").agg(F.min_by("f", "ago").alias("f"), F.collect_list(F.struct("then_us", F.col("f.core").alias("core"))).alias("past"))
-    other = F.filter("past", lambda x: ~x.core.eqNullSafe(F.col("f.core")))
-    since = F.when(F.size(other) > 0, (F.col("us") - F.array_max(F.transform(other, lambda x: x.then_us))) / 1e6).otherwise(F.lit(0.0))
-    return g.where("f.core IS NOT NULL").select("symbol", "round_num", "us", "f.*", _text("%s_dw%d", F.col("f.core"), ladder(since, scale.dwell)).alias("signature"))
+    rows = spread(rows, "symbol", "round_num").withColumn("f", fitted("w")).drop("w").where("f.core IS NOT NULL")
+    signature = _text("%s_dw%d", F.col("f.core"), ladder(F.col("f.since_us") / 1e6, scale.dwell))
+    return rows.select("symbol", "round_num", "us", "f.core", "f.ensemble_direction", "f.strength", "f.model", signature.alias("signature"))
 
 
 def trajectory_forecasts(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: Column) -> DataFrame:
@@ -287,7 +293,7 @@ def trajectory_forecasts(ticks: DataFrame, scale: TimeScale, round_num: Column,
     # windows are made only of the ticks before such a one, and the last of a round is chosen before any window is fitted
     rows = trailing(near(rows, F.col("_last"), size), size, scale).where("own AND wanted")
     rows = rows.groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
-    rows = rows.repartition("symbol", "round_num").withColumn("f", forecast("w"))
+    rows = spread(rows, "symbol", "round_num").withColumn("f", forecast("w"))
     return rows.where("f.models IS NOT NULL").select("symbol", "round_num", "us", "f.price_now", "f.models")
 
 

@@ -44,8 +44,9 @@ def at_ticks(make: Callable[[DataFrame, TimeScale, Column], DataFrame]) -> Calla
         made = make(ticks, scale, shell.before_cutoff(scale))
         reason = F.col("reason") if "reason" in made.columns else F.lit(None).cast("string")
         own = [F.col(c) if c in made.columns else F.lit(None).cast(t).alias(c) for c, t in (("own_direction", "string"), ("strength", "double"))]
-        made = made.withColumn("_why", reason).where("signature IS NOT NULL OR _why IS NOT NULL")
-        facts = made.select(F.lit("").alias("engine"), "symbol", "us", "event_id", F.struct("signature", *own, F.col("_why").alias("reason")).alias("price"))
+        # written before anything is asked of them: a filter would be pushed below the columns that it names, and make them again
+        made = materialize(made.select("symbol", "us", "event_id", "signature", *own, reason.alias("reason")), "facts").where("signature IS NOT NULL OR reason IS NOT NULL")
+        facts = made.select(F.lit("").alias("engine"), "symbol", "us", "event_id", F.struct("signature", "own_direction", "strength", "reason").alias("price"))
         found = shell.at_cutoffs(facts, rounds, [""])
         return found.select("symbol", "round_num", "signature.*")
 
