@@ -227,10 +227,15 @@ def numeric(ticks: DataFrame, scale: TimeScale, name: str, wanted: Column | None
         return pd.DataFrame([signature_of(x) for x in w], columns=["core", "reason"], dtype=object)
 
     rows = near(trailing(blocked(ticks, scale), size, scale), wanted, back)
-    rows = rows.withColumn("_f", signature("w")).drop("w").withColumn("core", F.col("_f.core")).withColumn("reason", F.col("_f.reason")).drop("_f").withColumn("dwell_bin", dwell("core", back, scale))
+    rows = rows.withColumn("_f", once(signature)("w")).drop("w").withColumn("core", F.col("_f.core")).withColumn("reason", F.col("_f.reason")).drop("_f").withColumn("dwell_bin", dwell("core", back, scale))
     return _done(rows.withColumn("signature", F.when(F.col("core").isNotNull(), _text("%s_dw%d", "core", "dwell_bin"))), "core", "signature", "reason")
 
 
+def once(function):
+    """The function as one that is called once a row: neither a filter on its result nor a second use of it calls it again."""
+    return function.asNondeterministic()
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` over as many tasks as the session shuffles to, few and small as they may be: a row that is fitted costs far more than its bytes tell."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -266,7 +271,7 @@ def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: C
 
     rows = trailing(blocked(ticks.withColumn("round_num", round_num).withColumn("in_play", in_play), scale), size + back, scale)
     rows = rows.where("own AND in_play").groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
-    rows = spread(rows, "symbol", "round_num").withColumn("f", fitted("w")).drop("w").where("f.core IS NOT NULL")
+    rows = spread(rows, "symbol", "round_num").withColumn("f", once(fitted)("w")).drop("w").where("f.core IS NOT NULL")
     signature = _text("%s_dw%d", F.col("f.core"), ladder(F.col("f.since_us") / 1e6, scale.dwell))
     return rows.select("symbol", "round_num", "us", "f.core", "f.ensemble_direction", "f.strength", "f.model", signature.alias("signature"))
 
@@ -293,7 +298,7 @@ def trajectory_forecasts(ticks: DataFrame, scale: TimeScale, round_num: Column,
     # windows are made only of the ticks before such a one, and the last of a round is chosen before any window is fitted
     rows = trailing(near(rows, F.col("_last"), size), size, scale).where("own AND wanted")
     rows = rows.groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
-    rows = spread(rows, "symbol", "round_num").withColumn("f", forecast("w"))
+    rows = spread(rows, "symbol", "round_num").withColumn("f", once(forecast)("w"))
     return rows.where("f.models IS NOT NULL").select("symbol", "round_num", "us", "f.price_now", "f.models")
 
 
