@@ -236,9 +236,12 @@ def once(function):
     return function.asNondeterministic()
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` over as many tasks as the session shuffles to, few and small as they may be: a row that is fitted costs far more than its bytes tell."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as the session shuffles to, few and small as they may be: a row that is fitted costs far more than its bytes tell.
+
+    Not by a key: rows that are dealt by it already would stay together in the few tasks that their bytes ask for.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: Column) -> DataFrame:
@@ -271,7 +274,7 @@ def trajectory(ticks: DataFrame, scale: TimeScale, round_num: Column, in_play: C
 
     rows = trailing(blocked(ticks.withColumn("round_num", round_num).withColumn("in_play", in_play), scale), size + back, scale)
     rows = rows.where("own AND in_play").groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
-    rows = spread(rows, "symbol", "round_num").withColumn("f", once(fitted)("w")).drop("w").where("f.core IS NOT NULL")
+    rows = spread(rows).withColumn("f", once(fitted)("w")).drop("w").where("f.core IS NOT NULL")
     signature = _text("%s_dw%d", F.col("f.core"), ladder(F.col("f.since_us") / 1e6, scale.dwell))
     return rows.select("symbol", "round_num", "us", "f.core", "f.ensemble_direction", "f.strength", "f.model", signature.alias("signature"))
 
@@ -298,7 +301,7 @@ def trajectory_forecasts(ticks: DataFrame, scale: TimeScale, round_num: Column,
     # windows are made only of the ticks before such a one, and the last of a round is chosen before any window is fitted
     rows = trailing(near(rows, F.col("_last"), size), size, scale).where("own AND wanted")
     rows = rows.groupBy("symbol", "round_num").agg(F.max_by(F.struct("us", "w"), F.struct("us", "event_id")).alias("x")).select("symbol", "round_num", "x.*")
-    rows = spread(rows, "symbol", "round_num").withColumn("f", once(forecast)("w"))
+    rows = spread(rows).withColumn("f", once(forecast)("w"))
     return rows.where("f.models IS NOT NULL").select("symbol", "round_num", "us", "f.price_now", "f.models")
 
 

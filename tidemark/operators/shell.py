@@ -110,7 +110,7 @@ def curve_of_play(ticks: DataFrame, rounds: DataFrame, scale: TimeScale) -> Data
 
         return pd.DataFrame([one(*x) for x in zip(v, d, enough, strict=True)], columns=["core", "dwell"])
 
-    rows = engines.spread(rows.where("v IS NOT NULL"), "symbol", "round_num").withColumn("f", engines.once(judged)("v", "d", "enough"))
+    rows = engines.spread(rows.where("v IS NOT NULL")).withColumn("f", engines.once(judged)("v", "d", "enough"))
     signature = F.format_string("%s_dw%d", F.col("f.core"), ladder(F.col("f.dwell"), scale.dwell))
     return rows.where("f.core IS NOT NULL").select("symbol", "round_num", "at_us", "n_play", "f.core", signature.alias("signature"))
 
