@@ -64,3 +64,43 @@ def test_batches_are_merged_latest_first(spark, tmp_path):
         write(spark.createDataFrame([("x", 2, "b"), ("z", 5, "b"), ("y", 1, "same time, later batch")], schema), 7)
     got = sorted(tuple(r) for r in ingest.upserted(spark, target, schema, ["k"], ["v"]).select("k", "v", "w").collect())
     assert got == [("x", 2, "b"), ("y", 1, "same time, later batch"), ("z", 5, "b")]
+
+
+def test_compaction_keeps_every_newest_row(spark, tmp_path):
+    """A plain dictionary against batches and bases: ties, a replay behind a base, an unfinished base, what is deleted when."""
+    target, schema = str(tmp_path / "t"), "k string, v int, w string"
+    write, held = ingest.upsert_batches(target, ["k"], ["v"], 4), {}
+
+    def add(number, rows):
+        write(spark.createDataFrame(rows, schema), number)
+        for k, v, w in rows:
+            if k not in held or v >= held[k][0]:
+                held[k] = (v, w)
+
+    def same():
+        got = {r["k"]: (r["v"], r["w"]) for r in ingest.upserted(spark, target, schema, ["k"], ["v"]).collect()}
+        assert got == held
+
+    def merge():
+        return ingest.compact(spark, target, schema, ["k"], ["v"], 4)
+
+    first = [(f"k{i}", i % 3, "a") for i in range(20)]
+    add(0, first)
+    add(3, [(f"k{i}", 1, "b") for i in range(10)])
+    same()
+    assert merge() == 3
+    same()
+    assert merge() is None
+    write(spark.createDataFrame(first, schema), 0)  # a replay
+    same()
+    add(4, [("k1", 1, "a tie after the base"), ("k2", 0, "too old"), ("new", 1, "c")])
+    same()
+    (tmp_path / "t" / "_base" / "upto=9").mkdir()  # a base that was never completed
+    same()
+    assert merge() == 4
+    same()
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"batch=4", "_base"}
+    add(5, [("k7", 9, "d")])
+    assert merge() == 5
+    same()
+    assert {p.name for p in (tmp_path / "t" / "_base").iterdir()} == {"upto=4", "upto=5", "upto=9"}

@@ -9,6 +9,7 @@ other engines untouched.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -23,6 +24,8 @@ from tidemark.operators.memory import point_in_time
 from tidemark.scratch import materialize
 
 MEMORY, BESIDE, OWN = "memory", "beside", "own"
+#: Engines whose jobs are handed to Spark at a time; they share nothing, and one's few last tasks leave room for another's.
+AT_ONCE = 6
 
 
 @dataclass(frozen=True)
@@ -117,10 +120,13 @@ def said(engine: Engine, ticks: DataFrame, rounds: DataFrame, scale: TimeScale)
 
 def outputs(ticks: DataFrame, rounds: DataFrame, scale: TimeScale, chosen: Iterable[Engine], moved: DataFrame | None = None) -> DataFrame:
     """symbol, round_num, engine, direction, confidence, signature, decision_source and reason of every chosen engine at every round's cutoff."""
+    chosen = list(chosen)
     moved = materialize(shell.moves(rounds, ticks, scale), "moves") if moved is None else moved
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        made = list(pool.map(lambda engine: said(engine, ticks, rounds, scale), chosen))
     rows = None
-    for engine in chosen:
-        own = said(engine, ticks, rounds, scale).select(F.lit(engine.name).alias("engine"), F.lit(engine.decides).alias("decides"), "*")
+    for engine, own in zip(chosen, made, strict=True):
+        own = own.select(F.lit(engine.name).alias("engine"), F.lit(engine.decides).alias("decides"), "*")
         rows = own if rows is None else rows.unionByName(own)
     known = rows.where("signature IS NOT NULL AND decides <> 'own'").join(moved.select("symbol", "round_num", "at_us", "target_us", "result"), ["symbol", "round_num"])
     seen = known.select("engine", "signature", F.col("at_us").alias("us"), F.struct("symbol", "round_num").alias("event_id"), F.col("target_us").alias("label_us"), "result")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import fold
+from tidemark.functions.columns import fold, ratio
+from tidemark.operators.memory import latest_rates, point_in_time
 from tidemark.operators.ordered import RANKS, rejoined, running
 from tidemark.operators.recurrences import holt, restarted, scanned
 from tidemark.scratch import materialize
@@ -149,3 +150,50 @@ def pick_direction(says: DataFrame, keys: Sequence[str], priority: Sequence[str]
     order = F.array_position(F.array(*map(F.lit, priority)), F.col("engine"))
     silent = ~F.col("direction").isin("UP", "DOWN")
     return says.where(order > 0).groupBy(*keys).agg(F.min_by(F.struct("engine", "direction"), F.struct(silent, order)).alias("x")).select(*keys, "x.*")
+
+
+#: The recent rate of rises from which, and up to which, a combination's own record says a direction.
+RISES, FALLS = 0.55, 0.45
+
+
+def combination_outcomes(outputs: DataFrame, moved: DataFrame) -> DataFrame:
+    """combination, symbol, round_num, at_us, target_us and result of every round of outputs (symbol, round_num, engine, direction).
+
+    Engines that are silent are part of a combination. moved: symbol, round_num, at_us, target_us, result.
+    """
+    return combinations(outputs, ["symbol", "round_num"]).join(moved.select("symbol", "round_num", "at_us", "target_us", "result"), ["symbol", "round_num"])
+
+
+def combination_record(recorded: DataFrame) -> DataFrame:
+    """Counters of every combination in rows of :func:`combination_outcomes`: occurrences, correct (rises), incorrect, accuracy, recent_accuracy and combined_output.
+
+    Only rises and falls are counted; the recent rate is that of the latest outcomes, by the time they came.
+    """
+    g = latest_rates(recorded, ["combination"], order=["target_us", "symbol", "round_num"])
+    said = F.when(F.col("recent_rate") >= RISES, "UP").when(F.col("recent_rate") <= FALLS, "DOWN").otherwise("NO_SIGNAL")
+    return g.select(
+        "combination", "occurrences", F.col("ups").alias("correct"), (F.col("occurrences") - F.col("ups")).alias("incorrect"),
+        ratio(F.col("ups"), F.col("occurrences")).alias("accuracy"), F.col("recent_rate").alias("recent_accuracy"), said.alias("combined_output"),
+    )
+
+
+def decisions(outputs: DataFrame, moved: DataFrame, priority: Sequence[str]) -> DataFrame:
+    """The prediction of every round: symbol, round_num, combination, engine, direction and confidence, from what was known at its moment.
+
+    outputs: symbol, round_num, engine, direction, confidence. What has followed the round's combination decides, if it has been
+    seen often enough and an engine speaks at all; else the first engine in ``priority`` that speaks; else NO_SIGNAL of the first one.
+    """
+    keys = ["symbol", "round_num"]
+    combined = combination_outcomes(outputs, moved)
+    seen = combined.select("combination", F.col("at_us").alias("us"), F.struct(*keys).alias("event_id"), F.col("target_us").alias("label_us"), "result")
+    known = point_in_time(seen).select("combination", "event_id.*", F.col("direction").alias("recalled"), F.col("confidence").alias("sure"))
+    order = F.array_position(F.array(*map(F.lit, priority)), F.col("engine"))
+    silent = ~F.coalesce(F.col("direction").isin("UP", "DOWN"), F.lit(False))
+    first = outputs.where(order > 0).groupBy(*keys).agg(F.min_by(F.struct("engine", "direction", "confidence"), F.struct(silent, order)).alias("x")).select(*keys, "x.*")
+    speaks = F.coalesce(F.col("direction").isin("UP", "DOWN"), F.lit(False))
+    recalled = speaks & F.coalesce(F.col("recalled").isin("UP", "DOWN"), F.lit(False))
+    return first.join(known, keys, "left").select(
+        *keys, "combination", F.when(recalled, "combination").otherwise(F.col("engine")).alias("engine"),
+        F.when(recalled, F.col("recalled")).when(speaks, F.col("direction")).otherwise("NO_SIGNAL").alias("direction"),
+        F.when(recalled, F.col("sure")).when(speaks, F.col("confidence")).alias("confidence"),
+    )

@@ -196,6 +196,10 @@ OUTCOMES = f"""{DIRECTED},
     judged AS (SELECT spoken.*, at_us, target_us, price_then, actual_price, actual_price - price_then AS moved, result AS actual_direction FROM spoken JOIN moved USING (symbol, round_num)),
     outcomes AS (SELECT *, CASE WHEN direction IN ('UP', 'DOWN') AND actual_direction IS NOT NULL THEN direction = actual_direction END AS correct FROM judged)"""
 
+# every round's combination of what the column engines say
+COMBINED = """combined AS (SELECT symbol, round_num, moved.at_us, moved.target_us, result, string_agg(engine || ':' || direction, '|' ORDER BY engine || ':' || direction) AS combination
+              FROM directed JOIN moved USING (symbol, round_num) GROUP BY ALL)"""
+
 # a walk over each window's candles, one a step, that carries the averages; the last 13 steps give the cores that dwell looks at
 MOMENTUM = f"""{CANDLES},
     k0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS rn, c - lag(c) OVER (PARTITION BY symbol ORDER BY bucket) AS d, (h + l + c) / 3 AS typ FROM candles),
@@ -462,4 +466,26 @@ ORACLE_SQL = {
         n AS (SELECT *, row_number() OVER w - 1 AS at_pos, count(*) OVER (PARTITION BY symbol, round_num) AS n_play FROM j WINDOW w AS (PARTITION BY symbol, round_num ORDER BY us, event_id)),
         k AS (SELECT * FROM n WHERE n_play <= 12 OR list_contains([CAST(floor(i * (n_play / 12.0)) AS BIGINT) FOR i IN range(12)], at_pos))
         SELECT symbol, round_num, n_play, CAST(row_number() OVER (PARTITION BY symbol, round_num ORDER BY us, event_id) - 1 AS INTEGER) AS pos, us, price FROM k""",
+    "combination_report": f"""WITH {DIRECTED}, {COMBINED},
+        r AS (SELECT *, row_number() OVER (PARTITION BY combination ORDER BY target_us DESC, symbol DESC, round_num DESC) AS k FROM combined WHERE result IN ('UP', 'DOWN')),
+        g AS (SELECT combination, count(*) AS occurrences, count(*) FILTER (result = 'UP') AS correct, count(*) FILTER (result = 'DOWN') AS incorrect, CAST(count(*) FILTER (k <= 50 AND result = 'UP') AS DOUBLE) / count(*) FILTER (k <= 50) AS recent FROM r GROUP BY combination)
+        SELECT combination, occurrences, correct, incorrect, round(CAST(correct AS DOUBLE) / occurrences, 9) AS accuracy, round(recent, 9) AS recent_accuracy,
+               CASE WHEN recent >= CAST(0.55 AS DOUBLE) THEN 'UP' WHEN recent <= CAST(0.45 AS DOUBLE) THEN 'DOWN' ELSE 'NO_SIGNAL' END AS combined_output FROM g""",
+    "column_decisions": f"""WITH {DIRECTED}, {COMBINED},
+        h AS (SELECT a.symbol, a.round_num, b.result, row_number() OVER (PARTITION BY a.symbol, a.round_num ORDER BY b.target_us DESC, b.symbol DESC, b.round_num DESC) AS k
+              FROM combined a JOIN combined b ON b.combination = a.combination AND b.target_us <= a.at_us AND b.result IN ('UP', 'DOWN')),
+        n AS (SELECT symbol, round_num, count(*) FILTER (k <= 50) AS n_seen, count(*) FILTER (k <= 50 AND result = 'UP') AS up_seen FROM h GROUP BY ALL),
+        v AS (SELECT symbol, round_num, {verdict("up_seen", "n_seen")} FROM n),
+        o AS (SELECT *, direction IN ('UP', 'DOWN') AS speaks, list_position(['crt', 'labouchere', 'entropy_regime', 'candlestick'], engine) AS k FROM directed),
+        f AS (SELECT *, row_number() OVER (PARTITION BY symbol, round_num ORDER BY speaks DESC, k) AS first FROM o),
+        d AS (SELECT f.symbol, f.round_num, c.combination, f.engine, f.direction, f.confidence, f.speaks AND coalesce(v.direction, 'NO_SIGNAL') <> 'NO_SIGNAL' AS recalled, v.direction AS v_direction, v.confidence AS v_confidence
+              FROM f JOIN combined c USING (symbol, round_num) LEFT JOIN v ON v.symbol = f.symbol AND v.round_num = f.round_num WHERE first = 1)
+        SELECT symbol, round_num, combination, CASE WHEN recalled THEN 'combination' ELSE engine END AS engine, CASE WHEN recalled THEN v_direction ELSE direction END AS direction,
+               CASE WHEN recalled THEN v_confidence ELSE confidence END AS confidence FROM d""",
+    "play_moments": f"""WITH {ROUNDS}, j AS (SELECT r.symbol, r.round_num, t.us, t.event_id, t.price - 1000000 AS y FROM rounds r JOIN ticks t ON t.symbol = r.symbol AND t.us BETWEEN start_us AND cutoff_us),
+        n AS (SELECT *, row_number() OVER w - 1 AS at_pos, count(*) OVER (PARTITION BY symbol, round_num) AS n_play FROM j WINDOW w AS (PARTITION BY symbol, round_num ORDER BY us, event_id)),
+        k AS (SELECT *, y - avg(y) OVER (PARTITION BY symbol, round_num) AS v FROM n WHERE n_play <= 60 OR list_contains([CAST(floor(i * (n_play / 60.0)) AS BIGINT) FOR i IN range(60)], at_pos)),
+        p AS (SELECT *, v * lag(v) OVER (PARTITION BY symbol, round_num ORDER BY us, event_id) AS pair FROM k WHERE n_play >= 2),
+        g AS (SELECT symbol, round_num, count(*) AS n, sum(v * v) AS squares, sum(pair) AS pairs FROM p GROUP BY symbol, round_num)
+        SELECT symbol, round_num, n, round(sqrt(squares / n), 6) AS deviation, round(CASE WHEN squares > 1e-12 THEN pairs / squares ELSE 0 END, 6) + 0.0 AS autocorrelation FROM g""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SPARSE, micros
-from tidemark.functions.columns import beta_shrunk, move, ratio, wilson
+from tidemark.functions.columns import beta_shrunk, move, ratio, total, wilson
 from tidemark.operators import engines, interactions, registry, shell
 from tidemark.operators.asof import next_ticks, price_asof, range_join, within
 from tidemark.operators.angles import trig_states
@@ -20,7 +20,7 @@ from tidemark.operators.projectile import projectile
 from tidemark.operators.seeds import seed_votes
 from tidemark.operators.sessions import rounds_in_sessions, session_stats, with_sessions
 from tidemark.operators.upserts import add_counts, insert_if_absent, latest_wins
-from tidemark.operators.voting import combinations, engine_weights, pick_direction, rolling_accuracy, weighted_vote
+from tidemark.operators.voting import combination_outcomes, combination_record, combinations, decisions, engine_weights, pick_direction, rolling_accuracy, weighted_vote
 from tidemark.scratch import materialize
 from tidemark.sources import feed
 from tidemark.sources.tables import events, rounds, table, ticks
@@ -324,6 +324,28 @@ def combination_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("combination", "occurrences", "ups", "n_recent", "up_recent", F.round("recent_rate", 9).alias("recent_rate"), "direction", F.round("confidence", 9).alias("confidence"))
 
 
+def combination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of each combination of what the column engines say, silence included."""
+    t = ticks(spark, sf_dir)
+    rows = combination_record(combination_outcomes(_directed(spark, sf_dir), shell.moves(rounds(t), t, SPARSE)))
+    return rows.withColumn("accuracy", F.round("accuracy", 9)).withColumn("recent_accuracy", F.round("recent_accuracy", 9))
+
+
+def column_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction of every round from the column engines: by their combination, else by the first one that speaks."""
+    t = ticks(spark, sf_dir)
+    rows = decisions(_directed(spark, sf_dir), materialize(shell.moves(rounds(t), t, SPARSE), "moves"), shell.COLUMNS)
+    return rows.withColumn("confidence", F.round("confidence", 9))
+
+
+def round_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction of every round from all engines; rows only, as some engines are numeric."""
+    t = ticks(spark, sf_dir)
+    moved = materialize(shell.moves(rounds(t), t, SPARSE), "moves")
+    made = materialize(registry.outputs(t, rounds(t), SPARSE, registry.registered(FLOW).values(), moved), "outputs")
+    return decisions(made, moved, shell.ORDER).withColumn("confidence", F.round("confidence", 6))
+
+
 def prediction_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead time and status if every tick were the moment of a prediction for its round."""
     t = ticks(spark, sf_dir)
@@ -413,6 +435,18 @@ def curve_of_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shell.curve_of_play(t, rounds(t), SPARSE)
 
 
+def play_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per play period: number of prices, their population deviation and their autocorrelation at one step."""
+    t = ticks(spark, sf_dir)
+    points = shell.play_points(rounds(t), t, SPARSE).withColumn("y", F.transform("points", lambda x: x.price - 1_000_000))
+    rows = points.withColumn("y", F.transform("y", lambda v: v - total(F.col("y")) / F.size("y")))
+    pairs = F.zip_with(F.slice("y", 1, F.size("y") - 1), F.slice("y", 2, F.size("y") - 1), lambda a, b: a * b)
+    squares = total(F.transform("y", lambda v: v * v))
+    rows = rows.where("n_play >= 2").select(*MOMENT, F.size("y").cast("bigint").alias("n"), squares.alias("squares"), total(pairs).alias("pairs"))
+    along = F.when(F.col("squares") > 1e-12, F.col("pairs") / F.col("squares")).otherwise(0.0)
+    return rows.select(*MOMENT, "n", F.round(F.sqrt(F.col("squares") / F.col("n")), 6).alias("deviation"), (F.round(along, 6) + 0.0).alias("autocorrelation"))
+
+
 def play_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ticks of every play period that the curve engine looks at, 12 at most here."""
     t = ticks(spark, sf_dir)
@@ -591,8 +625,8 @@ QUERIES = {
     for f in (
         candlestick_edge, tick_normalize_filter, reject_reasons, rounds_latest_upsert, insert_if_absent_users, counter_upsert, session_gap, session_summary, rounds_tumbling, ohlc_candles,
         candlestick_signature, price_streaks, price_asof_targets, next3_ticks, range_join_round_ticks, round_labels, baselines_all, evaluated_predictions, engine_stats, signals_zero_filled, signals_recent,
-        rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
-        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, curve_of_play, play_samples, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
+        rolling_engine_accuracy, engine_vote, engine_weight_history, picked_direction, combination_memory, combination_report, column_decisions, round_decisions, prediction_lead, crt_signature, labouchere_sequence, labouchere_signature, entropy_regime, entropy_signature,
+        return_volatility, projectile_fit, projectile_signature, trajectory_ensemble, momentum_signature, flow_features, flow_signature, trajectory_scores, projectile_scores, curve_of_play, play_samples, play_moments, wilson_lookup, pit_wilson_lookup, patterns_topk, pair_support, interaction_ranking,
         apriori_rules, interaction_sway, seed_vote, engine_outputs, engine_directions, signature_outcomes, memory_by_engine, state_rules, state_json, rounds_sessions, ticks_before, change_from_first, feed_verification, trig_state, engine_signals, decided_direction, projectile_decision, research_fusion, atom_extract, atom_select, props_keys, feed_status, moments_features, revenue_by_flag,
     )
 } | {name: _numeric(name) for name in engines.NUMERIC}

@@ -67,12 +67,63 @@ def upsert_batches(target: str, keys: Sequence[str], order: Sequence[str], bucke
     return write
 
 
+BASES = "_base"  # hidden from a reader of the target's batches
+
+
+def _complete(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the folders ``name=number`` in ``folder`` whose writing has ended, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at(folder)):
+        return []
+    parts = [p.getPath().getName() for p in files.listStatus(at(folder)) if p.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.split("=", 1)[1]) for p in parts if files.exists(at(f"{folder}/{p}/_SUCCESS")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def upserted(spark: SparkSession, target: str, schema: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The newest row of each key that :func:`upsert_batches` has written; of rows equal in ``order``, the later batch's."""
+    """The newest row of each key that :func:`upsert_batches` has written; of rows equal in ``order``, the later batch's.
+
+    Reads the newest base that :func:`compact` has completed and the batches after it.
+    """
     rows = spark.read.schema(f"{schema}, batch bigint, bucket bigint").parquet(target)
+    bases = _complete(spark, f"{target}/{BASES}", "upto")
+    if bases:
+        base = spark.read.schema(f"{schema}, bucket bigint").parquet(f"{target}/{BASES}/upto={bases[-1]}")
+        rows = rows.where(F.col("batch") > bases[-1]).unionByName(base.withColumn("batch", F.lit(bases[-1]).cast("bigint")))
     return latest_wins(rows, keys, [*order, "batch"]).drop("batch", "bucket")
 
 
+def compact(spark: SparkSession, target: str, schema: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> int | None:
+    """Merge the last base with all complete batches since into a new base; gives the last batch in it, None if nothing is new.
+
+    The old base and its batches stay until the next compaction, so that a reader that has just begun still finds them, and
+    a base that was not completed is ignored and written anew. A batch that is replayed after its compaction changes nothing.
+    The whole base is written again: call it when the batches have grown to a share of the base, not after each.
+    """
+    bases, batches = _complete(spark, f"{target}/{BASES}", "upto"), _complete(spark, target, "batch")
+    last = bases[-1] if bases else -1
+    if not batches or batches[-1] <= last:
+        return None
+    upto = batches[-1]
+    new = spark.read.schema(f"{schema}, batch bigint, bucket bigint").parquet(target).where((F.col("batch") > last) & (F.col("batch") <= upto)).drop("bucket")
+    if bases:
+        base = spark.read.schema(f"{schema}, bucket bigint").parquet(f"{target}/{BASES}/upto={last}").drop("bucket")
+        new = new.unionByName(base.withColumn("batch", F.lit(last).cast("bigint")))
+    newest = latest_wins(new, keys, [*order, "batch"]).drop("batch")
+    newest.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/{BASES}/upto={upto}")
+    for number in bases[:-1]:
+        _delete(spark, f"{target}/{BASES}/upto={number}")
+    for number in batches:
+        if number <= last:
+            _delete(spark, f"{target}/batch={number}")
+    return upto
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run over what has come so far into the in-memory table ``name``; for tests and backfills."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
