@@ -133,36 +133,47 @@ def labouchere(ticks: DataFrame, scale: TimeScale, wanted: Column | None = None)
 # ---- entropies
 
 
-def _entropy(counts: Column, outcomes: int) -> Column:
-    """Shannon entropy of counts (bigint array) as a share of its most over ``outcomes``."""
-    n = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    each = F.transform(counts, lambda c: F.when(c > 0, -(c / n) * F.ln(c / n)).otherwise(F.lit(0.0)))
-    return total(each) / float(np.log(outcomes))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _entropy(codes: Column, outcomes: int) -> Column:
+    """Shannon entropy of an array of codes from 0 to 7 as a share of its most over ``outcomes``."""
+
+    def of_counts(counts: Column) -> Column:
+        return _bound(F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x), lambda n: total(F.transform(counts, lambda c: F.when(c > 0, -(c / n) * F.ln(c / n)).otherwise(F.lit(0.0)))))
+
+    def tally(found: Column) -> Column:
+        return F.transform(F.array(*map(F.lit, range(8))), lambda k: F.size(F.filter(found, lambda x: x == k)).cast("bigint"))
+
+    return _bound(codes, lambda found: _bound(tally(found), of_counts)) / float(np.log(outcomes))
 
 
 def entropies(rows: DataFrame, name: str = "w") -> DataFrame:
     """``rows`` with permutation_entropy (orders of three prices, ties by place) and return_entropy (log returns in eight bins)."""
-    p = F.col("_p")
-    rows = rows.withColumn("_p", prices(name)).withColumn("_n", F.size("_p"))
-
-    def pattern(i: Column) -> Column:
-        a, b, c = (F.element_at(p, (i + k).cast("int")) for k in range(3))
-        # which of the three comes before which, written as three bits
-        return F.when(a <= b, 4).otherwise(0) + F.when(a <= c, 2).otherwise(0) + F.when(b <= c, 1).otherwise(0)
-
-    patterns = F.when(F.col("_n") >= 4, F.transform(F.sequence(F.lit(1), F.col("_n") - 2), pattern))
-    rows = rows.withColumn("_patterns", patterns)
-    tally = F.transform(F.array(*map(F.lit, range(8))), lambda k: F.size(F.filter("_patterns", lambda x: x == k)).cast("bigint"))
-    rows = rows.withColumn("permutation_entropy", F.when(F.col("_patterns").isNotNull(), _entropy(tally, 6)))
-    logs = F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-9))))
-    rows = rows.withColumn("_l", logs)
-    steps = F.when(F.col("_n") >= 4, F.transform(F.sequence(F.lit(2), F.col("_n")), lambda i: F.element_at(F.col("_l"), i) - F.element_at(F.col("_l"), i - 1)))
-    rows = rows.withColumn("_r", steps).withColumn("_lo", F.array_min("_r")).withColumn("_hi", F.array_max("_r"))
-    bins = F.transform("_r", lambda r: F.least(((r - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 8).cast("bigint"), F.lit(7)))
-    rows = rows.withColumn("_bins", F.when(F.col("_hi") > F.col("_lo"), bins))
-    tally = F.transform(F.array(*map(F.lit, range(8))), lambda k: F.size(F.filter("_bins", lambda x: x == k)).cast("bigint"))
-    entropy = F.when(F.col("_r").isNull(), F.lit(None).cast("double")).when(F.col("_hi") <= F.col("_lo"), F.lit(0.0)).otherwise(_entropy(tally, 8))
-    return rows.withColumn("return_entropy", entropy).drop("_p", "_n", "_patterns", "_l", "_r", "_lo", "_hi", "_bins")
+    enough = F.size(name) >= 4
+
+    def orders(p: Column) -> Column:
+        def pattern(i: Column) -> Column:
+            a, b, c = (F.element_at(p, (i + k).cast("int")) for k in range(3))
+            # which of the three comes before which, written as three bits
+            return F.when(a <= b, 4).otherwise(0) + F.when(a <= c, 2).otherwise(0) + F.when(b <= c, 1).otherwise(0)
+
+        return F.transform(F.sequence(F.lit(1), F.size(p) - 2), pattern)
+
+    def steps(logs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(2), F.size(logs)), lambda i: F.element_at(logs, i) - F.element_at(logs, i - 1))
+
+    def spread_of(r: Column) -> Column:
+        def binned(x: Column) -> Column:
+            return _entropy(F.transform(r, lambda v: F.least(((v - x.lo) / (x.hi - x.lo) * 8).cast("bigint"), F.lit(7))), 8)
+
+        return _bound(F.struct(F.array_min(r).alias("lo"), F.array_max(r).alias("hi")), lambda x: F.when(x.hi <= x.lo, F.lit(0.0)).otherwise(binned(x)))
+
+    logs = F.transform(name, lambda x: F.ln(F.greatest(x.price, F.lit(1e-9))))
+    rows = rows.withColumn("permutation_entropy", F.when(enough, _bound(prices(name), lambda p: _entropy(orders(p), 6))))
+    return rows.withColumn("return_entropy", F.when(enough, _bound(logs, lambda x: _bound(steps(x), spread_of))))
 
 
 def entropy_regime(ticks: DataFrame, scale: TimeScale, wanted: Column | None = None) -> DataFrame:

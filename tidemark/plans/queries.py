@@ -186,7 +186,7 @@ def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     r = rounds(t)
     states = materialize(shell.at_cutoffs(materialize(shell.column_facts(t, SPARSE), "facts"), r, shell.COLUMNS), "states")
-    return materialize(shell.directed(states, shell.moves(r, t, SPARSE)), "directed")
+    return materialize(shell.directed(states, materialize(shell.moves(r, t, SPARSE), "moves")), "directed")
 
 
 def _says(spark: SparkSession, sf_dir: str) -> DataFrame:
