@@ -145,6 +145,29 @@ def test_a_large_group_of_near_copies_beside_boilerplate(spark, monkeypatch, fre
     assert matches_all_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_pairs_whose_first_shingles_tell_them_apart_are_not_compared(spark, monkeypatch):
+    """Texts of different groups that share their rarest passage and nothing else: none is compared by its whole set, and no link is lost."""
+    rows = []
+    for g in range(12):  # each passage is in two texts, all else of a group in three
+        words = [f"g{g}w{i}" for i in range(90)]
+        passage = [f"p{g // 2}x{i}" for i in range(5)]
+        rows += [(3 * g, " ".join(words + passage)), (3 * g + 1, " ".join(words)), (3 * g + 2, " ".join([*words, "end"]))]
+    compared, lost, held = [], [], []
+    linked, promising, find_roots = ngram_join.linked, ngram_join.promising, ngram_join.find_roots
+
+    def spied(pairs, first):
+        kept = promising(pairs, first)
+        compared.append((pairs.count(), kept.count()))
+        lost.append(linked(pairs, held[0]).exceptAll(linked(kept, held[0])).count())
+        return kept
+
+    monkeypatch.setattr(ngram_join, "find_roots", lambda lists, first, sets: held.append(sets) or find_roots(lists, first, sets))
+    monkeypatch.setattr(ngram_join, "promising", spied)
+    assert matches_all_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    met, kept = map(sum, zip(*compared, strict=True))
+    assert sum(lost) == 0 and met - kept >= 6
+
+
 def test_a_text_of_some_megabytes(spark):
     rng = random.Random(1)
     words = [f"q{rng.randrange(10**6)}" for _ in range(400_000)]

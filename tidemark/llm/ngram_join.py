@@ -11,7 +11,8 @@ of the shingles are shared with any other can't be linked and is done with. The
 shingles in the order (the prefix); linked sets share one of these, which yields candidates. Shingles that
 exactly the same nodes post are one posting list.
 
-For candidates the order of hashes is cut into fragments; the overlap is counted in each fragment separately
+The first shingles that a pair of candidates shares tell how much it may share at most; where that isn't enough, the pair is
+done with. For the other candidates the order of hashes is cut into fragments; the overlap is counted in each fragment separately
 and summed per pair.
 
 A large group of near copies isn't compared pair by pair. First every posting list has two leaders, and each node
@@ -277,20 +278,38 @@ def fitting(rows: DataFrame, counted: DataFrame, columns: list[str]) -> DataFram
     return rows.join(F.broadcast(small) if counted.count() <= BROADCAST_ROWS else small, "node")
 
 
-def posting_lists(shared: DataFrame, may: DataFrame, sets: DataFrame) -> DataFrame:
-    """(list, node, n, place): the first shingles of every node that may be linked; shingles with the same nodes are one list."""
+def posting_lists(shared: DataFrame, may: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list, node, n, place): the first shingles of every node that may be linked; shingles with the same nodes are one list.
+
+    And (node, keys, rest): those of a node's first shingles that another node posts too, and how many shingles at most it may
+    share beside them with a node whose first shingles reach as far in the order.
+    """
     own = fitting(shared.where(F.col("class").isNotNull()), may, ["n", "k", "h"])
     before = F.coalesce(F.sum("copies").over(Window.partitionBy("node").orderBy("holders", "class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = own.withColumn("place", F.col("n") - F.col("h") - F.col("k") + before)
-    placed = placed.where(F.expr(f"place < n - ({P} * n + {Q - 1}) div {Q} + 1")).select(F.col("class").alias("key"), "node", "n", "place")
+    placed = placed.where(F.expr(f"place < n - ({P} * n + {Q - 1}) div {Q} + 1")).select(F.col("class").alias("key"), "node", "n", F.col("place").cast("int"), "copies")
     ranks = fitting(sets.select("node", F.posexplode("last").alias("at", "rank")), may, ["n", "h"])
-    frequent = ranks.select((-1 - F.col("rank")).alias("key"), "node", "n", (F.col("n") - F.col("h") + F.col("at")).alias("place"))
-    posted = materialize(placed.select("key", "node", "n", F.col("place").cast("int")).unionByName(frequent.select("key", "node", "n", F.col("place").cast("int"))), "ngram-posted")
+    frequent = ranks.select((-1 - F.col("rank")).alias("key"), "node", "n", (F.col("n") - F.col("h") + F.col("at")).cast("int").alias("place"), F.lit(1).alias("copies"))
+    posted = materialize(placed.unionByName(frequent), "ngram-posted")
     names = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    lists = posted.join(names.where("m > 1").select("key", F.xxhash64("m", "x", "y").alias("list")), "key")
-    out = materialize(lists.groupBy("list", "node", "n").agg(F.min("place").alias("place")), "ngram-lists")
-    discard(posted)
-    return out
+    named = materialize(posted.join(names.select("key", F.when(F.col("m") > 1, F.xxhash64("m", "x", "y")).alias("list")), "key"), "ngram-named")
+    out = materialize(named.where("list IS NOT NULL").groupBy("list", "node", "n").agg(F.min("place").alias("place")), "ngram-lists")
+    # a class may hold several shingles of a node, of which the keys show one
+    rest = (F.first("n") - F.max(F.col("place") + F.col("copies")) + F.sum(F.col("copies") - 1)).alias("rest")
+    first = materialize(named.groupBy("node").agg(F.collect_list(F.when(F.col("list").isNotNull(), F.col("key"))).alias("keys"), rest), "ngram-first")
+    discard(posted, named)
+    return out, first
+
+
+def promising(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that may be linked by what they share of their first shingles.
+
+    What two sets share stands either before the end of the first shingles of both, and is then posted by both, or behind the
+    nearer of the two ends.
+    """
+    low, high = (first.select(F.col("node").alias(s), F.col("keys").alias(f"keys_{s}"), F.col("rest").alias(f"rest_{s}")) for s in ("low", "high"))
+    most = F.size(F.array_intersect("keys_low", "keys_high")) + F.greatest("rest_low", "rest_high")
+    return pairs.join(low, "low").join(high, "high").where(near_enough(most, F.col("n_low"), F.col("n_high"))).select(pairs.columns)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -344,7 +363,7 @@ def other_pairs(open_lists: DataFrame, largest: DataFrame) -> DataFrame:
     return _pairs(both[0].unionByName(both[1]))
 
 
-def find_roots(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def find_roots(lists: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of every node in a list; what has no link is its own root."""
     small = F.expr(f"IF((n - place) * {P + Q} >= {2 * P} * n, 1, 0)")
     postings = lists.count()
@@ -363,7 +382,8 @@ def find_roots(lists: DataFrame, sets: DataFrame) -> DataFrame:
         last = turn == ROUNDS or rest <= REST * postings
         largest = split.select("list", "largest")
         open_lists = placed.join(split.select("list"), "list")
-        pairs = materialize(other_pairs(open_lists, largest) if last else led_pairs(open_lists, largest, turn) if turn else first_pairs(open_lists), "ngram-pairs")
+        met = other_pairs(open_lists, largest) if last else led_pairs(open_lists, largest, turn) if turn else first_pairs(open_lists)
+        pairs = materialize(promising(met, first), "ngram-pairs")
         fresh = materialize(linked(pairs, sets), "ngram-links")
         moved = components(fresh).select(F.col("node").alias("root"), F.col("root").alias("to"))
         before, roots = roots, materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "ngram-roots")
@@ -395,10 +415,12 @@ def named_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = spark.sparkContext.broadcast(text_filter(may))
     sets = whole_sets(docs, frequent, collided, wanted).join(may.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = materialize(sets, "ngram-sets")
-    lists = posting_lists(shared, may, sets)
+    for shipped in (frequent, wanted):  # nothing reads them again; the driver would hold them until it happens to collect its garbage
+        shipped.destroy()
+    lists, first = posting_lists(shared, may, sets)
     discard(shared, nodes)
-    roots = find_roots(lists, sets)
-    discard(lists, sets, may)
+    roots = find_roots(lists, first, sets)
+    discard(lists, first, sets, may)
     return rows, roots
 
 
