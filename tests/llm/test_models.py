@@ -198,6 +198,15 @@ def test_mixing_meets_targets(spark, documents, nothing):
     assert mixing.rates(empty, mixing.fit(empty, domains)).count() == 0
 
 
+def test_plans_do_not_hold_the_weights_of_the_domains(spark):
+    """Two domains' weights are 8192 numbers; the driver's plans stay small whatever they are."""
+    rows = [(i, prose(random.Random(i), EN if i % 2 else DE, 30), "en" if i % 2 else "de") for i in range(40)]
+    measured = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
+    found = mixing.learn_domains(measured).posteriors(measured.select("row", "words"), "row", "words")
+    assert len(found._jdf.queryExecution().toString()) < 50_000
+    assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in found.collect())
+
+
 def test_rows_come_as_often_as_their_rates_say(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, w, 50), n) for i in range(200) for n, w in [(("en", EN), ("en", EN), ("en", EN), ("fr", FR))[i % 4]]]

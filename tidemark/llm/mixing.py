@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +67,10 @@ class Domains:
         """Columns of ``rows`` but for the buckets ``words``, and p, the domains' posteriors; ``row`` is another number in each row."""
         others = [c for c in rows.columns if c != words]
         assert row in others
-        each = rows.select(*others, F.explode_outer(words).alias("_w"))
-        dots = []
-        for k, weights in enumerate(self.shares):
-            known = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # becomes one literal
-            dots.append(F.coalesce(F.sum(F.get(known, F.col("_w"))), F.lit(0.0)).alias(f"_d{k}"))
+        # a row for each bucket, joined: as literals the weights would be in every plan that the driver makes, prints and keeps
+        weights = pa.table({"_w": pa.array(range(BUCKETS), pa.int32()), "_s": pa.array(np.array(self.shares).T.tolist(), pa.list_(pa.float64()))})
+        each = rows.select(*others, F.explode_outer(words).alias("_w")).join(F.broadcast(rows.sparkSession.createDataFrame(weights)), "_w", "left")
+        dots = [F.coalesce(F.sum(F.col("_s")[k]), F.lit(0.0)).alias(f"_d{k}") for k in range(len(self.names))]
         g = each.groupBy(*others).agg(F.count("_w").alias("_n"), *dots)
         temper = F.when(F.col("_n") > EVIDENCE, EVIDENCE / F.col("_n")).otherwise(F.lit(1.0))
         g = g.withColumn("_l", F.array(*(F.lit(p) + temper * F.col(f"_d{k}") for k, p in enumerate(self.prior))))
