@@ -7,12 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, characters, token_store
+from tidemark.llm.common import carry
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -147,3 +149,17 @@ def test_texts_of_mixed_scripts_are_the_library_s():
     ids, length = token_store.WordEncoder(WORD).encode(texts)
     ends = np.cumsum(length)
     assert [t for t, a, b, w in zip(texts, ends - length, ends, word.encode_batch(texts, add_special_tokens=False), strict=True) if ids[a:b].tolist() != w.ids] == []
+
+
+def test_columns_carried_beside_arrow_tables(spark):
+    """What a task gives as Arrow tables, cut as it likes, stands beside the rows that it was made of."""
+
+    def run(batches):
+        for batch in batches:
+            words = [t.split() for t in batch["text"]]
+            for at in range(0, len(words), 3):
+                yield pa.table({"words": pa.array(words[at : at + 3], pa.list_(pa.binary()))})
+
+    docs = spark.range(20).selectExpr("id AS doc_id", "concat('a', id, ' b') AS text").coalesce(1)
+    got = carry(docs, ["doc_id"], ["text"], "words array<binary>", run).collect()
+    assert sorted((r["doc_id"], [bytes(w) for w in r["words"]]) for r in got) == [(i, [b"a%d" % i, b"b"]) for i in range(20)]

@@ -68,10 +68,10 @@ def slices(batch: pa.RecordBatch, used: list[str], limit: int = SLICE_BYTES) ->
             yield part
 
 
-def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame | pa.Table]]) -> DataFrame:
     """The columns ``carried`` of ``rows``, which never pass through pandas, beside the columns ``made`` of ``run``.
 
-    ``run`` gets pandas frames of the columns ``used`` and gives frames of the columns made, for the same rows in
+    ``run`` gets pandas frames of the columns ``used`` and gives frames, or Arrow tables, of the columns made, for the same rows in
     the same order but cut as it likes. A nullable 64-bit number among ``carried`` stays what it is.
     """
     made_type = StructType.fromDDL(made)
@@ -90,7 +90,8 @@ def carry(rows: DataFrame, carried: list[str], used: list[str], made: str, run:
                     yield part.select(read).to_pandas().set_axis(used, axis=1)
 
         for frame in run(feed()):
-            found = pa.Table.from_pandas(frame, made_schema, preserve_index=False).combine_chunks()
+            whole = frame.select(made_type.names).cast(made_schema) if isinstance(frame, pa.Table) else pa.Table.from_pandas(frame, made_schema, preserve_index=False)
+            found = whole.combine_chunks()
             at = 0
             while at < len(frame):
                 head = waiting.popleft()

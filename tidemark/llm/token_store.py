@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -177,7 +178,7 @@ def stage_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """row, doc_id, n_tokens, digests, parts of every document; a part is null where its task has passed it on before."""
     small = Merges(path, WORD_END).spelt_length.size <= 1 << 16
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.Table]:
         encoder, seen = _worker_encoder(path), set()
         for batch in batches:
             texts = batch["text"].tolist()
@@ -189,22 +190,22 @@ def stage_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 inside[ends - 1] = False
                 closed[inside] = ids
                 raw, width = (closed.astype("<u2").tobytes(), 2) if small else (closed.astype("<u4").tobytes(), 4)
-                digests, parts = [], []
+                digests, parts, sizes = [], [], [0]
                 start = 0
                 for places in cut_places(closed, ends):
-                    own, kept = [], []
                     for stop in places:
                         piece = raw[start * width : stop * width]
                         digest = hashlib.blake2b(piece, digest_size=16).digest()
-                        own.append(digest)
-                        kept.append(None if digest in seen else piece)
+                        digests.append(digest)
+                        parts.append(None if digest in seen else piece)
                         seen.add(digest)
                         start = stop
-                    digests.append(own)
-                    parts.append(kept)
+                    sizes.append(len(digests))
                 if len(seen) > SEEN:
                     seen.clear()
-                yield pd.DataFrame({"n_tokens": counts + 1, "digests": digests, "parts": parts})
+                edges = pa.array(sizes, pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x, pa.binary())) for x in (digests, parts)]
+                yield pa.Table.from_arrays([pa.array(counts + 1, pa.int64()), *lists], ["n_tokens", "digests", "parts"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return carry(rows, ["row", "doc_id"], ["text"], "n_tokens long, digests array<binary>, parts array<binary>", run)
