@@ -151,6 +151,29 @@ def test_texts_of_mixed_scripts_are_the_library_s():
     assert [t for t, a, b, w in zip(texts, ends - length, ends, word.encode_batch(texts, add_special_tokens=False), strict=True) if ids[a:b].tolist() != w.ids] == []
 
 
+def test_pieces_that_recur_are_merged_once():
+    """However many other pieces are met, and whatever stands around a piece or its case, it stays known while it recurs."""
+    encoder, word, rng = token_store.WordEncoder(WORD, limit=1000), Tokenizer.from_file(WORD), random.Random(2)
+    plain, merged = encoder.merges.merge, []
+    encoder.merges.merge = lambda pieces: (merged.extend(pieces), plain(pieces))[1]
+    for _ in range(60):
+        others = ["".join(rng.choice("abcdéßж日'") for _ in range(rng.randrange(4, 30))) for _ in range(100)]
+        texts = ["Commonly, it's <|endoftext|> found", " ".join(others), None, "(commonly) FOUND: internationalisation", "", "İ \x00 \x00\x00'll've"]
+        ids, length = encoder.encode(texts)
+        ends = np.cumsum(length)
+        assert [ids[a:b].tolist() for a, b in zip(ends - length, ends, strict=True)] == [x.ids for x in word.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [merged.count(p) for p in (b"commonly", b"found", b"internationalisation")] == [1, 1, 1] and encoder.known < 2000
+
+
+def test_more_pieces_than_the_table_had_room_for():
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(0xE0 + k // 17_576)}" for k in range(90_000))]
+    encoder = token_store.WordEncoder(WORD)
+    want = Tokenizer.from_file(WORD).encode(texts[0], add_special_tokens=False).ids
+    for limit in (1_000_000, 10):
+        encoder.limit = limit
+        assert encoder.encode(texts)[0].tolist() == want
+
+
 def test_columns_carried_beside_arrow_tables(spark):
     """What a task gives as Arrow tables, cut as it likes, stands beside the rows that it was made of."""
 

@@ -39,11 +39,14 @@ def is_old(text: str) -> bool:
     return text.isascii() or max(text) < OLD
 
 
+def lower_old(text: str) -> str:
+    """Lower case, character by character, of a text without characters from ``OLD`` on."""
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 def lower(text: str) -> str:
     """Lower case, character by character."""
-    if is_old(text):
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-    return _LOWER.normalize_str(text)
+    return lower_old(text) if is_old(text) else _LOWER.normalize_str(text)
 
 
 def composed(text: str) -> str:
