@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from tests.llm.conftest import EN, prose
-from tidemark.llm import wumanber
+from tidemark.llm import queries, wumanber
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,3 +110,14 @@ def test_empty_tables(spark, nothing):
     items = spark.createDataFrame([(1, "some words")], "item_id long, text string")
     assert wumanber.report(nothing, items).count() == 0
     assert [tuple(r)[:4] for r in wumanber.report(nothing.sparkSession.createDataFrame([(1, "a b")], "doc_id long, text string"), items.limit(0)).collect()] == [(1, 2, 0, 0)]
+
+
+def test_query_equals_its_sql_over_documents_and_benchmark(spark):
+    folder = "/root/testdata/sf0.001"
+    base = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        base.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    got = queries.QUERIES["op12_wumanber"](spark, folder)
+    columns = sorted(got.columns)
+    want = sorted(base.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL['op12_wumanber']})").fetchall())
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == want and any(r[columns.index("n_hit")] for r in want)
