@@ -29,6 +29,10 @@ def test_flows_of_many_windows_at_once():
     same_as_one_by_one(w.flow)
 
 
+def test_trails_of_many_windows_at_once():
+    same_as_one_by_one(w.trail)
+
+
 def plain(rows, name, scale):
     """Signature of every tick, looked for over the whole series."""
     size, back, function = engines.NUMERIC[name]
